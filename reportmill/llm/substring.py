@@ -33,7 +33,9 @@ from reportmill.operators.shared import store
 
 WINDOW = 50
 BLOCK_WORDS = 1_000_000
-RANGE_BYTES = 8_000_000
+RANGE_BYTES = 24_000_000
+#: Bytes of an anchor's hash that travel, besides the bits of its range; a chance match only costs a look in step 2.
+ANCHOR_BYTES = 6
 NO_ID = (1 << 63) - 1
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
@@ -93,63 +95,91 @@ def _arrow(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
-ANCHOR = pa.schema([("range", pa.int64()), ("key", pa.int64()), ("docs", pa.binary()), ("hash", pa.binary()), ("at", pa.binary()), ("of", pa.binary())])
-ANCHOR_SQL = "range long, key long, docs binary, hash binary, at binary, of binary"
+#: A row is either the windows of one block in one hash range, or (range below 0) the settled starts of one document in `gaps`.
+PACKED = pa.schema([("range", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("docs", pa.binary()), ("first", pa.binary()), ("hash", pa.binary()), ("gaps", pa.binary())])
+PACKED_SQL = "range long, id long, key long, docs binary, first binary, hash binary, gaps binary"
 
 
-def _anchor_block(hs: list[np.ndarray], keys: list[int], half: int, shift: int) -> Iterator[tuple]:
-    """Rows of one block of documents: packed windows for each hash range, and the hits that are settled here (range null)."""
+def _pack(rng: np.ndarray, at: np.ndarray, hashes: np.ndarray, first: np.ndarray, docs: np.ndarray) -> Iterator[tuple]:
+    """Windows of a block by range, in the block's order: places as byte planes of their gaps, which compress to about a
+    byte; hashes as they are (windows x bytes); docs: a row of numbers for each document."""
+    order = np.lexsort((at, rng))
+    rng, at, hashes = rng[order], at[order], hashes[order]
+    doc = np.searchsorted(first, at, "right") - 1
+    cuts = np.flatnonzero(np.diff(rng)) + 1
+    for s, t in zip([0, *cuts], [*cuts, len(rng)]):
+        if t > s:
+            used = np.unique(doc[s:t])
+            gaps = np.diff(at[s:t], prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T
+            yield int(rng[s]), None, None, docs[used].tobytes(), first[used].astype(np.uint32).tobytes(), hashes[s:t].tobytes(), gaps.tobytes()
+
+
+def _unpack(table: pa.Table, width: int, numbers: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """hash bytes (windows x width), documents' numbers, places in the document; of all blocks of a range."""
+    out: tuple[list, list, list] = [], [], []
+    for docs, first, hashes, gaps in zip(*(table.column(c).to_pylist() for c in ("docs", "first", "hash", "gaps"))):
+        start = np.frombuffer(first, np.uint32).astype(np.int64)
+        at = np.cumsum(np.ascontiguousarray(np.frombuffer(gaps, np.uint8).reshape(4, -1).T).view("<u4")[:, 0], dtype=np.int64)
+        of = np.searchsorted(start, at, "right") - 1
+        for o, x in zip(out, (np.frombuffer(hashes, np.uint8).reshape(-1, width), np.frombuffer(docs, np.int64).reshape(-1, numbers)[of], at - start[of])):
+            o.append(x)
+    return tuple(np.concatenate(o) for o in out)
+
+
+def _range_of(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _anchor_block(hs: list[np.ndarray], keys: list[int], half: int, bits: int) -> Iterator[tuple]:
+    """Rows of one block of documents."""
     lengths = np.array([len(h) for h in hs])
-    ends = np.cumsum(lengths)
+    first = np.cumsum(lengths) - lengths
     roll = Rolling(BASES[0])(np.concatenate(hs), half)
-    doc = np.repeat(np.arange(len(hs)), lengths)
-    pos = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
-    inside = (pos + half <= np.repeat(lengths, lengths))[: len(roll)]
-    roll, doc, pos = roll[inside], doc[: len(inside)][inside], pos[: len(inside)][inside]
-    order = np.argsort(roll, kind="stable")
-    roll, doc, pos = roll[order], doc[order], pos[order]
+    doc = np.repeat(np.arange(len(hs)), lengths)[: len(roll)]
+    at = np.arange(len(roll))
+    inside = at - first[doc] + half <= lengths[doc]
+    order = np.flatnonzero(inside)
+    order = order[np.argsort(roll[inside], kind="stable")]
+    roll, doc, at = roll[order], doc[order], at[order]
+    pos = at - first[doc]
     ref = pos % half == 0
     same = np.concatenate([[False], roll[1:] == roll[:-1]])
     run = _runs(same)
-    n = run[-1] + 1
-    several = np.zeros(n, bool)
+    several, has_ref = np.zeros(run[-1] + 1, bool), np.zeros(run[-1] + 1, bool)
     several[run[1:][same[1:] & (doc[1:] != doc[:-1])]] = True
-    has_ref = np.zeros(n, bool)
     has_ref[run[ref]] = True
     settled = (several & has_ref)[run]
-    for d, at in _by_doc(doc[settled], pos[settled]):
-        yield None, keys[d], None, None, at, None
+    for d, starts in _by_doc(doc[settled], pos[settled]):
+        yield -1 - keys[d] % (1 << bits), None, keys[d], None, None, None, starts
     first_ref = np.zeros(len(run), bool)
     where = np.flatnonzero(ref)
     first_ref[where[np.unique(run[where], return_index=True)[1]]] = True
     send = ~settled | first_ref | ~same
-    roll, doc, at = roll[send], doc[send], (pos * 2 + ref)[send].astype(np.uint32)
-    rng = (roll >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(roll), np.int64)
-    cuts = np.flatnonzero(np.diff(rng)) + 1
-    key_of = np.array(keys, np.int64)
-    for s, t in zip([0, *cuts], [*cuts, len(rng)]):
-        used, local = np.unique(doc[s:t], return_inverse=True)
-        yield int(rng[s]), None, key_of[used].tobytes(), roll[s:t].tobytes(), at[s:t].tobytes(), local.astype(np.uint32).tobytes()
+    low = roll[send].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :ANCHOR_BYTES]
+    yield from _pack(_range_of(roll[send], bits), at[send], low, first, np.array(keys, np.int64))
+
+
+def _settled(table: pa.Table, *columns: str) -> pa.Table | None:
+    return table.select([*columns, "gaps"]).rename_columns([*columns, "at"]) if table.column("range")[0].as_py() < 0 else None
 
 
-def _probe(table: pa.Table) -> pa.Table:
+def _probe(table: pa.Table, half: int) -> pa.Table:
     """All windows of one hash range: the hits by document."""
-    parts = [[np.frombuffer(r, t) for r in table.column(c).to_pylist()] for c, t in (("docs", np.int64), ("hash", np.uint64), ("at", np.uint32), ("of", np.uint32))]
-    doc = np.concatenate([d[o] for d, o in zip(parts[0], parts[3])])
-    h, at = np.concatenate(parts[1]), np.concatenate(parts[2])
+    if (out := _settled(table, "key")) is not None:
+        return out
+    low, doc, pos = _unpack(table, ANCHOR_BYTES, 1)
+    h = np.zeros((len(low), 8), np.uint8)
+    h[:, :ANCHOR_BYTES] = low
+    h, doc = h.view("<u8")[:, 0], doc[:, 0]
     order = np.argsort(h, kind="stable")
-    h, doc, at = h[order], doc[order], at[order]
+    h, doc, pos = h[order], doc[order], pos[order]
     same = np.concatenate([[False], h[1:] == h[:-1]])
     run = _runs(same)
     several, has_ref = np.zeros(run[-1] + 1, bool), np.zeros(run[-1] + 1, bool)
     several[run[1:][same[1:] & (doc[1:] != doc[:-1])]] = True
-    has_ref[run[at % 2 == 1]] = True
+    has_ref[run[pos % half == 0]] = True
     hit = (several & has_ref)[run]
-    return pa.Table.from_batches([_arrow(list(_by_doc(doc[hit], at[hit] // 2)), pa.schema([("key", pa.int64()), ("at", pa.binary())]))])
-
-
-OWN = pa.schema([("range", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("docs", pa.binary()), ("hash", pa.binary()), ("at", pa.binary()), ("of", pa.binary())])
-OWN_SQL = "range long, id long, key long, docs binary, hash binary, at binary, of binary"
+    return pa.Table.from_batches([_arrow(list(_by_doc(doc[hit], pos[hit])), pa.schema([("key", pa.int64()), ("at", pa.binary())]))])
 
 
 def _owners(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,35 +191,32 @@ def _owners(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, doc: np.ndarray) ->
     return order, ids > ids[~same][run]
 
 
-def _window_block(docs: list[tuple[int, int, np.ndarray, np.ndarray]], width: int, shift: int) -> Iterator[tuple]:
-    """docs: (id, key, word hashes, candidate starts). Rows as in _anchor_block."""
+def _window_block(docs: list[tuple[int, int, np.ndarray, np.ndarray]], width: int, bits: int) -> Iterator[tuple]:
+    """docs: (id, key, word hashes, candidate starts). Rows of one block."""
     lengths = np.array([len(d[2]) for d in docs])
+    first = np.cumsum(lengths) - lengths
     h = np.concatenate([d[2] for d in docs])
-    starts = np.concatenate([d[3] + o for d, o in zip(docs, np.cumsum(lengths) - lengths)])
-    pos = np.concatenate([d[3] for d in docs])
     doc = np.repeat(np.arange(len(docs)), [len(d[3]) for d in docs])
-    h1, h2 = Rolling(BASES[0])(h, width)[starts], Rolling(BASES[1])(_mix(h + BASES[0]), width)[starts]
-    ids, keys = (np.array([d[i] for d in docs], np.int64) for i in (0, 1))
-    order, covered = _owners(h1, h2, ids[doc], doc)
-    h1, h2, doc, pos = h1[order], h2[order], doc[order], pos[order]
-    for d, at in _by_doc(doc[covered], pos[covered]):
-        yield None, int(ids[d]), int(keys[d]), None, None, at, None
-    h1, h2, doc, pos = h1[~covered], h2[~covered], doc[~covered], pos[~covered]
-    rng = (h1 >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(h1), np.int64)
-    cuts = np.flatnonzero(np.diff(rng)) + 1
-    for s, t in zip([0, *cuts], [*cuts, len(rng)]):
-        used, local = np.unique(doc[s:t], return_inverse=True)
-        yield int(rng[s]), None, None, np.stack([ids[used], keys[used]], 1).tobytes(), np.stack([h1[s:t], h2[s:t]], 1).tobytes(), pos[s:t].astype(np.uint32).tobytes(), local.astype(np.uint32).tobytes()
+    at = np.concatenate([d[3] for d in docs]) + first[doc]
+    h1, h2 = Rolling(BASES[0])(h, width)[at], Rolling(BASES[1])(_mix(h + BASES[0]), width)[at]
+    who = np.array([d[:2] for d in docs], np.int64).reshape(-1, 2)
+    order, covered = _owners(h1, h2, who[doc, 0], doc)
+    h1, h2, doc, at = h1[order], h2[order], doc[order], at[order]
+    for d, starts in _by_doc(doc[covered], (at - first[doc])[covered]):
+        yield -1 - docs[d][1] % (1 << bits), docs[d][0], docs[d][1], None, None, None, starts
+    both = np.stack([h1[~covered], h2[~covered]], 1)
+    yield from _pack(_range_of(h1[~covered], bits), at[~covered], both, first, who)
 
 
 def _own(table: pa.Table) -> pa.Table:
     """All windows of one hash range: by document, the starts that a smaller document has."""
-    parts = [[np.frombuffer(r, t) for r in table.column(c).to_pylist()] for c, t in (("docs", np.int64), ("hash", np.uint64), ("at", np.uint32), ("of", np.uint32))]
-    docs = np.concatenate([d.reshape(-1, 2)[o] for d, o in zip(parts[0], parts[3])])
-    h, at = np.concatenate(parts[1]).reshape(-1, 2), np.concatenate(parts[2])
+    if (out := _settled(table, "id", "key")) is not None:
+        return out
+    h, docs, pos = _unpack(table, 16, 2)
+    h = np.ascontiguousarray(h).view(np.uint64).reshape(-1, 2)
     who, local = np.unique(docs, axis=0, return_inverse=True)
     order, covered = _owners(h[:, 0], h[:, 1], docs[:, 0], local)
-    rows = [(int(who[d][0]), int(who[d][1]), a) for d, a in _by_doc(local[order][covered], at[order][covered])]
+    rows = [(int(who[d][0]), int(who[d][1]), a) for d, a in _by_doc(local[order][covered], pos[order][covered])]
     return pa.Table.from_batches([_arrow(rows, pa.schema([("id", pa.int64()), ("key", pa.int64()), ("at", pa.binary())]))])
 
 
@@ -220,7 +247,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     half = window // 2
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shift = 64 - max(4, int(np.ceil(np.log2(max(1, size / RANGE_BYTES)))))
+    bits = max(4, int(np.ceil(np.log2(max(1, size / RANGE_BYTES)))))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, hs, keys, n = WordHashes(), [], [], 0
@@ -231,14 +258,13 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                     keys.append(key)
                     n += len(h)
                     if n >= BLOCK_WORDS:
-                        yield _arrow(list(_anchor_block(hs, keys, half, shift)), ANCHOR)
+                        yield _arrow(list(_anchor_block(hs, keys, half, bits)), PACKED)
                         hs, keys, n = [], [], 0
         if n:
-            yield _arrow(list(_anchor_block(hs, keys, half, shift)), ANCHOR)
+            yield _arrow(list(_anchor_block(hs, keys, half, bits)), PACKED)
 
-    found = store(rows.mapInArrow(anchors, ANCHOR_SQL))
-    met = found.where("range is not null").groupBy("range").applyInArrow(_probe, "key long, at binary")
-    hits = found.where("range is null").select("key", "at").union(met).groupBy("key").agg(F.collect_list("at").alias("hits"))
+    met = rows.mapInArrow(anchors, PACKED_SQL).groupBy("range").applyInArrow(lambda t: _probe(t, half), "key long, at binary")
+    hits = met.groupBy("key").agg(F.collect_list("at").alias("hits"))
     joined = rows.join(hits.withColumnRenamed("key", "hit_key"), F.col("key") == F.col("hit_key"), "left").select("id", "key", "text", "hits")
     staged = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("text", pa.binary()), ("starts", pa.binary())])
 
@@ -269,15 +295,14 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                 docs.append((i, key, h, np.frombuffer(starts, np.int32)))
                 n += len(h)
                 if n >= BLOCK_WORDS:
-                    yield _arrow(list(_window_block(docs, window, shift)), OWN)
+                    yield _arrow(list(_window_block(docs, window, bits)), PACKED)
                     docs, n = [], 0
         if n:
-            yield _arrow(list(_window_block(docs, window, shift)), OWN)
+            yield _arrow(list(_window_block(docs, window, bits)), PACKED)
 
     touched = held.where("sha is null")
-    seen = store(touched.select("id", "key", "text", "starts").mapInArrow(windows, OWN_SQL))
-    owned = seen.where("range is not null").groupBy("range").applyInArrow(_own, "id long, key long, at binary")
-    cover = seen.where("range is null").select("id", "key", "at").union(owned).groupBy("id", "key").agg(F.collect_list("at").alias("cover"))
+    owned = touched.select("id", "key", "text", "starts").mapInArrow(windows, PACKED_SQL).groupBy("range").applyInArrow(_own, "id long, key long, at binary")
+    cover = owned.groupBy("id", "key").agg(F.collect_list("at").alias("cover"))
     last = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("sha", pa.string()), ("kept_text", pa.string())])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

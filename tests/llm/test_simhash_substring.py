@@ -63,11 +63,10 @@ def test_substring_empty_and_text(spark):
 def brute_components(rows):
     fps = [(i, simhash.fingerprint((t or "").encode().lower().split()) % 2**64) for i, t in rows]
     comp = list(range(len(rows)))
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if (fps[a][1] ^ fps[b][1]).bit_count() <= 2]
     for _ in rows:
-        for a in range(len(rows)):
-            for b in range(len(rows)):
-                if bin(fps[a][1] ^ fps[b][1]).count("1") <= 2:
-                    comp[a] = comp[b] = min(comp[a], comp[b])
+        for a, b in near:
+            comp[a] = comp[b] = min(comp[a], comp[b])
     low = {}
     for c, (i, _) in zip(comp, fps):
         if i is not None:
@@ -101,11 +100,11 @@ def test_simhash_lists_join_everything_within_two_bits(spark):
     fps = sorted({centre ^ (1 << int(a)) ^ (1 << int(b)) ^ (1 << int(c)) for a, b, c in r.integers(0, 63, (400, 3))})
     got = simhash.connected_components(simhash.fingerprint_links(spark.createDataFrame([(f,) for f in fps], "fp long"))).collect()
     label = {f: f for f in fps}
+    near = [(a, b) for a in fps for b in fps if (a ^ b).bit_count() <= 2]
     changed = True
     while changed:
         changed = False
-        for a in fps:
-            for b in fps:
-                if (a ^ b).bit_count() <= 2 and label[b] < label[a]:
-                    label[a], changed = label[b], True
+        for a, b in near:
+            if label[b] < label[a]:
+                label[a], changed = label[b], True
     assert {x.node: x.component for x in got} == {k: v for k, v in label.items() if list(label.values()).count(v) > 1}
