@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from reportmill.llm.common import raw
 
-HIDDEN = 24
+HIDDEN = 16
 SPAN = 32
 DOCS = 250
 WORDS = 80
@@ -151,8 +151,8 @@ class Words:
         classes = len(self.w["bias"])
         for v in new:
             self.memory[v] = np.zeros(classes + 1)
-        for i in range(0, len(spans), 4096):
-            part = spans[i : i + 4096]
+        for i in range(0, len(spans), 1024):
+            part = spans[i : i + 1024]
             x, mask = _padded([s for s, _ in part])
             sums = (positions(self.w, x, mask) * mask[..., None]).sum(1)
             for (s, v), row in zip(part, sums):
