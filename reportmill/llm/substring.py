@@ -95,9 +95,9 @@ def _arrow(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
-#: A row is either the windows of one block in one hash range, or (range below 0) the settled starts of one document in `gaps`.
-PACKED = pa.schema([("range", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("docs", pa.binary()), ("first", pa.binary()), ("hash", pa.binary()), ("gaps", pa.binary())])
-PACKED_SQL = "range long, id long, key long, docs binary, first binary, hash binary, gaps binary"
+#: A row is either the windows of one block in one hash range, or (range below 0) settled starts as in BUNDLE.
+PACKED = pa.schema([("range", pa.int64()), ("bucket", pa.int64()), ("docs", pa.binary()), ("first", pa.binary()), ("hash", pa.binary()), ("gaps", pa.binary())])
+PACKED_SQL = "range long, bucket long, docs binary, first binary, hash binary, gaps binary"
 
 
 def _pack(rng: np.ndarray, at: np.ndarray, hashes: np.ndarray, first: np.ndarray, docs: np.ndarray) -> Iterator[tuple]:
@@ -111,7 +111,7 @@ def _pack(rng: np.ndarray, at: np.ndarray, hashes: np.ndarray, first: np.ndarray
         if t > s:
             used = np.unique(doc[s:t])
             gaps = np.diff(at[s:t], prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T
-            yield int(rng[s]), None, None, docs[used].tobytes(), first[used].astype(np.uint32).tobytes(), hashes[s:t].tobytes(), gaps.tobytes()
+            yield int(rng[s]), None, docs[used].tobytes(), first[used].astype(np.uint32).tobytes(), hashes[s:t].tobytes(), gaps.tobytes()
 
 
 def _unpack(table: pa.Table, width: int, numbers: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,6 +126,34 @@ def _unpack(table: pa.Table, width: int, numbers: int) -> tuple[np.ndarray, np.n
     return tuple(np.concatenate(o) for o in out)
 
 
+BUNDLE = pa.schema([("bucket", pa.int64()), ("docs", pa.binary()), ("lengths", pa.binary()), ("starts", pa.binary())])
+BUNDLE_SQL = "bucket long, docs binary, lengths binary, starts binary"
+
+
+def _bundles(docs: np.ndarray, of: np.ndarray, pos: np.ndarray, bits: int) -> Iterator[tuple]:
+    """Starts by document, documents by bucket of their key: a row a bucket, however many documents there are.
+
+    docs: their numbers, the key last; of: the document of each start.
+    """
+    bucket = (docs[:, -1] & ((1 << bits) - 1))[of]
+    order = np.lexsort((pos, of, bucket))
+    of, pos, bucket = of[order], pos[order].astype(np.int32), bucket[order]
+    cuts = np.flatnonzero(np.diff(bucket)) + 1
+    for s, t in zip([0, *cuts], [*cuts, len(of)]):
+        if t > s:
+            ends = np.append(np.flatnonzero(np.diff(of[s:t])) + 1, t - s)
+            yield int(bucket[s]), docs[of[s:t][ends - 1]].tobytes(), np.diff(ends, prepend=0).astype(np.int32).tobytes(), pos[s:t].tobytes()
+
+
+def _gather(table: pa.Table, numbers: int) -> pa.Table:
+    """All bundles of a bucket: a row for each document, with its starts in order."""
+    parts = [[np.frombuffer(x, t) for x in table.column(c).to_pylist()] for c, t in (("docs", np.int64), ("lengths", np.int32), ("starts", np.int32))]
+    docs, of = np.unique(np.concatenate(parts[0]).reshape(-1, numbers), axis=0, return_inverse=True)
+    of = np.repeat(of, np.concatenate(parts[1]))
+    rows = [(*map(int, docs[d]), at) for d, at in _by_doc(of, np.concatenate(parts[2]))]
+    return pa.Table.from_batches([_arrow(rows, pa.schema([("id", pa.int64())] * (numbers - 1) + [("key", pa.int64()), ("at", pa.binary())]))])
+
+
 def _range_of(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -149,8 +177,8 @@ def _anchor_block(hs: list[np.ndarray], keys: list[int], half: int, bits: int) -
     several[run[1:][same[1:] & (doc[1:] != doc[:-1])]] = True
     has_ref[run[ref]] = True
     settled = (several & has_ref)[run]
-    for d, starts in _by_doc(doc[settled], pos[settled]):
-        yield -1 - keys[d] % (1 << bits), None, keys[d], None, None, None, starts
+    for bucket, *bundle in _bundles(np.array(keys, np.int64)[:, None], doc[settled], pos[settled], bits):
+        yield -1 - bucket, bucket, *bundle, None
     first_ref = np.zeros(len(run), bool)
     where = np.flatnonzero(ref)
     first_ref[where[np.unique(run[where], return_index=True)[1]]] = True
@@ -159,13 +187,14 @@ def _anchor_block(hs: list[np.ndarray], keys: list[int], half: int, bits: int) -
     yield from _pack(_range_of(roll[send], bits), at[send], low, first, np.array(keys, np.int64))
 
 
-def _settled(table: pa.Table, *columns: str) -> pa.Table | None:
-    return table.select([*columns, "gaps"]).rename_columns([*columns, "at"]) if table.column("range")[0].as_py() < 0 else None
+def _settled(table: pa.Table) -> pa.Table | None:
+    names = ["bucket", "docs", "first", "hash"]
+    return table.select(names).rename_columns(BUNDLE.names) if table.column("range")[0].as_py() < 0 else None
 
 
-def _probe(table: pa.Table, half: int) -> pa.Table:
+def _probe(table: pa.Table, half: int, bits: int) -> pa.Table:
     """All windows of one hash range: the hits by document."""
-    if (out := _settled(table, "key")) is not None:
+    if (out := _settled(table)) is not None:
         return out
     low, doc, pos = _unpack(table, ANCHOR_BYTES, 1)
     h = np.zeros((len(low), 8), np.uint8)
@@ -179,7 +208,8 @@ def _probe(table: pa.Table, half: int) -> pa.Table:
     several[run[1:][same[1:] & (doc[1:] != doc[:-1])]] = True
     has_ref[run[pos % half == 0]] = True
     hit = (several & has_ref)[run]
-    return pa.Table.from_batches([_arrow(list(_by_doc(doc[hit], pos[hit])), pa.schema([("key", pa.int64()), ("at", pa.binary())]))])
+    docs, of = np.unique(doc[hit], return_inverse=True)
+    return pa.Table.from_batches([_arrow(list(_bundles(docs[:, None], of, pos[hit], bits)), BUNDLE)])
 
 
 def _owners(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,22 +232,21 @@ def _window_block(docs: list[tuple[int, int, np.ndarray, np.ndarray]], width: in
     who = np.array([d[:2] for d in docs], np.int64).reshape(-1, 2)
     order, covered = _owners(h1, h2, who[doc, 0], doc)
     h1, h2, doc, at = h1[order], h2[order], doc[order], at[order]
-    for d, starts in _by_doc(doc[covered], (at - first[doc])[covered]):
-        yield -1 - docs[d][1] % (1 << bits), docs[d][0], docs[d][1], None, None, None, starts
+    for bucket, *bundle in _bundles(who, doc[covered], (at - first[doc])[covered], bits):
+        yield -1 - bucket, bucket, *bundle, None
     both = np.stack([h1[~covered], h2[~covered]], 1)
     yield from _pack(_range_of(h1[~covered], bits), at[~covered], both, first, who)
 
 
-def _own(table: pa.Table) -> pa.Table:
+def _own(table: pa.Table, bits: int) -> pa.Table:
     """All windows of one hash range: by document, the starts that a smaller document has."""
-    if (out := _settled(table, "id", "key")) is not None:
+    if (out := _settled(table)) is not None:
         return out
     h, docs, pos = _unpack(table, 16, 2)
     h = np.ascontiguousarray(h).view(np.uint64).reshape(-1, 2)
     who, local = np.unique(docs, axis=0, return_inverse=True)
     order, covered = _owners(h[:, 0], h[:, 1], docs[:, 0], local)
-    rows = [(int(who[d][0]), int(who[d][1]), a) for d, a in _by_doc(local[order][covered], pos[order][covered])]
-    return pa.Table.from_batches([_arrow(rows, pa.schema([("id", pa.int64()), ("key", pa.int64()), ("at", pa.binary())]))])
+    return pa.Table.from_batches([_arrow(list(_bundles(who, local[order][covered], pos[order][covered], bits)), BUNDLE)])
 
 
 def _sha(words: list[bytes]) -> str:
@@ -263,8 +292,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         if n:
             yield _arrow(list(_anchor_block(hs, keys, half, bits)), PACKED)
 
-    met = rows.mapInArrow(anchors, PACKED_SQL).groupBy("range").applyInArrow(lambda t: _probe(t, half), "key long, at binary")
-    hits = met.groupBy("key").agg(F.collect_list("at").alias("hits"))
+    met = rows.mapInArrow(anchors, PACKED_SQL).groupBy("range").applyInArrow(lambda t: _probe(t, half, bits), BUNDLE_SQL)
+    hits = met.groupBy("bucket").applyInArrow(lambda t: _gather(t, 1), "key long, at binary").withColumnRenamed("at", "hits")
     joined = rows.join(hits.withColumnRenamed("key", "hit_key"), F.col("key") == F.col("hit_key"), "left").select("id", "key", "text", "hits")
     staged = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("text", pa.binary()), ("starts", pa.binary())])
 
@@ -275,7 +304,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                 w = text.split() if text else []
                 if hits:
                     open_ = np.zeros(len(w) + 1, np.int64)  # starts of the windows that contain a hit
-                    at = np.frombuffer(b"".join(hits), np.int32)
+                    at = np.frombuffer(hits, np.int32)
                     np.add.at(open_, np.maximum(at - (window - half), 0), 1)
                     np.add.at(open_, at + 1, -1)
                     starts = np.flatnonzero(np.cumsum(open_)[: len(w) - window + 1] > 0).astype(np.int32)
@@ -301,8 +330,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
             yield _arrow(list(_window_block(docs, window, bits)), PACKED)
 
     touched = held.where("sha is null")
-    owned = touched.select("id", "key", "text", "starts").mapInArrow(windows, PACKED_SQL).groupBy("range").applyInArrow(_own, "id long, key long, at binary")
-    cover = owned.groupBy("id", "key").agg(F.collect_list("at").alias("cover"))
+    owned = touched.select("id", "key", "text", "starts").mapInArrow(windows, PACKED_SQL).groupBy("range").applyInArrow(lambda t: _own(t, bits), BUNDLE_SQL)
+    cover = owned.groupBy("bucket").applyInArrow(lambda t: _gather(t, 2), "id long, key long, at binary")
     last = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("sha", pa.string()), ("kept_text", pa.string())])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +341,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                 w = text.split()
                 kept = np.ones(len(w), bool)
                 if cover:
-                    at = np.unique(np.frombuffer(b"".join(cover), np.int32))
+                    at = np.unique(np.frombuffer(cover, np.int32))
                     edge = np.zeros(len(w) + 1, np.int64)
                     edge[at] += 1
                     edge[at + window] -= 1
