@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reportmill.llm import language, mixing, packing, quality, sharding, simhash, substring
+from reportmill.llm import extraction, forest, language, lattice, mixing, packing, quality, sharding, simhash, substring
 from reportmill.llm.common import held_out, small_batches, table
 
 
@@ -15,13 +15,27 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return lattice.score(table(spark, sf_dir, "documents"), held_out("doc_id", 7))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return substring.removals(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return substring.removals(table(spark, sf_dir, "documents"))
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,10 +59,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_best_fit_packing, op3_quality_rules, op6_substring_dedup, op7_source_mixing, op8_simhash_near_dedup, op9_language_id, op10_sharding)
+    every = (op1_best_fit_packing, op2_lattice_scores, op3_quality_rules, op4_vector_near_dedup, op5_main_text, op6_substring_dedup, op7_source_mixing, op8_simhash_near_dedup, op9_language_id, op10_sharding)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
     """Only what SQL can express: hashes and models are tested against brute force instead."""
-    return {"op7_source_mixing": mixing.ORACLE_SQL}
+    return {"op4_vector_near_dedup": forest.ORACLE_SQL, "op7_source_mixing": mixing.ORACLE_SQL}

@@ -249,6 +249,11 @@ def _own(table: pa.Table, bits: int) -> pa.Table:
     return pa.Table.from_batches([_arrow(list(_bundles(who, local[order][covered], pos[order][covered], bits)), BUNDLE)])
 
 
+def _beside(made: pa.RecordBatch, b: pa.RecordBatch, at: int) -> pa.RecordBatch:
+    """made, and beside it the columns of b from at on."""
+    return pa.RecordBatch.from_arrays([*made.columns, *b.columns[at:]], [*made.schema.names, *b.schema.names[at:]])
+
+
 def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
@@ -265,16 +270,19 @@ def _kept_text(text: bytes, kept: np.ndarray) -> str:
     return b"".join(out).rstrip().decode()
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(doc_id, key, n_words, n_removed, kept_sha256, kept_text): one row per row of docs.
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256): one row per row of docs. With carry, also these columns, named carry_0
+    and so on, and kept_text, what is left of the text.
 
     Every word covered by a window of that many words whose sequence also starts in a document with a smaller id goes;
-    windows are judged on the input. kept_text is null where nothing went. A null text has no words. A document without
+    windows are judged on the input. A null text has no words, and a null kept_text. A document without
     an id counts as larger than all others, and no two of them as smaller than each other. Rows that repeat an id never
-    remove each other's words. key is a hash of id and text; other columns are left out.
+    remove each other's words. Other columns are left out.
     """
     half = window // 2
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"), *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)))
+    more = [f"carry_{i}" for i in range(len(carry))]
+    typed = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in more)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(4, int(np.ceil(np.log2(max(1, size / RANGE_BYTES)))))
 
@@ -292,9 +300,9 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         if n:
             yield _arrow(list(_anchor_block(hs, keys, half, bits)), PACKED)
 
-    met = rows.mapInArrow(anchors, PACKED_SQL).groupBy("range").applyInArrow(lambda t: _probe(t, half, bits), BUNDLE_SQL)
+    met = rows.select("id", "key", "text").mapInArrow(anchors, PACKED_SQL).groupBy("range").applyInArrow(lambda t: _probe(t, half, bits), BUNDLE_SQL)
     hits = met.groupBy("bucket").applyInArrow(lambda t: _gather(t, 1), "key long, at binary").withColumnRenamed("at", "hits")
-    joined = rows.join(hits.withColumnRenamed("key", "hit_key"), F.col("key") == F.col("hit_key"), "left").select("id", "key", "text", "hits")
+    joined = rows.join(hits.withColumnRenamed("key", "hit_key"), F.col("key") == F.col("hit_key"), "left").select("id", "key", "text", "hits", *more)
     staged = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("text", pa.binary()), ("starts", pa.binary())])
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,11 +318,10 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                     starts = np.flatnonzero(np.cumsum(open_)[: len(w) - window + 1] > 0).astype(np.int32)
                     out.append((i, key, len(w), None, text, starts.tobytes()))
                 else:
-                    out.append((i, key, len(w), _sha(w), None, None))
-            if out:
-                yield _arrow(out, staged)
+                    out.append((i, key, len(w), _sha(w), text if carry else None, None))
+            yield _beside(_arrow(out, staged), b, 4)
 
-    held = store(joined.mapInArrow(stage, "id long, key long, n_words long, sha string, text binary, starts binary"))
+    held = store(joined.mapInArrow(stage, f"id long, key long, n_words long, sha string, text binary, starts binary{typed}"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, docs, n = WordHashes(), [], 0
@@ -332,7 +339,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     touched = held.where("sha is null")
     owned = touched.select("id", "key", "text", "starts").mapInArrow(windows, PACKED_SQL).groupBy("range").applyInArrow(lambda t: _own(t, bits), BUNDLE_SQL)
     cover = owned.groupBy("bucket").applyInArrow(lambda t: _gather(t, 2), "id long, key long, at binary")
-    last = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("sha", pa.string()), ("kept_text", pa.string())])
+    last = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("sha", pa.string()), ("kept_text", pa.string())])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -346,18 +353,19 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                     edge[at] += 1
                     edge[at + window] -= 1
                     kept = np.cumsum(edge)[:-1] == 0
-                out.append((i, key, len(w), int((~kept).sum()), _sha([x for x, k in zip(w, kept) if k]), None if kept.all() else _kept_text(text, kept)))
-            if out:
-                yield _arrow(out, last)
+                left = text.decode() if kept.all() else _kept_text(text, kept)
+                out.append((i, len(w), int((~kept).sum()), _sha([x for x, k in zip(w, kept) if k]), left if carry else None))
+            yield _beside(_arrow(out, last), b, 4)
 
-    done = touched.select("id", "key", "text").join(cover.toDF("c_id", "c_key", "cover"), (F.col("id") == F.col("c_id")) & (F.col("key") == F.col("c_key")), "left").select("id", "key", "text", "cover")
-    done = done.mapInArrow(remove, "id long, key long, n_words long, n_removed long, sha string, kept_text string")
-    whole = held.where("sha is not null").select("id", "key", "n_words", F.lit(0).cast("long").alias("n_removed"), "sha", F.lit(None).cast("string").alias("kept_text"))
-    return whole.union(done).select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "key", "n_words", "n_removed", F.col("sha").alias("kept_sha256"), "kept_text")
+    done = touched.select("id", "key", "text", *more).join(cover.toDF("c_id", "c_key", "cover"), (F.col("id") == F.col("c_id")) & (F.col("key") == F.col("c_key")), "left").select("id", "key", "text", "cover", *more)
+    done = done.mapInArrow(remove, f"id long, n_words long, n_removed long, sha string, kept_text string{typed}")
+    whole = held.where("sha is not null").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), "sha", F.col("text").cast("string").alias("kept_text"), *more)
+    named = [F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_words", "n_removed", F.col("sha").alias("kept_sha256")]
+    return whole.union(done).select(*named, *(["kept_text", *more] if carry else []))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """docs, each text without its repeated words; a text that loses nothing stays as it was, one that loses all is empty."""
-    changed = removals(docs, id_col, text_col, window).where("n_removed > 0").select(F.col("key").alias("_key"), "kept_text").distinct()
-    joined = docs.withColumn("_own_key", F.xxhash64(id_col, text_col)).join(changed, F.col("_own_key") == F.col("_key"), "left")
-    return joined.select(*(F.coalesce("kept_text", F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    carry = tuple(c for c in docs.columns if c != text_col)
+    kept = removals(docs, id_col, text_col, window, carry)
+    return kept.select(*(F.col("kept_text" if c == text_col else f"carry_{carry.index(c)}").alias(c) for c in docs.columns))
