@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from reportmill.plans import activity, reports  # noqa: F401  they register their queries
+from reportmill.plans.registry import ORACLES, QUERIES, Query
+
 FLAGSHIP = "report_product_sales"
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
