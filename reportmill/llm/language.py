@@ -31,7 +31,7 @@ LANGUAGES = 64
 STEPS = 360
 BATCH = 384
 RATE = 0.01
-CACHE = 200_000
+CACHE = 300_000
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
@@ -137,36 +137,41 @@ def train(words: list[bytes], labels: np.ndarray, classes: int, hidden: int = HI
 
 
 class Words:
-    """word -> sums of its positions' probabilities, and their number."""
+    """word -> sums of its positions' probabilities, and their number, as a row of an array."""
 
     def __init__(self, w: Weights) -> None:
-        self.w, self.memory = w, {}
+        self.w, self.row, self.sums = w, {}, np.zeros((CACHE, len(w["bias"]) + 1))
 
     def learn(self, words: set[bytes]) -> None:
-        new = [v for v in words if v not in self.memory]
-        if len(self.memory) + len(new) > CACHE:
-            self.memory.clear()
+        new = [v for v in words if v not in self.row]
+        if len(self.row) + len(new) > CACHE:
+            self.row.clear()
             new = list(words)
-        spans = sorted(((v[i : i + SPAN], v) for v in new for i in range(0, len(v), SPAN)), key=lambda s: len(s[0]))
-        classes = len(self.w["bias"])
-        for v in new:
-            self.memory[v] = np.zeros(classes + 1)
+        first = len(self.row)
+        self.row.update(zip(new, range(first, first + len(new))))
+        self.sums[first : first + len(new)] = 0
+        spans = [(v[i : i + SPAN], k) for k, v in enumerate(new, first) for i in range(0, len(v), SPAN)]
+        spans.sort(key=lambda s: len(s[0]))
         for i in range(0, len(spans), 1024):
-            part = spans[i : i + 1024]
-            x, mask = _padded([s for s, _ in part])
+            part = [s for s, _ in spans[i : i + 1024]]
+            x, mask = _padded(part)
             sums = (positions(self.w, x, mask) * mask[..., None]).sum(1)
-            for (s, v), row in zip(part, sums):
-                self.memory[v][:-1] += row
-                self.memory[v][-1] += len(s)
-
-    def pooled(self, words: list[bytes]) -> np.ndarray:
-        """Mean probabilities over all positions of a text."""
-        total = np.zeros(len(self.w["bias"]) + 1)
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            self.learn(set(part))
-            total += np.sum([self.memory[v] for v in part], 0)
-        return total[:-1] / total[-1]
+            np.add.at(self.sums, [k for _, k in spans[i : i + 1024]], np.column_stack([sums, mask.sum(1)]))
+
+    def pooled(self, texts: list[list[bytes]]) -> np.ndarray:
+        """For each text, not empty, its mean probabilities over all positions. New words of many texts are learnt together."""
+        out, i = np.zeros((len(texts), self.sums.shape[1])), 0
+        parts = [(k, t[at : at + CACHE // 2]) for k, t in enumerate(texts) for at in range(0, len(t), CACHE // 2)]
+        while i < len(parts):
+            t, words = i, set()
+            while t < len(parts) and (t == i or len(words) + len(parts[t][1]) <= CACHE // 2):
+                words.update(parts[t][1])
+                t += 1
+            self.learn(words)
+            for k, part in parts[i:t]:
+                out[k] += self.sums[np.fromiter(map(self.row.__getitem__, part), np.int64, len(part))].sum(0)
+            i = t
+        return out[:, :-1] / out[:, -1:]
 
 
 def _spread(w: list[bytes], most: int) -> list[bytes]:
@@ -199,6 +204,11 @@ def fit(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
     return languages, train([v for v, _ in pairs], np.array([c for _, c in pairs]), len(languages), steps=steps)
 
 
+def _lettered(texts: pa.Array) -> list[int]:
+    """Rows whose text has a letter."""
+    return [k for k, t in enumerate(texts.to_pylist()) if t and LETTER.search(t)]
+
+
 def predict(docs: DataFrame, model: tuple[list[str], Weights] | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs' rows as (doc_id, lang_pred, score). Without a letter, or without a model, a text is `und` with score 0."""
     packed = pickle.dumps(model)
@@ -207,15 +217,12 @@ def predict(docs: DataFrame, model: tuple[list[str], Weights] | None, id_col: st
         model = pickle.loads(packed)
         words = Words(model[1]) if model else None
         for b in batches:
-            names, scores = [], []
-            for text, data in zip(b.column(1).to_pylist(), raw(b.column(1))):
-                if words is None or not text or not LETTER.search(text):
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                else:
-                    p = words.pooled(data.split())
-                    names.append(model[0][int(p.argmax())])
-                    scores.append(float(min(1.0, p.max())))
+            names, scores = [UNKNOWN] * b.num_rows, np.zeros(b.num_rows)
+            if words and (at := _lettered(b.column(1))):
+                p = words.pooled([t.split() for t in raw(b.column(1).take(pa.array(at)))])
+                scores[at] = np.minimum(1.0, p.max(1))
+                for k, best in zip(at, p.argmax(1)):
+                    names[k] = model[0][best]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -240,7 +247,9 @@ def keep_known(docs: DataFrame, held_out: Column, least: float = 0.4, id_col: st
         model = pickle.loads(packed)
         words = Words(model[1]) if model else None
         for b in batches:
-            keep = [bool(words and t and LETTER.search(t) and words.pooled(d.split()).max() >= least) for t, d in zip(b.column(at).to_pylist(), raw(b.column(at)))]
-            yield b.filter(pa.array(keep))
+            rows = _lettered(b.column(at)) if words else []
+            if rows:
+                p = words.pooled([t.split() for t in raw(b.column(at).take(pa.array(rows)))])
+                yield b.take(pa.array(np.array(rows)[p.max(1) >= least], pa.int64()))
 
     return docs.mapInArrow(run, docs.schema)
