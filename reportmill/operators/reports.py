@@ -121,10 +121,12 @@ def savings(cluster_rows: DataFrame) -> DataFrame:
 
 
 def merged(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """Two scorings of pairs (r1, r2, score): 0.7 of the first and 0.3 of the second where both have the pair, else the one."""
+    """Two scorings of pairs (r1, r2, score): 0.7 of the first and 0.3 of the second where both have the pair, else the one.
+
+    Scores are rounded to three digits, ties upwards whatever their last bits are."""
     key = lambda d, s: d.select(F.least("r1", "r2").alias("r1"), F.greatest("r1", "r2").alias("r2"), F.col("score").alias(s)).groupBy("r1", "r2").agg(F.max(s).alias(s))
     j = key(ours, "x").join(key(theirs, "y"), ["r1", "r2"], "full")
-    return j.select("r1", "r2", F.round(F.coalesce(F.col("x") * 0.7 + F.col("y") * 0.3, "x", "y"), 3).alias("score"), F.when(F.col("x").isNull(), "second").when(F.col("y").isNull(), "first").otherwise("both").alias("origin"))
+    return j.select("r1", "r2", F.round(F.coalesce(F.col("x") * 0.7 + F.col("y") * 0.3, "x", "y") + 1e-9, 3).alias("score"), F.when(F.col("x").isNull(), "second").when(F.col("y").isNull(), "first").otherwise("both").alias("origin"))
 
 
 def deduped(pairs: DataFrame) -> DataFrame:

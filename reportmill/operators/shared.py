@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,7 +22,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """df, materialised once in the shared folder, so that a lost executor costs no recomputation of its lineage."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    with _tidy(df.sparkSession):
+        return df.checkpoint()
+
+
+@contextlib.contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """Inside, shuffle files go as soon as the rows they led to are written."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def store(df: DataFrame) -> DataFrame:
@@ -31,7 +45,8 @@ def store(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _tidy(spark):
+        df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -174,7 +174,7 @@ def query_side(spark: SparkSession, d: str, least: float = 0.8) -> DataFrame:
 _KEYED = f"(SELECT r1, r2, overall AS score FROM {PAIRS})"
 
 
-@query(f"SELECT r1, r2, round(coalesce(a.score * 0.7 + b.score * 0.3, a.score, b.score), 3) AS score, CASE WHEN a.score IS NULL THEN 'second' WHEN b.score IS NULL THEN 'first' ELSE 'both' END AS origin FROM {_KEYED} a FULL JOIN {QUERY_SIDE} b USING (r1, r2)")
+@query(f"SELECT r1, r2, round(coalesce(a.score * 0.7 + b.score * 0.3, a.score, b.score) + 1e-9, 3) AS score, CASE WHEN a.score IS NULL THEN 'second' WHEN b.score IS NULL THEN 'first' ELSE 'both' END AS origin FROM {_KEYED} a FULL JOIN {QUERY_SIDE} b USING (r1, r2)")
 def merge_scorings(spark: SparkSession, d: str) -> DataFrame:
     return R.merged(pairs(spark, d).select("r1", "r2", F.col("overall").alias("score")), query_side(spark, d))
 
