@@ -35,7 +35,7 @@ WINDOW = 50
 BLOCK_WORDS = 1_000_000
 RANGE_BYTES = 24_000_000
 #: Bytes of an anchor's hash that travel, besides the bits of its range; a chance match only costs a look in step 2.
-ANCHOR_BYTES = 6
+ANCHOR_BYTES = 5
 NO_ID = (1 << 63) - 1
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
@@ -301,7 +301,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
             yield _arrow(list(_anchor_block(hs, keys, half, bits)), PACKED)
 
     met = rows.select("id", "key", "text").mapInArrow(anchors, PACKED_SQL).groupBy("range").applyInArrow(lambda t: _probe(t, half, bits), BUNDLE_SQL)
-    hits = met.groupBy("bucket").applyInArrow(lambda t: _gather(t, 1), "key long, at binary").withColumnRenamed("at", "hits")
+    hits = store(met.groupBy("bucket").applyInArrow(lambda t: _gather(t, 1), "key long, at binary").withColumnRenamed("at", "hits"))
     joined = rows.join(hits.withColumnRenamed("key", "hit_key"), F.col("key") == F.col("hit_key"), "left").select("id", "key", "text", "hits", *more)
     staged = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("text", pa.binary()), ("starts", pa.binary())])
 
