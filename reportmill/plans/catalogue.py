@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reportmill.plans import activity, querylog, querypairs, reportpairs, reports, rules  # noqa: F401  they register their queries
+from reportmill.plans import activity, ingest, querylog, querypairs, reportpairs, reports, rules  # noqa: F401  they register their queries
 from reportmill.plans.registry import ORACLES, QUERIES, Query
 
 FLAGSHIP = "report_product_sales"
