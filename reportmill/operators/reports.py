@@ -108,8 +108,8 @@ def partners(pairs: DataFrame) -> DataFrame:
 def representatives(pairs: DataFrame, least: float = HIGH) -> DataFrame:
     """The member of each cluster with the highest mean similarity; the smallest id on a tie."""
     m = clusters(pairs, least).join(partners(pairs.where(F.col("overall") >= least)), "report_id")
-    best = m.groupBy("component").agg(F.max(F.struct("similarity", (-F.col("report_id")).alias("m"))).alias("b"))
-    return best.select("component", (-F.col("b.m")).alias("report_id"), F.col("b.similarity").alias("similarity"))
+    first = F.min_by("report_id", F.struct((-F.col("similarity")).alias("s"), "report_id"))
+    return m.groupBy("component").agg(first.alias("report_id"), F.max("similarity").alias("similarity"))
 
 
 def savings(cluster_rows: DataFrame) -> DataFrame:

@@ -106,14 +106,14 @@ def top_k_each(vectors: DataFrame, id_col: str, vector_col: str, k: int = 10, bl
         left, right = np.flatnonzero(g == g.min()), np.flatnonzero(g == g.max())
         out = []
         for rows, others in ((left, right),) if g.min() == g.max() else ((left, right), (right, left)):
-            s = np.round(x[rows] @ x[others].T, 9)
+            s = x[rows] @ x[others].T
             s[ids[rows][:, None] == ids[others]] = -np.inf
-            order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            order = np.argsort(-np.round(s, 9), axis=1, kind="stable")[:, :k]
             out += [(int(ids[rows[a]]), int(ids[others[b]]), float(s[a, b])) for a in range(len(rows)) for b in order[a] if s[a, b] > -np.inf]
         return pa.table({"id": pa.array([o[0] for o in out], pa.int64()), "other": pa.array([o[1] for o in out], pa.int64()), "score": pa.array([o[2] for o in out], pa.float64())})
 
     both = _blocks(vectors, id_col, vector_col, block).groupBy("i", "j").applyInArrow(best, "id long, other long, score double")
-    place = F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), "other"))
+    place = F.row_number().over(W.partitionBy("id").orderBy(F.desc(F.round("score", 9)), "other"))
     return both.withColumn("place", place).where(F.col("place") <= k)
 
 
