@@ -108,3 +108,22 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for i, m in enumerate(MEASURES):
         over = over | (F.get("cells", F.lit(i)) >= F.coalesce(F.col(f"cut_{m}"), F.lit(GRID)))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~over).alias("kept"))
+
+
+ORACLE_SQL = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, lang, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[{SPACE}]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^{SPACE}]')) AS lines FROM documents),
+y AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+z AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS c FROM y) WHERE c > 1) GROUP BY doc_id),
+m AS MATERIALIZED (SELECT doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(z.n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN z USING (doc_id)),
+c AS MATERIALIZED (SELECT *, list_transform([n_symbols / greatest(word_chars, 1), n_dup_lines * 8 / greatest(n_words, 1), n_repeat_words / greatest(n_words, 1), word_chars / greatest(n_words, 1) / 40], lambda v: least({GRID - 1}, CAST(floor(sqrt(v) * {GRID}) AS INT))) AS cells FROM m),
+l AS (SELECT doc_id, min(quality) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+u AS MATERIALIZED (SELECT lang, good, unnest([0, 1, 2, 3]) AS measure, unnest(cells) AS cell FROM c JOIN l USING (doc_id)),
+q AS (SELECT lang, measure, cut, count(*) FILTER (good = 1) AS n, count(*) FILTER (good = 1 AND cell >= cut) AS k, count(*) FILTER (good <> 1 AND cell >= cut) AS bad FROM u, (SELECT unnest(range(1, {GRID})) AS cut) GROUP BY ALL),
+p AS (SELECT *, count(*) FILTER (cut = 1) OVER () AS tests, CASE WHEN k > n * {ALPHA} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA})))) END AS tail FROM q),
+f AS (SELECT *, bool_and(tail <= {DELTA} / tests) OVER (PARTITION BY lang, measure ORDER BY cut DESC) AS passed FROM p),
+b AS (SELECT lang, measure, cut FROM (SELECT *, row_number() OVER (PARTITION BY lang, measure ORDER BY bad - k DESC, cut DESC) AS r FROM f WHERE passed AND bad > k) WHERE r = 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT EXISTS (SELECT 1 FROM b WHERE b.lang IS NOT DISTINCT FROM c.lang AND c.cells[b.measure + 1] >= b.cut) AS kept FROM c
+"""

@@ -65,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Only what SQL can express: hashes and models are tested against brute force instead."""
-    return {"op4_vector_near_dedup": forest.ORACLE_SQL, "op7_source_mixing": mixing.ORACLE_SQL}
+    return {"op3_quality_rules": quality.ORACLE_SQL, "op4_vector_near_dedup": forest.ORACLE_SQL, "op6_substring_dedup": substring.ORACLE_SQL, "op7_source_mixing": mixing.ORACLE_SQL}

@@ -369,3 +369,16 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     carry = tuple(c for c in docs.columns if c != text_col)
     kept = removals(docs, id_col, text_col, window, carry)
     return kept.select(*(F.col("kept_text" if c == text_col else f"carry_{carry.index(c)}").alias(c) for c in docs.columns))
+
+
+ORACLE_SQL = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+h AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h FROM s),
+o AS (SELECT h, min(doc_id) AS first FROM h GROUP BY h),
+g AS MATERIALIZED (SELECT DISTINCT h.doc_id, unnest(range(i, i + 50)) AS p FROM h JOIN o ON o.h = h.h AND o.first < h.doc_id),
+k AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d WHERE doc_id IN (SELECT doc_id FROM g)),
+a AS (SELECT k.doc_id, count(*) AS n, count(*) FILTER (g.p IS NOT NULL) AS gone, coalesce(string_agg(x, ' ' ORDER BY k.p) FILTER (g.p IS NULL), '') AS kept FROM k LEFT JOIN g ON g.doc_id = k.doc_id AND g.p = k.p GROUP BY k.doc_id)
+SELECT doc_id, n AS n_words, gone AS n_removed, sha256(kept) AS kept_sha256 FROM a
+UNION ALL SELECT doc_id, len(w), 0, sha256(coalesce(array_to_string(w, ' '), '')) FROM d WHERE doc_id NOT IN (SELECT doc_id FROM g)
+"""
