@@ -5,7 +5,7 @@ from __future__ import annotations
 from reportmill.plans import activity, ingest, querylog, querypairs, reportpairs, reports, rules, streams, vectors  # noqa: F401  they register their queries
 from reportmill.plans.registry import ORACLES, QUERIES, Query
 
-FLAGSHIP = "report_product_sales"
+FLAGSHIP = "rank_pairs"
 
 
 def queries() -> dict[str, Query]:
