@@ -34,6 +34,8 @@ POOR = 0.985
 ROUNDS = 2
 END_ID = 0
 CACHE = 200_000
+#: White space but for the blank.
+WHITE = [chr(i) for i in range(1, 0x3001) if chr(i).isspace() and chr(i) != " "]
 
 
 class Tokens(dict):
@@ -65,9 +67,9 @@ class Tokens(dict):
         return ids
 
     def of(self, text: str) -> bytes:
-        words = text.split(" ")
-        if any(not w or w[0].isspace() or w[-1].isspace() for w in words) or any(s in text for s in self.special):
+        if "  " in text or any(c in text and (f"{c} " in text or f" {c}" in text) for c in WHITE) or any(s in text for s in self.special):
             return self.ids(text)
+        words = text.split(" ")
         return self.ids(words[0]) + b"".join(map(self.__getitem__, words[1:]))
 
 
