@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from reportmill.operators.shared import store
+
 # Words, patterns and calls that the keyword vector looks for.
 KEYWORDS = (
     "select from where join inner left right outer group order by having union insert update delete create count sum avg max min distinct "
@@ -46,6 +48,19 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, least: float =
     return j.where(F.col("score") >= least).select("id1", "id2", "score")
 
 
+def members(docs: DataFrame, id_col: str, text_col: str, salts: int = 256) -> DataFrame:
+    """(id, class_id, copies): every document with the smallest id among those of its word set, and their number.
+
+    With near_duplicates, these are all links: two documents of a class score 1, two of different classes as their classes
+    do, and no others reach the least. Documents without a word are a class too. A large class is settled in salts parts.
+    """
+    text = F.array_join(F.array_sort(words(F.coalesce(F.col(text_col), F.lit("")))), " ")
+    rows = store(docs.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("h"), F.pmod(F.xxhash64(id_col), F.lit(salts)).alias("salt")))
+    parts = rows.groupBy("h", "salt").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
+    classes = parts.groupBy("h").agg(F.min("least").alias("class_id"), F.sum("n").alias("copies"))
+    return rows.join(parts.select("h", "salt").join(classes, "h"), ["h", "salt"]).select("id", "class_id", "copies")
+
+
 def minhash_pairs(docs: DataFrame, id_col: str, text_col: str, least: float = 0.7, tables: int = 8) -> DataFrame:
     """The approximate variant; distinct word sets only."""
     sets = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0).groupBy(F.array_sort("w").alias("w")).agg(F.min("id").alias("id"))

@@ -20,6 +20,15 @@ def near_duplicate_docs(spark: SparkSession, d: str) -> DataFrame:
     return S.near_duplicates(table(spark, d, "documents"), "doc_id", "text").withColumn("score", F.round("score", 6))
 
 
+_EVERY = r"(SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda x: x <> ''))) AS w FROM documents)"
+
+
+@query(f"SELECT doc_id, class_id, copies FROM {_EVERY} JOIN (SELECT w, min(doc_id) AS class_id, count(*) AS copies FROM {_EVERY} GROUP BY w) USING (w)")
+def near_duplicate_members(spark: SparkSession, d: str) -> DataFrame:
+    """What stands behind the ids of near_duplicate_docs and minhash_pairs: the class of every document."""
+    return S.members(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 @query()
 def minhash_pairs(spark: SparkSession, d: str) -> DataFrame:
     return S.minhash_pairs(table(spark, d, "documents"), "doc_id", "text")
