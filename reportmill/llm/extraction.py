@@ -37,6 +37,10 @@ BUCKETS = 160
 # Fixed values of HTML: elements without content, of raw text, inline ones, and those that end an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("script style noscript template head title svg iframe object canvas select textarea button".split())
+RAW = frozenset("script style title textarea iframe".split())
+# What may stand in a head: with content, all dropped, and without; and parts of a page, which no control holds.
+HEAD, HEAD_VOID = frozenset("script style title template noscript".split()), frozenset("base basefont bgsound link meta head html".split())
+SECTIONS = frozenset("article main section nav aside header footer".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -58,7 +62,11 @@ class Node:
 
 
 class Builder(HTMLParser):
-    """A tree of block nodes; a run of inline text is a leaf `#text`, and dropped elements are left out."""
+    """A tree of block nodes; a run of inline text is a leaf `#text`, and dropped elements are left out.
+
+    skip holds a dropped element and those open inside it. It ends at the element's own end tag; a head also at what cannot
+    stand in it, and all but raw text also at the end of an element around it.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -82,11 +90,22 @@ class Builder(HTMLParser):
         self.flush()
         del self.open[depth:]
 
+    def leaves(self, tag: str) -> bool:
+        """Whether this start tag cannot be part of the dropped element."""
+        if self.skip[-1] in RAW:
+            return False
+        if self.skip[0] == "head":
+            return tag == "body" or len(self.skip) == 1 and tag not in HEAD and tag not in HEAD_VOID
+        return self.skip[0] in ("button", "select") and tag in SECTIONS
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if self.skip:
-            if tag not in VOID and tag == self.skip[-1]:
+        if self.skip and not self.leaves(tag):
+            if self.skip[-1] not in RAW and tag not in VOID and tag not in HEAD_VOID:
+                if tag in ("button", "select") and tag in self.skip:  # these do not nest
+                    del self.skip[self.skip.index(tag) :]
                 self.skip.append(tag)
             return
+        self.skip = []
         if tag == "body":
             self.flush()
         if tag in DROPPED:
@@ -127,14 +146,17 @@ class Builder(HTMLParser):
             self.handle_starttag(tag, attrs)
         else:
             self.handle_starttag(tag, attrs)
-            if tag not in DROPPED:
+            if tag not in RAW or tag == "iframe":
                 self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
         if self.skip:
-            if tag == self.skip[-1]:
-                self.skip.pop()
-            return
+            if tag in self.skip and (tag == self.skip[-1] or self.skip[-1] not in RAW):
+                del self.skip[len(self.skip) - 1 - self.skip[::-1].index(tag) :]
+                return
+            if self.skip[-1] in RAW or not (tag == "a" and self.in_link or any(t == tag for t, _ in self.open[1:])):
+                return
+            self.skip = []
         if tag in INLINE:
             self.in_link = max(0, self.in_link - (tag == "a"))
             return
@@ -144,6 +166,8 @@ class Builder(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.skip == ["head"] and data.strip():
+            self.skip = []
         if not self.skip:
             self.run.append(data)
             if self.in_link:
