@@ -6,7 +6,8 @@ the state at zero at both ends. So the labels of a word are the same wherever it
 word it meets and remembers them within a bounded memory, and every position of every whole text still counts: a document's
 probabilities are the means of its positions' probabilities.
 
-Training takes a bounded sample: about DOCS documents for each language, WORDS words spread over each.
+Training takes a bounded sample: about DOCS documents for each language, WORDS words spread over each. All languages are
+learned; where there are more than SHARING, they share what that many have, down to FEWEST documents of FEW_WORDS words.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from reportmill.llm.common import raw
@@ -26,8 +27,10 @@ HIDDEN = 16
 SPAN = 32
 DOCS = 250
 WORDS = 80
-#: Languages by falling number of labelled documents, so many at most.
-LANGUAGES = 64
+#: So many languages have the whole of DOCS and WORDS, a place in every batch, and CACHE words remembered.
+SHARING = 64
+FEWEST = 25
+FEW_WORDS = 8
 STEPS = 360
 BATCH = 384
 RATE = 0.01
@@ -118,13 +121,15 @@ def _padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(words: list[bytes], labels: np.ndarray, classes: int, hidden: int = HIDDEN, steps: int = STEPS, seed: int = 0) -> Weights:
-    """Adam over batches that hold the classes in equal parts."""
+    """Adam over batches that hold the classes in equal parts, or SHARING of more classes; then steps grow with the classes."""
     draw = np.random.default_rng(seed)
     w = _start(classes, hidden, draw)
     mean, square = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
     members = [np.flatnonzero(labels == c) for c in range(classes)]
+    steps = steps * max(classes, SHARING) // SHARING
     for step in range(1, steps + 1):
-        pick = np.concatenate([draw.choice(m, max(1, BATCH // classes)) for m in members])
+        some = members if classes <= SHARING else [members[c] for c in draw.choice(classes, SHARING, replace=False)]
+        pick = np.concatenate([draw.choice(m, max(1, BATCH // len(some))) for m in some])
         x, mask = _padded([words[i][:SPAN] for i in pick])
         _, g = gradients(w, x, mask, labels[pick])
         scale = min(1.0, 5 / (np.sqrt(sum(float((v**2).sum()) for v in g.values())) + 1e-9))
@@ -140,11 +145,13 @@ class Words:
     """word -> sums of its positions' probabilities, and their number, as a row of an array."""
 
     def __init__(self, w: Weights) -> None:
-        self.w, self.row, self.sums = w, {}, np.zeros((CACHE, len(w["bias"]) + 1))
+        classes = len(w["bias"])
+        self.most, self.part = (max(16, n * SHARING // max(classes, SHARING)) for n in (CACHE, 1024))
+        self.w, self.row, self.sums = w, {}, np.zeros((self.most, classes + 1))
 
     def learn(self, words: set[bytes]) -> None:
         new = [v for v in words if v not in self.row]
-        if len(self.row) + len(new) > CACHE:
+        if len(self.row) + len(new) > self.most:
             self.row.clear()
             new = list(words)
         first = len(self.row)
@@ -152,19 +159,19 @@ class Words:
         self.sums[first : first + len(new)] = 0
         spans = [(v[i : i + SPAN], k) for k, v in enumerate(new, first) for i in range(0, len(v), SPAN)]
         spans.sort(key=lambda s: len(s[0]))
-        for i in range(0, len(spans), 1024):
-            part = [s for s, _ in spans[i : i + 1024]]
+        for i in range(0, len(spans), self.part):
+            part = [s for s, _ in spans[i : i + self.part]]
             x, mask = _padded(part)
             sums = (positions(self.w, x, mask) * mask[..., None]).sum(1)
-            np.add.at(self.sums, [k for _, k in spans[i : i + 1024]], np.column_stack([sums, mask.sum(1)]))
+            np.add.at(self.sums, [k for _, k in spans[i : i + self.part]], np.column_stack([sums, mask.sum(1)]))
 
     def pooled(self, texts: list[list[bytes]]) -> np.ndarray:
         """For each text, not empty, its mean probabilities over all positions. New words of many texts are learnt together."""
-        out, i = np.zeros((len(texts), self.sums.shape[1])), 0
-        parts = [(k, t[at : at + CACHE // 2]) for k, t in enumerate(texts) for at in range(0, len(t), CACHE // 2)]
+        out, i, half = np.zeros((len(texts), self.sums.shape[1])), 0, self.most // 2
+        parts = [(k, t[at : at + half]) for k, t in enumerate(texts) for at in range(0, len(t), half)]
         while i < len(parts):
             t, words = i, set()
-            while t < len(parts) and (t == i or len(words) + len(parts[t][1]) <= CACHE // 2):
+            while t < len(parts) and (t == i or len(words) + len(parts[t][1]) <= half):
                 words.update(parts[t][1])
                 t += 1
             self.learn(words)
@@ -178,32 +185,50 @@ def _spread(w: list[bytes], most: int) -> list[bytes]:
     return w if len(w) <= most else [w[i * len(w) // most] for i in range(most)]
 
 
-def fit(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_each: int = DOCS, steps: int = STEPS) -> tuple[list[str], Weights] | None:
-    """Languages and weights, from the text and language of documents that are not held out; None without any.
+def _sample(docs: DataFrame, held_out: Column, id_col: str, text_col: str, lang_col: str, docs_each: int) -> list[Row]:
+    """(lang, words): documents of every language that are not held out.
 
-    The sample takes a document by a hash of its id, at a rate that gives about docs_each documents a language, and hands
-    at most WORDS words of each to the driver, LANGUAGES * docs_each * 2 documents at most.
+    A document is taken by a hash of its id, at a rate that gives about docs_each documents a language, or an even share of
+    SHARING * DOCS where that is less, but FEWEST at least; each hands at most WORDS words, or its share, to the driver.
     """
     known = docs.where(~held_out & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = known.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = known.groupBy(F.col(lang_col).alias("lang")).count().collect()
     if not counts:
-        return None
-    rates = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], min(1.0, docs_each / r["count"]))))
+        return []
+    each = min(docs_each, max(FEWEST, SHARING * DOCS // len(counts)))
+    most = min(WORDS, max(FEW_WORDS, SHARING * DOCS * WORDS // (len(counts) * each)))
+    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in counts], "_lang string, _rate double")
     unit = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_spread(t.split(), WORDS) for t in raw(b.column(1))], pa.list_(pa.binary()))], ["lang", "words"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_spread(t.split(), most) for t in raw(b.column(1))], pa.list_(pa.binary()))], ["lang", "words"])
+
+    rows = known.join(F.broadcast(rates), F.col(lang_col) == F.col("_lang")).where(unit < F.col("_rate")).select(F.col("_lang"), F.col(text_col))
+    return rows.limit(max(SHARING, len(counts)) * docs_each * 2).mapInArrow(sampled, "lang string, words array<binary>").collect()
 
-    rows = known.where(unit < F.coalesce(F.element_at(rates, F.col(lang_col)), F.lit(0.0))).select(F.col(lang_col), F.col(text_col))
-    rows = rows.limit(LANGUAGES * docs_each * 2).mapInArrow(sampled, "lang string, words array<binary>").collect()
+
+def _model(rows: list[Row], steps: int) -> tuple[list[str], Weights] | None:
     languages = sorted({r.lang for r in rows})
     if not languages:
         return None
-    pairs = sorted((bytes(v), languages.index(r.lang)) for r in rows for v in r.words)
+    at = {v: k for k, v in enumerate(languages)}
+    pairs = sorted((bytes(v), at[r.lang]) for r in rows for v in r.words)
     return languages, train([v for v, _ in pairs], np.array([c for _, c in pairs]), len(languages), steps=steps)
 
 
+def fit(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_each: int = DOCS, steps: int = STEPS) -> tuple[list[str], Weights] | None:
+    """Languages and weights, from the text and language of documents that are not held out; None without any."""
+    return _model(_sample(docs, held_out, id_col, text_col, lang_col, docs_each), steps)
+
+
+def _least(model: tuple[list[str], Weights], rows: list[Row], share: float) -> float:
+    """What a text in a known language has: chance and a share of the rest, or as little as any sampled document."""
+    chance = 1 / len(model[0])
+    texts = [[bytes(v) for v in r.words] for r in rows if r.words]
+    return min(chance + share * (1 - chance), float(Words(model[1]).pooled(texts).max(1).min())) - 1e-6
+
+
 def _lettered(texts: pa.Array) -> list[int]:
     """Rows whose text has a letter."""
     return [k for k, t in enumerate(texts.to_pylist()) if t and LETTER.search(t)]
@@ -237,9 +262,11 @@ def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     return predict(docs, fit(docs, held_out, id_col, text_col, lang_col), id_col, text_col)
 
 
-def keep_known(docs: DataFrame, held_out: Column, least: float = 0.4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs whose text has a language: not `und`, and with a mean position probability of least or more."""
-    model = fit(docs, held_out, id_col, text_col, lang_col)
+def keep_known(docs: DataFrame, held_out: Column, share: float = 0.2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs whose text has a language: not `und`, and with a mean position probability no lower than labelled documents have."""
+    rows = _sample(docs, held_out, id_col, text_col, lang_col, DOCS)
+    model = _model(rows, STEPS)
+    least = _least(model, rows, share) if model else 0.0
     packed = pickle.dumps(model)
     at = docs.columns.index(text_col)
 
