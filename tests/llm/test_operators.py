@@ -73,6 +73,29 @@ def test_packing_steps_keep_every_item():
     assert len(packing.evolve(lengths, [a], 2048, draw)[0]) <= len(a)
 
 
+def test_long_white_space_and_specials_give_the_vocabularys_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t, own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.Tokens(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
+    for text in ("a   b \n\n c", "   <|endoftext|>  \u3000  x", "\t\t\tq   ", "  ", "x\x1c\x1d y", "a\n\n\n'll  go", "", "   "):
+        want = t.encode(text, add_special_tokens=False).ids
+        assert own.of(text).tolist() == want and own.by_runs(text, 2).tolist() == want
+    assert len(own.of("a" + " " * 2_000_000 + "b")) > 2
+
+
+def test_the_search_beats_best_fit_where_that_is_not_the_best():
+    draw, gained = np.random.default_rng(0), []
+    for seed in range(4):
+        ends = draw.integers(300, 900, (100, 2))
+        lengths = np.column_stack([ends, 2048 - ends.sum(1)]).ravel().tolist()  # 100 sequences would do
+        plain = packing.best_fit(lengths, sorted(range(300), key=lambda i: -lengths[i]), [], 2048)
+        found = packing.evolve(lengths, [], 2048, np.random.default_rng(seed))
+        assert all(sorted(i for s in p for i in s) == list(range(300)) and all(sum(lengths[i] for i in s) <= 2048 for s in p) for p in found)
+        gained.append(len(plain) - len(found[0]))
+    assert min(gained) >= 0 and sum(gained) >= 2
+
+
 def brute_word(pieces, scores, stop, word):
     table, text = dict(zip(pieces, scores)), b" " + word
     p = [0.0] * (len(text) + 1)
