@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from reportmill.operators.shared import cut, numbered
+
 
 def basic(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Count, sum and average of value by group."""
@@ -15,9 +17,11 @@ def basic(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def share_rank(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Share of the grand total and dense rank; the window runs over one row a group."""
-    t = df.groupBy(*by).agg(F.sum(value).alias("total"))
-    return t.select(*by, F.round("total", 4).alias("total"), F.round(F.col("total") * 100 / F.sum("total").over(W.partitionBy()), 6).alias("share"), F.dense_rank().over(W.orderBy(F.desc("total"))).alias("place"))
+    """Share of the grand total and dense rank: the place of a group's total among the distinct totals."""
+    t = cut(df.groupBy(*by).agg(F.sum(value).alias("total")))
+    places = numbered(t.select("total").distinct(), "place", F.desc("total")).withColumnRenamed("total", "ranked")
+    ranked = t.crossJoin(F.broadcast(t.agg(F.sum("total").alias("every")))).join(places, F.col("total").eqNullSafe(F.col("ranked")))
+    return ranked.select(*by, F.round("total", 4).alias("total"), F.round(F.col("total") * 100 / F.col("every"), 6).alias("share"), "place")
 
 
 def by_month(df: DataFrame, date: str, value: str) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from reportmill.functions import rules
 from reportmill.operators.graph import connected_components
 from reportmill.operators.pairs import compatibility, jaccard
+from reportmill.operators.shared import numbered
 
 # Weights of the dimensions, for pairs given by path and for batches.
 WEIGHTS = {
@@ -155,4 +155,4 @@ def matrix(pairs: DataFrame, most: int = MATRIX) -> DataFrame:
 def ranked_priority(pairs: DataFrame) -> DataFrame:
     """Reports by mean similarity, then by partners."""
     label = rules.band(F.col("similarity"), [(70, "HIGH"), (50, "MEDIUM")], "LOW")
-    return partners(pairs).withColumn("priority", label).withColumn("place", F.row_number().over(W.orderBy(F.desc("similarity"), F.desc("partners"), "report_id")))
+    return numbered(partners(pairs).withColumn("priority", label), "place", F.desc("similarity"), F.desc("partners"), "report_id")

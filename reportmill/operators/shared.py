@@ -8,14 +8,19 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a temporary one only where none is set, as in tests."""
+    """The shared checkpoint folder of the session. Where none is set, a local session gets a temporary one; a cluster is told so."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -55,3 +60,17 @@ def _remove(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the session may be gone before
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def numbered(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
+    """df with the place of every row in that order, from 1, without a task that sees all rows.
+
+    Rows are dealt by ranges of the order and kept; each range is numbered by itself, after the rows of the ranges before
+    it. The window over ranges has a row a range. Rows that tie in all of the order share a range and may swap places.
+    """
+    kept = cut(df.repartitionByRange(*order).select("*", F.spark_partition_id().alias(f"{name}_range")))
+    ranges = kept.groupBy(f"{name}_range").agg(F.count(F.lit(1)).alias(f"{name}_rows"))
+    before = F.coalesce(F.sum(f"{name}_rows").over(W.orderBy(f"{name}_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(W.partitionBy(f"{name}_range").orderBy(*order))
+    rows = kept.select("*", inside.alias(f"{name}_inside")).join(F.broadcast(ranges.select(f"{name}_range", before.alias(f"{name}_before"))), f"{name}_range")
+    return rows.select(*df.columns, (F.col(f"{name}_before") + F.col(f"{name}_inside")).cast("int").alias(name))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reportmill.functions import rules
 from reportmill.operators import reports as R
+from reportmill.operators.shared import numbered
 from reportmill.plans import querypairs
 from reportmill.plans.querylog import FEATURES, featured
 from reportmill.plans.registry import query
@@ -241,9 +242,7 @@ def report_inventory(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT report_id, items, CAST(row_number() OVER (ORDER BY items DESC, report_id) AS INT) AS place FROM {_INVENTORY}")
 def reports_by_complexity(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    return report_inventory(spark, d).select("report_id", "items", F.row_number().over(W.orderBy(F.desc("items"), "report_id")).alias("place"))
+    return numbered(report_inventory(spark, d).select("report_id", "items"), "place", F.desc("items"), "report_id")
 
 
 @query(f"SELECT param_name FROM {P} WHERE report_id % 2 = 0 INTERSECT SELECT param_name FROM {P} WHERE report_id % 2 = 1")
