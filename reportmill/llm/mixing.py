@@ -3,7 +3,7 @@
 Every document of a source expects the same number of copies, the source's target over its size. Along a fixed order of the
 source's documents these expectations are prefix-summed, one offset drawn for the source is added, and a document is emitted
 once for each integer that its stretch of the sum crosses. The order goes by size, so that every run of neighbours has
-documents of like size and the words taken stay near the target.
+documents of like size: the words taken differ from the target by the size of the longest document at most.
 
 The prefix sum has two levels, so that a source with a third of all rows is many tasks: documents are numbered inside
 blocks of a source (a size class, split by a hash of the id), and a small table of block counts is summed per source.
@@ -11,11 +11,12 @@ blocks of a source (a size class, split by a hash of the id), and a small table
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from reportmill.llm.common import SPACE
+from reportmill.operators.shared import cut, numbered, store
 
 MOST = 3
 WEIGHTS = (1, 2, 3)
@@ -23,65 +24,79 @@ SPLITS = 64
 OFFSETS = 1 << 20
 
 
-def _measured(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """docs with _size (words), _source (never null) and the block: _class by size, _split by id."""
+def _row(id_col: str, text_col: str, source_col: str) -> Column:
+    """What mixing needs of a row, in one column: id, size (words), source (never null) and the block: class by size, split by id."""
     size = F.coalesce(F.regexp_count(text_col, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
-    sized = docs.withColumn("_size", size).withColumn("_bits", F.length(F.bin("_size")))
-    return sized.select(
-        *docs.columns, "_size",
-        F.coalesce(F.concat(F.lit("1"), F.col(source_col)), F.lit("2")).alias("_source"),
-        (F.col("_bits") * 8 + F.expr("shiftright(_size, greatest(_bits - 3, 0))")).cast("int").alias("_class"),
-        F.coalesce(F.pmod(F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 4), 16, 10).cast("int"), F.lit(SPLITS)), F.lit(0)).alias("_split"),
-    )
+    source = F.coalesce(F.concat(F.lit("1"), F.col(source_col)), F.lit("2"))
+    split = F.coalesce(F.pmod(F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 4), 16, 10).cast("int"), F.lit(SPLITS)), F.lit(0))
+    return F.struct(F.col(id_col).alias("id"), size.alias("size"), source.alias("source"), split.alias("split"))
+
+
+def _class(size: Column) -> Column:
+    """Four classes for each doubling of the size."""
+    bits = F.length(F.bin(size))
+    return (bits * 8 + F.call_function("shiftright", size.cast("long"), F.greatest(bits - 3, F.lit(0)).cast("int"))).cast("int")
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
-    """(_source, source_size) -> with target and rate.
+    """(source, source_size) -> with target and rate.
 
     Sources in order of their code points, null last, weigh 1, 2, 3, 1, ... and share all words; a source stops at three
-    times its size and the rest share the excess by weight. Sources are capped in order of their room a weight, so one
-    pass along that order finds them. The windows run over one row a source.
+    times its size and the rest share the excess by weight. The level of the rest rises as sources are capped, and each
+    pass caps all that it reaches, until none is above: two sums a pass, and as many passes as the level has steps.
     """
-    w = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), F.pmod(F.row_number().over(W.orderBy("_source")) - 1, F.lit(len(WEIGHTS))) + 1))
-    every = W.partitionBy()
-    before = W.orderBy(F.col("source_size") / F.col("weight"), "_source").rowsBetween(W.unboundedPreceding, -1)
-    w = w.select("*", F.sum("source_size").over(every).alias("all"), F.sum("weight").over(every).alias("weights"),
-                 F.coalesce(F.sum(F.col("source_size") * MOST).over(before), F.lit(0)).alias("given"), F.coalesce(F.sum("weight").over(before), F.lit(0)).alias("spent"))
-    w = w.withColumn("capped", F.col("source_size") * MOST * (F.col("weights") - F.col("spent")) <= F.col("weight") * (F.col("all") - F.col("given")))
-    w = w.select("*", F.sum(F.when(F.col("capped"), F.col("source_size") * MOST).otherwise(0)).over(every).alias("fixed"), F.sum(F.when(F.col("capped"), 0).otherwise(F.col("weight"))).over(every).alias("open"))
-    target = F.when(F.col("capped"), (F.col("source_size") * MOST).cast("double")).otherwise(F.col("weight") * (F.col("all") - F.col("fixed")) / F.col("open"))
-    w = w.withColumn("target", target.cast("double"))
-    return w.select("_source", "source_size", "target", F.coalesce(F.least(F.lit(float(MOST)), F.col("target") / F.nullif("source_size", F.lit(0))), F.lit(0.0)).alias("rate"))
-
-
-def with_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs with _size, source_size, target and _copies."""
-    rows = _measured(docs, id_col, text_col, source_col)
-    block = ["_source", "_class", "_split"]
-    counts = rows.groupBy(*block).agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("words"))
-    targets = source_targets(counts.groupBy("_source").agg(F.sum("words").alias("source_size")))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("_source").orderBy("_class", "_split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit("mix"), F.col("_source"))), 1, 5), 16, 10).cast("long") / OFFSETS
-    blocks = counts.select(*block, before.alias("before"), offset.alias("offset")).join(targets, "_source")
-    placed = rows.withColumn("_place", F.row_number().over(W.partitionBy(*block).orderBy("_size", id_col))).join(blocks, block)
-    upto = lambda k: F.floor((F.col("before") + F.col("_place") - k) * F.col("rate") + F.col("offset"))
-    return placed.select(*docs.columns, "_size", "source_size", "target", F.least(F.lit(MOST), upto(0) - upto(1)).cast("int").alias("_copies"))
+    w = numbered(sizes, "place", "source")
+    w = cut(w.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), F.pmod(F.col("place") - 1, F.lit(len(WEIGHTS))) + 1)))
+    every = w.agg(F.sum("source_size")).first()[0] or 0
+    fixed, open_, capped = 0, None, F.lit(False)
+    while True:
+        s = w.agg(F.sum(F.when(capped, F.col("source_size") * MOST).otherwise(0)), F.sum(F.when(capped, 0).otherwise(F.col("weight")))).first()
+        if (s[0] or 0, s[1] or 0) == (fixed, open_):
+            break
+        fixed, open_ = s[0] or 0, s[1] or 0
+        capped = F.col("source_size") * MOST * F.lit(open_).cast("decimal(38,0)") <= F.col("weight") * F.lit(every - fixed).cast("decimal(38,0)")
+    target = F.when(capped, (F.col("source_size") * MOST).cast("double")).otherwise(F.col("weight") * F.lit(float(every - fixed)) / F.lit(float(open_ or 1)))
+    rate = F.coalesce(F.least(F.lit(float(MOST)), F.col("target") / F.nullif("source_size", F.lit(0))), F.lit(0.0))
+    return w.withColumn("target", target.cast("double")).select("source", "source_size", "target", rate.alias("rate"))
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """One row a block of rows' `row`: as struct `block`, what its documents share, joined by (source, class, split)."""
+    counts = cut(rows.groupBy("row.source", _class(F.col("row.size")).alias("class"), "row.split").agg(F.count(F.lit(1)).alias("n"), F.sum("row.size").alias("words")))
+    targets = source_targets(counts.groupBy("source").agg(F.sum("words").alias("source_size")))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("class", "split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offset = F.conv(F.substring(F.md5(F.concat(F.lit("mix"), F.col("source"))), 1, 5), 16, 10).cast("long") / OFFSETS
+    blocks = counts.select("source", "class", "split", before.alias("before"), offset.alias("offset")).join(targets, "source")
+    return blocks.select(F.struct(*blocks.columns).alias("block"))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """rows (row, ...) with block and copies: how many integers the row's stretch of its source's prefix sum crosses."""
+    key = lambda r: (r["source"], _class(r["size"]), r["split"])
+    inside = F.row_number().over(W.partitionBy(*key(F.col("row"))).orderBy("row.size", "row.id"))
+    blocks = _blocks(rows)
+    source, size_class, split = key(F.col("row"))
+    placed = rows.withColumn("place", inside).join(blocks, (source == F.col("block.source")) & (size_class == F.col("block.class")) & (split == F.col("block.split")))
+    upto = lambda k: F.floor((F.col("block.before") + F.col("place") - k) * F.col("block.rate") + F.col("block.offset"))
+    return placed.withColumn("copies", F.least(F.lit(MOST), upto(0) - upto(1)).cast("int"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, size, source_size, target, taken): one row per row of docs; taken counts words, repeats included.
 
-    A null text has no words; a null source is a source of its own, the last. Rows that agree in id and size may swap their
-    copies. Other columns are left out. An empty table gives no rows. The same rows give the same mix.
+    The words that a source takes are no further from its target than the size of its longest document. A null text has no
+    words; a null source is a source of its own, the last. Rows that agree in id and size may swap their copies. Other
+    columns are left out. An empty table gives no rows. The same rows give the same mix.
     """
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
-    return with_copies(picked).select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("_copies")).cast("long").alias("taken"))
+    rows = _placed(cut(docs.select(_row(id_col, text_col, source_col).alias("row"))))
+    return rows.select(F.col("row.id").alias("doc_id"), "row.size", "block.source_size", "block.target", (F.col("row.size") * F.col("copies")).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: rows of docs, each as many times as it is taken."""
-    rows = with_copies(docs, id_col, text_col, source_col).where("_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    """The mix itself: rows of docs with all their columns, whatever their names, each as many times as it is taken."""
+    kept = store(docs.select(_row(id_col, text_col, source_col).alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")))
+    rows = _placed(kept).where("copies > 0")
+    return rows.select("doc", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select("doc.*")
 
 
 ORACLE_SQL = r"""

@@ -152,7 +152,7 @@ def test_quality(spark, docs, odd):
             m = brute_measures(t)
             want[(i, *m, m[0] < 50 or 100 * m[4] > 50 * m[0])] += 1
         assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rows) == want
-        assert all(r.kept != r.base_failed or not r.kept for r in rows)
+        assert all(not (r.kept and r.base_failed) for r in rows)
     assert quality.judge(odd.limit(0), labels.limit(0)).count() == 0
 
 
@@ -163,12 +163,43 @@ def test_binomial_tail_is_exact(spark, n, k, p):
     assert got == pytest.approx(math.fsum(map(term, range(k + 1))), rel=1e-7)
 
 
-def test_cutoffs_are_certified(spark):
-    good, bad = [(i, "en", [i % 2, 0, 0, 0]) for i in range(3000)], [(i, "en", [40, 0, 0, 0]) for i in range(3000, 3300)]
-    cells = spark.createDataFrame(good + bad + [(9000 + i, "fr", [40, 0, 0, 0]) for i in range(20)], "doc_id long, stratum string, cells array<int>")
-    labels = spark.createDataFrame([(i, 1) for i in range(3000)] + [(i, 0) for i in range(3000, 3300)] + [(9000 + i, i % 2) for i in range(20)], "doc_id long, quality int")
-    got = {r.stratum: r for r in quality.cutoffs(cells, labels).collect()}
-    assert got["en"].cut_symbols == 40 and got["en"].cut_lines == quality.GRID and got["fr"].cut_symbols == quality.GRID
+def brute_kept(rows, labels):
+    """rows (id, stratum, measures): whether each is kept, by the method spelt out."""
+    cells = [[min(63, math.floor(math.sqrt(v) * 64)) for v in (m[2] / max(1, m[1]), m[3] * 8 / max(1, m[0]), m[4] / max(1, m[0]), m[1] / max(1, m[0]) / 40)] for _, _, m in rows]
+    good = {}
+    for i, q in labels:
+        if i is not None and q is not None:
+            good[i] = min(q, good.get(i, 1))
+    named, strata, weights = {i for i, _ in labels}, {s for _, s, _ in rows}, list(quality.MEASURES.values())
+    others = {s: [c for (i, t, _), c in zip(rows, cells) if t == s and (i is None or i not in named)] for s in strata}
+    tail = lambda s, m, x: sum(c[m] >= x for c in others[s]) / len(others[s])
+    level = lambda j: (j / 64) ** 2 * 0.5
+    labelled = {s: [(good[i], min(tail(s, m, c[m]) / weights[m] for m in range(4))) for (i, t, _), c in zip(rows, cells) if t == s and i in good] for s in strata if others[s]}
+    tests, cuts = sum(bool(v) for v in labelled.values()), {}
+    for s, held in labelled.items():
+        n, best = sum(g == 1 for g, _ in held), None
+        for j in range(1, 65):
+            k, bad = (sum((g == 1) == want and r <= level(j) for g, r in held) for want in (True, False))
+            if n == 0 or k > n * 0.02 or sum(math.comb(n, i) * 0.02**i * 0.98 ** (n - i) for i in range(k + 1)) > 0.05 / tests:
+                break
+            if bad > k and (best is None or bad - k > best[0]):
+                best = bad - k, j
+        if best:
+            cuts[s] = [min((x for x in range(64) if tail(s, m, x) / weights[m] <= level(best[1])), default=64) for m in range(4)]
+    return [not (m[0] < 50 or 100 * m[4] > 50 * m[0]) and all(x < y for x, y in zip(c, cuts.get(s, [64] * 4))) for (_, s, m), c in zip(rows, cells)], cuts
+
+
+def test_kept_agrees_with_brute_force_where_cutoffs_are_certified(spark, docs, odd):
+    texts = [tuple(r) for r in docs.select("doc_id", "lang", "text").collect()]
+    draw = np.random.default_rng(3)
+    rows = [(i, ("en", "fr", None)[i % 3 if i % 10 else 2], " ".join(draw.choice([f"w{j}" for j in range(300)], 70)) + (" #$" * int(draw.integers(1, 30)) if i % 7 == 0 else "")) for i in range(1500)]
+    rows += [(None, "en", "#" * 400), (2, "en", "a b " * 40), (5000, "xx", "c " * 60)] + texts[:50]
+    labels = [(i, int(i % 7 != 0)) for i in range(0, 1500, 2)] + [(14, 1), (2, None), (None, 0), (5000, 0), (8, 1), (8, 0)]
+    want, cuts = brute_kept([(i, s, brute_measures(t)) for i, s, t in rows], labels)
+    assert cuts and None in cuts
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, lang string, text string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_symbols, r.kept) for r in got) == Counter((i, m[0], m[2], k) for (i, _, t), k in zip(rows, want) for m in [brute_measures(t)])
+    assert any(not r.kept and not r.base_failed for r in got)
 
 
 def brute_links(rows):
@@ -253,9 +284,30 @@ def test_mixing(spark, docs, odd):
         want = {s: share.get(s, 3 * sizes[s]) for s in sizes}
         assert sorted({round(r.target, 4) for r in rows}) == sorted({round(x, 4) for x in want.values()})
         assert all(r.taken <= 3 * r["size"] for r in rows)
+        source = {(r.doc_id, r.n): r.source for r in df.select("doc_id", "source", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("n")).collect()}
+        took, longest = Counter(), Counter()
+        for r in rows:
+            s = source[r.doc_id, r["size"]] if (r.doc_id, r["size"]) in source else source[r.doc_id, None]
+            took[s] += r.taken
+            longest[s] = max(longest[s], r["size"])
+        assert all(abs(took[s] - want[s]) <= longest[s] for s in sizes)
     taken = sum(r.taken for r in mixing.mix(docs).collect())
     assert abs(taken / sum(len(words(t)) for (t,) in docs.select("text").collect()) - 1) < 0.1
     assert mixing.mixed(odd).columns == odd.columns and mixing.mix(odd.limit(0)).count() == 0
+    inner = ["target", "rate", "offset", "before", "source_size", "copies", "copy", "row", "doc", "block", "place", "class", "split", "id", "n", "a.b"]
+    clash = odd.select("*", *(F.lit(i).alias(c) for i, c in enumerate(inner)))
+    took = Counter((r.doc_id, r["size"]) for r in mixing.mix(clash).collect() for _ in range(r.taken // max(1, r["size"])))
+    got = mixing.mixed(clash)
+    assert got.columns == clash.columns and all(tuple(r[-len(inner) :]) == tuple(range(len(inner))) for r in got.collect())
+    assert Counter((r.doc_id, len(words(r.text))) for r in got.collect() if words(r.text)) == took
+
+
+def test_equal_sizes_are_taken_in_their_share(spark):
+    rows = spark.createDataFrame([(i, "a b c", "x" if i < 300 else "y" if i < 310 else "z") for i in range(400)], "doc_id long, text string, source string")
+    by = {}
+    for r in mixing.mix(rows).collect():
+        by.setdefault((r.source_size, r.target), []).append(r.taken)
+    assert all(abs(sum(v) - target) <= 3 and len(set(v)) <= 2 for (_, target), v in by.items()) and (30, 90.0) in by
 
 
 def test_language(spark, docs, odd):
@@ -300,13 +352,30 @@ def test_sharding(spark, docs, odd):
     assert sharding.shard(odd.limit(0)).count() == 0
 
 
-def test_a_grown_map_moves_slots_only_into_the_new_shard(spark, docs, tmp_path):
-    first = sharding.first_map(sharding.slot_loads(sharding.slotted(docs, slots=256)), 4)
-    second = sharding.grown_map(first, 4)
-    a, b = ({r.virtual_slot: r for r in m.collect()} for m in (first, second))
-    assert set(a) == set(b) and {b[s].version for s in b} == {2} and all(b[s].shard in (a[s].shard, 4) for s in a)
-    moved = sum(b[s].bytes for s in b if b[s].shard == 4)
-    assert 0.5 < moved / (sum(x.bytes for x in b.values()) / 5) <= 1
-    for m in (first, second):
-        sharding.keep_map(m, str(tmp_path / "maps"))
-    assert {r.version for r in spark.read.parquet(str(tmp_path / "maps")).select("version").distinct().collect()} == {1, 2}
+def test_shards_are_near_equal_with_repeated_rows_and_one_large_text(spark, docs):
+    repeated = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same row").alias("text"))
+    rows = sharding.shard(docs.select("doc_id", "text").union(repeated)).collect()
+    by = Counter()
+    for r in rows:
+        by[r.shard] += r["size"]
+    mean = sum(by.values()) / 24
+    assert len(rows) == docs.count() + 3000 and len(by) == 24 and max(by.values()) - min(by.values()) < 0.01 * mean
+    assert {r.map_version for r in rows} == {2} and len({r.virtual_slot for r in rows if r.doc_id == 7}) > 1500
+
+
+def test_maps_are_stored_and_edited(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "SLACK", 0.02)
+    path = str(tmp_path / "maps")
+    sharding.shard(docs, shards=4, slots=256, maps=path).count()
+    loads = sharding.slot_loads(sharding.slotted(docs, slots=256)).cache()
+    size = {r.virtual_slot: r.bytes for r in loads.collect()}
+    one, two = ({r.virtual_slot: r.shard for r in sharding.stored_map(spark, path, v).collect()} for v in (1, 2))
+    assert one == {s: s % 4 for s in range(256)} and two == {r.virtual_slot: r.shard for r in sharding.stored_map(spark, path).collect()}
+    moved = [s for s in one if one[s] != two[s]]
+    assert 0 < len(moved) < 128 and all(size[s] > 0 for s in moved)
+    assert {r.map_version for r in sharding.shard(docs, shards=4, slots=256, maps=path).collect()} == {2}  # in balance: nothing to edit
+    three = {r.virtual_slot: r.shard for r in sharding.rebalance(spark, path, loads, 5, into=4).collect()}
+    assert all(three[s] in (two[s], 4) for s in two) and {r.version for r in sharding.stored_map(spark, path).collect()} == {3}
+    assert 0.5 < sum(size.get(s, 0) for s in three if three[s] == 4) / (sum(size.values()) / 5) <= 1
+    sharding.keep_map(sharding.cut(sharding.stored_map(spark, path)), path, 3)
+    assert sharding.stored_map(spark, path, 3).count() == 256

@@ -98,7 +98,6 @@ def test_simhash_lists_join_everything_within_two_bits(spark):
     r = np.random.default_rng(3)
     centre = int(r.integers(0, 2**63))
     fps = sorted({centre ^ (1 << int(a)) ^ (1 << int(b)) ^ (1 << int(c)) for a, b, c in r.integers(0, 63, (400, 3))})
-    got = simhash.connected_components(simhash.fingerprint_links(spark.createDataFrame([(f,) for f in fps], "fp long"))).collect()
     label = {f: f for f in fps}
     near = [(a, b) for a in fps for b in fps if (a ^ b).bit_count() <= 2]
     changed = True
@@ -107,4 +106,16 @@ def test_simhash_lists_join_everything_within_two_bits(spark):
         for a, b in near:
             if label[b] < label[a]:
                 label[a], changed = label[b], True
-    assert {x.node: x.component for x in got} == {k: v for k, v in label.items() if list(label.values()).count(v) > 1}
+    want = {k: v for k, v in label.items() if list(label.values()).count(v) > 1}
+    for long in (simhash.LONG, 5):  # tallied lists only, and lists that are replaced
+        got = simhash.connected_components(simhash.fingerprint_links(spark.createDataFrame([(f,) for f in fps], "fp long"), long=long)).collect()
+        assert {x.node: x.component for x in got} == want
+
+
+def test_tallies_count_shared_positional_bytes():
+    import numpy as np
+
+    fps = np.random.default_rng(4).integers(-(2**63), 2**63 - 1, 40)
+    fps[1::2] = fps[::2] ^ (1 << 17) ^ (1 << 40)
+    want = [[sum(x == y for x, y in zip(int(a).to_bytes(8, "little", signed=True), int(b).to_bytes(8, "little", signed=True))) for b in fps] for a in fps]
+    assert simhash.tallies(fps, fps).tolist() == want and want[0][1] == simhash.MATCHES
