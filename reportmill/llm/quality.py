@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from reportmill.llm.common import SPACE
+from reportmill.llm.common import SPACE, log_factorial
 from reportmill.operators.shared import cut
 
 ALPHA = 0.02
@@ -63,19 +63,12 @@ def _cells(m: DataFrame) -> DataFrame:
     return m.withColumn("cells", F.array(*(F.least(F.lit(GRID - 1), F.floor(F.sqrt(v) * GRID)).cast("int") for v in values)))
 
 
-def _log_factorial(x: Column) -> Column:
-    """ln(x!) by Stirling's series at x + 9, brought back by eight exact factors; absolute error below 1e-11."""
-    z = x + 9.0
-    series = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
-    return series - sum((F.log(x + float(k)) for k in range(2, 9)), F.log(x + 1.0))
-
-
 def binomial_tail(n: Column, k: Column, p: float) -> Column:
     """P(X <= k) for X of n trials, exact where it is below one half; 1 where k is above n p.
 
     Terms are summed from k downwards relative to the first; below 40 standard deviations they no longer count.
     """
-    first = _log_factorial(n.cast("double")) - _log_factorial(k.cast("double")) - _log_factorial((n - k).cast("double")) + k * math.log(p) + (n - k) * math.log1p(-p)
+    first = log_factorial(n.cast("double")) - log_factorial(k.cast("double")) - log_factorial((n - k).cast("double")) + k * math.log(p) + (n - k) * math.log1p(-p)
     steps = F.least(k, F.ceil(40 * F.sqrt(n * p)) + 100).cast("long")
     step = lambda a, j: F.struct((a["t"] * (k - j + 1) / (n - k + j) * ((1 - p) / p)).alias("t"), (a["s"] + a["t"] * (k - j + 1) / (n - k + j) * ((1 - p) / p)).alias("s"))
     total = F.aggregate(F.when(steps > 0, F.sequence(F.lit(1).cast("long"), steps)).otherwise(F.array().cast("array<bigint>")), F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")), step, lambda a: a["s"])

@@ -1,5 +1,6 @@
 """Packing, scoring, quality, vectors, extraction, mixing, language and sharding against brute force, with odd rows."""
 
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -111,8 +112,27 @@ def test_lattice_sums_all_segmentations():
     starts = [p[:1] == b" " for p in pieces]
     assert np.exp(n[starts]).sum() == pytest.approx(1) and np.exp(n[[not s for s in starts]]).sum() + math.exp(stop) == pytest.approx(1)
     some = [b"a", b"abc", b"abcb", b"ba"]
-    got = lattice.Lattice(pieces, n, stop).log_probabilities(some)
+    got = lattice.Lattice(pieces, n, stop).log_probabilities(some)[0]
     assert got == pytest.approx([brute_word(pieces, n, stop, w) for w in some])
+    every = [bytes(w) for k in range(1, 7) for w in itertools.product(b"abc", repeat=k)]
+    assert 0.5 < np.exp(lattice.Lattice(pieces, n, stop).log_probabilities(every)).sum() < 1
+
+
+def test_long_words_are_summed_over_all_segmentations(monkeypatch):
+    draw = np.random.default_rng(6)
+    pieces = sorted({b" ", *(bytes(draw.choice(list(b"abcd"), k)) for k in (1, 2, 3, 5, 9) for _ in range(12)), *(b" " + bytes(draw.choice(list(b"abcd"), k)) for k in (1, 2, 4) for _ in range(6)), b"a", b"b", b"c", b"d"})
+    models = [lattice.normalised(pieces, draw.random(len(pieces)) + 0.1, 0.3) for _ in range(2)]
+    both = lattice.Lattice(pieces, np.stack([m[0] for m in models]), np.array([m[1] for m in models]))
+    some = [bytes(draw.choice(list(b"abcd"), n)) for n in (1, 7, 30, 64, 65, 200)]
+    want = [[brute_word(pieces, *m, w) for w in some] for m in models]
+    short, long = np.zeros(len(pieces)), np.zeros(len(pieces))
+    assert np.allclose(both.log_probabilities(some, short), want)
+    monkeypatch.setattr(lattice, "LONG", 1)
+    monkeypatch.setattr(lattice, "STRETCH", 16)
+    assert np.allclose(both.log_probabilities(some, long), want) and np.allclose(short, long)
+    monkeypatch.setattr(lattice, "STRETCH", 1 << 16)
+    alone = lattice.Lattice(pieces, *models[0]).log_probabilities([bytes(draw.choice(list(b"abcd"), 100_000))])
+    assert -1e6 < alone[0, 0] < -1e4
 
 
 def test_scores(spark, docs, odd):
@@ -128,9 +148,63 @@ def test_scores(spark, docs, odd):
         want = sorted(((i, held(i), len(w), sum(train[x] > 0 for x in w), n, round(sum(math.log10((train[x] + 1) / (n + v + 1)) for x in w), 5)) for i, t in texts for w in [[*words((t or "").encode().lower().decode()), b""]]), key=repr)
         assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got), key=repr) == want
         assert all(r.score < 0 for r in got)
+        if df is docs:
+            total = lambda h: [sum(x) for x in zip(*((r.score, r.base_score) for r in got if r.held_out == h))]
+            assert total(False)[0] > total(False)[1]
     assert lattice.score(odd.limit(0), held_out("doc_id", 7)).count() == 0
 
 
+def test_scores_agree_with_brute_force(spark, monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(lattice, "CLASSES", 3)
+    draw = np.random.default_rng(8)
+    vocabulary = ["the", "an", "héllo", "wörld", "x" * 700, "of", "Zz"] + ["".join(draw.choice(list("abcde"), 6)) for _ in range(60)]
+    rows = [(i, " ".join(draw.choice(vocabulary, int(draw.integers(0, 25)))), ["u", "v", "w", None][int(draw.integers(0, 4))]) for i in range(80)] + [(500, None, "u"), (501, "the the THE an an", "v"), (None, "of", None), (3, "of of", "u"), (3, "of of", "u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    held = held_out("doc_id", 7)
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    of, sizes = lattice.classes(df, held, "lang", 3)
+    by_size = Counter(c for i, _, c in rows if not out(i) and c is not None).most_common()
+    top = [c for c, _ in sorted(by_size, key=lambda x: (-x[1], x[0]))[:2]]
+    number = lambda c: top.index(c) if c in top else 2
+    assert sizes == [sum(number(c) == k for i, _, c in rows if not out(i)) for k in range(3)]
+    counted = lattice.word_counts(df.select("text", held.alias("held_out"), of.alias("class")), 3)
+    pieces, first = lattice.public_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    models = lattice.fit(counted, pieces, first, 3)
+    tables = [dict(zip(pieces, np.exp(m[0]))) for m in models]
+    train = [Counter(w for i, t, c in rows if not out(i) and number(c) == k for w in words((t or "").lower())) for k in range(3)]
+
+    def by_pieces(k, w):
+        text, reach = b" " + w, 40
+        p = [1.0] + [0.0] * len(text)  # scaled at every step
+        scale = 0.0
+        for j in range(1, len(text) + 1):
+            p[j] = sum(p[i] * tables[k].get(text[i:j], 0) for i in range(max(0, j - reach), j))
+            if p[j] < 1e-100:
+                p, scale = [x * 1e100 for x in p], scale - math.log(1e100)
+        return math.log(p[-1]) + scale + models[k][1]
+
+    def brute(text):
+        w, each = words((text or "").lower()), []
+        for k in range(3):
+            n, once = sum(train[k].values()), sum(c == 1 for c in train[k].values())
+            b, e = min(0.9999, max(0.01, 1 - (once + 1) / (n + 1))), (sizes[k] + 1) / (n + sizes[k] + 2)
+            x, before = math.log((sizes[k] + 1) / (sum(sizes) + 3)) + math.log(e), Counter()
+            for i, v in enumerate(w):
+                p = np.logaddexp(math.log(b * train[k][v] / n) if train[k][v] else -math.inf, math.log(1 - b) + by_pieces(k, v))
+                x += math.log1p(-e) + np.logaddexp(math.log(before[v]) if before[v] else -math.inf, math.log(lattice.MEMORY) + p) - math.log(i + lattice.MEMORY)
+                before[v] += 1
+            each.append(x)
+        return (max(each) + math.log(sum(math.exp(x - max(each)) for x in each))) / math.log(10)
+
+    monkeypatch.setattr(lattice, "HOT", 30)
+    got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in lattice.score(df, held).collect())
+    want = sorted((str(i), len(words(t)) + 1, brute(t)) for i, t, _ in rows)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=1e-4)
+
+
 def brute_measures(text):
     w, lines, seen = words(text), (text or "").split("\n"), set()
     dup = 0
