@@ -1,13 +1,12 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads a stretch of bytes forwards and backwards and labels every position; it is trained here in numpy, by
-backpropagation through time. A stretch is one word of the text (a very long word is several stretches of SPAN bytes), with
-the state at zero at both ends. So the labels of a word are the same wherever it stands, a task computes them once for each
-word it meets and remembers them within a bounded memory, and every position of every whole text still counts: a document's
-probabilities are the means of its positions' probabilities.
-
-Training takes a bounded sample: about DOCS documents for each language, WORDS words spread over each. All languages are
-learned; where there are more than SHARING, they share what that many have, down to FEWEST documents of FEW_WORDS words.
+The network reads windows of a text's bytes forwards and backwards and labels every position; it is trained here in numpy, by
+backpropagation through time. Windows follow each other without a gap through the whole text, across words and lines; they
+start where a character starts, WINDOW bytes or up to three more after the one before. Every position of every whole text
+counts: a document's probabilities are the means of its positions' probabilities.
+
+Training takes a bounded sample: about DOCS documents for each language, PARTS windows spread over each. All languages are
+learned; where there are more than SHARING, they share what that many have, down to FEWEST documents of FEW_PARTS windows.
 """
 
 from __future__ import annotations
@@ -24,17 +23,18 @@ from pyspark.sql import functions as F
 from reportmill.llm.common import raw
 
 HIDDEN = 16
-SPAN = 32
+WINDOW = 96
 DOCS = 250
-WORDS = 80
-#: So many languages have the whole of DOCS and WORDS, a place in every batch, and CACHE words remembered.
+PARTS = 16
+#: So many languages have the whole of DOCS and PARTS, and a place in every batch.
 SHARING = 64
 FEWEST = 25
-FEW_WORDS = 8
-STEPS = 360
-BATCH = 384
+FEW_PARTS = 3
+STEPS = 240
+BATCH = 96
 RATE = 0.01
-CACHE = 300_000
+#: Windows that are run together.
+TOGETHER = 1024
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
@@ -51,8 +51,10 @@ def _start(classes: int, hidden: int, draw: np.random.Generator) -> Weights:
     return {k: v.astype(np.float32) for k, v in w.items()}
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def _squash(x: np.ndarray) -> np.ndarray:
+    """x / (1 + |x|), in place: between -1 and 1 like tanh, at a sixth of the time. A gate is half of it and a half."""
+    x /= np.abs(x) + 1
+    return x
 
 
 def _direction(w: Weights, d: str, x: np.ndarray, mask: np.ndarray, kept: list | None = None) -> np.ndarray:
@@ -62,9 +64,9 @@ def _direction(w: Weights, d: str, x: np.ndarray, mask: np.ndarray, kept: list |
     h, out = np.zeros((n, hidden), np.float32), np.zeros((n, length, hidden), np.float32)
     for t in range(length) if d == "f" else range(length - 1, -1, -1):
         a, b = w[f"x{d}"][x[:, t]] + w[f"c{d}"], h @ w[f"h{d}"]
-        gates = _sigmoid(a[:, : 2 * hidden] + b[:, : 2 * hidden])
+        gates = 0.5 * _squash(a[:, : 2 * hidden] + b[:, : 2 * hidden]) + 0.5
         r, z = gates[:, :hidden], gates[:, hidden:]
-        new = np.tanh(a[:, 2 * hidden :] + r * b[:, 2 * hidden :])
+        new = _squash(a[:, 2 * hidden :] + r * b[:, 2 * hidden :])
         m = mask[:, t : t + 1]
         after = h + m * (1 - z) * (new - h)
         if kept is not None:
@@ -78,11 +80,6 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def positions(w: Weights, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Probabilities (rows, time, classes) of every position."""
-    return _softmax(np.concatenate([_direction(w, d, x, mask) for d in "fb"], -1) @ w["out"] + w["bias"])
-
-
 def gradients(w: Weights, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, Weights]:
     """Mean cross-entropy over the positions, and its gradients, through time."""
     kept: dict[str, list] = {"f": [], "b": []}
@@ -102,9 +99,10 @@ def gradients(w: Weights, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tup
         for t, h, r, z, new, bn in reversed(kept[d]):
             dh = dh + part[:, t]
             m = mask[:, t : t + 1]
-            dnew = dh * m * (1 - z) * (1 - new**2)
-            dzg = dh * m * (h - new) * z * (1 - z)
-            drg = dnew * bn * r * (1 - r)
+            slope = lambda gate: 0.5 * (1 - np.abs(2 * gate - 1)) ** 2
+            dnew = dh * m * (1 - z) * (1 - np.abs(new)) ** 2
+            dzg = dh * m * (h - new) * slope(z)
+            drg = dnew * bn * slope(r)
             da = np.concatenate([drg, dzg, dnew], 1)
             db = np.concatenate([drg, dzg, dnew * r], 1)
             np.add.at(g[f"x{d}"], x[:, t], da)
@@ -114,13 +112,28 @@ def gradients(w: Weights, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tup
     return loss, g
 
 
-def _padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    length = max(map(len, words))
-    x = np.frombuffer(b"".join(v.ljust(length, b"\0") for v in words), np.uint8).reshape(len(words), length).astype(np.int64)
-    return x, (np.arange(length) < np.array([len(v) for v in words])[:, None]).astype(np.float32)
+def _cuts(text: np.ndarray) -> np.ndarray:
+    """Where the windows of a text's bytes start, and its end."""
+    at = np.arange(0, len(text), WINDOW)
+    inside = np.append((text & 0xC0) == 0x80, False)
+    for _ in range(3):  # a character has three bytes at most after its first
+        at = at + inside[np.minimum(at, len(text))]
+    return np.append(at[at < len(text)], len(text))
+
+
+def windows(text: bytes) -> list[bytes]:
+    """The text's bytes in windows."""
+    cuts = _cuts(np.frombuffer(text, np.uint8))
+    return [text[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def _padded(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    length = max(map(len, parts))
+    x = np.frombuffer(b"".join(v.ljust(length, b"\0") for v in parts), np.uint8).reshape(len(parts), length).astype(np.int64)
+    return x, (np.arange(length) < np.array([len(v) for v in parts])[:, None]).astype(np.float32)
 
 
-def train(words: list[bytes], labels: np.ndarray, classes: int, hidden: int = HIDDEN, steps: int = STEPS, seed: int = 0) -> Weights:
+def train(parts: list[bytes], labels: np.ndarray, classes: int, hidden: int = HIDDEN, steps: int = STEPS, seed: int = 0) -> Weights:
     """Adam over batches that hold the classes in equal parts, or SHARING of more classes; then steps grow with the classes."""
     draw = np.random.default_rng(seed)
     w = _start(classes, hidden, draw)
@@ -130,7 +143,7 @@ def train(words: list[bytes], labels: np.ndarray, classes: int, hidden: int = HI
     for step in range(1, steps + 1):
         some = members if classes <= SHARING else [members[c] for c in draw.choice(classes, SHARING, replace=False)]
         pick = np.concatenate([draw.choice(m, max(1, BATCH // len(some))) for m in some])
-        x, mask = _padded([words[i][:SPAN] for i in pick])
+        x, mask = _padded([parts[i] for i in pick])
         _, g = gradients(w, x, mask, labels[pick])
         scale = min(1.0, 5 / (np.sqrt(sum(float((v**2).sum()) for v in g.values())) + 1e-9))
         rate = RATE * min(1, 2 * (1 - step / (steps + 1)))
@@ -141,44 +154,75 @@ def train(words: list[bytes], labels: np.ndarray, classes: int, hidden: int = HI
     return w
 
 
-class Words:
-    """word -> sums of its positions' probabilities, and their number, as a row of an array."""
+class Reader:
+    """The trained network: mean probabilities of whole texts."""
 
     def __init__(self, w: Weights) -> None:
-        classes = len(w["bias"])
-        self.most, self.part = (max(16, n * SHARING // max(classes, SHARING)) for n in (CACHE, 1024))
-        self.w, self.row, self.sums = w, {}, np.zeros((self.most, classes + 1))
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [v for v in words if v not in self.row]
-        if len(self.row) + len(new) > self.most:
-            self.row.clear()
-            new = list(words)
-        first = len(self.row)
-        self.row.update(zip(new, range(first, first + len(new))))
-        self.sums[first : first + len(new)] = 0
-        spans = [(v[i : i + SPAN], k) for k, v in enumerate(new, first) for i in range(0, len(v), SPAN)]
-        spans.sort(key=lambda s: len(s[0]))
-        for i in range(0, len(spans), self.part):
-            part = [s for s, _ in spans[i : i + self.part]]
-            x, mask = _padded(part)
-            sums = (positions(self.w, x, mask) * mask[..., None]).sum(1)
-            np.add.at(self.sums, [k for _, k in spans[i : i + self.part]], np.column_stack([sums, mask.sum(1)]))
-
-    def pooled(self, texts: list[list[bytes]]) -> np.ndarray:
-        """For each text, not empty, its mean probabilities over all positions. New words of many texts are learnt together."""
-        out, i, half = np.zeros((len(texts), self.sums.shape[1])), 0, self.most // 2
-        parts = [(k, t[at : at + half]) for k, t in enumerate(texts) for at in range(0, len(t), half)]
-        while i < len(parts):
-            t, words = i, set()
-            while t < len(parts) and (t == i or len(words) + len(parts[t][1]) <= half):
-                words.update(parts[t][1])
-                t += 1
-            self.learn(words)
-            for k, part in parts[i:t]:
-                out[k] += self.sums[np.fromiter(map(self.row.__getitem__, part), np.int64, len(part))].sum(0)
-            i = t
-        return out[:, :-1] / out[:, -1:]
+        n = w["hf"].shape[0]
+        self.sides = [[np.ascontiguousarray(v, np.float32) for m in (w[f"x{d}"] + w[f"c{d}"], w[f"h{d}"]) for v in (m[:, : 2 * n], m[:, 2 * n :])] for d in "fb"]
+        self.hidden, self.out, self.bias = n, w["out"].astype(np.float32), w["bias"].astype(np.float32)
+
+    def _states(self, side: int, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """States (time, rows, hidden) of one direction; x is (time, rows), and rows are sorted by length, the longest first."""
+        n, (xg, xn, hg, hn) = self.hidden, self.sides[side]
+        out, h = np.zeros((*x.shape, n), np.float32), np.zeros((x.shape[1], n), np.float32)
+        live = np.searchsorted(-lengths, -np.arange(len(x)), "left")  # rows longer than t
+        for t in range(len(x)) if not side else range(len(x) - 1, -1, -1):
+            k = live[t]
+            g = h[:k] @ hg
+            g += xg.take(x[t, :k], 0, mode="clip")
+            _squash(g)
+            g += 1
+            g *= 0.5
+            new = h[:k] @ hn
+            new *= g[:, :n]
+            new += xn.take(x[t, :k], 0, mode="clip")
+            _squash(new)
+            step = h[:k] - new
+            step *= g[:, n:]
+            step += new
+            h[:k] = out[t, :k] = step
+        return out
+
+    def sums(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """For each row the sums of its positions' probabilities."""
+        n, w = self.hidden, self.out
+        p = self._states(0, x, lengths) @ w[:n] + self._states(1, x, lengths) @ w[n:] + self.bias
+        p -= p.max(-1, keepdims=True)
+        np.exp(p, out=p)
+        p /= p.sum(-1, keepdims=True)
+        p *= (np.arange(len(x))[:, None] < lengths)[..., None]
+        return p.sum(0)
+
+    def pooled(self, texts: list[bytes]) -> np.ndarray:
+        """For each text, not empty, its mean probabilities over all positions. Windows of many texts are run together."""
+        out, held, size = np.zeros((len(texts), len(self.bias))), [], 0
+
+        def run() -> None:
+            data = np.concatenate([d for _, d, _ in held] + [np.zeros(WINDOW + 4, np.uint8)])
+            first = np.cumsum([0] + [len(d) for _, d, _ in held])
+            start = np.concatenate([f + c[:-1] for f, (_, _, c) in zip(first, held)])
+            length = np.concatenate([np.diff(c) for _, _, c in held])
+            of = np.repeat([k for k, _, _ in held], [len(c) - 1 for _, _, c in held])
+            order = np.argsort(-length, kind="stable")
+            for i in range(0, len(order), TOGETHER):
+                rows = order[i : i + TOGETHER]
+                at = np.arange(length[rows[0]])[:, None] + start[rows]
+                np.add.at(out, of[rows], self.sums(data[at].astype(np.intp), length[rows]))
+
+        for k, t in enumerate(texts):
+            data = np.frombuffer(t, np.uint8)
+            cuts = _cuts(data)
+            for i in range(0, len(cuts) - 1, 8 * TOGETHER):  # a very long text is run in turns
+                part = cuts[i : i + 8 * TOGETHER + 1]
+                held.append((k, data[part[0] : part[-1]], part - part[0]))
+                size += len(part)
+                if size > 8 * TOGETHER:
+                    run()
+                    held, size = [], 0
+        if held:
+            run()
+        return out / np.array([len(t) for t in texts])[:, None]
 
 
 def _spread(w: list[bytes], most: int) -> list[bytes]:
@@ -186,26 +230,26 @@ def _spread(w: list[bytes], most: int) -> list[bytes]:
 
 
 def _sample(docs: DataFrame, held_out: Column, id_col: str, text_col: str, lang_col: str, docs_each: int) -> list[Row]:
-    """(lang, words): documents of every language that are not held out.
+    """(lang, parts): documents of every language that are not held out.
 
     A document is taken by a hash of its id, at a rate that gives about docs_each documents a language, or an even share of
-    SHARING * DOCS where that is less, but FEWEST at least; each hands at most WORDS words, or its share, to the driver.
+    SHARING * DOCS where that is less, but FEWEST at least; each hands at most PARTS windows, or its share, to the driver.
     """
     known = docs.where(~held_out & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     counts = known.groupBy(F.col(lang_col).alias("lang")).count().collect()
     if not counts:
         return []
     each = min(docs_each, max(FEWEST, SHARING * DOCS // len(counts)))
-    most = min(WORDS, max(FEW_WORDS, SHARING * DOCS * WORDS // (len(counts) * each)))
+    most = min(PARTS, max(FEW_PARTS, SHARING * DOCS * PARTS // (len(counts) * each)))
     rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in counts], "_lang string, _rate double")
     unit = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_spread(t.split(), most) for t in raw(b.column(1))], pa.list_(pa.binary()))], ["lang", "words"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_spread(windows(t), most) for t in raw(b.column(1))], pa.list_(pa.binary()))], ["lang", "parts"])
 
     rows = known.join(F.broadcast(rates), F.col(lang_col) == F.col("_lang")).where(unit < F.col("_rate")).select(F.col("_lang"), F.col(text_col))
-    return rows.limit(max(SHARING, len(counts)) * docs_each * 2).mapInArrow(sampled, "lang string, words array<binary>").collect()
+    return rows.limit(max(SHARING, len(counts)) * docs_each * 2).mapInArrow(sampled, "lang string, parts array<binary>").collect()
 
 
 def _model(rows: list[Row], steps: int) -> tuple[list[str], Weights] | None:
@@ -213,7 +257,7 @@ def _model(rows: list[Row], steps: int) -> tuple[list[str], Weights] | None:
     if not languages:
         return None
     at = {v: k for k, v in enumerate(languages)}
-    pairs = sorted((bytes(v), at[r.lang]) for r in rows for v in r.words)
+    pairs = sorted((bytes(v), at[r.lang]) for r in rows for v in r.parts)
     return languages, train([v for v, _ in pairs], np.array([c for _, c in pairs]), len(languages), steps=steps)
 
 
@@ -225,8 +269,8 @@ def fit(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
 def _least(model: tuple[list[str], Weights], rows: list[Row], share: float) -> float:
     """What a text in a known language has: chance and a share of the rest, or as little as any sampled document."""
     chance = 1 / len(model[0])
-    texts = [[bytes(v) for v in r.words] for r in rows if r.words]
-    return min(chance + share * (1 - chance), float(Words(model[1]).pooled(texts).max(1).min())) - 1e-6
+    texts = [b"".join(map(bytes, r.parts)) for r in rows if r.parts]
+    return min(chance + share * (1 - chance), float(Reader(model[1]).pooled(texts).max(1).min())) - 1e-6
 
 
 def _lettered(texts: pa.Array) -> list[int]:
@@ -240,11 +284,11 @@ def predict(docs: DataFrame, model: tuple[list[str], Weights] | None, id_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pickle.loads(packed)
-        words = Words(model[1]) if model else None
+        reader = Reader(model[1]) if model else None
         for b in batches:
             names, scores = [UNKNOWN] * b.num_rows, np.zeros(b.num_rows)
-            if words and (at := _lettered(b.column(1))):
-                p = words.pooled([t.split() for t in raw(b.column(1).take(pa.array(at)))])
+            if reader and (at := _lettered(b.column(1))):
+                p = reader.pooled(raw(b.column(1).take(pa.array(at))))
                 scores[at] = np.minimum(1.0, p.max(1))
                 for k, best in zip(at, p.argmax(1)):
                     names[k] = model[0][best]
@@ -272,11 +316,11 @@ def keep_known(docs: DataFrame, held_out: Column, share: float = 0.2, id_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pickle.loads(packed)
-        words = Words(model[1]) if model else None
+        reader = Reader(model[1]) if model else None
         for b in batches:
-            rows = _lettered(b.column(at)) if words else []
+            rows = _lettered(b.column(at)) if reader else []
             if rows:
-                p = words.pooled([t.split() for t in raw(b.column(at).take(pa.array(rows)))])
+                p = reader.pooled(raw(b.column(at).take(pa.array(rows))))
                 yield b.take(pa.array(np.array(rows)[p.max(1) >= least], pa.int64()))
 
     return docs.mapInArrow(run, docs.schema)

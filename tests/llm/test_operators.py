@@ -396,6 +396,24 @@ def test_language(spark, docs, odd):
     assert language.identify(odd.limit(0), held_out("doc_id", 4)).count() == 0
 
 
+def test_every_position_of_the_text_is_read():
+    draw = np.random.default_rng(4)
+    w = language._start(3, 16, draw)
+    texts = ["ä é 漢字\n" * 70, "a", "x" * 97, "😀" * 200, "word " * 500, "\u0301" * 300, "a" * 95 + "é"]
+    got = language.Reader(w).pooled([t.encode() for t in texts])
+    for t, p in zip(texts, got):
+        parts = language.windows(t.encode())
+        assert b"".join(parts) == t.encode() and all(v.decode() and len(v) <= language.WINDOW + 3 for v in parts)
+        each = []
+        for v in parts:  # one window at a time, one position at a time
+            x, mask = language._padded([v])
+            states = np.concatenate([language._direction(w, d, x, mask) for d in "fb"], -1)[0]
+            each += [language._softmax(s @ w["out"] + w["bias"]) for s in states]
+        assert len(each) == len(t.encode()) and np.allclose(np.mean(each, 0), p, atol=1e-5)
+    whole = language.Reader(w).pooled([t.encode() for t in texts] * 500)
+    assert np.allclose(whole, np.tile(got, (500, 1)), atol=1e-5)
+
+
 def test_gradients_agree_with_differences():
     draw = np.random.default_rng(2)
     w = {k: v.astype(np.float64) for k, v in language._start(3, 4, draw).items()}
