@@ -6,9 +6,10 @@ trees give the probability that a node belongs to the article. Decoding finds th
 tree: a node is article or not together with all below it, so that no descendant contradicts it, or leaves the choice to its
 children at a price.
 
-The model is trained in numpy on a bounded sample: pages of the table itself, SAMPLE at most, whose elements with a plain
-meaning (article, nav, footer, ...) give the labels, together with re-dressed copies of the same blocks, in which names,
-nesting and order are redrawn and sidebars, notices, forms, adverts and reader comments are added around them.
+The model is trained in numpy on a bounded sample: pages of the table itself, SAMPLE at most. No page has labels, so they
+label themselves: elements with a plain meaning (article, nav, footer, ...) and plain class names (the lists ARTICLE and
+OTHER) say what is article and what is not. With them go re-dressed copies of the same blocks, in which names, nesting and
+order are redrawn and sidebars, notices, forms, adverts and reader comments are added around them.
 """
 
 from __future__ import annotations
@@ -200,7 +201,7 @@ WORD = re.compile(r"[a-z]+|\d+")
 
 
 def _tokens(n: Node) -> list[str]:
-    return [f"t:{n.tag}", *(f"w:{w}" for w in WORD.findall(n.words)[:12])]
+    return [f"t:{n.tag}", *(f"w:{w}" for w in WORD.findall(n.words))]
 
 
 def features(every: list[Node]) -> np.ndarray:
@@ -342,7 +343,10 @@ def labelled(every: list[Node]) -> tuple[np.ndarray, np.ndarray]:
         has[x.parent.index] |= has[x.index]
     y = inside & ~outside
     known = np.array([y[x.index] or not has[x.index] for x in every])
-    return y.astype(np.float64), known * np.log1p([sum(len(c.text) for c in nodes_below(x)) if len(x.children) < 50 else 50 for x in every])
+    chars = np.array([len(x.text) for x in every], np.float64)
+    for x in reversed(every[1:]):
+        chars[x.parent.index] += chars[x.index]
+    return y.astype(np.float64), known * np.log1p(chars)
 
 
 # Names that sites give to the parts of a page, for the re-dressed copies.
@@ -452,9 +456,13 @@ def extract_texts(pages: list[str | None], model: Boosted) -> list[str]:
 
 
 def fit(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> Boosted:
-    """A model from at most sample pages, the first by a hash of their html."""
-    some = pages.where(F.col(html_col).isNotNull()).select(F.xxhash64(html_col).alias("h"), html_col).where(F.length(html_col) < 200_000).orderBy("h").limit(sample).collect()
-    return train([r[1] for r in some])
+    """A model from the sample different pages, whatever their length, whose html has the smallest hashes; only these come to the driver."""
+    hashed = pages.where(F.col(html_col).isNotNull()).select(F.xxhash64(html_col).alias("h"), F.col(html_col).alias("html"))
+    least = [r.h for r in hashed.select("h").distinct().orderBy("h").limit(sample).collect()]
+    if not least:
+        return train([])
+    some = hashed.where(F.col("h") <= max(least)).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").collect()
+    return train([r.html for r in some])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -270,17 +270,17 @@ def _kept_text(text: bytes, kept: np.ndarray) -> str:
     return b"".join(out).rstrip().decode()
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256): one row per row of docs. With carry, also these columns, named carry_0
-    and so on, and kept_text, what is left of the text.
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: tuple[str, ...] = (), texts: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256): one row per row of docs. With texts, also kept_text, what is left of the
+    text, and the columns of carry, named carry_0 and so on.
 
     Every word covered by a window of that many words whose sequence also starts in a document with a smaller id goes;
     windows are judged on the input. A null text has no words, and a null kept_text. A document without
-    an id counts as larger than all others, and no two of them as smaller than each other. Rows that repeat an id never
+    an id counts as larger than all others but 2^63 - 1, which counts as missing, and no two of them as smaller than each other. Rows that repeat an id never
     remove each other's words. Other columns are left out.
     """
-    half = window // 2
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"), *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)))
+    half, carry = window // 2, (id_col, *carry)
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"), *(F.col(f"`{c}`").alias(f"carry_{i}") for i, c in enumerate(carry)))
     more = [f"carry_{i}" for i in range(len(carry))]
     typed = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in more)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -300,8 +300,9 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         if n:
             yield _arrow(list(_anchor_block(hs, keys, half, bits)), PACKED)
 
-    met = rows.select("id", "key", "text").mapInArrow(anchors, PACKED_SQL).groupBy("range").applyInArrow(lambda t: _probe(t, half, bits), BUNDLE_SQL)
-    hits = store(met.groupBy("bucket").applyInArrow(lambda t: _gather(t, 1), "key long, at binary").withColumnRenamed("at", "hits"))
+    ranges = 1 << bits
+    met = rows.select("id", "key", "text").mapInArrow(anchors, PACKED_SQL).repartition(ranges, "range").groupBy("range").applyInArrow(lambda t: _probe(t, half, bits), BUNDLE_SQL)
+    hits = store(met.repartition(ranges, "bucket").groupBy("bucket").applyInArrow(lambda t: _gather(t, 1), "key long, at binary").withColumnRenamed("at", "hits"))
     joined = rows.join(hits.withColumnRenamed("key", "hit_key"), F.col("key") == F.col("hit_key"), "left").select("id", "key", "text", "hits", *more)
     staged = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("text", pa.binary()), ("starts", pa.binary())])
 
@@ -313,12 +314,13 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                 if hits:
                     open_ = np.zeros(len(w) + 1, np.int64)  # starts of the windows that contain a hit
                     at = np.frombuffer(hits, np.int32)
+                    at = at[at <= len(w) - half]  # of a text whose key is the same by chance, places may lie beyond
                     np.add.at(open_, np.maximum(at - (window - half), 0), 1)
                     np.add.at(open_, at + 1, -1)
                     starts = np.flatnonzero(np.cumsum(open_)[: len(w) - window + 1] > 0).astype(np.int32)
                     out.append((i, key, len(w), None, text, starts.tobytes()))
                 else:
-                    out.append((i, key, len(w), _sha(w), text if carry else None, None))
+                    out.append((i, key, len(w), _sha(w), text if texts else None, None))
             yield _beside(_arrow(out, staged), b, 4)
 
     held = store(joined.mapInArrow(stage, f"id long, key long, n_words long, sha string, text binary, starts binary{typed}"))
@@ -337,8 +339,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
             yield _arrow(list(_window_block(docs, window, bits)), PACKED)
 
     touched = held.where("sha is null")
-    owned = touched.select("id", "key", "text", "starts").mapInArrow(windows, PACKED_SQL).groupBy("range").applyInArrow(lambda t: _own(t, bits), BUNDLE_SQL)
-    cover = owned.groupBy("bucket").applyInArrow(lambda t: _gather(t, 2), "id long, key long, at binary")
+    owned = touched.select("id", "key", "text", "starts").mapInArrow(windows, PACKED_SQL).repartition(ranges, "range").groupBy("range").applyInArrow(lambda t: _own(t, bits), BUNDLE_SQL)
+    cover = owned.repartition(ranges, "bucket").groupBy("bucket").applyInArrow(lambda t: _gather(t, 2), "id long, key long, at binary")
     last = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("sha", pa.string()), ("kept_text", pa.string())])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,25 +351,26 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                 kept = np.ones(len(w), bool)
                 if cover:
                     at = np.unique(np.frombuffer(cover, np.int32))
+                    at = at[at + window <= len(w)]
                     edge = np.zeros(len(w) + 1, np.int64)
                     edge[at] += 1
                     edge[at + window] -= 1
                     kept = np.cumsum(edge)[:-1] == 0
                 left = text.decode() if kept.all() else _kept_text(text, kept)
-                out.append((i, len(w), int((~kept).sum()), _sha([x for x, k in zip(w, kept) if k]), left if carry else None))
+                out.append((i, len(w), int((~kept).sum()), _sha([x for x, k in zip(w, kept) if k]), left if texts else None))
             yield _beside(_arrow(out, last), b, 4)
 
     done = touched.select("id", "key", "text", *more).join(cover.toDF("c_id", "c_key", "cover"), (F.col("id") == F.col("c_id")) & (F.col("key") == F.col("c_key")), "left").select("id", "key", "text", "cover", *more)
     done = done.mapInArrow(remove, f"id long, n_words long, n_removed long, sha string, kept_text string{typed}")
     whole = held.where("sha is not null").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), "sha", F.col("text").cast("string").alias("kept_text"), *more)
-    named = [F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_words", "n_removed", F.col("sha").alias("kept_sha256")]
-    return whole.union(done).select(*named, *(["kept_text", *more] if carry else []))
+    named = [F.col("carry_0").cast("long").alias("doc_id"), "n_words", "n_removed", F.col("sha").alias("kept_sha256")]
+    return whole.union(done).select(*named, *(["kept_text", *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(more[1:]))] if texts else []))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """docs, each text without its repeated words; a text that loses nothing stays as it was, one that loses all is empty."""
     carry = tuple(c for c in docs.columns if c != text_col)
-    kept = removals(docs, id_col, text_col, window, carry)
+    kept = removals(docs, id_col, text_col, window, carry, texts=True)
     return kept.select(*(F.col("kept_text" if c == text_col else f"carry_{carry.index(c)}").alias(c) for c in docs.columns))
 
 

@@ -294,24 +294,43 @@ def brute_links(rows):
 
 
 def test_vectors(spark, monkeypatch):
-    monkeypatch.setattr(forest, "LEAF", 30)
     draw = np.random.default_rng(1)
     centres = draw.normal(size=(25, 16))
     rows = [(i, (centres[i % 25] + draw.normal(size=16) * 0.12).astype(np.float32).tolist()) for i in range(400)]
     rows += [(500 + i, rows[0][1]) for i in range(40)] + [(600, [0.0] * 16), (601, None), (602, [float("nan")] * 16), (603, [1.0] * 8), (604, [2.0] * 8), (605, []), rows[3], (606, [None, 1.0])]
-    df = spark.createDataFrame([(i, v, 1, "k") for i, v in rows], "vec_id long, embedding array<float>, key int, unit string").repartition(4)
-    for block in (16, 1024):
-        got = forest.near_duplicates(df) if block == 1024 else None
-        if got is None:
-            _, distinct = forest.distinct_vectors(df, "vec_id", "embedding")
-            links = forest.compare(forest.drop(distinct, forest.grow(distinct)), block=block).groupBy("key").agg(F.sum("n").alias("n"))
-            assert links.agg(F.sum("n")).first()[0] > 0
-            continue
-        assert Counter((r.vec_id, r.n_links, r.component_id) for r in got.collect()) == brute_links(rows)
-        assert all(r.kept == (r.vec_id == r.component_id) for r in got.collect())
+    want = brute_links(rows)
+    for leaf, full, block, element in ((200, 4096, 1024, "float"), (10, 40, 16, "double")):
+        monkeypatch.setattr(forest, "LEAF", leaf)
+        monkeypatch.setattr(forest, "FULL", full)
+        monkeypatch.setattr(forest, "BLOCK", block)
+        df = spark.createDataFrame([(i, v, 1, "k", 2) for i, v in rows], f"vec_id long, embedding array<{element}>, key int, raw string, weight int").repartition(4)
+        got = forest.near_duplicates(df).collect()
+        links = lambda c: sum(n for _, n, _ in c.elements())
+        found = Counter((r.vec_id, r.n_links, r.component_id) for r in got)
+        assert found == want if leaf == 200 else 0.999 * links(want) <= links(found) <= links(want)
+        assert all(r.kept == (r.vec_id == r.component_id) for r in got)
     assert forest.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_deep_trees_and_leaves_split_again_lose_no_link(spark, monkeypatch):
+    draw = np.random.default_rng(2)
+    centres = draw.normal(size=(300, 64))
+    near = lambda c: c + draw.normal(size=64) * draw.choice([0.02, 0.15, 0.22, 0.23, 0.3])
+    rows = [(i, near(centres[i % 300]).astype(np.float32).tolist()) for i in range(3000)]
+    monkeypatch.setattr(forest, "LEAF", 6)
+    tree = forest.Tree(forest.units([np.array(v, np.float32).tobytes() for _, v in rows], "<f4"), forest._spill(0.95), 6, draw)
+    assert tree.depth >= 8
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    want = brute_links(rows)
+    for sample, full in ((20_000, 4096), (300, 100)):  # from one sample of all, and leaves split again and again
+        monkeypatch.setattr(forest, "SAMPLE", sample)
+        monkeypatch.setattr(forest, "FULL", full)
+        got = Counter((r.vec_id, r.n_links, r.component_id) for r in forest.near_duplicates(df).collect())
+        links = lambda c: sum(n for _, n, _ in c)
+        most = {i: n for i, n, _ in want}
+        assert links(want) > 10_000 and links(got) >= 0.999 * links(want) and all(n <= most[i] for i, n, _ in got)
+
+
 def test_extraction(spark):
     import html
     import re

@@ -38,7 +38,7 @@ def corpus(seed):
             at = r.randrange(len(w) + 1)
             w[at:at] = p
         rows.append((i, "\n ".join(w)))
-    rows += [(200, "a " * 300), (201, "a " * 170), (202, None), (203, ""), (None, rows[3][1]), (None, None), rows[5], rows[5], (5, rows[6][1]), (204, "x" * 200_000), (205, " ".join(passages[4] * 3))]
+    rows += [(200, "a " * 300), (201, "a " * 170), (202, None), (203, ""), (None, rows[3][1]), (None, None), rows[5], rows[5], (5, rows[6][1]), (204, "x" * 200_000), (205, " ".join(passages[4] * 3)), (2**63 - 1, " ".join(passages[3])), (-5, "z")]
     return rows
 
 
