@@ -18,6 +18,7 @@ TABLE = r"(?i)\b(?:FROM|JOIN|INTO)\s+([A-Za-z_][\w.]*)"
 JOIN = r"\b(INNER|LEFT|RIGHT|FULL|CROSS)(?:\s+OUTER)?\s+JOIN\b"
 WHERE = r"(?i)\bWHERE\s+(.*?)(?:\s+GROUP\s+BY\b|\s+ORDER\s+BY\b|\s+LIMIT\b|\s+HAVING\b|$)"
 OPERATOR = r"(<=|>=|<>|!=|=|<|>|\bLIKE\b|\bIN\b|\bBETWEEN\b)"
+OPERATION = r"\b(SELECT|INSERT|UPDATE|DELETE|CREATE|ALTER|DROP)\b"
 CALL = r"\b(" + "|".join(FUNCTIONS) + r")\s*\("
 
 
@@ -63,6 +64,7 @@ def with_features(df: DataFrame, sql: str = "sql_text") -> DataFrame:
     t = t.withColumn("aggregations", F.concat(F.array_intersect("functions", F.array(*map(F.lit, AGGREGATES))), marks)).withColumn("parameters", parameters(F.col("clean")))
     t = t.withColumn("complexity", F.round(F.size("tables") * 1.0 + F.size("columns") * 0.1 + F.size("functions") * 0.5 + F.size("joins") * 2.0 + F.size("filters") * 0.3 + F.size("aggregations") * 1.5, 4))
     t = t.withColumn("complexity_plus", F.round(F.col("complexity") + F.when(F.col("grouped"), 2.0).otherwise(0.0) + F.when(F.col("sorted"), 1.0).otherwise(0.0), 4))
+    t = t.withColumn("operations", _all(F.col("upper_bare"), OPERATION)).withColumn("statement", rules.statement_type(F.col("clean")))
     t = t.withColumn("domains", F.array_sort(F.transform("tables", rules.table_domain)))
     t = t.withColumn("intent", intent(t)).withColumn("intent_domain", intent_domain(t))
     t = t.withColumn("canonical", F.concat(F.lit("SELECT "), F.concat_ws(",", "columns"), F.lit(" FROM "), F.concat_ws(",", "tables"), F.when(F.size("aggregations") > 0, F.concat(F.lit(" AGG "), F.concat_ws(",", "aggregations"))).otherwise("")))

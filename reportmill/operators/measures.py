@@ -60,3 +60,36 @@ def apply_filters(df: DataFrame, filters: Sequence[tuple[str, str, Sequence]]) -
     for f in filters:
         df = df.where(predicate(*f))
     return df
+
+
+def run_filters(rows: DataFrame, fields: dict[str, str], filters: DataFrame) -> DataFrame:
+    """(report_id, dataset, columns of rows): the rows that pass every filter (report_id, dataset, expression, operator, values)
+    of a dataset. An expression names a field as =Fields!Name.Value; fields says which column that is.
+
+    Filters that ask for equal values, most of them, meet the rows by an equi-join; a dataset's others are tested on what
+    is left. A dataset without such a filter meets all rows, which is its result's upper bound. Unknown fields match nothing.
+    """
+    f = filters.select("report_id", "dataset", F.regexp_extract("expression", r"Fields!(\w+)\.Value", 1).alias("field"), "operator", "values")
+    first = F.col("values")[0]
+    one = F.struct("field", "operator", "values", F.when(F.col("operator") == "Equal", F.array(first)).when(F.col("operator") == "In", F.col("values")).alias("wanted"))
+    sets = f.groupBy("report_id", "dataset").agg(F.collect_list(one).alias("all"))
+    lead = F.get(F.filter("all", lambda x: x["wanted"].isNotNull()), F.lit(0))
+    sets = sets.withColumn("lead", lead)
+    value = lambda field: F.coalesce(*(F.when(field == k, F.col(c).cast("string")) for k, c in fields.items()), F.lit(None).cast("string"))
+
+    def passes(x: Column) -> Column:
+        v, n, low = value(x["field"]), value(x["field"]).cast("double"), x["values"][0]
+        number = low.cast("double")
+        compare = {"Equal": v == low, "NotEqual": v != low, "GreaterThan": n > number, "GreaterThanOrEqual": n >= number, "LessThan": n < number, "LessThanOrEqual": n <= number,
+                   "Between": n.between(number, F.get(x["values"], F.lit(1)).cast("double")), "In": F.array_contains(x["values"], v), "Like": F.expr("true") & v.isNotNull() & F.call_function("like", v, low)}
+        out = F.lit(False)
+        for name, test in compare.items():
+            out = F.when(x["operator"] == name, test).otherwise(out)
+        return F.coalesce(out, F.lit(False))
+
+    led = sets.where("lead IS NOT NULL").withColumn("want", F.explode(F.array_distinct("lead.wanted")))
+    tall = rows.withColumn("_of", F.explode(F.array(*(F.struct(F.lit(k).alias("field"), F.col(c).cast("string").alias("value")) for k, c in fields.items()))))
+    met = led.join(tall, (F.col("lead.field") == F.col("_of.field")) & (F.col("want") == F.col("_of.value")))
+    free = sets.where("lead IS NULL").join(rows, F.size("all") > 0)
+    every = met.select("report_id", "dataset", "all", *rows.columns).unionByName(free.select("report_id", "dataset", "all", *rows.columns))
+    return every.where(F.forall("all", passes)).drop("all")

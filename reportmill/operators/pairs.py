@@ -19,7 +19,7 @@ LIMIT = 0.3
 
 def signatures(featured: DataFrame) -> DataFrame:
     """(sig, n, features): one row for each distinct set of features; sig is the smallest query id of it."""
-    extra = ("complexity", "intent", "domains", "semantic_hash", "canonical", "grouped", "sorted")
+    extra = ("complexity", "intent", "domains", "semantic_hash", "canonical", "grouped", "sorted", "operations", "statement")
     return featured.groupBy(*FEATURES).agg(F.min("query_id").alias("sig"), F.count(F.lit(1)).alias("n"), *(F.min(c).alias(c) for c in extra))
 
 
@@ -42,22 +42,24 @@ def compatibility(a: Column, b: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + one(x)) / (F.size(a) * F.size(b))
 
 
-def domain_pairs(sigs: DataFrame, limit: float = LIMIT) -> DataFrame:
-    """(d1, d2, compat): pairs of distinct domain lists at or above limit."""
-    lists = sigs.select("domains").distinct()
-    each = lists.select("domains", F.explode(F.array_distinct("domains")).alias("d"))
+def domain_pairs(sigs: DataFrame, limit: float = LIMIT, others: DataFrame | None = None) -> DataFrame:
+    """(d1, d2, compat): pairs of distinct domain lists at or above limit; d2 from others, where they are given."""
+    spread = lambda x: x.select("domains").distinct().select("domains", F.explode(F.array_distinct("domains")).alias("d"))
+    each = spread(sigs)
     kin = F.array(*(F.struct(F.lit(x), F.lit(y)) for x, y in rules.RELATED))
     near = F.filter(F.transform(kin, lambda p: F.when(p["col1"] == F.col("d"), p["col2"]).when(p["col2"] == F.col("d"), p["col1"])), lambda x: x.isNotNull())
     reach = each.select(F.col("domains").alias("d1"), F.explode(F.concat(F.array("d"), near)).alias("d"))
-    met = reach.join(each.select(F.col("domains").alias("d2"), "d"), "d").select("d1", "d2").distinct()
+    met = reach.join((each if others is None else spread(others)).select(F.col("domains").alias("d2"), "d"), "d").select("d1", "d2").distinct()
     return met.withColumn("compat", compatibility(F.col("d1"), F.col("d2"))).where(F.col("compat") >= limit)
 
 
-def candidates(sigs: DataFrame, limit: float = LIMIT) -> DataFrame:
-    """Pairs a.sig < b.sig of compatible signatures, as structs a and b, with compat."""
-    doms = domain_pairs(sigs, limit)
-    a, b = sigs.select(F.struct("*").alias("a"), F.col("domains").alias("d1")), sigs.select(F.struct("*").alias("b"), F.col("domains").alias("d2"))
-    return a.join(doms, "d1").join(b, "d2").where("a.sig < b.sig").select("a", "b", "compat")
+def candidates(sigs: DataFrame, limit: float = LIMIT, others: DataFrame | None = None) -> DataFrame:
+    """Pairs a.sig < b.sig of compatible signatures, as structs a and b, with compat; with others, all pairs of a of sigs and b of others."""
+    second = sigs if others is None else others
+    doms = domain_pairs(sigs, limit, others)
+    a, b = sigs.select(F.struct("*").alias("a"), F.col("domains").alias("d1")), second.select(F.struct("*").alias("b"), F.col("domains").alias("d2"))
+    met = a.join(doms, "d1").join(b, "d2")
+    return (met.where("a.sig < b.sig") if others is None else met).select("a", "b", "compat")
 
 
 def both(f: str) -> tuple[Column, Column]:
@@ -91,9 +93,33 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0)), F.lit(0.0))
 
 
-def scored(sigs: DataFrame, limit: float = LIMIT) -> DataFrame:
-    """Candidates with every dimension: basic, semantics, sources, logic, output, parameters and final."""
-    p = candidates(sigs.withColumn("vector", structure_vector()), limit)
+def members(featured: DataFrame) -> DataFrame:
+    """(query_id, sig): the signature of every query, the smallest id with the same features."""
+    key = F.to_json(F.struct(*FEATURES))
+    return featured.select("query_id", key.alias("k")).join(featured.groupBy(key.alias("k")).agg(F.min("query_id").alias("sig")), "k").select("query_id", "sig")
+
+
+def scored(sigs: DataFrame, limit: float = LIMIT, others: DataFrame | None = None) -> DataFrame:
+    """Candidates with every dimension: basic, semantics, sources, logic, output, parameters and final.
+
+    With others, pairs of a signature a of sigs and one b of others."""
+    return _dimensioned(candidates(sigs.withColumn("vector", structure_vector()), limit, None if others is None else others.withColumn("vector", structure_vector())))
+
+
+def within(sigs: DataFrame, limit: float = LIMIT) -> DataFrame:
+    """The same for the pairs inside a signature: one row for each that has several queries, with itself; there are
+    n (n - 1) / 2 pairs of them, all alike."""
+    x = sigs.where("n > 1").withColumn("vector", structure_vector())
+    p = x.select(F.struct("*").alias("a"), F.struct("*").alias("b"), compatibility(F.col("domains"), F.col("domains")).alias("compat")).where(F.col("compat") >= limit)
+    return _dimensioned(p)
+
+
+def pair_count() -> Column:
+    """How many pairs of queries a pair of signatures stands for."""
+    return F.when(F.col("a.sig") == F.col("b.sig"), (F.col("a.n") * (F.col("a.n") - 1) / 2).cast("long")).otherwise(F.col("a.n") * F.col("b.n"))
+
+
+def _dimensioned(p: DataFrame) -> DataFrame:
     p = p.withColumn("basic", basic()).withColumn("semantics", cosine(F.col("a.vector"), F.col("b.vector"))).withColumn("logic", logic()).withColumn("output", jaccard(*both("columns"))).withColumn("parameters", F.lit(0.5))
     return p.withColumn("final", F.col("compat") * 0.50 + F.col("semantics") * 0.20 + F.col("logic") * 0.15 + F.col("output") * 0.10 + F.col("parameters") * 0.05)
 

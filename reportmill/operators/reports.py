@@ -20,8 +20,6 @@ KEPT, HIGH, MEDIUM = 30, 80, 50
 BLOCK = 2000
 # Hours to migrate a file, to consolidate a cluster, and the price of an hour.
 FILE_HOURS, CLUSTER_HOURS, HOUR = 8, 12, 75
-#: Reports that a square matrix may have; above, the long form is the result.
-MATRIX = 200
 
 
 def contexts(catalog: DataFrame, items: DataFrame, params: DataFrame, queries: DataFrame) -> DataFrame:
@@ -55,6 +53,19 @@ def all_pairs(c: DataFrame, key: str = "report_id") -> DataFrame:
     return a.join(b, ["i", "j"]).where(f"a.{key} < b.{key}").select("a", "b")
 
 
+def structural(datasets: DataFrame) -> DataFrame:
+    """(r1, r2, score) of reports with anything in common, from (report_id, dataset_name, sql_text, source_name, item_name).
+
+    40 for a dataset name in common, 30 for each such dataset with the same text, 20 for a source and 10 for an item in
+    common, at most 100. A report is one row of distinct keys, and rows are paired in blocks, so no name is a hot key.
+    """
+    some = lambda c: F.collect_set(c).alias(c)
+    c = datasets.withColumn("query", F.to_json(F.struct("dataset_name", "sql_text"))).groupBy("report_id").agg(*map(some, ("dataset_name", "query", "source_name", "item_name")))
+    common = lambda f: F.arrays_overlap(f"a.{f}", f"b.{f}")
+    points = F.when(common("dataset_name"), 40 + 30 * F.size(F.array_intersect("a.query", "b.query"))).otherwise(0) + F.when(common("source_name"), 20).otherwise(0) + F.when(common("item_name"), 10).otherwise(0)
+    return all_pairs(c).select(F.col("a.report_id").alias("r1"), F.col("b.report_id").alias("r2"), F.least(F.lit(100), points).cast("long").alias("score")).where("score > 0")
+
+
 def dimensions() -> dict[str, Column]:
     """Scores from 0 to 100 of a pair (a, b) of contexts."""
     c = lambda f: (F.col(f"a.{f}"), F.col(f"b.{f}"))
@@ -145,11 +156,14 @@ def matrix_cells(pairs: DataFrame) -> DataFrame:
     return p.union(p.select("r2", "r1", "v")).union(names.select("r", "r", F.lit(100.0)))
 
 
-def matrix(pairs: DataFrame, most: int = MATRIX) -> DataFrame:
-    """The square matrix of the reports that occur, 0 where a pair is missing; the long form if there are more than most."""
+def matrix(pairs: DataFrame) -> DataFrame:
+    """The square matrix of the reports that occur, (report, cells): a row a report, its cells in order of the reports' ids,
+    100 on the diagonal and 0 where a pair is missing. Its schema does not depend on the number of reports; a row is as wide
+    as the catalogue, so a very large one is better served by matrix_cells."""
     cells = matrix_cells(pairs)
-    names = [r[0] for r in cells.select("r1").distinct().orderBy("r1").limit(most + 1).collect()]
-    return cells if len(names) > most else cells.groupBy(F.col("r1").alias("report")).pivot("r2", names).agg(F.first("v")).na.fill(0.0)
+    names = cells.agg(F.array_sort(F.collect_set("r1")).alias("names"))
+    rows = cells.groupBy(F.col("r1").alias("report")).agg(F.map_from_entries(F.collect_list(F.struct("r2", "v"))).alias("known"))
+    return rows.join(F.broadcast(names)).select("report", F.transform("names", lambda x: F.coalesce(F.element_at("known", x), F.lit(0.0))).alias("cells"))
 
 
 def ranked_priority(pairs: DataFrame) -> DataFrame:

@@ -58,3 +58,11 @@ def without_tags(df: DataFrame, tags: str, gone: Sequence[str]) -> DataFrame:
 def touched(log: DataFrame, key: str, at: str) -> DataFrame:
     """Last reading and number of readings of each key."""
     return log.groupBy(key).agg(F.max(at).alias("last_read"), F.count(F.lit(1)).alias("reads"))
+
+
+def access_stats(log: DataFrame, key: str, order: list[str], at: Column, size: str, memory: int, disk: int) -> DataFrame:
+    """One row on a log of accesses: entries, hits in memory and on disk (by the time since the key's last access), misses, hit rate, size and mean."""
+    gap = F.col("at") - F.lag("at").over(W.partitionBy(key).orderBy(*order))
+    t = log.withColumn("at", at).withColumn("gap", gap)
+    n, near, far = F.count(F.lit(1)), F.count_if(F.col("gap") <= memory), F.count_if((F.col("gap") > memory) & (F.col("gap") <= disk))
+    return t.agg(F.countDistinct(key).alias("entries"), near.alias("memory_hits"), far.alias("disk_hits"), (n - near - far).alias("misses"), F.round((near + far) / n, 6).alias("hit_rate"), F.round(F.sum(size), 2).alias("size"), F.round(F.avg(size), 6).alias("mean_access"))

@@ -85,14 +85,19 @@ def store_warm(spark: SparkSession, d: str) -> DataFrame:
     return store.latest(old.unionByName(warm), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "tag")
 
 
-@query("""SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS keys, round(sum(value), 4) AS size, round(avg(value), 6) AS mean_size FROM events GROUP BY event_type""")
+@query("""WITH a AS (SELECT user_id, value, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)
+SELECT count(DISTINCT user_id) AS entries, count(*) FILTER (gap <= 3600000000) AS memory_hits, count(*) FILTER (gap > 3600000000 AND gap <= 86400000000) AS disk_hits, count(*) FILTER (gap IS NULL OR gap > 86400000000) AS misses,
+round(count(*) FILTER (gap <= 86400000000) / count(*), 6) AS hit_rate, round(sum(value), 2) AS size, round(avg(value), 6) AS mean_access FROM a""")
 def store_stats(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("keys"), F.round(F.sum("value"), 4).alias("size"), F.round(F.avg("value"), 6).alias("mean_size"))
+    """The event log as accesses by user: within an hour of the last one the entry is in memory, within a day on disk, later gone."""
+    return store.access_stats(events(spark, d), "user_id", ["ts", "event_id"], F.unix_micros("ts"), "value", 3_600_000_000, 86_400_000_000)
 
 
-@query("""SELECT user_id, count(*) AS files, round(sum(value), 4) AS bytes, count(*) FILTER (event_type = 'error') = 0 AS succeeded FROM events GROUP BY ROLLUP (user_id)""")
+@query("""SELECT user_id, count(*) AS files, round(sum(value), 4) AS bytes, count(*) FILTER (event_type = 'error') = 0 AS succeeded, CASE WHEN user_id IS NULL THEN 'total' WHEN count(*) > 20 THEN 'background' ELSE 'direct' END AS kind FROM events GROUP BY ROLLUP (user_id)""")
 def job_history(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).rollup("user_id").agg(F.count(F.lit(1)).alias("files"), F.round(F.sum("value"), 4).alias("bytes"), (F.count_if(F.col("event_type") == "error") == 0).alias("succeeded"))
+    """A user stands for a job; jobs of more than 20 files run in the background."""
+    g = events(spark, d).rollup("user_id").agg(F.count(F.lit(1)).alias("files"), F.round(F.sum("value"), 4).alias("bytes"), (F.count_if(F.col("event_type") == "error") == 0).alias("succeeded"))
+    return g.withColumn("kind", F.when(F.col("user_id").isNull(), "total").when(F.col("files") > 20, "background").otherwise("direct"))
 
 
 @query("""SELECT CAST(floor(event_id / 10) AS BIGINT) AS batch, count(*) AS files, CAST(max(epoch(ts)) - min(epoch(ts)) AS BIGINT) AS seconds, CAST(count(*) * (count(*) - 1) / 2 AS BIGINT) AS pairs FROM events GROUP BY 1""")

@@ -98,52 +98,57 @@ def _folder(spark: SparkSession, kind: str) -> str:
     return f"{checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-@query(f"SELECT report_id, schema_year AS year FROM {C} WHERE {SOUND}")
+@query(f"SELECT report_id, 'report_id=' || report_id AS folder, true AS dated, true AS whole, CASE WHEN {SOUND} THEN schema_year END AS year FROM {C}")
 def scan_report_files(spark: SparkSession, d: str) -> DataFrame:
-    """Definitions are written as files, one folder each, and scanned back."""
+    """Definitions are written as .rdl files, one folder each, and scanned back with path, time, length and content."""
     folder = _folder(spark, "files")
-    X.derived(spark, d).repartition("report_id").write.partitionBy("report_id").text(folder)
-    files = X.scan_files(spark, folder, "*.txt").withColumn("report_id", F.regexp_extract("path", r"report_id=(\d+)", 1).cast("long"))
-    return X.sound(X.shred(files)).select("report_id", "year")
+    texts = X.derived(spark, d)
+    X.write_files(texts, folder)
+    files = X.scan_files(spark, folder).withColumn("report_id", F.regexp_extract("path", r"report_id=(\d+)", 1).cast("long"))
+    shredded = X.shred(files).join(texts.select("report_id", F.octet_length("content").alias("bytes")), "report_id")
+    return shredded.select("report_id", F.regexp_extract("path", r"(report_id=\d+)/[^/]*\.rdl$", 1).alias("folder"), F.col("modificationTime").isNotNull().alias("dated"), (F.col("length") == F.col("bytes") + 1).alias("whole"), F.when(F.col("r").isNotNull() & F.col("r._corrupt").isNull(), F.col("year")).alias("year"))
 
 
-@query(f"SELECT r1, r2, round(overall, 4) AS overall FROM {reportpairs.PAIRS} WHERE overall >= 80")
+@query(f"SELECT r1, r2, round(overall, 4) AS overall FROM {reportpairs.PAIRS}")
 def sink_pairs_json(spark: SparkSession, d: str) -> DataFrame:
     folder = _folder(spark, "json")
-    pairs = reportpairs.pairs(spark, d).where(F.col("overall") >= R.HIGH)
+    pairs = reportpairs.pairs(spark, d)
     pairs.select("r1", "r2", F.round("overall", 4).alias("overall"), F.struct(*R.DIMENSIONS).alias("dimensions")).write.json(folder)
     return spark.read.schema("r1 long, r2 long, overall double").json(folder)
 
 
-@query(f"SELECT report_name, count(*) AS items FROM {I} JOIN {C} USING (report_id) GROUP BY 1")
+@query(f"SELECT report_name, item_name, item_type, expression FROM {I} JOIN {C} USING (report_id)")
 def sink_by_report(spark: SparkSession, d: str) -> DataFrame:
     folder = _folder(spark, "reports")
     from reportmill.sources.corpus import load
 
     rows = load(spark, d, "report_item").join(load(spark, d, "report_catalog").select("report_id", "report_name"), "report_id")
     rows.repartition("report_name").write.partitionBy("report_name").parquet(folder)
-    return spark.read.parquet(folder).groupBy("report_name").agg(F.count(F.lit(1)).alias("items"))
+    return spark.read.parquet(folder).select("report_name", "item_name", "item_type", "expression")
 
 
-@query("SELECT label, count(*) AS n FROM embeddings GROUP BY label")
+@query("SELECT vec_id, label, 'given' AS provider, len(embedding) AS size, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM embeddings")
 def sink_embeddings(spark: SparkSession, d: str) -> DataFrame:
     folder = _folder(spark, "vectors")
     table(spark, d, "embeddings").withColumn("provider", F.lit("given")).write.partitionBy("label").parquet(folder)
-    return spark.read.parquet(folder).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    back = spark.read.parquet(folder)
+    return back.select("vec_id", "label", "provider", F.size("embedding").alias("size"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("total"))
 
 
-@query(f"SELECT r1, r2, round(overall, 1) AS v FROM {reportpairs.PAIRS} WHERE overall >= 80")
+@query(reportpairs.SQUARE)
 def sink_matrix_csv(spark: SparkSession, d: str) -> DataFrame:
+    """The square matrix as comma-separated lines: a report, then its cells in order of the reports' ids."""
     folder = _folder(spark, "csv")
-    reportpairs.pairs(spark, d).where(F.col("overall") >= R.HIGH).select("r1", "r2", F.round("overall", 1).alias("v")).write.option("header", True).csv(folder)
-    return spark.read.option("header", True).schema("r1 long, r2 long, v double").csv(folder)
+    reportpairs.square(spark, d).select(F.concat_ws(",", F.col("report").cast("string"), "cells").alias("line")).write.text(folder)
+    line = spark.read.text(folder)
+    return line.select(F.substring_index("value", ",", 1).cast("long").alias("report"), F.expr("substr(value, instr(value, ',') + 1)").alias("cells"))
 
 
-@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+@query("SELECT event_id, user_id, event_type, value FROM events")
 def sink_store_metadata(spark: SparkSession, d: str) -> DataFrame:
     folder = _folder(spark, "meta")
     table(spark, d, "events").select("event_id", "user_id", "event_type", "value").write.json(folder)
-    return spark.read.schema("event_type string").json(folder).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.schema("event_id long, user_id long, event_type string, value double").json(folder)
 
 
 @query("SELECT regexp_extract(url, '^[a-z]+://[^/?#]+/([a-z]*)', 1) AS kind, count(*) AS files, CAST(sum(strlen(html)) AS BIGINT) AS bytes FROM pages GROUP BY 1")

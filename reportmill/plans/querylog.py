@@ -10,7 +10,7 @@ from reportmill.functions import features as X
 from reportmill.functions import rules as R
 from reportmill.plans.registry import query
 from reportmill.plans.rules import Q, quoted, sql_any, sql_cases, sql_table_domain
-from reportmill.sources.corpus import load
+from reportmill.sources.corpus import load, oracle
 
 
 def _list(words) -> str:
@@ -36,7 +36,9 @@ LISTS = rf"""SELECT *, list_sort(list_distinct(list_transform(regexp_extract_all
 regexp_extract(bare, {quoted(X.WHERE)}, 1) AS body, regexp_matches(upper(bare), '\bGROUP\s+BY\b') AS grouped, regexp_matches(upper(bare), '\bORDER\s+BY\b') AS sorted,
 list_distinct(list_concat(regexp_extract_all(clean, '(@\w+|\$\w+|\?)', 1), list_transform(regexp_extract_all(clean, '[^:\w]:([A-Za-z_]\w*)', 1), lambda x: ':' || x))) AS parameters,
 regexp_extract_all(lower(regexp_replace(regexp_replace(bare, '''[^'']*''', '', 'g'), '[@:$]+\w+', '', 'g')), '([a-z_][a-z0-9_.]*)', 1) AS names FROM ({BARE})"""
-MORE = rf"""SELECT *, {_found('upper(body)', X.OPERATOR)} AS filters,
+_STATEMENTS = ("SELECT", "INSERT", "UPDATE", "DELETE", "CREATE", "ALTER", "DROP")
+_KIND = sql_cases([(f"starts_with(upper(trim(clean)), '{k}')", quoted(k)) for k in _STATEMENTS] + [("contains(upper(clean), 'EXEC') OR contains(upper(clean), 'PROCEDURE')", "'PROCEDURE'")], "'UNKNOWN'")
+MORE = rf"""SELECT *, {_found('upper(bare)', X.OPERATION)} AS operations, {_KIND} AS statement, {_found('upper(body)', X.OPERATOR)} AS filters,
 list_sort(list_distinct(list_filter(list_transform(list_filter(names, lambda x: NOT list_contains(tables, x)), lambda x: regexp_replace(x, '^.*\.', '')), lambda x: length(x) > 1 AND NOT list_contains({_list(X.KEYWORDS)}, x)))) AS columns,
 list_concat(list_filter(functions, lambda x: list_contains({_list(X.AGGREGATES)}, x)), list_concat(CASE WHEN grouped THEN ['GROUP BY'] ELSE [] END, CASE WHEN regexp_matches(upper(bare), '\bHAVING\b') THEN ['HAVING'] ELSE [] END)) AS aggregations FROM ({LISTS})"""
 _SALES = sql_any(f"({_text('tables')} || ' ' || {_text('columns')})", ("customer", "order", "sale", "product"))
@@ -83,11 +85,13 @@ def where_conditions(spark: SparkSession, d: str) -> DataFrame:
     return t.select("query_id", F.posexplode(X.conditions(F.col("b"))).alias("position", "condition"))
 
 
-@query(f"SELECT query_id, CASE WHEN contains(upper(sql_text), 'JOIN') THEN 2 ELSE 0 END + CASE WHEN contains(upper(sql_text), 'UNION') THEN 3 ELSE 0 END + CASE WHEN contains(sql_text, '(') THEN 2 ELSE 0 END + CASE WHEN contains(upper(sql_text), 'CASE') THEN 1 ELSE 0 END + CAST(len(parameters) + len(filters) AS INT) AS score FROM {FEATURES}")
+@query(f"SELECT query_id, CASE WHEN contains(upper(sql_text), 'JOIN') THEN 2 ELSE 0 END + CASE WHEN contains(upper(sql_text), 'UNION') THEN 3 ELSE 0 END + CASE WHEN contains(sql_text, '(') THEN 2 ELSE 0 END + CASE WHEN contains(upper(sql_text), 'CASE') THEN 1 ELSE 0 END + CAST(len(parameters) + len(filters) + 2 * coalesce(calculated, 0) AS INT) AS score FROM {FEATURES} LEFT JOIN (SELECT query_id, count(*) AS calculated FROM {oracle('dataset_field')} WHERE expression IS NOT NULL GROUP BY 1) USING (query_id)")
 def dataset_complexity(spark: SparkSession, d: str) -> DataFrame:
     u = F.upper("sql_text")
     plain = sum((F.when(u.contains(w), n).otherwise(0) for w, n in (("JOIN", 2), ("UNION", 3), ("(", 2), ("CASE", 1))), F.lit(0))
-    return featured(spark, d).select("query_id", (plain + F.size("parameters") + F.size("filters")).alias("score"))
+    fields = load(spark, d, "dataset_field").where("expression IS NOT NULL").groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("calculated"))
+    scored = featured(spark, d).select("query_id", (plain + F.size("parameters") + F.size("filters")).alias("plain")).join(fields, "query_id", "left")
+    return scored.select("query_id", (F.col("plain") + F.coalesce("calculated", F.lit(0)) * 2).alias("score"))
 
 
 SCORE = {k: "(" + " + ".join(f"CASE WHEN regexp_matches(upper(sql_text), {quoted(p)}) THEN {w} ELSE 0 END" for w, p, _ in v) + ")" for k, v in D.SIGNS.items()}

@@ -10,7 +10,7 @@ from reportmill.operators import pairs as P
 from reportmill.plans.querylog import FEATURES, featured
 from reportmill.plans.registry import query
 
-SIGS = f"(SELECT {', '.join(P.FEATURES)}, min(query_id) AS sig, count(*) AS n, min(complexity) AS complexity, min(intent) AS intent, min(domains) AS domains, min(semantic_hash) AS semantic_hash, min(canonical) AS canonical FROM {FEATURES} GROUP BY ALL)"
+SIGS = f"(SELECT {', '.join(P.FEATURES)}, min(query_id) AS sig, count(*) AS n, min(complexity) AS complexity, min(intent) AS intent, min(domains) AS domains, min(semantic_hash) AS semantic_hash, min(canonical) AS canonical, min(operations) AS operations, min(statement) AS statement FROM {FEATURES} GROUP BY ALL)"
 
 
 def sql_jaccard(f: str) -> str:
@@ -37,9 +37,15 @@ CANDIDATES = f"(SELECT * FROM (SELECT a, b, {COMPAT} AS compat FROM {_VSIGS} a J
 SCORED = f"""(SELECT *, compat * 0.50 + semantics * 0.20 + logic * 0.15 + output * 0.10 + 0.5 * 0.05 AS final FROM (SELECT *, list_cosine_similarity(a.vector, b.vector) AS semantics, {sql_jaccard('columns')} AS output,
 {sql_jaccard('joins')} * 0.4 + {sql_jaccard('filters')} * 0.3 + {sql_jaccard('aggregations')} * 0.3 AS logic,
 compat * 0.5 + {sql_jaccard('tables')} * 0.15 + {sql_jaccard('columns')} * 0.15 + {sql_jaccard('functions')} * 0.10 + CASE WHEN a.intent = b.intent THEN 0.05 ELSE 0.0 END + greatest(0.0, 1 - abs(a.complexity - b.complexity)) * 0.05 AS basic FROM {CANDIDATES}))"""
+#: Pairs inside a signature: equal in every feature, so each score is that of equal lists.
+WITHIN = f"""(SELECT *, compat * 0.50 + 0.20 + 0.15 + 0.10 + 0.5 * 0.05 AS final, compat * 0.5 + 0.5 AS basic, 1.0::DOUBLE AS semantics FROM (SELECT a.sig, a.n, CAST(a.n * (a.n - 1) / 2 AS BIGINT) AS pairs, {COMPAT} AS compat FROM {SIGS} a JOIN {SIGS} b ON a.sig = b.sig WHERE a.n > 1) WHERE compat >= 0.3)"""
 IDS = "a.sig AS q1, b.sig AS q2"
 
 
+#: The least score of a best pair that is worth a row.
+BEST = 0.8
+
+
 def sigs(spark: SparkSession, d: str) -> DataFrame:
     return P.signatures(featured(spark, d))
 
@@ -48,6 +54,24 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
     return P.scored(sigs(spark, d))
 
 
+def every_pair(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of signatures, and the pairs inside each."""
+    s = sigs(spark, d)
+    return P.scored(s).unionByName(P.within(s))
+
+
+@query(f"SELECT query_id, sig FROM {FEATURES} f JOIN {SIGS} g USING ({', '.join(P.FEATURES)})")
+def signature_members(spark: SparkSession, d: str) -> DataFrame:
+    """The signature of every query: with the pairs of signatures, all links of all queries."""
+    return P.members(featured(spark, d))
+
+
+@query(f"SELECT sig, n, pairs, round(compat, 6) AS sources, round(basic, 6) AS basic, round(final, 6) AS final FROM {WITHIN}")
+def signature_pairs_within(spark: SparkSession, d: str) -> DataFrame:
+    """Signatures of several queries, with what each pair of their queries scores."""
+    return P.within(sigs(spark, d)).select(F.col("a.sig").alias("sig"), F.col("a.n").alias("n"), P.pair_count().alias("pairs"), r("compat", "sources"), r("basic", "basic"), r("final", "final"))
+
+
 def ids(df: DataFrame, *more) -> DataFrame:
     return df.select(F.col("a.sig").alias("q1"), F.col("b.sig").alias("q2"), *more)
 
@@ -100,16 +124,16 @@ def rank_pairs(spark: SparkSession, d: str) -> DataFrame:
 _COMPLEX = "1 - abs(a.complexity - b.complexity) / greatest(a.complexity, b.complexity, 1.0)"
 
 
-@query(f"""SELECT *, round((table_similarity + column_similarity + function_similarity + join_similarity + intent_similarity + complexity_similarity + canonical_similarity + semantic_similarity) / 8, 3) AS mean FROM (
-SELECT {IDS}, round({sql_jaccard('tables')}, 6) AS table_similarity, round({sql_jaccard('columns')}, 6) AS column_similarity, round({sql_jaccard('functions')}, 6) AS function_similarity, round({sql_jaccard('joins')}, 6) AS join_similarity,
-CAST(a.intent = b.intent AS DOUBLE) AS intent_similarity, round({_COMPLEX}, 6) AS complexity_similarity, CAST(a.canonical = b.canonical AS DOUBLE) AS canonical_similarity, CAST(a.semantic_hash = b.semantic_hash AS DOUBLE) AS semantic_similarity FROM {CANDIDATES})""")
+@query(f"""SELECT *, round((table_similarity + column_similarity + function_similarity + operation_similarity + join_similarity + intent_similarity + type_similarity + complexity_similarity + canonical_similarity + semantic_similarity) / 10, 3) AS mean FROM (
+SELECT {IDS}, round({sql_jaccard('tables')}, 6) AS table_similarity, round({sql_jaccard('columns')}, 6) AS column_similarity, round({sql_jaccard('functions')}, 6) AS function_similarity, round({sql_jaccard('operations')}, 6) AS operation_similarity, round({sql_jaccard('joins')}, 6) AS join_similarity,
+CAST(a.intent = b.intent AS DOUBLE) AS intent_similarity, CAST(a.statement = b.statement AS DOUBLE) AS type_similarity, round({_COMPLEX}, 6) AS complexity_similarity, CAST(a.canonical = b.canonical AS DOUBLE) AS canonical_similarity, CAST(a.semantic_hash = b.semantic_hash AS DOUBLE) AS semantic_similarity FROM {CANDIDATES})""")
 def query_pair_features(spark: SparkSession, d: str) -> DataFrame:
     same = lambda f: (F.col(f"a.{f}") == F.col(f"b.{f}")).cast("double")
     x, y = P.both("complexity")
-    each = {"table_similarity": P.jaccard(*P.both("tables")), "column_similarity": P.jaccard(*P.both("columns")), "function_similarity": P.jaccard(*P.both("functions")), "join_similarity": P.jaccard(*P.both("joins")),
-            "intent_similarity": same("intent"), "complexity_similarity": 1 - F.abs(x - y) / F.greatest(x, y, F.lit(1.0)), "canonical_similarity": same("canonical"), "semantic_similarity": same("semantic_hash")}
+    each = {"table_similarity": P.jaccard(*P.both("tables")), "column_similarity": P.jaccard(*P.both("columns")), "function_similarity": P.jaccard(*P.both("functions")), "operation_similarity": P.jaccard(*P.both("operations")), "join_similarity": P.jaccard(*P.both("joins")),
+            "intent_similarity": same("intent"), "type_similarity": same("statement"), "complexity_similarity": 1 - F.abs(x - y) / F.greatest(x, y, F.lit(1.0)), "canonical_similarity": same("canonical"), "semantic_similarity": same("semantic_hash")}
     t = ids(P.candidates(sigs(spark, d)), *(r(v, k) for k, v in each.items()))
-    return t.select("*", r(sum((F.col(k) for k in each), F.lit(0.0)) / 8, "mean", 3))
+    return t.select("*", r(sum((F.col(k) for k in each), F.lit(0.0)) / 10, "mean", 3))
 
 
 def sql_diff(f: str) -> str:
@@ -146,20 +170,21 @@ def embedding_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 _KEPT = "basic >= 0.4 AND (basic * 0.4 + semantics * 0.6 >= 0.5 OR semantics >= 0.7)"
+_EVERY = f"(SELECT CAST(a.n * b.n AS BIGINT) AS pairs, basic, semantics FROM {SCORED} UNION ALL SELECT pairs, basic, semantics FROM {WITHIN})"
 
 
-@query(f"SELECT CAST(sum(a.n * b.n) AS BIGINT) AS compatible, CAST(sum(a.n * b.n) FILTER (basic >= 0.4) AS BIGINT) AS structural, CAST(sum(a.n * b.n) FILTER ({_KEPT}) AS BIGINT) AS by_vector, round(100.0 * sum(a.n * b.n) FILTER ({_KEPT}) / sum(a.n * b.n), 4) AS kept_share FROM {SCORED}")
+@query(f"SELECT CAST(sum(pairs) AS BIGINT) AS compatible, CAST(sum(pairs) FILTER (basic >= 0.4) AS BIGINT) AS structural, CAST(sum(pairs) FILTER ({_KEPT}) AS BIGINT) AS by_vector, round(100.0 * sum(pairs) FILTER ({_KEPT}) / sum(pairs), 4) AS kept_share FROM {_EVERY}")
 def stage_funnel(spark: SparkSession, d: str) -> DataFrame:
-    n, first = F.col("a.n") * F.col("b.n"), F.col("basic") >= 0.4
+    n, first = P.pair_count(), F.col("basic") >= 0.4
     second = first & P.gate(F.col("basic"), F.col("semantics"))
     every, kept = F.sum(n), F.sum(F.when(second, n))
-    return scored(spark, d).agg(every.alias("compatible"), F.sum(F.when(first, n)).alias("structural"), kept.alias("by_vector"), F.round(kept * 100.0 / every, 4).alias("kept_share"))
+    return every_pair(spark, d).agg(every.alias("compatible"), F.sum(F.when(first, n)).alias("structural"), kept.alias("by_vector"), F.round(kept * 100.0 / every, 4).alias("kept_share"))
 
 
-@query(f"SELECT CAST(sum(a.n * b.n) AS BIGINT) AS pairs, CAST(sum(a.n * b.n) * 50 AS BIGINT) AS tokens, round(sum(a.n * b.n) * 50 * 0.002 / 1000, 6) AS cost FROM {SCORED} WHERE {_KEPT}")
+@query(f"SELECT CAST(sum(pairs) AS BIGINT) AS pairs, CAST(sum(pairs) * 50 AS BIGINT) AS tokens, round(sum(pairs) * 50 * 0.002 / 1000, 6) AS cost FROM {_EVERY} WHERE {_KEPT}")
 def token_cost_rollup(spark: SparkSession, d: str) -> DataFrame:
-    n = F.sum(F.col("a.n") * F.col("b.n"))
-    kept = scored(spark, d).where((F.col("basic") >= 0.4) & P.gate(F.col("basic"), F.col("semantics")))
+    n = F.sum(P.pair_count())
+    kept = every_pair(spark, d).where((F.col("basic") >= 0.4) & P.gate(F.col("basic"), F.col("semantics")))
     return kept.agg(n.alias("pairs"), (n * 50).alias("tokens"), F.round(n * 50 * 0.002 / 1000, 6).alias("cost"))
 
 
@@ -168,8 +193,18 @@ def structure_vector(spark: SparkSession, d: str) -> DataFrame:
     return sigs(spark, d).select("sig", F.concat_ws(" ", F.transform(P.structure_vector(), lambda v: F.round(v * 10000).cast("long").cast("string"))).alias("vector"))
 
 
-@query(f"SELECT q1, q2, round(final, 6) AS final, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY q1 ORDER BY final DESC, q2) AS INT) AS place FROM (SELECT {IDS}, round(final, 9) AS final FROM {SCORED})) WHERE place = 1")
+_REPORTED = f"(SELECT report_id, sig, min(query_id) AS q, count(*) AS n FROM {FEATURES} f JOIN (SELECT {', '.join(P.FEATURES)}, sig FROM {SIGS}) g USING ({', '.join(P.FEATURES)}) GROUP BY 1, 2)"
+_MET = f"(SELECT a.sig AS s1, b.sig AS s2, final FROM {SCORED} UNION ALL SELECT b.sig, a.sig, final FROM {SCORED} UNION ALL SELECT sig, sig, final FROM {WITHIN})"
+
+
+@query(f"""SELECT r1, r2, q1, q2, round(final, 6) AS final FROM (SELECT *, row_number() OVER (PARTITION BY r1, r2 ORDER BY final DESC, q1, q2) AS place FROM (
+SELECT x.report_id AS r1, y.report_id AS r2, x.q AS q1, y.q AS q2, round(s.final, 9) AS final FROM {_MET} s JOIN {_REPORTED} x ON x.sig = s.s1 JOIN {_REPORTED} y ON y.sig = s.s2 WHERE s.final >= {BEST} AND x.report_id < y.report_id)) WHERE place = 1""")
 def best_query_pair_per_report_pair(spark: SparkSession, d: str) -> DataFrame:
-    """The best partner of each signature; the key of the group is what the caller joins reports by."""
-    best = ids(scored(spark, d), F.round("final", 9).alias("final")).groupBy("q1").agg(F.max(F.struct("final", (-F.col("q2")).alias("m"))).alias("b"))
-    return best.select("q1", (-F.col("b.m")).alias("q2"), F.round("b.final", 6).alias("final"), F.lit(1).alias("place"))
+    """Of two reports the best pair of their queries, from BEST up; the smallest ids on a tie."""
+    f = featured(spark, d)
+    of = f.select("query_id", "report_id").join(P.members(f), "query_id").groupBy("report_id", "sig").agg(F.min("query_id").alias("q"))
+    one = every_pair(spark, d).where(F.col("final") >= BEST).select(F.col("a.sig").alias("s1"), F.col("b.sig").alias("s2"), F.round("final", 9).alias("final"))
+    met = one.union(one.where("s1 <> s2").select("s2", "s1", "final"))
+    j = met.join(of.toDF("r1", "s1", "q1"), "s1").join(of.toDF("r2", "s2", "q2"), "s2").where("r1 < r2")
+    best = j.groupBy("r1", "r2").agg(F.max(F.struct("final", (-F.col("q1")).alias("m1"), (-F.col("q2")).alias("m2"))).alias("b"))
+    return best.select("r1", "r2", (-F.col("b.m1")).alias("q1"), (-F.col("b.m2")).alias("q2"), F.round("b.final", 6).alias("final"))

@@ -12,7 +12,7 @@ from reportmill.plans import querypairs
 from reportmill.plans.querylog import FEATURES, featured
 from reportmill.plans.registry import query
 from reportmill.plans.rules import CALC, CALC_TYPE, PURPOSE, C, I, P, Q, sql_keyword_domain, sql_table_domain
-from reportmill.sources.corpus import load
+from reportmill.sources.corpus import load, oracle
 
 _NONE = "CAST([] AS VARCHAR[])"
 CONTEXT = rf"""(SELECT c.report_id, 'DB' || c.report_id % 7 AS database, coalesce(p.purposes, {_NONE}) AS purposes, coalesce(p.filters, {_NONE}) AS filters, coalesce(i.calculations, {_NONE}) AS calculations, coalesce(i.fields, {_NONE}) AS fields,
@@ -147,26 +147,40 @@ def savings_estimate(spark: SparkSession, d: str) -> DataFrame:
     return R.savings(R.cluster_table(pairs(spark, d)))
 
 
-@query(f"SELECT r1, r2, round(overall, 1) AS v FROM {PAIRS} UNION ALL SELECT r2, r1, round(overall, 1) FROM {PAIRS} UNION ALL SELECT DISTINCT report_id, report_id, 100.0 FROM {_EACH}")
+_CELLS = f"(SELECT r1, r2, round(overall, 1) AS v FROM {PAIRS} UNION ALL SELECT r2, r1, round(overall, 1) FROM {PAIRS} UNION ALL SELECT DISTINCT report_id, report_id, 100.0 FROM {_EACH})"
+SQUARE = f"WITH c AS MATERIALIZED (SELECT r1, r2, v FROM {_CELLS}), n AS (SELECT DISTINCT r1 AS r FROM c) SELECT x.r AS report, string_agg(printf('%.1f', coalesce(v, 0.0)), ',' ORDER BY y.r) AS cells FROM n x CROSS JOIN n y LEFT JOIN c ON c.r1 = x.r AND c.r2 = y.r GROUP BY x.r"
+
+
+def square(spark: SparkSession, d: str) -> DataFrame:
+    return R.matrix(pairs(spark, d)).select("report", F.concat_ws(",", F.transform("cells", lambda v: F.format_string("%.1f", v))).alias("cells"))
+
+
+@query(SQUARE)
 def pivot_similarity_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """The long form, which holds for any number of reports; `reports.matrix` pivots it up to 200."""
+    """The square matrix, a row a report."""
+    return square(spark, d)
+
+
+@query(f"SELECT r1, r2, v FROM {_CELLS}")
+def similarity_matrix_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The same matrix in long form, without its zeros."""
     return R.matrix_cells(pairs(spark, d))
 
 
-QUERY_SIDE = f"""(SELECT least(x.report_id, y.report_id) AS r1, greatest(x.report_id, y.report_id) AS r2, max(round(s.final * 100, 6)) AS score FROM (SELECT a.sig AS q1, b.sig AS q2, final FROM {querypairs.SCORED} WHERE final >= 0.8) s
+QUERY_SIDE = f"""(SELECT least(x.report_id, y.report_id) AS r1, greatest(x.report_id, y.report_id) AS r2, max(round(s.final * 100, 6)) AS score FROM (SELECT a.sig AS q1, b.sig AS q2, final FROM {querypairs.SCORED} WHERE final >= 0.8 UNION ALL SELECT sig, sig, final FROM {querypairs.WITHIN} WHERE final >= 0.8) s
 JOIN (SELECT DISTINCT f.report_id, g.sig FROM {FEATURES} f JOIN {querypairs.SIGS} g USING (tables, columns, functions, joins, filters, aggregations)) x ON x.sig = s.q1
 JOIN (SELECT DISTINCT f.report_id, g.sig FROM {FEATURES} f JOIN {querypairs.SIGS} g USING (tables, columns, functions, joins, filters, aggregations)) y ON y.sig = s.q2 WHERE x.report_id <> y.report_id GROUP BY ALL)"""
 
 
 def query_side(spark: SparkSession, d: str, least: float = 0.8) -> DataFrame:
-    """The second scoring: of two reports, their best pair of different queries, from least up."""
+    """The second scoring: of two reports, their best pair of queries, from least up. A signature that both have is such a pair."""
     f = featured(spark, d)
     from reportmill.operators import pairs as QP
 
     sig = QP.signatures(f)
     key = F.to_json(F.struct(*QP.FEATURES))
     of = f.select("report_id", key.alias("k")).distinct().join(sig.select("sig", key.alias("k")), "k").select("report_id", "sig")
-    s = QP.scored(sig).where(F.col("final") >= least).select(F.col("a.sig").alias("q1"), F.col("b.sig").alias("q2"), F.round(F.col("final") * 100, 6).alias("score"))
+    s = QP.scored(sig).unionByName(QP.within(sig)).where(F.col("final") >= least).select(F.col("a.sig").alias("q1"), F.col("b.sig").alias("q2"), F.round(F.col("final") * 100, 6).alias("score"))
     x, y = of.toDF("x", "q1"), of.toDF("y", "q2")
     j = s.join(x, "q1").join(y, "q2").where("x <> y")
     return j.groupBy(F.least("x", "y").alias("r1"), F.greatest("x", "y").alias("r2")).agg(F.max("score").alias("score"))
@@ -185,10 +199,10 @@ def all_pair_keys(spark: SparkSession, d: str) -> DataFrame:
     return pairs(spark, d).select("r1", "r2").union(query_side(spark, d).select("r1", "r2")).distinct()
 
 
-@query(f"WITH q AS (SELECT report_id, string_agg(CAST(query_id AS VARCHAR), ',' ORDER BY query_id) AS ids FROM {Q} GROUP BY 1) SELECT p.r1, p.r2, x.ids AS queries1, y.ids AS queries2 FROM (SELECT * FROM {PAIRS} WHERE overall >= 80) p LEFT JOIN q x ON x.report_id = p.r1 LEFT JOIN q y ON y.report_id = p.r2")
+@query(f"WITH q AS (SELECT report_id, string_agg(CAST(query_id AS VARCHAR), ',' ORDER BY query_id) AS ids FROM {Q} GROUP BY 1) SELECT p.r1, p.r2, x.ids AS queries1, y.ids AS queries2 FROM {PAIRS} p LEFT JOIN q x ON x.report_id = p.r1 LEFT JOIN q y ON y.report_id = p.r2")
 def pair_with_queries(spark: SparkSession, d: str) -> DataFrame:
     q = load(spark, d, "report_query").groupBy("report_id").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list("query_id")), lambda x: x.cast("string"))).alias("ids"))
-    p = pairs(spark, d).where(F.col("overall") >= R.HIGH)
+    p = pairs(spark, d)
     x, y = q.toDF("r1", "queries1"), q.toDF("r2", "queries2")
     return p.join(x, "r1", "left").join(y, "r2", "left").select("r1", "r2", "queries1", "queries2")
 
@@ -245,22 +259,20 @@ def reports_by_complexity(spark: SparkSession, d: str) -> DataFrame:
     return numbered(report_inventory(spark, d).select("report_id", "items"), "place", F.desc("items"), "report_id")
 
 
-@query(f"SELECT param_name FROM {P} WHERE report_id % 2 = 0 INTERSECT SELECT param_name FROM {P} WHERE report_id % 2 = 1")
+_D = oracle("report_dataset")
+
+
+@query(f"SELECT dataset_name FROM {_D} WHERE report_id % 2 = 0 INTERSECT SELECT dataset_name FROM {_D} WHERE report_id % 2 = 1")
 def common_datasets(spark: SparkSession, d: str) -> DataFrame:
-    """Names that both halves of the catalogue use."""
-    p = load(spark, d, "report_param")
-    return p.where("report_id % 2 = 0").select("param_name").intersect(p.where("report_id % 2 = 1").select("param_name"))
+    """Names of datasets that both halves of the catalogue have."""
+    p = load(spark, d, "report_dataset")
+    return p.where("report_id % 2 = 0").select("dataset_name").intersect(p.where("report_id % 2 = 1").select("dataset_name"))
 
 
-@query(f"""WITH s AS (SELECT a.report_id AS r1, b.report_id AS r2, 40 AS p FROM {P} a JOIN {P} b ON a.param_name = b.param_name AND a.report_id < b.report_id GROUP BY 1, 2
-UNION ALL SELECT a.report_id, b.report_id, 30 * count(DISTINCT a.sql_text) FROM {Q} a JOIN {Q} b ON a.sql_text = b.sql_text AND a.report_id < b.report_id GROUP BY 1, 2)
-SELECT r1, r2, CAST(least(100, sum(p)) AS BIGINT) AS score FROM s GROUP BY 1, 2""")
-def report_pair_structural(spark: SparkSession, d: str) -> DataFrame:
-    """40 for a common name, 30 for each equal query, at most 100."""
-    p, q = load(spark, d, "report_param").select("report_id", "param_name").distinct(), load(spark, d, "report_query").select("report_id", "sql_text").distinct()
+_SETS = f"(SELECT report_id, list_distinct(list(dataset_name)) AS names, list_distinct(list(dataset_name || '|' || sql_text)) AS texts, list_distinct(list(source_name)) AS sources, list_distinct(list(item_name)) AS items FROM {_D} GROUP BY 1)"
 
-    def met(x: DataFrame, key: str) -> DataFrame:
-        return x.toDF("r1", key).join(x.toDF("r2", key), key).where("r1 < r2").groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n"))
 
-    s = met(p, "param_name").select("r1", "r2", F.lit(40).cast("long").alias("p")).union(met(q, "sql_text").select("r1", "r2", F.col("n") * 30))
-    return s.groupBy("r1", "r2").agg(F.least(F.lit(100).cast("long"), F.sum("p")).alias("score"))
+@query(f"""SELECT * FROM (SELECT a.report_id AS r1, b.report_id AS r2, CAST(least(100, CASE WHEN list_has_any(a.names, b.names) THEN 40 + 30 * len(list_intersect(a.texts, b.texts)) ELSE 0 END
++ CASE WHEN list_has_any(a.sources, b.sources) THEN 20 ELSE 0 END + CASE WHEN list_has_any(a.items, b.items) THEN 10 ELSE 0 END) AS BIGINT) AS score FROM {_SETS} a JOIN {_SETS} b ON a.report_id < b.report_id) WHERE score > 0""")
+def report_pair_structural(spark: SparkSession, d: str) -> DataFrame:
+    return R.structural(load(spark, d, "report_dataset"))

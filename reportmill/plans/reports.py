@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from reportmill.operators import measures, validation
 from reportmill.plans.registry import query, table
+from reportmill.plans.rules import Q
+from reportmill.sources import reportxml
+
+SOUND = "report_id % 50 <> 49"
 
 
 @query("SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 4) AS total, round(avg(o_totalprice), 6) AS mean FROM orders GROUP BY ALL")
@@ -93,8 +97,16 @@ def report_sales_revenue(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.round(F.col("l_quantity") * F.col("l_extendedprice"), 4).alias("revenue"), F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias("shipped"))
 
 
-@query("SELECT p_partkey, p_brand, p_size FROM part WHERE p_size BETWEEN 5 AND 20 AND p_retailprice > 950 AND p_brand IN ('Brand#11', 'Brand#12', 'Brand#23')")
+@query(f"SELECT report_id, 'DS' || query_id AS dataset, p_partkey, p_brand FROM {Q} JOIN part ON p_partkey = query_id WHERE {SOUND} AND query_id % 2 = 0")
 def apply_report_filters(spark: SparkSession, d: str) -> DataFrame:
+    """The filters that the reports' datasets declare, extracted from their files and run: field A is the part's key."""
+    filters = reportxml.filters(reportxml.shred(reportxml.derived(spark, d)))
+    rows = table(spark, d, "part").select("p_partkey", "p_brand")
+    return measures.run_filters(rows, {"A": "p_partkey"}, filters).select("report_id", "dataset", "p_partkey", "p_brand")
+
+
+@query("SELECT p_partkey, p_brand, p_size FROM part WHERE p_size BETWEEN 5 AND 20 AND p_retailprice > 950 AND p_brand IN ('Brand#11', 'Brand#12', 'Brand#23')")
+def apply_given_filters(spark: SparkSession, d: str) -> DataFrame:
     filters = [("p_size", "Between", (5, 20)), ("p_retailprice", "GreaterThan", (950,)), ("p_brand", "In", ("Brand#11", "Brand#12", "Brand#23"))]
     return measures.apply_filters(table(spark, d, "part"), filters).select("p_partkey", "p_brand", "p_size")
 

@@ -11,9 +11,9 @@ from reportmill.operators import pairs as QP
 from reportmill.operators.shared import checkpoint_dir
 from reportmill.plans.querylog import featured
 from reportmill.plans.querypairs import SCORED
-from reportmill.plans.registry import query
-from reportmill.plans.rules import Q
-from reportmill.sources.corpus import load
+from reportmill.plans.registry import query, table
+from reportmill.plans.rules import C, Q
+from reportmill.sources import reportxml as X
 from reportmill.streaming import jobs
 
 
@@ -28,12 +28,17 @@ def written(df: DataFrame, files: int = 4) -> str:
     return folder
 
 
-@query(f"SELECT md5(sql_text) AS h, count(*) AS n FROM (SELECT DISTINCT sql_text FROM {Q}) GROUP BY 1")
+@query(f"SELECT report_id, schema_year AS year, (SELECT count(*) FROM {Q} q WHERE q.report_id = c.report_id) AS datasets, 1::BIGINT AS times FROM {C} c WHERE report_id % 50 <> 49")
 def stream_ingest_reports(spark: SparkSession, d: str) -> DataFrame:
-    """Each content arrives once, however many queries repeat it."""
-    rows = load(spark, d, "report_query").select(F.md5("sql_text").alias("h"), F.lit("2024-01-01").cast("timestamp").alias("at"))
-    stream = jobs.distinct_content(jobs.file_stream(spark, written(rows), "*.parquet"), "h", "at")
-    return jobs.run_to_table(stream.select("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    """Report files arrive, every tenth a second time under another name; each content is shredded once, and the sound ones stay."""
+    folder, texts = f"{checkpoint_dir(spark)}/arriving-{uuid.uuid4().hex}", X.derived(spark, d)
+    again = texts.where("report_id % 10 = 0").withColumn("report_id", -1 - F.col("report_id"))
+    X.write_files(texts.unionByName(again), folder)
+    files = X.stream_files(spark, folder).withColumn("h", F.md5("content"))
+    once = X.sound(X.shred(jobs.distinct_content(files, "h", "modificationTime")))
+    rows = jobs.run_to_table(once.select("year", F.col("r.DataSets.DataSet._Name").alias("names")))
+    report = F.floor(F.substring(F.col("names")[0], 3, 20).cast("long") / 4)
+    return rows.groupBy(report.alias("report_id"), "year").agg(F.max(F.size("names")).cast("long").alias("datasets"), F.count(F.lit(1)).alias("times"))
 
 
 @query(f"SELECT CASE WHEN a.sig % 2 = 0 THEN a.sig ELSE b.sig END AS new_sig, CASE WHEN a.sig % 2 = 0 THEN b.sig ELSE a.sig END AS old_sig, round(final, 6) AS final FROM {SCORED} WHERE a.sig % 2 <> b.sig % 2 AND final >= 0.5")
@@ -43,28 +48,39 @@ def stream_match_new(spark: SparkSession, d: str) -> DataFrame:
     stored, folder = sigs.where("sig % 2 <> 0"), written(sigs.where("sig % 2 = 0"))
 
     def match(batch: DataFrame, n: int, path: str) -> None:
-        both = QP.scored(batch.select(*stored.columns).unionByName(stored)).where((F.col("a.sig") % 2 != F.col("b.sig") % 2) & (F.col("final") >= 0.5))
-        new = F.col("a.sig") % 2 == 0
-        out = both.select(F.when(new, F.col("a.sig")).otherwise(F.col("b.sig")).alias("new_sig"), F.when(new, F.col("b.sig")).otherwise(F.col("a.sig")).alias("old_sig"), F.round("final", 6).alias("final"))
-        out.write.mode("append").parquet(path)
+        met = QP.scored(batch.select(*stored.columns), others=stored).where("final >= 0.5")
+        met.select(F.col("a.sig").alias("new_sig"), F.col("b.sig").alias("old_sig"), F.round("final", 6).alias("final")).write.mode("overwrite").parquet(path)
 
     return jobs.run_to_table(jobs.file_stream(spark, folder, "*.parquet"), each=match)
 
 
-@query("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS hour, user_id, count(*) AS done, count(*) FILTER (event_type = 'error') AS errors, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+@query("""WITH e AS (SELECT *, event_id % 50 = 0 AS late FROM events), m AS (SELECT max(ts) FILTER (NOT late AND epoch_us(ts) <= (SELECT CAST(floor(avg(epoch_us(ts))) AS BIGINT) FROM events)) - INTERVAL 1 HOUR AS second, max(ts) - INTERVAL 1 HOUR AS last FROM e),
+w AS (SELECT *, unnest([time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE, time_bucket(INTERVAL 30 MINUTE, ts)]) AS start FROM e)
+SELECT strftime(start, '%Y-%m-%d %H:%M') AS window_start, user_id, count(*) AS done, count(*) FILTER (event_type = 'error') AS errors, round(sum(value), 4) AS total
+FROM w, m WHERE (NOT late OR start + INTERVAL 1 HOUR > second) AND start + INTERVAL 1 HOUR <= last GROUP BY 1, 2""")
 def stream_progress(spark: SparkSession, d: str) -> DataFrame:
-    rows = jobs.run_to_table(jobs.windowed(events(spark, d), "ts", "user_id", "1 hour", delay="0 seconds"), "complete")
-    return rows.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("hour"), "user_id", "done", "errors", "total")
+    """Windows of an hour, every half hour. Every fiftieth event comes after all others; of these, Spark drops what is late by the
+    watermark of the batch before the last, which the first half of the log has set."""
+    rows, folder = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), f"{checkpoint_dir(spark)}/arriving-{uuid.uuid4().hex}"
+    middle = rows.agg(F.timestamp_micros(F.floor(F.avg(F.unix_micros("ts"))).cast("long"))).first()[0]
+    for part in ((F.col("event_id") % 50 != 0) & (F.col("ts") <= middle), (F.col("event_id") % 50 != 0) & (F.col("ts") > middle), F.col("event_id") % 50 == 0):
+        rows.where(part).coalesce(1).write.mode("append").parquet(folder)  # files arrive in this order
+    done = jobs.run_to_table(jobs.windowed(jobs.file_stream(spark, folder, "*.parquet", at_once=1), "ts", "user_id", "1 hour", "30 minutes", "1 hour"))
+    return done.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "user_id", "done", "errors", "total")
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-s AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, epoch_us(min(ts)) AS session_start, count(*) AS n FROM s GROUP BY user_id, k""")
+s AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g), t AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL 30 MINUTE AS b, count(*) AS n FROM s GROUP BY user_id, k)
+SELECT user_id, epoch_us(a) AS session_start, n FROM t WHERE b <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    rows = jobs.run_to_table(jobs.sessions(events(spark, d), "ts", "user_id"), "complete")
+    """Sessions that the watermark has closed; the last ones of the log stay open."""
+    rows = jobs.run_to_table(jobs.sessions(events(spark, d), "ts", "user_id"))
     return rows.select("user_id", F.unix_micros("session_start").alias("session_start"), "n")
 
 
-@query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1")
+@query("SELECT user_id, count(*) FILTER (event_type <> 'error') AS hits, count(*) FILTER (event_type = 'error') AS misses FROM events GROUP BY 1")
 def stream_store_stats(spark: SparkSession, d: str) -> DataFrame:
-    g = events(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
-    return jobs.run_to_table(g, "complete")
+    """Running hits and misses by key: each batch writes the keys it changed."""
+    folder = written(table(spark, d, "events").select("user_id", "event_type"))
+    g = jobs.file_stream(spark, folder, "*.parquet", at_once=1).groupBy("user_id").agg(F.count_if(F.col("event_type") != "error").alias("hits"), F.count_if(F.col("event_type") == "error").alias("misses"))
+    return jobs.run_to_table(g, "update", keys=["user_id"])

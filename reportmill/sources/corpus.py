@@ -41,6 +41,8 @@ SQL = {
         f"concat('Data Source=SRV', CAST(report_id % 5 AS {{text}}), ';Initial Catalog=DB', CAST(report_id % 7 AS {{text}})) AS connect_string FROM (SELECT DISTINCT {_ID} AS report_id FROM {{part}}) r"
     ),
     "report_param": f"SELECT {_ID} AS report_id, {_case('p_size % 8', PARAMS)} AS param_name, CASE WHEN p_size % 8 < 2 THEN 'DateTime' WHEN p_size % 8 = 7 THEN 'Integer' ELSE 'String' END AS data_type FROM {{part}} WHERE p_partkey % 3 = 0",
+    "report_dataset": f"SELECT {_ID} AS report_id, concat('Set', CAST(p_size % 25 AS {{text}}), '_', CAST(p_partkey % 7 AS {{text}})) AS dataset_name, CASE p_partkey % 6 " + " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(_TEXTS)) + " END AS sql_text, concat('SRV', CAST(floor(p_partkey / 4) % 5 AS {text}), '.', CAST(floor(p_partkey / 4) % 97 AS {text})) AS source_name, concat('txt', CAST(p_partkey % 150 AS {text})) AS item_name FROM {part}",
+    "dataset_field": "SELECT p_partkey AS query_id, field_name, CASE WHEN field_name <> 'A' THEN concat('=Fields!A.Value * ', CAST(p_size AS {text})) END AS expression FROM (SELECT p_partkey, p_size, 'A' AS field_name FROM {part} UNION ALL SELECT p_partkey, p_size, 'B' FROM {part} WHERE p_partkey % 5 = 0 UNION ALL SELECT p_partkey, p_size, 'C' FROM {part} WHERE p_partkey % 15 = 0) f",
     "report_item": f"SELECT {_ID} AS report_id, concat('txt', CAST(p_partkey AS {{text}})) AS item_name, CASE p_size % 5 WHEN 0 THEN 'Table' WHEN 1 THEN 'Chart' ELSE 'TextBox' END AS item_type, {_case('p_size % 6', EXPRESSIONS)} AS expression FROM {{part}}",
 }
 

@@ -41,6 +41,18 @@ def scan_files(spark: SparkSession, folder: str, glob: str = "*.rdl") -> DataFra
     return files.select("path", "modificationTime", "length", F.decode("content", "UTF-8").alias("content"))
 
 
+def write_files(reports: DataFrame, folder: str) -> None:
+    """One .rdl file a row of (report_id, content), in a folder of its report."""
+    lines = reports.select("report_id", "content").repartition("report_id").write.partitionBy("report_id")
+    lines.option("extension", "rdl").option("quote", "").option("sep", "\u0001").option("maxRecordsPerFile", 1).csv(folder)
+
+
+def stream_files(spark: SparkSession, folder: str, glob: str = "*.rdl", at_once: int = 400) -> DataFrame:
+    """The same as a stream of (path, modificationTime, content): files are rows once they arrive."""
+    files = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", True).option("maxFilesPerTrigger", at_once).load(folder)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modificationTime"), F.col("value").alias("content"))
+
+
 def shred(reports: DataFrame, content: str = "content") -> DataFrame:
     """reports with `r`, the nested report, and the schema year of its namespace."""
     parsed = F.from_xml(F.col(content), SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
@@ -100,8 +112,9 @@ def _items() -> Column:
 def items(shredded: DataFrame) -> DataFrame:
     """Tables, charts and text boxes as one set."""
     t = sound(shredded).select("report_id", _items().alias("i"))
-    part = lambda c, kind: t.select("report_id", F.explode(f"i.{c}").alias("x")).select("report_id", F.col("x._Name").alias("item_name"), F.lit(kind).alias("item_type"))
-    return part("Tablix", "Table").unionByName(part("Chart", "Chart")).unionByName(part("Textbox", "TextBox"))
+    none = F.array().cast("array<struct<item_name:string,item_type:string>>")
+    part = lambda c, kind: F.coalesce(F.transform(f"i.{c}", lambda x: F.struct(x["_Name"].alias("item_name"), F.lit(kind).alias("item_type"))), none)
+    return t.select("report_id", F.inline(F.concat(part("Tablix", "Table"), part("Chart", "Chart"), part("Textbox", "TextBox"))))
 
 
 def _tables(shredded: DataFrame) -> DataFrame:

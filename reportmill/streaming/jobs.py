@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from reportmill.operators.shared import checkpoint_dir
 
 
-def run_to_table(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int, str], None] | None = None) -> DataFrame:
+def run_to_table(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int, str], None] | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Runs a stream over all that is available and returns the rows it wrote.
 
-    In append mode batches are added to a parquet table. In complete and update mode a batch replaces the rows of its keys,
-    so the batches are kept by number and the last one counts (complete). Progress is kept in the shared folder, so a
-    restarted run goes on where it was.
+    In append mode batches are added to a parquet table, so state goes with the watermark and only new rows are written. In
+    update mode a batch holds the rows of the keys it changed; of each key the row of the latest batch counts. Progress is
+    kept in the shared folder, so a restarted run goes on where it was; a batch that is written again replaces itself.
     """
     spark = stream.sparkSession
     root = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -24,24 +24,25 @@ def run_to_table(stream: DataFrame, mode: str = "append", each: Callable[[DataFr
     if each is not None or mode != "append":
         def write(df: DataFrame, n: int) -> None:
             if each is not None:
-                each(df, n, f"{root}/rows")
+                each(df, n, f"{root}/rows/_batch={n}")
             else:
-                df.withColumn("_batch", F.lit(n)).write.mode("append").parquet(f"{root}/rows")
+                df.write.mode("overwrite").parquet(f"{root}/rows/_batch={n}")
         q = w.outputMode(mode).foreachBatch(write).start()
     else:
         q = w.outputMode("append").format("parquet").option("path", f"{root}/rows").start()
     q.awaitTermination()
     rows = spark.read.parquet(f"{root}/rows")
-    if mode == "complete":
-        last = rows.agg(F.max("_batch")).first()[0]
-        rows = rows.where(F.col("_batch") == last).drop("_batch")
-    return rows
+    if mode == "update":
+        rest = [c for c in rows.columns if c not in (*keys, "_batch")]
+        last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("last"))
+        return last.select(*keys, "last.*")
+    return rows.drop("_batch")
 
 
-def file_stream(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+def file_stream(spark: SparkSession, path: str, pattern: str, at_once: int = 16) -> DataFrame:
     """A stream over a table of parquet files; new files are new rows."""
     schema = spark.read.parquet(f"{path}/{pattern}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", 16).parquet(path)
+    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", at_once).parquet(path)
 
 
 def distinct_content(stream: DataFrame, key: str, at: str, delay: str = "1 day") -> DataFrame:
@@ -53,7 +54,7 @@ def windowed(stream: DataFrame, at: str, key: str, window: str, slide: str | Non
     """Files done, errors and sizes of each key and time window; rows later than delay are dropped."""
     w = F.window(at, window, slide) if slide else F.window(at, window)
     g = stream.withWatermark(at, delay).groupBy(w.alias("w"), key).agg(F.count(F.lit(1)).alias("done"), F.count_if(F.col("event_type") == "error").alias("errors"), F.round(F.sum("value"), 4).alias("total"))
-    return g.select(F.col("w.start").alias("window_start"), key, "done", "errors", "total")
+    return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), key, "done", "errors", "total")
 
 
 def sessions(stream: DataFrame, at: str, key: str, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
