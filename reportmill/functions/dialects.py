@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Dialect, then weight, pattern on upper-case text, and sign; they decide the scores.
@@ -58,21 +58,21 @@ def signs(sql: Column) -> Column:
     return F.array_compact(F.array(*(F.when(u.rlike(p), f"{d} {name}") for d, rows in SIGNS.items() for _, p, name in rows)))
 
 
-def detect(sql: Column) -> tuple[Column, Column]:
-    """The dialect of the highest score, the first on a tie, and its share of all scores, times 1.2 on a strong sign.
+def detected(df: DataFrame, sql: str = "sql_text") -> DataFrame:
+    """df with dialect, that of the highest score, the first on a tie, and confidence, its share of all scores, times 1.2 on a strong sign.
 
-    Without any sign: ANSI SQL with confidence 0.
+    Without any sign: ANSI SQL with confidence 0. Each distinct text is looked at once.
     """
-    s = scores(sql)
-    best, total = F.greatest(*s.values()), sum(s.values(), F.lit(0))
-    dialect = F.when(best == 0, "ANSI SQL")
+    once = df.select(F.col(sql).alias("text")).distinct().withColumn("u", F.upper("text"))
+    once = once.select("text", "u", F.array(*scores(F.col("u")).values()).alias("s"))
+    best, total = F.array_max("s"), F.aggregate("s", F.lit(0), lambda a, x: a + x)
+    name = F.when(best == 0, "ANSI SQL").otherwise(F.get(F.array(*map(F.lit, SIGNS)), F.array_position("s", best).cast("int") - 1))
+    once = once.select("text", "u", name.alias("dialect"), F.coalesce(best / F.nullif(total, F.lit(0)), F.lit(0.0)).alias("share"))
     strong = F.lit(False)
-    for d, v in s.items():
-        dialect = dialect.when(v == best, d)
     for d, p in STRONG.items():
-        strong = strong | ((dialect == d) & F.upper(sql).rlike(p))
-    share = F.coalesce(best / F.nullif(total, F.lit(0)), F.lit(0.0))
-    return dialect, F.round(F.least(F.lit(1.0), share * F.when(strong, 1.2).otherwise(1.0)), 6)
+        strong = strong | ((F.col("dialect") == d) & F.col("u").rlike(p))
+    once = once.select("text", "dialect", F.round(F.least(F.lit(1.0), F.col("share") * F.when(strong, 1.2).otherwise(1.0)), 6).alias("confidence"))
+    return df.join(once, F.col(sql).eqNullSafe(F.col("text"))).drop("text")
 
 
 def quick(sql: Column) -> Column:

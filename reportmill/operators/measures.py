@@ -11,6 +11,10 @@ from pyspark.sql import Window as W
 from reportmill.operators.shared import cut, numbered
 
 
+#: Datasets without a filter for equal values that one block of questions holds.
+FILTER_BLOCK = 1000
+
+
 def basic(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Count, sum and average of value by group."""
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(value), 4).alias("total"), F.round(F.avg(value), 6).alias("mean"))
@@ -67,7 +71,8 @@ def run_filters(rows: DataFrame, fields: dict[str, str], filters: DataFrame) ->
     of a dataset. An expression names a field as =Fields!Name.Value; fields says which column that is.
 
     Filters that ask for equal values, most of them, meet the rows by an equi-join; a dataset's others are tested on what
-    is left. A dataset without such a filter meets all rows, which is its result's upper bound. Unknown fields match nothing.
+    is left. Datasets without such a filter are a stated set of questions to all rows, put in blocks of FILTER_BLOCK.
+    Unknown fields match nothing.
     """
     f = filters.select("report_id", "dataset", F.regexp_extract("expression", r"Fields!(\w+)\.Value", 1).alias("field"), "operator", "values")
     first = F.col("values")[0]
@@ -90,6 +95,9 @@ def run_filters(rows: DataFrame, fields: dict[str, str], filters: DataFrame) ->
     led = sets.where("lead IS NOT NULL").withColumn("want", F.explode(F.array_distinct("lead.wanted")))
     tall = rows.withColumn("_of", F.explode(F.array(*(F.struct(F.lit(k).alias("field"), F.col(c).cast("string").alias("value")) for k, c in fields.items()))))
     met = led.join(tall, (F.col("lead.field") == F.col("_of.field")) & (F.col("want") == F.col("_of.value")))
-    free = sets.where("lead IS NULL").join(rows, F.size("all") > 0)
+    alone = cut(sets.where("lead IS NULL"))
+    blocks = -(-alone.count() // FILTER_BLOCK)
+    alone = alone.withColumn("_block", F.pmod(F.xxhash64("report_id", "dataset"), F.lit(max(1, blocks))).cast("int"))
+    free = alone.join(rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(max(1, blocks) - 1)))), "_block")
     every = met.select("report_id", "dataset", "all", *rows.columns).unionByName(free.select("report_id", "dataset", "all", *rows.columns))
     return every.where(F.forall("all", passes)).drop("all")

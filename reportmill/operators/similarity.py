@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from reportmill.operators.shared import store
+from reportmill.operators.shared import cut, store
 
 # Words, patterns and calls that the keyword vector looks for.
 KEYWORDS = (
@@ -31,21 +32,27 @@ def words(text: Column) -> Column:
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str, least: float = 0.7) -> DataFrame:
     """(id1, id2, score): pairs of distinct word sets whose Jaccard overlap reaches least; sets are named by their smallest id.
 
-    Prefix filter: words are ordered from rare to frequent, and a pair at least must share one among the first
-    n - ceil(least * n) + 1 words of both. Equal sets are one row each, so copies never meet; lengths must agree as well.
+    Words are numbered by a hash and ordered from rare to frequent. A pair at least must share one among the first
+    n - ceil(least * n) + 1 words of both (prefix filter), and from the first shared one on enough words must follow in both
+    (positional filter). Sets meet by word and length class, classes being so wide that lengths in proportion are in the same
+    or the next one; so a frequent word's list is cut by length. Equal sets are one row each, so copies never meet.
     """
     sets = docs.select(F.col(id_col).alias("id"), F.array_sort(words(F.coalesce(F.col(text_col), F.lit("")))).alias("w")).where(F.size("w") > 0)
-    sets = sets.groupBy("w").agg(F.min("id").alias("id"))
-    each = sets.select("id", F.size("w").alias("n"), F.explode("w").alias("t"))
+    sets = cut(sets.groupBy("w").agg(F.min("id").alias("id")).select("id", F.transform("w", lambda x: F.xxhash64(x)).alias("w")))
+    each = sets.select("id", F.explode("w").alias("t"))
     freq = each.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    ranked = each.join(freq, "t").groupBy("id", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda s: s["t"]).alias("o"))
+    ranked = cut(each.join(freq, "t").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda s: s["t"]).alias("o")).withColumn("n", F.size("o")))
     keep = F.col("n") - F.ceil(F.col("n") * least) + 1
-    prefix = ranked.select("id", "n", F.explode(F.slice("o", F.lit(1), keep.cast("int"))).alias("t"))
-    a, b = prefix.toDF("id1", "n1", "t"), prefix.toDF("id2", "n2", "t")
-    near = a.join(b, "t").where((F.col("id1") < F.col("id2")) & (F.col("n2") >= F.col("n1") * least) & (F.col("n1") >= F.col("n2") * least)).select("id1", "id2").distinct()
-    s1, s2 = sets.select(F.col("id").alias("id1"), F.col("w").alias("w1")), sets.select(F.col("id").alias("id2"), F.col("w").alias("w2"))
-    j = near.join(s1, "id1").join(s2, "id2").withColumn("score", F.size(F.array_intersect("w1", "w2")) / F.size(F.array_union("w1", "w2")))
-    return j.where(F.col("score") >= least).select("id1", "id2", "score")
+    width = -math.log(least)
+    prefix = ranked.select("id", "n", F.floor(F.log("n") / width + 1e-9).cast("int").alias("c"), F.posexplode(F.slice("o", F.lit(1), keep.cast("int"))).alias("p", "t"))
+    a = prefix.select(F.col("id").alias("id1"), F.col("n").alias("n1"), F.col("p").alias("p1"), "t", F.explode(F.array(F.col("c") - 1, "c", F.col("c") + 1)).alias("c"))
+    b = prefix.toDF("id2", "n2", "c", "p2", "t")
+    enough = (F.col("n1") + F.col("n2")) * (least / (1 + least)) - 1e-9
+    near = a.join(b, ["t", "c"]).where((F.col("id1") < F.col("id2")) & (F.col("n2") >= F.col("n1") * least) & (F.col("n1") >= F.col("n2") * least) & (F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2")) >= enough)).select("id1", "id2").distinct()
+    s1, s2 = ranked.select(F.col("id").alias("id1"), F.col("o").alias("o1")), ranked.select(F.col("id").alias("id2"), F.col("o").alias("o2"))
+    both = F.size(F.array_intersect("o1", "o2"))
+    j = near.join(s1, "id1").join(s2, "id2").select("id1", "id2", both.alias("k"), (F.size("o1") + F.size("o2")).alias("n"))
+    return j.select("id1", "id2", (F.col("k") / (F.col("n") - F.col("k"))).alias("score")).where(F.col("score") >= least)
 
 
 def members(docs: DataFrame, id_col: str, text_col: str, salts: int = 256) -> DataFrame:

@@ -113,8 +113,7 @@ def dialect_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT * FROM {DETECTED}")
 def dialect_detect(spark: SparkSession, d: str) -> DataFrame:
-    dialect, confidence = D.detect(F.col("sql_text"))
-    return load(spark, d, "report_query").select("query_id", dialect.alias("dialect"), confidence.alias("confidence"))
+    return D.detected(load(spark, d, "report_query")).select("query_id", "dialect", "confidence")
 
 
 @query(f"SELECT query_id, {sql_cases([(sql_any('upper(sql_text)', w), quoted(k)) for k, w in D.QUICK], quoted('Standard SQL'))} AS dialect FROM {Q}")
@@ -153,8 +152,7 @@ def dialect_profile(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT x.dialect, f.intent_domain AS domain, count(*) AS n FROM {DETECTED} x JOIN {FEATURES} f USING (query_id) GROUP BY CUBE (x.dialect, f.intent_domain)")
 def reports_rollup(spark: SparkSession, d: str) -> DataFrame:
-    dialect, _ = D.detect(F.col("sql_text"))
-    return featured(spark, d).select(dialect.alias("dialect"), F.col("intent_domain").alias("domain")).cube("dialect", "domain").agg(F.count(F.lit(1)).alias("n"))
+    return D.detected(featured(spark, d)).select("dialect", F.col("intent_domain").alias("domain")).cube("dialect", "domain").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT (SELECT count(DISTINCT t) FROM (SELECT unnest(tables) AS t FROM {FEATURES})) AS tables, (SELECT count(DISTINCT t) FROM (SELECT unnest(columns) AS t FROM {FEATURES})) AS columns, (SELECT count(DISTINCT semantic_hash) FROM {FEATURES}) AS signatures")

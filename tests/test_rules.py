@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reportmill.functions import dialects, features, rules
-from reportmill.operators import graph, pairs, reports, similarity, store
+from reportmill.operators import graph, measures, pairs, reports, similarity, store
 
 
 def one(spark, column, **values):
@@ -47,8 +47,23 @@ def test_clusters_and_savings(spark):
     s = reports.savings(spark.createDataFrame([("a", 3)], "component string, size long")).first()
     assert (s.single_hours, s.cluster_hours, s.saved_hours, s.saved_cost) == (24, 12, 12, 900)
     assert {x.component: x.report_id for x in reports.representatives(p).collect()} == {"a": "a", "d": "d"}
-    m = {x.report: x for x in reports.matrix(p).collect()}
-    assert m["a"]["b"] == m["b"]["a"] == 90.0 and m["a"]["a"] == 100.0 and m["a"]["g"] == 0.0
+    m = {x.report: dict(zip("abcdefg", x.cells)) for x in reports.matrix(p).collect()}
+    assert m["a"]["b"] == m["b"]["a"] == 90.0 and m["a"]["a"] == 100.0 and m["a"]["g"] == 0.0 and list(map(len, m.values())) == [7] * 7
+    many = spark.range(250).selectExpr("id AS r1", "id + 1 AS r2", "50.0 AS overall")
+    assert reports.matrix(many).columns == reports.matrix(p).columns and {len(x.cells) for x in reports.matrix(many).collect()} == {251}
+
+
+def test_structural_scores(spark):
+    rows = [(1, "A", "x", "S", "i"), (1, "B", "y", "S", "j"), (2, "A", "x", "T", "k"), (2, "B", "z", "T", "j"), (3, "C", "x", "S", "m"), (4, "A", "q", "U", "n"), (5, "D", "w", "V", "o")]
+    got = {(r.r1, r.r2): r.score for r in reports.structural(spark.createDataFrame(rows, "report_id long, dataset_name string, sql_text string, source_name string, item_name string")).collect()}
+    assert got == {(1, 2): 80, (1, 3): 20, (1, 4): 40, (2, 4): 40}
+
+
+def test_extracted_filters_are_run(spark):
+    rows = spark.createDataFrame([(1, "x"), (2, "y"), (3, "xy")], "k long, name string")
+    filters = [(1, "d", "=Fields!K.Value", "In", ["1", "3"]), (1, "d", "=Fields!N.Value", "Like", ["x%"]), (2, "e", "=Fields!K.Value", "GreaterThan", ["1"]), (3, "f", "=Fields!Other.Value", "Equal", ["1"]), (4, "g", "=Fields!K.Value", "Between", ["2", "9"])]
+    got = measures.run_filters(rows, {"K": "k", "N": "name"}, spark.createDataFrame(filters, "report_id long, dataset string, expression string, operator string, values array<string>")).collect()
+    assert sorted((r.report_id, r.k) for r in got) == [(1, 1), (1, 3), (2, 2), (2, 3), (4, 2), (4, 3)]
 
 
 def test_components_of_a_long_path_and_no_edges(spark):
@@ -73,9 +88,9 @@ def test_connection(spark):
 
 
 def test_dialect_traps(spark):
-    d, c = dialects.detect(F.col("q"))
-    assert one(spark, d, q="SELECT @@VERSION") == "T-SQL"
-    assert one(spark, d, q="SELECT 1") == "ANSI SQL" and one(spark, c, q="SELECT 1") == 0
+    texts = ["SELECT @@VERSION", "SELECT 1", None, "SELECT 1"]
+    got = dialects.detected(spark.createDataFrame([(t,) for t in texts], "q string"), "q").collect()
+    assert len(got) == 4 and {(r.q, r.dialect) for r in got} >= {("SELECT @@VERSION", "T-SQL"), ("SELECT 1", "ANSI SQL")} and all(r.confidence == 0 for r in got if r.q == "SELECT 1")
     assert one(spark, dialects.normalize(F.col("q")), q="SELECT TOP 5 [a], ISNULL(b, 0) FROM `t`") == 'SELECT LIMIT 5 "a", COALESCE(b, 0) FROM "t"'
 
 
