@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but these bytes; Python's bytes.split() and this pattern agree.
 SPACE = "\\x20\\x09-\\x0D"
 
-#: Rows in an Arrow batch handed to Python, so that batches of very long texts stay small.
+#: Rows in an Arrow batch handed to Python; Spark ends a batch at 64 MB as well, so that batches of very long texts stay small.
 BATCH_ROWS = 512
 
 

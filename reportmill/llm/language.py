@@ -235,20 +235,20 @@ def _sample(docs: DataFrame, held_out: Column, id_col: str, text_col: str, lang_
     A document is taken by a hash of its id, at a rate that gives about docs_each documents a language, or an even share of
     SHARING * DOCS where that is less, but FEWEST at least; each hands at most PARTS windows, or its share, to the driver.
     """
-    known = docs.where(~held_out & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = known.groupBy(F.col(lang_col).alias("lang")).count().collect()
+    known = docs.where(~held_out & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    counts = known.groupBy("lang").count().collect()
     if not counts:
         return []
     each = min(docs_each, max(FEWEST, SHARING * DOCS // len(counts)))
     most = min(PARTS, max(FEW_PARTS, SHARING * DOCS * PARTS // (len(counts) * each)))
     rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in counts], "_lang string, _rate double")
-    unit = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    unit = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_spread(windows(t), most) for t in raw(b.column(1))], pa.list_(pa.binary()))], ["lang", "parts"])
 
-    rows = known.join(F.broadcast(rates), F.col(lang_col) == F.col("_lang")).where(unit < F.col("_rate")).select(F.col("_lang"), F.col(text_col))
+    rows = known.join(F.broadcast(rates), F.col("lang") == F.col("_lang")).where(unit < F.col("_rate")).select("lang", "text")
     return rows.limit(max(SHARING, len(counts)) * docs_each * 2).mapInArrow(sampled, "lang string, parts array<binary>").collect()
 
 

@@ -81,6 +81,12 @@ def _placed(rows: DataFrame) -> DataFrame:
     return placed.withColumn("copies", F.least(F.lit(MOST), upto(0) - upto(1)).cast("int"))
 
 
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, size, copies): how often each row of docs is taken."""
+    rows = _placed(cut(docs.select(_row(id_col, text_col, source_col).alias("row"))))
+    return rows.select(F.col("row.id").alias("doc_id"), "row.size", "copies")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, size, source_size, target, taken): one row per row of docs; taken counts words, repeats included.
 

@@ -190,4 +190,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     A document without an id stays. Rows that repeat the kept id stay as well, unless their text is a near-copy's.
     """
     drop = near_duplicates(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(drop, F.col(id_col) == F.col("_drop"), "left_anti")
+    return docs.join(drop, docs[id_col] == drop["_drop"], "left_anti")

@@ -3,8 +3,11 @@
 import math
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from reportmill.llm import mixing, packing, simhash
+from reportmill.llm import language, mixing, packing, simhash
+from reportmill.operators.shared import store
 
 
 def test_stages_take_effect(spark, tmp_path):
@@ -49,7 +52,7 @@ def test_stages_take_effect(spark, tmp_path):
         assert after[i].text.encode().split() == [x for p, x in enumerate(w) if p not in gone]
         assert after[i].n_chars == len(after[i].text) and (gone or after[i].text == before[i].text)
 
-    copies = {r.doc_id: r._copies for r in mixing.with_copies(spark.read.parquet(str(tmp_path / "substring_dedup"))).collect()}
+    copies = {r.doc_id: r.copies for r in mixing.copies(spark.read.parquet(str(tmp_path / "substring_dedup"))).collect()}
     assert ids["source_mixing"] == Counter({i: n for i, n in copies.items() if n})
     pieces = kept["best_fit_packing"]
     assert Counter(r.doc_id for r in pieces if r.piece == 0) == ids["source_mixing"]
@@ -58,3 +61,20 @@ def test_stages_take_effect(spark, tmp_path):
         fill[r.sequence_id] += r.length
     assert max(fill.values()) <= packing.ROOM and len(fill) <= math.ceil(sum(fill.values()) / packing.ROOM) * 1.02 + 1
     assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == len(ids["source_mixing"])
+
+
+INNER = "id key hits fp low label _drop _lang _rate row doc copies copy block place rid carry_0 kept_text sha starts cover class component_id n h w target rate offset before source_size split range bucket".split()
+
+
+def test_columns_of_any_name_and_an_empty_table_pass_all_stages(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(language, "STEPS", 20)
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = store(base.where("doc_id < 60").select("*", *(F.lit(i).alias(c) for i, c in enumerate(INNER))))
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = store(stage(spark, docs, str(tmp_path)))
+        assert docs.columns == columns and docs.count() > 0
+        assert docs.select(*INNER).distinct().collect() == [tuple(range(len(INNER)))]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= docs.count()
+    base.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
