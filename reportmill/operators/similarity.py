@@ -69,12 +69,13 @@ def members(docs: DataFrame, id_col: str, text_col: str, salts: int = 256) -> Da
 
 
 def minhash_pairs(docs: DataFrame, id_col: str, text_col: str, least: float = 0.7, tables: int = 8) -> DataFrame:
-    """The approximate variant; distinct word sets only."""
+    """The approximate variant; distinct word sets only. Words are hashed to find pairs; scores are those of the words."""
     sets = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0).groupBy(F.array_sort("w").alias("w")).agg(F.min("id").alias("id"))
     hashed = HashingTF(inputCol="w", outputCol="v", numFeatures=1 << 18, binary=True).transform(sets)
     model = MinHashLSH(inputCol="v", outputCol="h", numHashTables=tables, seed=7).fit(hashed)
-    p = model.approxSimilarityJoin(hashed, hashed, 1 - least, "distance").where("datasetA.id < datasetB.id")
-    return p.select(F.col("datasetA.id").alias("id1"), F.col("datasetB.id").alias("id2"), F.round(1 - F.col("distance"), 6).alias("score"))
+    p = model.approxSimilarityJoin(hashed, hashed, 1 - least + 0.02, "distance").where("datasetA.id < datasetB.id")
+    score = F.size(F.array_intersect("datasetA.w", "datasetB.w")) / F.size(F.array_union("datasetA.w", "datasetB.w"))
+    return p.select(F.col("datasetA.id").alias("id1"), F.col("datasetB.id").alias("id2"), score.alias("score")).where(F.col("score") >= least).withColumn("score", F.round("score", 6))
 
 
 def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:

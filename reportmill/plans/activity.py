@@ -53,10 +53,10 @@ def store_size_budget(spark: SparkSession, d: str) -> DataFrame:
     return store.within_budget(events(spark, d).withColumn("size", F.floor("value")), "size", "ts", "event_id", 100_000).select("event_id", "user_id")
 
 
-@query("SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error')")
+@query("SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 200)")
 def store_invalidate_key(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d)
-    return store.without_keys(e, e.where("event_type = 'error'"), "user_id").select("event_id", "user_id")
+    return store.without_keys(e, e.where("event_type = 'error' AND value > 200"), "user_id").select("event_id", "user_id")
 
 
 @query("SELECT event_id, event_type FROM events WHERE event_type NOT IN ('error', 'click')")
