@@ -348,6 +348,24 @@ def test_extraction(spark):
     assert extraction.extract(more.limit(0)).count() == 0
 
 
+def test_pages_of_other_forms_are_read_after_training_on_other_pages(spark):
+    import html
+
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").where("page_id < 200").orderBy("page_id").collect()]
+    blocks = []
+    for page in pages[100:160]:
+        every = extraction.nodes(extraction.parse(page))
+        y, _ = extraction.labelled(every)
+        blocks.append([x.text for x in every if x.text and y[x.index]])
+    draw, others = np.random.default_rng(9), [b for some in blocks for b in some]
+    dressed = [extraction.redressed(some, others, draw) for some in blocks if some]
+    got = extraction.extract_texts([h for h, _ in dressed], extraction.train(pages[:60]))
+    assert np.mean([g == "\n".join(b) for g, (_, b) in zip(got, dressed)]) >= 0.75
+    words = [(Counter(g.split()), Counter(" ".join(b).split())) for g, (_, b) in zip(got, dressed)]
+    assert sum((a & b).total() for a, b in words) >= 0.95 * max(sum(a.total() for a, _ in words), sum(b.total() for _, b in words))
+    assert extraction.extract_texts([None, "", f"<article><p>{html.escape('long text & ' * 40_000)}</p></article>"], extraction.train(pages[:60]))[2].count("long") == 40_000
+
+
 def test_no_descendant_contradicts_its_ancestor():
     root = extraction.parse("<div><p>a</p><p>b</p><p>c</p></div><div><p>d</p><p>e</p></div>")
     every = extraction.nodes(root)
