@@ -26,6 +26,7 @@ hot any more.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -78,20 +79,26 @@ def normalised(pieces: list[bytes], weights: np.ndarray, stop: float) -> tuple[n
     return out, math.log(stop) - rest
 
 
+@functools.lru_cache(1)
+def _trie(pieces: tuple[bytes, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """All pieces in a trie of bytes: the next node by node and byte, and the piece that ends at a node. A worker builds it once."""
+    index: dict[bytes, int] = {b"": 0}
+    for p in pieces:
+        for i in range(1, len(p) + 1):
+            index.setdefault(p[:i], len(index))
+    after, piece = np.zeros((len(index), 256), np.int32), np.full(len(index), -1, np.int32)
+    for prefix, node in index.items():
+        if prefix:
+            after[index[prefix[:-1]], prefix[-1]] = node
+    piece[[index[p] for p in pieces]] = np.arange(len(pieces))
+    return after, piece
+
+
 class Lattice:
-    """All pieces in a trie of bytes, with scores (classes x pieces) and stops (classes)."""
+    """The pieces with scores (classes x pieces) and stops (classes)."""
 
     def __init__(self, pieces: list[bytes], scores: np.ndarray, stop: np.ndarray | float) -> None:
-        index: dict[bytes, int] = {b"": 0}
-        for p in pieces:
-            for i in range(1, len(p) + 1):
-                index.setdefault(p[:i], len(index))
-        self.next = np.zeros((len(index), 256), np.int32)
-        for prefix, node in index.items():
-            if prefix:
-                self.next[index[prefix[:-1]], prefix[-1]] = node
-        self.piece = np.full(len(index), -1, np.int32)
-        self.piece[[index[p] for p in pieces]] = np.arange(len(pieces))
+        self.next, self.piece = _trie(tuple(pieces))
         self.reach = max(map(len, pieces))
         self.scores, self.stop = np.atleast_2d(scores), np.atleast_1d(stop)
 
@@ -208,6 +215,18 @@ def _binary(words: list[bytes]) -> pa.Array:
     return pa.array(words, pa.binary())
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 20_000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have so many rows or bytes, for the lattice is quick on many words only."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows or sum(x.nbytes for x in held) >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def classes(docs: DataFrame, held_out: Column, class_col: str | None, most: int) -> tuple[Column, list[int]]:
     """A column with the number of a row's class, and the training documents of each class: the largest ones, then all the rest."""
     if class_col is None or class_col not in docs.columns:
@@ -254,7 +273,7 @@ def _expectations(words: DataFrame, pieces: list[bytes], models: list[tuple[np.n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = None
         expected, n = np.zeros((len(models), len(pieces))), np.zeros(len(models))
-        for b in batches:
+        for b in _gathered(batches):
             lattices = lattices or [Lattice(pieces, *m) for m in models]
             for k, lattice in enumerate(lattices):
                 some = b.column(0).filter(pc.greater(b.column(k + 1), 0)).to_pylist()
@@ -300,7 +319,7 @@ def word_scores(words: DataFrame, pieces: list[bytes], models: list[tuple[np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = None
-        for b in batches:
+        for b in _gathered(batches):
             lattice = lattice or Lattice(pieces, scores, stop + np.log(1 - seen[:, 0]))
             w, c = b.column(0).to_pylist(), np.stack([b.column(k + 2).to_numpy() for k in range(many)])
             with np.errstate(divide="ignore"):
@@ -347,16 +366,19 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, plain, by_class = known.value
         for b in batches:
-            out = []
+            out, cold, of, times = [], [], [], []
             for rid, i, text, held in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), raw(b.column(2)), b.column(3).to_pylist()):
                 counts = Counter(_tokens(text))
                 n, at = sum(counts.values()), []
                 counts[END] = 1
+                before = len(cold)
                 for w, c in counts.items():
                     if (k := index.get(w)) is not None:
                         at.append((k, c))
                     else:
-                        out.append((rid, w, c, None, None, 0, 0.0, None))
+                        cold.append(w)
+                        times.append(c)
+                of += [rid] * (len(cold) - before)
                 k, c = (np.array(x) for x in zip(*at)) if at else (np.zeros(0, int), np.zeros(0))
                 model = by_class[k].sum(0) + np.log(MEMORY) * (len(k) - (END in index))
                 more = c > 1
@@ -364,8 +386,12 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
                     model = model + _again(c[more, None], MEMORY * np.exp(by_class[k[more]])).sum(0)
                 model = model + (n * np.log(1 - share) + np.log(share) - (_again(np.array(n), np.array(MEMORY)) + math.log(MEMORY) if n else 0))
                 out.append((rid, b" %d" % rid, int(c.sum()), i, held, int(c @ plain[k, 0]), float(c @ plain[k, 1]), model.tolist()))
-            for at in range(0, len(out), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 20_000]), types)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+            for at in range(0, len(cold), 20_000):
+                some = [pa.array(x[at : at + 20_000], t) for x, t in zip((of, cold, times), types)]
+                n = len(some[0])
+                rest = [pa.nulls(n, types[3]), pa.nulls(n, types[4]), pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n)), pa.nulls(n, types[7])]
+                yield pa.RecordBatch.from_arrays(some + rest, names)
 
     parts = rows.select("rid", "doc_id", "text", "held_out").mapInArrow(run, "rid long, word binary, n long, doc_id long, held_out boolean, known long, base double, model array<double>")
     look = scored.select(F.col("word").alias("w"), F.col("known").alias("k"), F.col("base").alias("b"), *s)
