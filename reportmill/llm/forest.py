@@ -40,6 +40,8 @@ ROUNDS = 12
 #: Half-width of the spill, as a share of the largest distance of a linked pair. In 64 dimensions even a pair at exactly
 #: the limit parts at about one cut in forty: in one tree of ten levels it may, in all eight trees about once in 10^5.
 SPILL = 0.06
+#: A cut is made only if the vectors that go down both sides are at most this share more.
+OVERLAP = 1.35
 
 
 class Tree:
@@ -70,7 +72,7 @@ class Tree:
         d, p = best
         cut_at = float(np.median(p))
         low, high = x[p < cut_at + self.spill], x[p >= cut_at - self.spill]
-        if max(len(low), len(high)) > 0.9 * len(x):
+        if len(low) + len(high) > OVERLAP * len(x):  # near-copies that no cut parts would only be doubled
             return me
         self.direction[me], self.at[me] = d, cut_at
         self.left[me] = self._grow(low, leaf, draw, depth + 1)
