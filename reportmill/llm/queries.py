@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reportmill.llm import divergence, extraction, forest, language, lattice, mixing, packing, quality, sentencepieces, sharding, simhash, substring
+from reportmill.llm import collocations, divergence, extraction, forest, language, lattice, mixing, packing, quality, sentencepieces, sharding, simhash, substring
 from reportmill.llm.common import held_out, small_batches, table
 
 
@@ -58,6 +58,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return divergence.audit(table(spark, sf_dir, "documents"))
@@ -70,10 +75,10 @@ def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (op1_best_fit_packing, op2_lattice_scores, op3_quality_rules, op4_vector_near_dedup, op5_main_text, op6_substring_dedup, op7_source_mixing, op8_simhash_near_dedup, op9_language_id, op10_sharding,
-             op12_source_divergence, op13_sentencepiece)
+             op11_phrase_collocations, op12_source_divergence, op13_sentencepiece)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
     """Only what SQL can express: hashes and models are tested against brute force instead."""
-    return {"op3_quality_rules": quality.ORACLE_SQL, "op4_vector_near_dedup": forest.ORACLE_SQL, "op6_substring_dedup": substring.ORACLE_SQL, "op7_source_mixing": mixing.ORACLE_SQL, "op12_source_divergence": divergence.ORACLE_SQL}
+    return {"op3_quality_rules": quality.ORACLE_SQL, "op4_vector_near_dedup": forest.ORACLE_SQL, "op6_substring_dedup": substring.ORACLE_SQL, "op7_source_mixing": mixing.ORACLE_SQL, "op11_phrase_collocations": collocations.ORACLE_SQL, "op12_source_divergence": divergence.ORACLE_SQL}
