@@ -73,9 +73,13 @@ def with_features(df: DataFrame, sql: str = "sql_text") -> DataFrame:
 
 
 def parameterized(clean: Column, params: Column) -> Column:
-    """clean with its parameters named @PARAM1, @PARAM2 ... in the order of params."""
+    """clean with its parameters named @PARAM1, @PARAM2 ... in the order of params. A name is replaced where it ends as a word,
+    so @p leaves @p2 alone; new names are marked until all are in, so none is replaced twice."""
+    mark = "\u0001"
     start = F.struct(clean.alias("s"), F.lit(1).alias("n"))
-    return F.aggregate(params, start, lambda a, p: F.struct(F.replace(a["s"], p, F.concat(F.lit("@PARAM"), a["n"].cast("string"))).alias("s"), (a["n"] + 1).alias("n")), lambda a: a["s"])
+    one = lambda p: F.concat(F.lit("\\Q"), p, F.when(p == "?", "\\E").otherwise("\\E(?!\\w)"))
+    step = lambda a, p: F.struct(F.regexp_replace(a["s"], one(p), F.concat(F.lit(mark + "PARAM"), a["n"].cast("string"))).alias("s"), (a["n"] + 1).alias("n"))
+    return F.replace(F.aggregate(params, start, step, lambda a: a["s"]), F.lit(mark), F.lit("@"))
 
 
 def intent(t: DataFrame) -> Column:

@@ -1,14 +1,20 @@
-"""Contexts of reports, scores of pairs of them, and what follows: bands, clusters, priorities, savings."""
+"""Contexts of reports, scores of pairs of them, and what follows: bands, clusters, priorities, savings.
+
+Reports that are alike in everything scored here are one class, named by its smallest id, with a count; pairs are formed
+between classes. A class of several reports also has a row with itself, r1 = r2, for the pairs inside it. `pairs` is how many
+pairs of reports a row stands for, and class_members() names the class of every report, so that no link is lost.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reportmill.functions import rules
 from reportmill.operators.graph import connected_components
-from reportmill.operators.pairs import compatibility, jaccard
-from reportmill.operators.shared import numbered
+from reportmill.operators.shared import cut, numbered, store
 
 # Weights of the dimensions, for pairs given by path and for batches.
 WEIGHTS = {
@@ -17,118 +23,275 @@ WEIGHTS = {
 }
 DIMENSIONS = ("source", "filters", "calculations", "parameters", "purpose", "output")
 KEPT, HIGH, MEDIUM = 30, 80, 50
-BLOCK = 2000
+#: Classes in a block; a task scores one pair of blocks.
+BLOCK = 500
+#: Reports from which on a name is heavy in structural().
+HEAVY = 100
+#: The widest square matrix.
+WIDTH = 20_000
 # Hours to migrate a file, to consolidate a cluster, and the price of an hour.
 FILE_HOURS, CLUSTER_HOURS, HOUR = 8, 12, 75
+#: What a context consists of; lists are sorted.
+LISTS = ("sources", "tables", "domains", "filters", "calculations", "purposes", "fields", "groups", "signatures")
+SINGLE = ("domain", "layout", "purpose")
+
 
+def outputs(catalog: DataFrame, items: DataFrame, groups: DataFrame) -> DataFrame:
+    """(report_id, layout, fields, groups, sums, calculations): what each report shows.
 
-def contexts(catalog: DataFrame, items: DataFrame, params: DataFrame, queries: DataFrame) -> DataFrame:
-    """One row a report: database, purposes, filters, calculations, fields, domain, layout, domains, purpose."""
-    e = F.col("expression")
-    calc = F.when(rules.is_calculation(e), F.concat(rules.calculation_type(e), F.lit(":"), F.lower("item_type")))
+    Charts have no text boxes, so their expressions are no output fields and no calculations."""
+    e, boxed = F.col("expression"), F.col("item_type") != "Chart"
+    kind = F.when(boxed & rules.is_calculation(e), rules.calculation_type(e))
+    names = lambda x: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform(rules.calculation_fields(x), lambda f: F.lower(f))))))
     i = items.groupBy("report_id").agg(
-        F.array_sort(F.collect_set(calc)).alias("calculations"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform(rules.calculation_fields(e), lambda f: F.lower(f)))))).alias("fields"),
-        F.count_if(F.col("item_type") == "Chart").alias("charts"), F.count_if(F.col("item_type") == "Table").alias("tables"), F.count_if(rules.calculation_type(e) == "aggregation").alias("sums"), F.count(F.lit(1)).alias("n_items"),
-    )
-    kind = F.when(F.col("data_type") == "DateTime", "date_range").otherwise("categorical")
-    p = params.groupBy("report_id").agg(F.array_sort(F.collect_set(rules.param_purpose(F.col("param_name")))).alias("purposes"), F.array_sort(F.collect_set(F.concat(F.lower("param_name"), F.lit(":"), kind))).alias("filters"), F.count_if(F.col("data_type") == "DateTime").alias("dates"))
-    q = queries.groupBy("report_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tables")))).alias("query_tables"))
-    none = F.array().cast("array<string>")
-    j = catalog.join(i, "report_id", "left").join(p, "report_id", "left").join(q, "report_id", "left")
-    return j.select(
-        "report_id", rules.database_name(F.col("connect_string")).alias("database"), *(F.coalesce(c, none).alias(c) for c in ("purposes", "filters", "calculations", "fields")),
-        rules.keyword_domain(F.concat_ws(" ", "fields")).alias("domain"), rules.layout(F.coalesce("charts", F.lit(0)), F.coalesce("tables", F.lit(0)) - 1, F.coalesce("tables", F.lit(0))).alias("layout"),
-        F.array_sort(F.transform(F.coalesce("query_tables", none), rules.table_domain)).alias("domains"), rules.purpose(F.coalesce("dates", F.lit(0)), F.coalesce("sums", F.lit(0)), F.coalesce("tables", F.lit(0)), F.coalesce("n_items", F.lit(0))).alias("purpose"),
+        names(F.when(boxed, e)).alias("fields"), F.array_sort(F.collect_set(F.when(kind.isNotNull(), F.concat(kind, F.lit(":"), rules.calculation_level(e))))).alias("calculations"),
+        F.count_if(kind == "aggregation").alias("sums"), F.count_if(~boxed).alias("charts"), F.count_if(F.col("item_type") == "Table").alias("tables"),
     )
-
-
-def all_pairs(c: DataFrame, key: str = "report_id") -> DataFrame:
-    """Pairs a < b as structs. Rows are dealt into blocks and blocks are paired by an equi-join, so the work of a pair of
-    blocks is bounded and no side is held whole."""
-    n = max(1, -(-c.count() // BLOCK))
-    rows = c.select(F.struct("*").alias("x"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("g"))
-    span = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    a = rows.select(F.col("x").alias("a"), F.col("g").alias("i"), span.alias("j"))
-    b = rows.select(F.col("x").alias("b"), F.col("g").alias("j"), span.alias("i"))
-    return a.join(b, ["i", "j"]).where(f"a.{key} < b.{key}").select("a", "b")
-
-
-def structural(datasets: DataFrame) -> DataFrame:
-    """(r1, r2, score) of reports with anything in common, from (report_id, dataset_name, sql_text, source_name, item_name).
+    g = groups.groupBy("report_id").agg(names(e).alias("groups"), F.count_if(F.col("kind") == "column").alias("across"))
+    none, zero = F.array().cast("array<string>"), F.lit(0)
+    j = catalog.join(i, "report_id", "left").join(g, "report_id", "left")
+    return j.select("report_id", rules.layout(F.coalesce("charts", zero), F.coalesce("across", zero), F.coalesce("tables", zero)).alias("layout"), *(F.coalesce(c, none).alias(c) for c in ("fields", "groups", "calculations")), F.coalesce("sums", zero).alias("sums"))
+
+
+def filters(params: DataFrame, queries: DataFrame) -> DataFrame:
+    """(report_id, filter, filter_type): what parameters and WHERE parts filter by, as field:condition_type."""
+    n, c = F.col("param_name"), F.col("c")
+    p = params.select("report_id", F.concat(F.lower(n), F.lit(":"), rules.condition_type(F.concat(F.lit("Parameter-driven filter: "), n))).alias("filter"), rules.param_filter_type(n).alias("filter_type"))
+    q = queries.select("report_id", F.explode("conditions").alias("c")).where(rules.filter_kind(c) != "other")
+    return p.unionByName(q.select("report_id", F.concat(rules.filter_field(c), F.lit(":"), rules.condition_type(c)).alias("filter"), rules.filter_type(c).alias("filter_type")))
+
+
+def contexts(catalog: DataFrame, sources: DataFrame, items: DataFrame, groups: DataFrame, params: DataFrame, queries: DataFrame) -> DataFrame:
+    """One row a report with LISTS and SINGLE, and its class key. queries are (report_id, tables, conditions, signature)."""
+    some = lambda c: F.array_sort(F.collect_set(c))
+    label = F.lower(F.concat("source_name", F.lit(":"), rules.database_name(F.col("connect_string"))))
+    s = sources.groupBy("report_id").agg(some(label).alias("sources"))
+    f = filters(params, queries).groupBy("report_id").agg(some("filter").alias("filters"), F.count(F.lit(1)).alias("n_filters"), F.count_if(F.col("filter_type") == "date_range").alias("dates"))
+    p = params.groupBy("report_id").agg(some(rules.param_purpose(F.col("param_name"))).alias("purposes"))
+    q = queries.groupBy("report_id").agg(F.flatten(F.collect_list("tables")).alias("named"), some("signature").alias("signatures"))
+    j = outputs(catalog, items, groups)
+    for other in (s, f, p, q):
+        j = j.join(other, "report_id", "left")
+    none, zero = F.array().cast("array<string>"), F.lit(0)
+    purpose = rules.purpose(F.coalesce("dates", zero), F.coalesce("n_filters", zero), F.col("sums"), F.size("groups"), F.size("fields"))
+    named = F.coalesce("named", none)
+    j = j.withColumn("tables", F.array_sort(F.array_distinct(named))).withColumn("domains", F.array_sort(F.transform(named, rules.table_domain)))
+    j = j.select("report_id", *(F.coalesce(c, none).alias(c) for c in LISTS), rules.field_domain(F.concat_ws(" ", "fields")).alias("domain"), "layout", purpose.alias("purpose"))
+    return j.withColumn("class_key", F.sha2(F.to_json(F.struct(*LISTS, *SINGLE)), 256))
+
+
+def classes(c: DataFrame) -> DataFrame:
+    """Contexts, one row for all that are equal: report_id is their smallest, n their number."""
+    return c.groupBy("class_key").agg(F.min("report_id").alias("report_id"), F.count(F.lit(1)).alias("n"), *(F.any_value(x).alias(x) for x in (*LISTS, *SINGLE))).drop("class_key")
+
+
+def class_members(c: DataFrame) -> DataFrame:
+    """(report_id, class_id, copies) of every report."""
+    return c.select("report_id", "class_key").join(c.groupBy("class_key").agg(F.min("report_id").alias("class_id"), F.count(F.lit(1)).alias("copies")), "class_key").drop("class_key")
+
+
+def _overlap(left: list[list[str]], right: list[list[str]]) -> np.ndarray:
+    """100 times the overlap of each left list with each right one; 100 where both are empty."""
+    index = {x: k for k, x in enumerate({x for row in (*left, *right) for x in row})}
+    a, b = (np.zeros((len(rows), len(index)), np.float32) for rows in (left, right))
+    for m, rows in ((a, left), (b, right)):
+        for k, row in enumerate(rows):
+            m[k, [index[x] for x in row]] = 1
+    both = (a @ b.T).astype(np.float64)
+    union = a.sum(1, dtype=np.float64)[:, None] + b.sum(1, dtype=np.float64)[None, :] - both
+    return np.where(union == 0, 100.0, both / np.maximum(union, 1) * 100)
+
+
+def _equal(left: list[str], right: list[str]) -> np.ndarray:
+    return np.array(left, object)[:, None] == np.array(right, object)[None, :]
+
+
+#: How well tables of a domain go with those of the same one, of a related one, and of others.
+SAME, KIN, STRANGE = 1.0, 0.6, 0.1
+
+
+def _compatible(left: list[list[str]], right: list[list[str]]) -> np.ndarray:
+    """Mean over the pairs of two lists of domains; 0 where one is empty."""
+    names = sorted({x for row in (*left, *right) for x in row})
+    kin = {frozenset(p) for p in rules.RELATED}
+    relation = np.array([[SAME if x == y else KIN if frozenset((x, y)) in kin else STRANGE for y in names] for x in names]).reshape(len(names), len(names))
+    a, b = (np.array([[row.count(x) for x in names] for row in rows], np.float64).reshape(len(rows), len(names)) for rows in (left, right))
+    return a @ relation @ b.T / np.maximum(a.sum(1)[:, None] * b.sum(1)[None, :], 1)
+
+
+def _source(a: dict, b: dict, analyzed: bool) -> np.ndarray:
+    """Labels alone where a report reads no table; else labels and tables, by the domains of the tables or, not analyzed, by
+    the tables in common, where sets of tables of different domains count little."""
+    listed = _overlap(a["sources"], b["sources"])
+    read = np.array([bool(x) for x in a["domains"]])[:, None] & np.array([bool(x) for x in b["domains"]])[None, :]
+    if analyzed:
+        return np.where(read, listed * 0.3 + _compatible(a["domains"], b["domains"]) * 100 * 0.7, listed)
+    shared = _overlap(a["tables"], b["tables"])
+    x, y = (np.array(d["set_domain"], object) for d in (a, b))
+    fits = (x[:, None] == y[None, :]) | (x == "unknown")[:, None] | (y == "unknown")[None, :]
+    return np.where(read, np.where(fits, listed * 0.3 + shared * 0.7, np.minimum(25.0, listed * 0.2 + shared * 0.2)), listed)
+
+
+def _output(a: dict, b: dict) -> np.ndarray:
+    """Mean of fields in common (half as much again), domains of the fields, layouts and groups; fields only where there are any."""
+    x, y = (np.array(d["domain"], object) for d in (a, b))
+    known = (x != "unknown")[:, None] & (y != "unknown")[None, :]
+    rest = np.where(known, np.where(x[:, None] == y[None, :], 85.0, 5.0), 25.0) + np.where(_equal(a["layout"], b["layout"]), 100.0, 0.0) * 0.5 + _overlap(a["groups"], b["groups"])
+    some = np.array([bool(f) for f in a["fields"]])[:, None] | np.array([bool(f) for f in b["fields"]])[None, :]
+    return np.minimum(100.0, np.where(some, (_overlap(a["fields"], b["fields"]) * 1.5 + rest) / 4, rest / 3))
+
+
+def scored(c: DataFrame, weights: str = "B", least: float = KEPT, analyzed: bool = True) -> DataFrame:
+    """(r1, r2, pairs, dimensions, overall) of the pairs of classes above least.
+
+    Classes are dealt into blocks along purposes and domains, so that blocks are alike inside; a task scores a pair of blocks
+    as matrices, dimension by dimension from the heaviest, and gives a pair of blocks up once the dimensions left cannot
+    lift any pair above least. A task holds two blocks and their scores, whatever the size of the catalogue.
+    """
+    weight = WEIGHTS[weights]
+    rows = c if "n" in c.columns else classes(c)
+    rows = rows.withColumn("set_domain", rules.table_set_domain(F.concat_ws(" ", "tables")))
+    rows = store(rows)
+    n = max(1, -(-rows.count() // BLOCK))
+    dealt = store(rows.repartitionByRange(n, "purpose", "domains", "report_id").withColumn("g", F.spark_partition_id()))
+    spread = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("i", F.least("g", "o")).withColumn("j", F.greatest("g", "o")).drop("o")
+
+    def product(t: pa.Table) -> pa.Table:
+        g = t.column("g").to_numpy()
+        sides = [t.filter(pa.array(g == k)) for k in (g.min(), g.max())]
+        a, b = ({name: x.column(name).to_pylist() for name in (*LISTS, *SINGLE, "set_domain")} for x in sides)
+        make = {"purpose": lambda: np.where(_equal(a["purpose"], b["purpose"]), 100.0, 0.0), "source": lambda: _source(a, b, analyzed), "filters": lambda: _overlap(a["filters"], b["filters"]), "output": lambda: _output(a, b),
+                "calculations": lambda: _overlap(a["calculations"], b["calculations"]), "parameters": lambda: _overlap(a["purposes"], b["purposes"])}
+        total, rest, dims = 0.0, 100.0, {}
+        for name in sorted(weight, key=lambda k: -weight[k]):
+            dims[name] = make[name]()
+            total, rest = total + dims[name] * weight[name], rest - weight[name] * 100
+            if (total + rest <= least - 1e-6).all():
+                return EMPTY
+        (r1, n1), (r2, n2) = ((x.column("report_id").to_numpy(), x.column("n").to_numpy()) for x in sides)
+        keep = total > least - 1e-6
+        if len(set(g)) == 1:
+            keep &= (r1[:, None] < r2[None, :]) | ((r1[:, None] == r2[None, :]) & (n1[:, None] > 1))
+        x, y = np.nonzero(keep)
+        same = r1[x] == r2[y]
+        count = np.where(same, n1[x] * (n1[x] - 1) // 2, n1[x] * n2[y])
+        # n1 and n2 go with r1 and r2, whichever side those came from
+        turned = r1[x] > r2[y]
+        columns = [np.minimum(r1[x], r2[y]), np.maximum(r1[x], r2[y]), np.where(turned, n2[y], n1[x]), np.where(turned, n1[x], n2[y]), count, *(dims[k][x, y] for k in DIMENSIONS)]
+        return pa.table([pa.array(v) for v in columns], names=EMPTY.schema.names)
+
+    out = spread.groupBy("i", "j").applyInArrow(product, "r1 long, r2 long, n1 long, n2 long, pairs long, " + ", ".join(f"{k} double" for k in DIMENSIONS))
+    return out.withColumn("overall", F.round(overall(weights) + 1e-9, 6)).where(F.col("overall") > least)
+
+
+EMPTY = pa.table({k: pa.array([], pa.int64()) for k in ("r1", "r2", "n1", "n2", "pairs")} | {k: pa.array([], pa.float64()) for k in DIMENSIONS})
+
+
+def structural(datasets: DataFrame, heavy: int | None = None) -> DataFrame:
+    """(r1, r2, profiles, score, pairs) of reports with anything in common, from (report_id, dataset_name, sql_text, source_name, item_name).
 
     40 for a dataset name in common, 30 for each such dataset with the same text, 20 for a source and 10 for an item in
-    common, at most 100. A report is one row of distinct keys, and rows are paired in blocks, so no name is a hot key.
+    common, at most 100. Names meet in lists of their reports. A name that more than heavy reports have is taken out of the
+    lists: the heavy names of a report are its profile, named by the smallest report that has it, and reports that share
+    heavy names only score as their profiles do. So a row is either a pair of reports that share a rarer name, or, with
+    profiles = true, a pair of profiles (r1 = r2 for one with itself) that stands for `pairs` pairs of reports which no row
+    of the first kind names. profile_members() has the profile of every report, so all links are there.
     """
-    some = lambda c: F.collect_set(c).alias(c)
-    c = datasets.withColumn("query", F.to_json(F.struct("dataset_name", "sql_text"))).groupBy("report_id").agg(*map(some, ("dataset_name", "query", "source_name", "item_name")))
-    common = lambda f: F.arrays_overlap(f"a.{f}", f"b.{f}")
-    points = F.when(common("dataset_name"), 40 + 30 * F.size(F.array_intersect("a.query", "b.query"))).otherwise(0) + F.when(common("source_name"), 20).otherwise(0) + F.when(common("item_name"), 10).otherwise(0)
-    return all_pairs(c).select(F.col("a.report_id").alias("r1"), F.col("b.report_id").alias("r2"), F.least(F.lit(100), points).cast("long").alias("score")).where("score > 0")
-
-
-def dimensions() -> dict[str, Column]:
-    """Scores from 0 to 100 of a pair (a, b) of contexts."""
-    c = lambda f: (F.col(f"a.{f}"), F.col(f"b.{f}"))
-    overlap = lambda f: jaccard(*c(f)) * 100
-    same = lambda f: F.col(f"a.{f}") == F.col(f"b.{f}")
-    listed = F.when(same("database"), 100.0).otherwise(0.0)
-    source = F.when((F.size("a.domains") > 0) & (F.size("b.domains") > 0), listed * 0.3 + compatibility(*c("domains")) * 70).otherwise(listed)
-    fielded = (F.size("a.fields") > 0) | (F.size("b.fields") > 0)
-    domain = F.when((F.col("a.domain") == "general") | (F.col("b.domain") == "general"), 25.0).when(same("domain"), 85.0).otherwise(5.0)
-    rest = domain + F.when(same("layout"), 50.0).otherwise(0.0)
-    output = F.least(F.lit(100.0), F.when(fielded, (rest + overlap("fields") * 1.5) / 3).otherwise(rest / 2))
-    return {"source": source, "filters": overlap("filters"), "calculations": overlap("calculations"), "parameters": overlap("purposes"), "purpose": F.when(same("purpose"), 100.0).otherwise(0.0), "output": output}
+    keys, profiles = _keys(datasets, HEAVY if heavy is None else heavy)
+    rare = keys.where("NOT heavy").select("report_id", "key")
+    met = rare.toDF("r1", "key").join(rare.toDF("r2", "key"), "key").where("r1 < r2").select("r1", "r2").distinct()
+    held = keys.groupBy("report_id").agg(F.collect_list("key").alias("keys"))
+    near = store(met.join(held.toDF("r1", "k1"), "r1").join(held.toDF("r2", "k2"), "r2").select("r1", "r2", _points("k1", "k2").alias("score")))
+
+    sets = profiles.groupBy("profile_id").agg(F.count(F.lit(1)).alias("n"), F.any_value("names").alias("names"))
+    each = sets.select("profile_id", F.explode("names").alias("key"))
+    pairs = each.toDF("r1", "key").join(each.toDF("r2", "key"), "key").where("r1 <= r2").select("r1", "r2").distinct()
+    wide = pairs.join(sets.toDF("r1", "n1", "k1"), "r1").join(sets.toDF("r2", "n2", "k2"), "r2")
+    count = F.when(F.col("r1") == F.col("r2"), F.expr("n1 * (n1 - 1) div 2")).otherwise(F.col("n1") * F.col("n2"))
+    of = profiles.select("report_id", "profile_id")
+    named = near.join(of.toDF("r1", "p1"), "r1").join(of.toDF("r2", "p2"), "r2").groupBy(F.least("p1", "p2").alias("r1"), F.greatest("p1", "p2").alias("r2")).agg(F.count(F.lit(1)).alias("named"))
+    wide = wide.select("r1", "r2", _points("k1", "k2").alias("score"), count.alias("all_pairs")).join(named, ["r1", "r2"], "left")
+    wide = wide.select("r1", "r2", F.lit(True).alias("profiles"), "score", (F.col("all_pairs") - F.coalesce("named", F.lit(0))).alias("pairs")).where("pairs > 0")
+    return near.select("r1", "r2", F.lit(False).alias("profiles"), "score", F.lit(1).cast("long").alias("pairs")).unionByName(wide)
+
+
+def profile_members(datasets: DataFrame, heavy: int | None = None) -> DataFrame:
+    """(report_id, profile_id) of the reports that have heavy names; the others have no profile."""
+    return _keys(datasets, HEAVY if heavy is None else heavy)[1].select("report_id", "profile_id")
+
+
+def _keys(datasets: DataFrame, heavy: int) -> tuple[DataFrame, DataFrame]:
+    """(report_id, key, heavy) of all names, and (report_id, names, profile_id) of the reports with heavy ones. The first letter of a key says what it names."""
+    key = lambda kind, c: F.when(c.isNotNull(), F.concat(F.lit(kind), c))
+    query = F.when(F.col("sql_text").isNotNull(), F.to_json(F.struct("dataset_name", "sql_text")))
+    every = F.array_compact(F.array(key("d", F.col("dataset_name")), key("q", query), key("s", F.col("source_name")), key("i", F.col("item_name"))))
+    rows = store(datasets.select("report_id", F.explode(every).alias("key")).distinct())
+    many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > heavy).select("key", F.lit(True).alias("heavy"))
+    rows = store(rows.join(many, "key", "left").select("report_id", "key", F.coalesce("heavy", F.lit(False)).alias("heavy")))
+    names = rows.where("heavy").groupBy("report_id").agg(F.array_sort(F.collect_list("key")).alias("names"))
+    named = names.groupBy(F.sha2(F.to_json("names"), 256).alias("h")).agg(F.min("report_id").alias("profile_id"))
+    return rows, names.withColumn("h", F.sha2(F.to_json("names"), 256)).join(named, "h").select("report_id", "names", "profile_id")
+
+
+def _points(a: str, b: str) -> Column:
+    both = F.array_intersect(a, b)
+    some = lambda kind: F.exists(both, lambda k: k.startswith(kind))
+    equal = F.size(F.filter(both, lambda k: k.startswith("q")))
+    return F.least(F.lit(100), F.when(some("d"), 40 + 30 * equal).otherwise(0) + F.when(some("s"), 20).otherwise(0) + F.when(some("i"), 10).otherwise(0)).cast("long")
 
 
 def overall(weights: str = "B") -> Column:
     return sum((F.col(k) * w for k, w in WEIGHTS[weights].items()), F.lit(0.0))
 
 
-def scored(c: DataFrame, weights: str = "B", least: float = KEPT) -> DataFrame:
-    """(r1, r2, dimensions, overall) of the pairs above least."""
-    d = dimensions()
-    p = all_pairs(c).select(F.col("a.report_id").alias("r1"), F.col("b.report_id").alias("r2"), *(d[k].alias(k) for k in DIMENSIONS))
-    return p.withColumn("overall", F.round(overall(weights), 6)).where(F.col("overall") > least)
-
-
 def confidence() -> Column:
     """By how many of the six dimensions and the overall score are above 80, or below 20."""
     seven = F.array(*map(F.col, (*DIMENSIONS, "overall")))
     return F.when(F.size(F.filter(seven, lambda x: x > 80)) >= 3, 95).when(F.size(F.filter(seven, lambda x: x < 20)) >= 3, 90).otherwise(70)
 
 
-def clusters(pairs: DataFrame, least: float = HIGH) -> DataFrame:
-    """(report_id, component) of reports that are joined by pairs of at least least."""
-    return connected_components(pairs.where(F.col("overall") >= least).select("r1", "r2"), "r1", "r2").select(F.col("node").alias("report_id"), "component")
+def mean_over_pairs(c: str = "overall") -> Column:
+    return F.sum(F.col(c) * F.col("pairs")) / F.sum("pairs")
+
+
+def clusters(pairs: DataFrame, members: DataFrame, least: float = HIGH) -> DataFrame:
+    """(report_id, component) of reports that are joined by pairs of at least least; members are (report_id, class_id, copies)."""
+    near = pairs.where(F.col("overall") >= least)
+    joined = connected_components(near.where("r1 < r2").select("r1", "r2"), "r1", "r2")
+    alone = near.where("r1 = r2").select(F.col("r1").alias("node"), F.col("r1").alias("component")).join(joined.select("node"), "node", "left_anti")
+    return members.join(joined.unionByName(alone).withColumnRenamed("node", "class_id"), "class_id").select("report_id", "component")
 
 
-def cluster_table(pairs: DataFrame, least: float = HIGH) -> DataFrame:
+def cluster_table(pairs: DataFrame, members: DataFrame, least: float = HIGH) -> DataFrame:
     """One row a cluster: size, mean similarity of its pairs, and priority."""
-    members = clusters(pairs, least)
-    size = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    mean = pairs.where(F.col("overall") >= least).join(members, F.col("r1") == F.col("report_id")).groupBy("component").agg(F.round(F.avg("overall"), 4).alias("similarity"))
+    of = clusters(pairs, members, least)
+    size = of.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    mean = pairs.where(F.col("overall") >= least).join(of, F.col("r1") == F.col("report_id")).groupBy("component").agg(F.round(mean_over_pairs() + 1e-9, 4).alias("similarity"))
     return size.join(mean, "component").withColumn("priority", F.when(F.col("size") >= 3, "HIGH").otherwise("MEDIUM"))
 
 
-def partners(pairs: DataFrame) -> DataFrame:
-    """(report_id, similarity, partners): mean over a report's pairs."""
-    each = pairs.select(F.explode(F.array("r1", "r2")).alias("report_id"), "overall")
-    return each.groupBy("report_id").agg(F.round(F.avg("overall"), 4).alias("similarity"), F.count(F.lit(1)).alias("partners"))
+def partners(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(report_id, similarity, partners): number of the reports that a report is paired with, and its mean over them."""
+    other = pairs.where("r1 < r2").select(F.explode(F.array(F.struct(F.col("r1").alias("class_id"), F.col("n2").alias("k")), F.struct(F.col("r2").alias("class_id"), F.col("n1").alias("k")))).alias("x"), "overall").select("x.*", "overall")
+    own = pairs.where("r1 = r2").select(F.col("r1").alias("class_id"), (F.col("n1") - 1).alias("k"), "overall")
+    each = other.unionByName(own).groupBy("class_id").agg(F.round(F.sum(F.col("overall") * F.col("k")) / F.sum("k") + 1e-9, 4).alias("similarity"), F.sum("k").alias("partners"))
+    return members.join(each, "class_id").select("report_id", "similarity", "partners")
 
 
-def representatives(pairs: DataFrame, least: float = HIGH) -> DataFrame:
+def representatives(pairs: DataFrame, members: DataFrame, least: float = HIGH) -> DataFrame:
     """The member of each cluster with the highest mean similarity; the smallest id on a tie."""
-    m = clusters(pairs, least).join(partners(pairs.where(F.col("overall") >= least)), "report_id")
+    m = clusters(pairs, members, least).join(partners(pairs.where(F.col("overall") >= least), members), "report_id")
     first = F.min_by("report_id", F.struct((-F.col("similarity")).alias("s"), "report_id"))
     return m.groupBy("component").agg(first.alias("report_id"), F.max("similarity").alias("similarity"))
 
 
 def savings(cluster_rows: DataFrame) -> DataFrame:
-    """Hours one by one, hours by cluster, and what is saved."""
+    """Hours one by one, hours by cluster, what is saved, never below nothing, and the share of files that go."""
     files, n = F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))
-    t = cluster_rows.agg((files * FILE_HOURS).alias("single_hours"), (n * CLUSTER_HOURS).alias("cluster_hours"))
-    saved = F.col("single_hours") - F.col("cluster_hours") * F.lit(1)
-    return t.select("single_hours", "cluster_hours", saved.alias("saved_hours"), (saved * HOUR).alias("saved_cost"), F.round(F.col("cluster_hours") / F.nullif("single_hours", F.lit(0)), 6).alias("ratio"))
+    t = cluster_rows.agg((files * FILE_HOURS).alias("single_hours"), (n * CLUSTER_HOURS).alias("cluster_hours"), files.alias("files"), n.alias("clusters"))
+    saved = F.greatest(F.lit(0), F.col("single_hours") - F.col("cluster_hours"))
+    ratio = F.when(F.col("files") > 0, (F.col("files") - F.col("clusters")) / F.col("files")).otherwise(0.0)
+    return t.select("single_hours", "cluster_hours", saved.alias("saved_hours"), (saved * HOUR).alias("saved_cost"), F.round(ratio, 6).alias("ratio"))
 
 
 def merged(ours: DataFrame, theirs: DataFrame) -> DataFrame:
@@ -151,22 +314,24 @@ def deduped(pairs: DataFrame) -> DataFrame:
 
 def matrix_cells(pairs: DataFrame) -> DataFrame:
     """The long form of the matrix: both directions and the diagonal."""
-    p = pairs.select("r1", "r2", F.round("overall", 1).alias("v"))
+    p = pairs.where("r1 <> r2").select("r1", "r2", F.round("overall", 1).alias("v"))
     names = p.select(F.explode(F.array("r1", "r2")).alias("r")).distinct()
     return p.union(p.select("r2", "r1", "v")).union(names.select("r", "r", F.lit(100.0)))
 
 
-def matrix(pairs: DataFrame) -> DataFrame:
-    """The square matrix of the reports that occur, (report, cells): a row a report, its cells in order of the reports' ids,
-    100 on the diagonal and 0 where a pair is missing. Its schema does not depend on the number of reports; a row is as wide
-    as the catalogue, so a very large one is better served by matrix_cells."""
+def matrix(pairs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The square matrix of the classes that occur, (report, cells): a row a class, its cells in order of the ids, 100 on the
+    diagonal and 0 where a pair is missing. More than width classes are refused: matrix_cells() is the form for them."""
     cells = matrix_cells(pairs)
-    names = cells.agg(F.array_sort(F.collect_set("r1")).alias("names"))
+    names = [r.r1 for r in cells.select("r1").distinct().orderBy("r1").limit(width + 1).collect()]
+    if len(names) > width:
+        raise ValueError(f"a square matrix of more than {width} reports; take matrix_cells() or a larger width")
+    order = F.lit(np.array(names, np.int64)) if names and isinstance(names[0], int) else F.array(*map(F.lit, names))
     rows = cells.groupBy(F.col("r1").alias("report")).agg(F.map_from_entries(F.collect_list(F.struct("r2", "v"))).alias("known"))
-    return rows.join(F.broadcast(names)).select("report", F.transform("names", lambda x: F.coalesce(F.element_at("known", x), F.lit(0.0))).alias("cells"))
+    return rows.select("report", F.transform(order, lambda x: F.coalesce(F.element_at("known", x), F.lit(0.0))).alias("cells"))
 
 
-def ranked_priority(pairs: DataFrame) -> DataFrame:
-    """Reports by mean similarity, then by partners."""
-    label = rules.band(F.col("similarity"), [(70, "HIGH"), (50, "MEDIUM")], "LOW")
-    return numbered(partners(pairs).withColumn("priority", label), "place", F.desc("similarity"), F.desc("partners"), "report_id")
+def ranked_priority(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Reports by their number of partners, then by mean similarity."""
+    label = F.when((F.col("similarity") >= 75) & (F.col("partners") >= 3), "HIGH").when(F.col("similarity") >= 50, "MEDIUM").otherwise("LOW")
+    return numbered(partners(pairs, members).withColumn("priority", label), "place", F.desc("partners"), F.desc("similarity"), "report_id")

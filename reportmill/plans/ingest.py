@@ -12,8 +12,9 @@ from reportmill.operators import reports as R
 from reportmill.operators.shared import checkpoint_dir
 from reportmill.plans import reportpairs
 from reportmill.plans.registry import query, table
-from reportmill.plans.rules import C, I, P, Q
+from reportmill.plans.rules import OUTPUT, C, I, P, Q
 from reportmill.sources import reportxml as X
+from reportmill.sources.corpus import oracle
 
 SOUND = "report_id % 50 <> 49"
 
@@ -72,17 +73,24 @@ def scan_table_columns(spark: SparkSession, d: str) -> DataFrame:
     return X.table_columns(shredded(spark, d))
 
 
-@query(f"SELECT report_id, item_name, 'g_' || item_name AS group_name, '=Fields!A.Value' AS expressions FROM {I} WHERE {SOUND} AND item_type = 'Table'")
+@query(f"SELECT report_id, item_name, kind, CASE kind WHEN 'row' THEN 'g_' ELSE 'c_' END || item_name AS group_name, expression AS expressions FROM {oracle('report_group')} WHERE {SOUND} AND kind <> 'category'")
 def scan_table_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Row and column groups of tables, however deep they are nested."""
     return X.table_groups(shredded(spark, d))
 
 
+@query(f"SELECT report_id, layout FROM {OUTPUT} WHERE {SOUND}")
+def scan_report_layout(spark: SparkSession, d: str) -> DataFrame:
+    """The layout of a report by its definition: a chart, else a table with a column group, else a table."""
+    return X.layouts(shredded(spark, d))
+
+
 @query(f"SELECT report_id, item_name, '=Fields!A.Value' AS categories, 's' AS series, CASE WHEN length(item_name) % 2 = 0 THEN 'Line' ELSE 'Column' END AS kind, expression FROM {I} WHERE {SOUND} AND item_type = 'Chart'")
 def scan_chart_series(spark: SparkSession, d: str) -> DataFrame:
     return X.chart_series(shredded(spark, d))
 
 
-@query(f"SELECT report_id, 'DS' || query_id AS name, trim(sql_text) AS sql_text, CASE query_id % 6 WHEN 0 THEN '@StartDate' WHEN 3 THEN '$1' ELSE '' END AS parameters FROM {Q} WHERE {SOUND}")
+@query(f"SELECT report_id, 'DS' || query_id AS name, trim(sql_text) AS sql_text, CASE query_id % 6 WHEN 0 THEN '@StartDate,@StartDate2' WHEN 3 THEN '$1' ELSE '' END AS parameters FROM {Q} WHERE {SOUND}")
 def scan_report_queries(spark: SparkSession, d: str) -> DataFrame:
     return X.queries(shredded(spark, d))
 
@@ -109,12 +117,12 @@ def scan_report_files(spark: SparkSession, d: str) -> DataFrame:
     return shredded.select("report_id", F.regexp_extract("path", r"(report_id=\d+)/[^/]*\.rdl$", 1).alias("folder"), F.col("modificationTime").isNotNull().alias("dated"), (F.col("length") == F.col("bytes") + 1).alias("whole"), F.when(F.col("r").isNotNull() & F.col("r._corrupt").isNull(), F.col("year")).alias("year"))
 
 
-@query(f"SELECT r1, r2, round(overall, 4) AS overall FROM {reportpairs.PAIRS}")
+@query(f"SELECT r1, r2, pairs, overall FROM {reportpairs.PAIRS}")
 def sink_pairs_json(spark: SparkSession, d: str) -> DataFrame:
     folder = _folder(spark, "json")
     pairs = reportpairs.pairs(spark, d)
-    pairs.select("r1", "r2", F.round("overall", 4).alias("overall"), F.struct(*R.DIMENSIONS).alias("dimensions")).write.json(folder)
-    return spark.read.schema("r1 long, r2 long, overall double").json(folder)
+    pairs.select("r1", "r2", "pairs", "overall", F.struct(*R.DIMENSIONS).alias("dimensions")).write.json(folder)
+    return spark.read.schema("r1 long, r2 long, pairs long, overall double").json(folder)
 
 
 @query(f"SELECT report_name, item_name, item_type, expression FROM {I} JOIN {C} USING (report_id)")

@@ -9,7 +9,7 @@ from reportmill.functions import dialects as D
 from reportmill.functions import features as X
 from reportmill.functions import rules as R
 from reportmill.plans.registry import query
-from reportmill.plans.rules import Q, quoted, sql_any, sql_cases, sql_table_domain
+from reportmill.plans.rules import STATEMENT, Q, quoted, sql_any, sql_cases, sql_table_domain
 from reportmill.sources.corpus import load, oracle
 
 
@@ -34,11 +34,10 @@ CLEAN = rf"SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(sql_text,
 BARE = rf"""SELECT *, regexp_replace(regexp_replace(clean, '[`"\[\]]', '', 'g'), '(?i)\bEXTRACT\s*\([^)]*\)', 'EXTRACT()', 'g') AS bare FROM ({CLEAN})"""
 LISTS = rf"""SELECT *, list_sort(list_distinct(list_transform(regexp_extract_all(bare, {quoted(X.TABLE)}, 1), lambda x: lower(x)))) AS tables, {_found('upper(bare)', X.CALL)} AS functions, {_found('upper(bare)', X.JOIN)} AS joins,
 regexp_extract(bare, {quoted(X.WHERE)}, 1) AS body, regexp_matches(upper(bare), '\bGROUP\s+BY\b') AS grouped, regexp_matches(upper(bare), '\bORDER\s+BY\b') AS sorted,
-list_distinct(list_concat(regexp_extract_all(clean, '(@\w+|\$\w+|\?)', 1), list_transform(regexp_extract_all(clean, '[^:\w]:([A-Za-z_]\w*)', 1), lambda x: ':' || x))) AS parameters,
+list_concat(regexp_extract_all(clean, '(@\w+|\$\w+|\?)', 1), list_transform(regexp_extract_all(clean, '[^:\w]:([A-Za-z_]\w*)', 1), lambda x: ':' || x)) AS every_parameter,
 regexp_extract_all(lower(regexp_replace(regexp_replace(bare, '''[^'']*''', '', 'g'), '[@:$]+\w+', '', 'g')), '([a-z_][a-z0-9_.]*)', 1) AS names FROM ({BARE})"""
-_STATEMENTS = ("SELECT", "INSERT", "UPDATE", "DELETE", "CREATE", "ALTER", "DROP")
-_KIND = sql_cases([(f"starts_with(upper(trim(clean)), '{k}')", quoted(k)) for k in _STATEMENTS] + [("contains(upper(clean), 'EXEC') OR contains(upper(clean), 'PROCEDURE')", "'PROCEDURE'")], "'UNKNOWN'")
-MORE = rf"""SELECT *, {_found('upper(bare)', X.OPERATION)} AS operations, {_KIND} AS statement, {_found('upper(body)', X.OPERATOR)} AS filters,
+_KIND = STATEMENT.replace("(q)", "(clean)").replace("(q,", "(clean,")
+MORE = rf"""SELECT *, {_found('upper(bare)', X.OPERATION)} AS operations, {_KIND} AS statement, list_filter(every_parameter, lambda x, i: list_position(every_parameter, x) = i) AS parameters, {_found('upper(body)', X.OPERATOR)} AS filters,
 list_sort(list_distinct(list_filter(list_transform(list_filter(names, lambda x: NOT list_contains(tables, x)), lambda x: regexp_replace(x, '^.*\.', '')), lambda x: length(x) > 1 AND NOT list_contains({_list(X.KEYWORDS)}, x)))) AS columns,
 list_concat(list_filter(functions, lambda x: list_contains({_list(X.AGGREGATES)}, x)), list_concat(CASE WHEN grouped THEN ['GROUP BY'] ELSE [] END, CASE WHEN regexp_matches(upper(bare), '\bHAVING\b') THEN ['HAVING'] ELSE [] END)) AS aggregations FROM ({LISTS})"""
 _SALES = sql_any(f"({_text('tables')} || ' ' || {_text('columns')})", ("customer", "order", "sale", "product"))
@@ -46,7 +45,7 @@ _BOTH = f"({_text('tables')} || ' ' || {_text('columns')})"
 _SUMMED = "list_has_any(aggregations, ['SUM', 'COUNT', 'AVG'])"
 FEATURES = rf"""(SELECT *, round(complexity + CASE WHEN grouped THEN 2.0 ELSE 0.0 END + CASE WHEN sorted THEN 1.0 ELSE 0.0 END, 4) AS complexity_plus, md5({" || '|' || ".join(sql_joined(c) for c in ("tables", "columns", "functions", "joins", "filters"))}) AS semantic_hash,
 'SELECT ' || {sql_joined('columns')} || ' FROM ' || {sql_joined('tables')} || CASE WHEN len(aggregations) > 0 THEN ' AGG ' || {sql_joined('aggregations')} ELSE '' END AS canonical,
-CASE WHEN len(parameters) > 0 THEN replace(clean, parameters[1], '@PARAM1') ELSE clean END AS parameterized FROM (
+regexp_replace(regexp_replace(clean, '\Q' || coalesce(parameters[1], chr(1)) || '\E\b', '@PARAM1', 'g'), '\Q' || coalesce(parameters[2], chr(1)) || '\E\b', '@PARAM2', 'g') AS parameterized FROM (
 SELECT *, CAST(round(len(tables) * 1.0 + len(columns) * 0.1 + len(functions) * 0.5 + len(joins) * 2.0 + len(filters) * 0.3 + len(aggregations) * 1.5, 4) AS DOUBLE) AS complexity,
 list_sort(list_transform(tables, lambda t: {sql_table_domain('t')})) AS domains,
 {sql_cases([(f"{_SUMMED} AND list_contains(aggregations, 'GROUP BY')", "'analytical_summary'"), (_SUMMED, "'aggregated_reporting'"), ("len(tables) > 3", "'complex_analytical'"), (sql_any(_text('columns'), ('date', 'time', 'created', 'updated')), "'temporal_analysis'"), (sql_any(_text('tables'), ('customer', 'order', 'sale', 'product')), "'business_operations'")], "'general_reporting'")} AS intent,

@@ -42,10 +42,6 @@ WITHIN = f"""(SELECT *, compat * 0.50 + 0.20 + 0.15 + 0.10 + 0.5 * 0.05 AS final
 IDS = "a.sig AS q1, b.sig AS q2"
 
 
-#: The least score of a best pair that is worth a row.
-BEST = 0.8
-
-
 def sigs(spark: SparkSession, d: str) -> DataFrame:
     return P.signatures(featured(spark, d))
 
@@ -191,20 +187,3 @@ def token_cost_rollup(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT sig, array_to_string(list_transform({sql_vector()}, lambda v: CAST(CAST(round(v * 10000) AS BIGINT) AS VARCHAR)), ' ') AS vector FROM {SIGS}")
 def structure_vector(spark: SparkSession, d: str) -> DataFrame:
     return sigs(spark, d).select("sig", F.concat_ws(" ", F.transform(P.structure_vector(), lambda v: F.round(v * 10000).cast("long").cast("string"))).alias("vector"))
-
-
-_REPORTED = f"(SELECT report_id, sig, min(query_id) AS q, count(*) AS n FROM {FEATURES} f JOIN (SELECT {', '.join(P.FEATURES)}, sig FROM {SIGS}) g USING ({', '.join(P.FEATURES)}) GROUP BY 1, 2)"
-_MET = f"(SELECT a.sig AS s1, b.sig AS s2, final FROM {SCORED} UNION ALL SELECT b.sig, a.sig, final FROM {SCORED} UNION ALL SELECT sig, sig, final FROM {WITHIN})"
-
-
-@query(f"""SELECT r1, r2, q1, q2, round(final, 6) AS final FROM (SELECT *, row_number() OVER (PARTITION BY r1, r2 ORDER BY final DESC, q1, q2) AS place FROM (
-SELECT x.report_id AS r1, y.report_id AS r2, x.q AS q1, y.q AS q2, round(s.final, 9) AS final FROM {_MET} s JOIN {_REPORTED} x ON x.sig = s.s1 JOIN {_REPORTED} y ON y.sig = s.s2 WHERE s.final >= {BEST} AND x.report_id < y.report_id)) WHERE place = 1""")
-def best_query_pair_per_report_pair(spark: SparkSession, d: str) -> DataFrame:
-    """Of two reports the best pair of their queries, from BEST up; the smallest ids on a tie."""
-    f = featured(spark, d)
-    of = f.select("query_id", "report_id").join(P.members(f), "query_id").groupBy("report_id", "sig").agg(F.min("query_id").alias("q"))
-    one = every_pair(spark, d).where(F.col("final") >= BEST).select(F.col("a.sig").alias("s1"), F.col("b.sig").alias("s2"), F.round("final", 9).alias("final"))
-    met = one.union(one.where("s1 <> s2").select("s2", "s1", "final"))
-    j = met.join(of.toDF("r1", "s1", "q1"), "s1").join(of.toDF("r2", "s2", "q2"), "s2").where("r1 < r2")
-    best = j.groupBy("r1", "r2").agg(F.max(F.struct("final", (-F.col("q1")).alias("m1"), (-F.col("q2")).alias("m2"))).alias("b"))
-    return best.select("r1", "r2", (-F.col("b.m1")).alias("q1"), (-F.col("b.m2")).alias("q2"), F.round("b.final", 6).alias("final"))

@@ -1,153 +1,195 @@
-"""Pairs of the catalogue's reports and their roll-ups."""
+"""Pairs of the catalogue's reports and their roll-ups.
+
+Pairs stand between classes of equal contexts; `report_members` has the class of every report, and `pairs` how many pairs of
+reports a row is. The pairs are stored once a session and read by all queries here.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportmill.functions import rules
+from reportmill.functions import features, rules
+from reportmill.operators import pairs as QP
 from reportmill.operators import reports as R
 from reportmill.operators.shared import numbered
 from reportmill.plans import querypairs
 from reportmill.plans.querylog import FEATURES, featured
-from reportmill.plans.registry import query
-from reportmill.plans.rules import CALC, CALC_TYPE, PURPOSE, C, I, P, Q, sql_keyword_domain, sql_table_domain
+from reportmill.plans.registry import once, query
+from reportmill.plans.rules import FILTERS, OUTPUT, PURPOSE, C, I, P, Q, sql_field_domain, sql_table_domain, sql_table_set_domain
 from reportmill.sources.corpus import load, oracle
 
 _NONE = "CAST([] AS VARCHAR[])"
-CONTEXT = rf"""(SELECT c.report_id, 'DB' || c.report_id % 7 AS database, coalesce(p.purposes, {_NONE}) AS purposes, coalesce(p.filters, {_NONE}) AS filters, coalesce(i.calculations, {_NONE}) AS calculations, coalesce(i.fields, {_NONE}) AS fields,
-{sql_keyword_domain("coalesce(array_to_string(i.fields, ' '), '')", rules.FIELD_DOMAINS)} AS domain, CASE WHEN i.charts > 0 THEN 'chart' WHEN i.tables > 1 THEN 'matrix' WHEN i.tables > 0 THEN 'tabular' ELSE 'custom' END AS layout,
-list_sort(list_transform(q.query_tables, lambda t: {sql_table_domain('t')})) AS domains,
-CASE WHEN coalesce(p.dates, 0) > 0 AND i.sums > 0 THEN 'time_analysis' WHEN i.sums > 0 AND i.tables > 0 THEN 'summary' WHEN i.sums > 0 THEN 'metrics' WHEN i.n_items > 10 THEN 'detail_listing' ELSE 'general_report' END AS purpose
-FROM {C} c LEFT JOIN (SELECT report_id, list_distinct(list(CASE WHEN {CALC} THEN {CALC_TYPE} || ':' || lower(item_type) END) FILTER ({CALC})) AS calculations,
-  list_distinct(flatten(list(list_transform(regexp_extract_all(expression, 'Fields!(\w+)\.Value', 1), lambda x: lower(x))))) AS fields, count(*) FILTER (item_type = 'Chart') AS charts, count(*) FILTER (item_type = 'Table') AS tables,
-  count(*) FILTER (starts_with(expression, '=Sum')) AS sums, count(*) AS n_items FROM {I} GROUP BY 1) i USING (report_id)
-LEFT JOIN (SELECT report_id, list_distinct(list({PURPOSE})) AS purposes, list_distinct(list(lower(param_name) || ':' || CASE WHEN data_type = 'DateTime' THEN 'date_range' ELSE 'categorical' END)) AS filters, count(*) FILTER (data_type = 'DateTime') AS dates FROM {P} GROUP BY 1) p USING (report_id)
-LEFT JOIN (SELECT report_id, list_distinct(flatten(list(tables))) AS query_tables FROM {FEATURES} GROUP BY 1) q USING (report_id))"""
-_J = {f: querypairs.sql_jaccard(f) for f in ("filters", "calculations", "purposes", "fields")}
-_LISTED = "CASE WHEN a.database = b.database THEN 100.0::DOUBLE ELSE 0.0 END"
-_REST = "(CASE WHEN a.domain = 'general' OR b.domain = 'general' THEN 25.0::DOUBLE WHEN a.domain = b.domain THEN 85.0 ELSE 5.0 END + CASE WHEN a.layout = b.layout THEN 50.0 ELSE 0.0 END)"
-DIMS = f"""(SELECT a.report_id AS r1, b.report_id AS r2, CASE WHEN len(a.domains) > 0 AND len(b.domains) > 0 THEN ({_LISTED}) * 0.3 + {querypairs.COMPAT} * 70 ELSE {_LISTED} END AS source, {_J['filters']} * 100 AS filters, {_J['calculations']} * 100 AS calculations,
-{_J['purposes']} * 100 AS parameters, CASE WHEN a.purpose = b.purpose THEN 100.0::DOUBLE ELSE 0.0 END AS purpose, least(100.0, CASE WHEN len(a.fields) > 0 OR len(b.fields) > 0 THEN ({_REST} + {_J['fields']} * 150) / 3 ELSE {_REST} / 2 END) AS output
-FROM {CONTEXT} a JOIN {CONTEXT} b ON a.report_id < b.report_id)"""
+_SOURCES = oracle("report_source")
+_LISTS = ("sources", "tables", "domains", "filters", "calculations", "purposes", "fields", "groups", "signatures")
+CONTEXT = rf"""(SELECT o.report_id, coalesce(s.sources, {_NONE}) AS sources, list_sort(list_distinct(coalesce(q.named, {_NONE}))) AS tables, list_sort(list_transform(coalesce(q.named, {_NONE}), lambda t: {sql_table_domain('t')})) AS domains, coalesce(f.filters, {_NONE}) AS filters,
+list_sort(o.calculations) AS calculations, coalesce(p.purposes, {_NONE}) AS purposes, list_sort(o.fields) AS fields, list_sort(o.groups) AS groups, coalesce(q.signatures, {_NONE}) AS signatures, {sql_field_domain("coalesce(array_to_string(list_sort(o.fields), ' '), '')")} AS domain, o.layout,
+CASE WHEN coalesce(f.dates, 0) > 0 AND sums > 0 AND len(o.groups) > 0 THEN 'periodic_summary_report' WHEN coalesce(f.dates, 0) > 0 AND len(o.fields) > 10 THEN 'detailed_transactional_report' WHEN sums > 0 AND len(o.groups) > 0 THEN 'analytical_summary_report'
+  WHEN len(o.fields) > 10 AND coalesce(f.n, 0) = 0 THEN 'master_data_report' ELSE 'custom_operational_report' END AS purpose FROM {OUTPUT} o
+LEFT JOIN (SELECT report_id, list_sort(list_distinct(list(lower(source_name || ':' || coalesce(nullif(regexp_extract(connect_string, '(?i)Initial Catalog=([^;]+)', 1), ''), 'unknown_db'))))) AS sources FROM {_SOURCES} GROUP BY 1) s USING (report_id)
+LEFT JOIN (SELECT report_id, list_sort(list_distinct(list(filter))) AS filters, sum(dated) AS dates, count(*) AS n FROM {FILTERS} GROUP BY 1) f USING (report_id)
+LEFT JOIN (SELECT report_id, list_sort(list_distinct(list({PURPOSE}))) AS purposes FROM {P} GROUP BY 1) p USING (report_id)
+LEFT JOIN (SELECT report_id, flatten(list(tables)) AS named, list_sort(list_distinct(list(semantic_hash || '|' || coalesce(array_to_string(aggregations, ','), '')))) AS signatures FROM {FEATURES} GROUP BY 1) q USING (report_id))"""
+_ALL = ", ".join((*_LISTS, "domain", "layout", "purpose"))
+CLASSES = f"(SELECT min(report_id) AS report_id, count(*) AS n, {_ALL} FROM {CONTEXT} GROUP BY ALL)"
+MEMBERS = f"(SELECT report_id, min(report_id) OVER w AS class_id, count(*) OVER w AS copies FROM {CONTEXT} WINDOW w AS (PARTITION BY {_ALL}))"
+_J = {f: querypairs.sql_jaccard(f) for f in ("sources", "filters", "calculations", "purposes", "fields", "groups", "tables")}
+_LISTED, _READ = f"({_J['sources']} * 100)", "len(a.domains) > 0 AND len(b.domains) > 0"
+_REST = f"(CASE WHEN a.domain = 'unknown' OR b.domain = 'unknown' THEN 25.0::DOUBLE WHEN a.domain = b.domain THEN 85.0 ELSE 5.0 END + CASE WHEN a.layout = b.layout THEN 50.0 ELSE 0.0 END + {_J['groups']} * 100)"
+_MET = "a.report_id < b.report_id OR (a.report_id = b.report_id AND a.n > 1)"
+_PAIRED = "CAST(CASE WHEN a.report_id = b.report_id THEN a.n * (a.n - 1) / 2 ELSE a.n * b.n END AS BIGINT)"
+DIMS = f"""(WITH c AS MATERIALIZED (SELECT *, {sql_table_set_domain("coalesce(array_to_string(tables, ' '), '')")} AS set_domain FROM {CLASSES}) SELECT a.report_id AS r1, b.report_id AS r2, a.n AS n1, b.n AS n2, {_PAIRED} AS pairs,
+CASE WHEN {_READ} THEN {_LISTED} * 0.3 + {querypairs.COMPAT} * 100 * 0.7 ELSE {_LISTED} END AS source, {_J['filters']} * 100 AS filters, {_J['calculations']} * 100 AS calculations, {_J['purposes']} * 100 AS parameters, CASE WHEN a.purpose = b.purpose THEN 100.0::DOUBLE ELSE 0.0 END AS purpose,
+least(100.0, CASE WHEN len(a.fields) > 0 OR len(b.fields) > 0 THEN ({_REST} + {_J['fields']} * 100 * 1.5) / 4 ELSE {_REST} / 3 END) AS output,
+CASE WHEN {_READ} THEN CASE WHEN a.set_domain = b.set_domain OR a.set_domain = 'unknown' OR b.set_domain = 'unknown' THEN {_LISTED} * 0.3 + {_J['tables']} * 100 * 0.7 ELSE least(25.0, {_LISTED} * 0.2 + {_J['tables']} * 100 * 0.2) END ELSE {_LISTED} END AS plain_source
+FROM c a JOIN c b ON {_MET})"""
+#: Weights of pairs given by path, and of batches.
+_A = "purpose * 0.25 + filters * 0.25 + output * 0.20 + calculations * 0.15 + source * 0.10 + parameters * 0.05"
+_B = "purpose * 0.35 + source * 0.30 + filters * 0.15 + output * 0.15 + calculations * 0.03 + parameters * 0.02"
+PAIRS = f"(SELECT * FROM (SELECT *, round({_B} + 1e-9, 6) AS overall FROM {DIMS}) WHERE overall > 30)"
 
 
-def sql_overall(weights: str) -> str:
-    return "round(" + " + ".join(f"{k} * {w}" for k, w in R.WEIGHTS[weights].items()) + ", 6)"
+def contexts(spark: SparkSession, d: str) -> DataFrame:
+    def build() -> DataFrame:
+        q = featured(spark, d).select("report_id", "tables", features.conditions(F.col("bare")).alias("conditions"), F.concat_ws("|", "semantic_hash", F.concat_ws(",", "aggregations")).alias("signature"))
+        return R.contexts(*(load(spark, d, t) for t in ("report_catalog", "report_source", "report_item", "report_group", "report_param")), q)
+    return once(spark, d, "contexts", build)
 
 
-PAIRS = f"(SELECT * FROM (SELECT *, {sql_overall('B')} AS overall FROM {DIMS}) WHERE overall > 30)"
+def pairs(spark: SparkSession, d: str) -> DataFrame:
+    return once(spark, d, "pairs", lambda: R.scored(contexts(spark, d)))
 
 
-def contexts(spark: SparkSession, d: str) -> DataFrame:
-    return R.contexts(load(spark, d, "report_catalog"), load(spark, d, "report_item"), load(spark, d, "report_param"), featured(spark, d))
+def members(spark: SparkSession, d: str) -> DataFrame:
+    return R.class_members(contexts(spark, d))
 
 
-def pairs(spark: SparkSession, d: str, weights: str = "B") -> DataFrame:
-    return R.scored(contexts(spark, d), weights)
+_SHOWN = ", ".join(f"array_to_string({c}, ',') AS {c}" for c in _LISTS[:-1])
 
 
-@query(f"SELECT report_id, database, coalesce(array_to_string(list_sort(purposes), ','), '') AS purposes, coalesce(array_to_string(list_sort(calculations), ','), '') AS calculations, coalesce(array_to_string(list_sort(fields), ','), '') AS fields, domain, layout, array_to_string(domains, ',') AS domains, purpose FROM {CONTEXT}")
+@query(f"SELECT report_id, {_SHOWN.replace('array_to_string(', 'coalesce(array_to_string(').replace(', ' + chr(39) + ',' + chr(39) + ')', ', ' + chr(39) + ',' + chr(39) + '), ' + chr(39) * 2 + ')')}, domain, layout, purpose FROM {CONTEXT}")
 def report_context(spark: SparkSession, d: str) -> DataFrame:
-    lists = ("purposes", "calculations", "fields", "domains")
-    return contexts(spark, d).select("report_id", "database", "domain", "layout", "purpose", *(F.concat_ws(",", c).alias(c) for c in lists))
+    return contexts(spark, d).select("report_id", *(F.concat_ws(",", c).alias(c) for c in R.LISTS[:-1]), *R.SINGLE)
+
 
+@query(f"SELECT * FROM {MEMBERS}")
+def report_members(spark: SparkSession, d: str) -> DataFrame:
+    """The class of every report: with the pairs of classes, all links of all reports."""
+    return members(spark, d)
 
-_ROUNDED = ", ".join(f"round({k}, 4) AS {k}" for k in R.DIMENSIONS)
 
+_ROUNDED = ", ".join(f"round({k} + 1e-9, 4) AS {k}" for k in ("source", "filters", "calculations", "parameters", "purpose", "output"))
 
-@query(f"SELECT r1, r2, {_ROUNDED}, round(overall, 4) AS overall FROM {PAIRS}")
+
+def _r(c, name: str | None = None, digits: int = 4):
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c + 1e-9, digits).alias(name) if name else F.round(c + 1e-9, digits)
+
+
+@query(f"SELECT r1, r2, pairs, {_ROUNDED}, overall FROM {PAIRS}")
 def report_pair_scores(spark: SparkSession, d: str) -> DataFrame:
-    return pairs(spark, d).select("r1", "r2", *(F.round(k, 4).alias(k) for k in (*R.DIMENSIONS, "overall")))
+    return pairs(spark, d).select("r1", "r2", "pairs", *(_r(k, k) for k in R.DIMENSIONS), "overall")
 
 
 def _dimension(key: str, column: str) -> None:
     """A query for one dimension: its histogram over all kept pairs."""
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return pairs(spark, d).groupBy(F.round(column, 4).alias("score")).agg(F.count(F.lit(1)).alias("n"))
-    query(f"SELECT round({column}, 4) AS score, count(*) AS n FROM {PAIRS} GROUP BY 1", key)(run)
+        return pairs(spark, d).groupBy(_r(column, "score")).agg(F.sum("pairs").alias("n"))
+    query(f"SELECT round({column} + 1e-9, 4) AS score, CAST(sum(pairs) AS BIGINT) AS n FROM {PAIRS} GROUP BY 1", key)(run)
 
 
 for _k, _c in (("dim_data_source", "source"), ("dim_filters", "filters"), ("dim_calculations", "calculations"), ("dim_parameters", "parameters"), ("dim_purpose", "purpose"), ("dim_output", "output")):
     _dimension(_k, _c)
 
 
-@query(f"SELECT r1, r2, round({sql_overall('A')}, 4) AS by_path, round({sql_overall('B')}, 4) AS by_batch FROM {PAIRS}")
+@query(f"SELECT r1, r2, round(plain_source + 1e-9, 4) AS source, overall FROM (SELECT *, round({_B.replace('source', 'plain_source')} + 1e-9, 6) AS overall FROM {DIMS}) WHERE overall > 50")
+def dim_data_source_plain(spark: SparkSession, d: str) -> DataFrame:
+    """The variant that compares the tables themselves and the domains of sets of tables; pairs above 50."""
+    return R.scored(contexts(spark, d), least=50, analyzed=False).select("r1", "r2", _r("source", "source"), "overall")
+
+
+@query(f"SELECT r1, r2, round({_A} + 1e-9, 4) AS by_path, round({_B} + 1e-9, 4) AS by_batch FROM {PAIRS}")
 def report_pair_overall(spark: SparkSession, d: str) -> DataFrame:
-    return pairs(spark, d).select("r1", "r2", F.round(F.round(R.overall("A"), 6), 4).alias("by_path"), F.round("overall", 4).alias("by_batch"))
+    return pairs(spark, d).select("r1", "r2", _r(R.overall("A"), "by_path"), _r(R.overall("B"), "by_batch"))
 
 
-_SEVEN = "[" + ", ".join((*R.DIMENSIONS, "overall")) + "]"
+_SEVEN = "[source, filters, calculations, parameters, purpose, output, overall]"
 
 
-@query(f"SELECT CASE WHEN len(list_filter({_SEVEN}, lambda v: v > 80)) >= 3 THEN 95 WHEN len(list_filter({_SEVEN}, lambda v: v < 20)) >= 3 THEN 90 ELSE 70 END AS confidence, count(*) AS n, round(avg(overall), 4) AS mean FROM {PAIRS} GROUP BY 1")
+@query(f"SELECT CASE WHEN len(list_filter({_SEVEN}, lambda v: v > 80)) >= 3 THEN 95 WHEN len(list_filter({_SEVEN}, lambda v: v < 20)) >= 3 THEN 90 ELSE 70 END AS confidence, CAST(sum(pairs) AS BIGINT) AS n, round(sum(overall * pairs) / sum(pairs) + 1e-9, 4) AS mean FROM {PAIRS} GROUP BY 1")
 def pair_confidence_report(spark: SparkSession, d: str) -> DataFrame:
-    return pairs(spark, d).groupBy(R.confidence().alias("confidence")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("overall"), 4).alias("mean"))
+    return pairs(spark, d).groupBy(R.confidence().alias("confidence")).agg(F.sum("pairs").alias("n"), _r(R.mean_over_pairs(), "mean"))
 
 
-@query(f"SELECT CASE WHEN overall >= 80 THEN 'green' WHEN overall >= 60 THEN 'yellow' WHEN overall >= 40 THEN 'orange' ELSE 'red' END AS band, count(*) AS n FROM {PAIRS} GROUP BY 1")
+@query(f"SELECT CASE WHEN overall >= 80 THEN 'green' WHEN overall >= 60 THEN 'yellow' WHEN overall >= 40 THEN 'orange' ELSE 'red' END AS band, CAST(sum(pairs) AS BIGINT) AS n FROM {PAIRS} GROUP BY 1")
 def band_counts(spark: SparkSession, d: str) -> DataFrame:
-    return pairs(spark, d).groupBy(rules.band(F.col("overall"), [(80, "green"), (60, "yellow"), (40, "orange")], "red").alias("band")).agg(F.count(F.lit(1)).alias("n"))
+    return pairs(spark, d).groupBy(rules.band(F.col("overall"), [(80, "green"), (60, "yellow"), (40, "orange")], "red").alias("band")).agg(F.sum("pairs").alias("n"))
 
 
-@query(f"SELECT (SELECT count(*) FROM {C}) AS files, (SELECT count(*) FROM {Q}) AS queries, count(*) AS pairs, count(*) FILTER (overall >= 80) AS high, count(*) FILTER (overall >= 50 AND overall < 80) AS medium FROM {PAIRS}")
+@query(f"SELECT (SELECT count(*) FROM {C}) AS files, (SELECT count(*) FROM {Q}) AS queries, CAST(sum(pairs) AS BIGINT) AS pairs, CAST(coalesce(sum(pairs) FILTER (overall >= 80), 0) AS BIGINT) AS high, CAST(coalesce(sum(pairs) FILTER (overall >= 50 AND overall < 80), 0) AS BIGINT) AS medium FROM {PAIRS}")
 def analysis_summary(spark: SparkSession, d: str) -> DataFrame:
     o = F.col("overall")
-    p = pairs(spark, d).agg(F.count(F.lit(1)).alias("pairs"), F.count_if(o >= R.HIGH).alias("high"), F.count_if((o >= R.MEDIUM) & (o < R.HIGH)).alias("medium"))
+    some = lambda c, k: F.coalesce(F.sum(F.when(c, F.col("pairs"))), F.lit(0)).alias(k)
+    p = pairs(spark, d).agg(F.sum("pairs").alias("pairs"), some(o >= R.HIGH, "high"), some((o >= R.MEDIUM) & (o < R.HIGH), "medium"))
     n = [load(spark, d, t).agg(F.count(F.lit(1)).alias(k)) for t, k in (("report_catalog", "files"), ("report_query", "queries"))]
     one = lambda x: x.withColumn("_k", F.lit(1))
     return one(n[0]).join(one(n[1]), "_k").join(one(p), "_k").drop("_k")
 
 
-@query(f"SELECT count(DISTINCT (r1, r2)) AS opportunities FROM {PAIRS} WHERE overall >= 75")
+@query(f"SELECT CAST(coalesce(sum(pairs), 0) AS BIGINT) AS opportunities FROM {PAIRS} WHERE overall >= 75")
 def consolidation_opportunities(spark: SparkSession, d: str) -> DataFrame:
-    return pairs(spark, d).where("overall >= 75").agg(F.countDistinct(F.least("r1", "r2"), F.greatest("r1", "r2")).alias("opportunities"))
+    """Each unordered pair of reports counts once; a row is one pair of classes."""
+    return pairs(spark, d).where("overall >= 75").agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("opportunities"))
 
 
-_EACH = f"(SELECT unnest([r1, r2]) AS report_id, overall FROM {PAIRS})"
+_EACH = f"(SELECT m.report_id, x.overall, x.k FROM {MEMBERS} m JOIN (SELECT r1 AS class_id, n2 AS k, overall FROM {PAIRS} WHERE r1 < r2 UNION ALL SELECT r2, n1, overall FROM {PAIRS} WHERE r1 < r2 UNION ALL SELECT r1, n1 - 1, overall FROM {PAIRS} WHERE r1 = r2) x ON x.class_id = m.class_id)"
+_PARTNERS = f"(SELECT report_id, round(sum(overall * k) / sum(k) + 1e-9, 4) AS similarity, CAST(sum(k) AS BIGINT) AS partners FROM {_EACH} GROUP BY 1)"
 
 
-@query(f"SELECT report_id, similarity, partners, CASE WHEN similarity >= 70 THEN 'HIGH' WHEN similarity >= 50 THEN 'MEDIUM' ELSE 'LOW' END AS priority, CAST(row_number() OVER (ORDER BY similarity DESC, partners DESC, report_id) AS INT) AS place FROM (SELECT report_id, round(avg(overall), 4) AS similarity, count(*) AS partners FROM {_EACH} GROUP BY 1)")
+@query(f"SELECT report_id, similarity, partners, CASE WHEN similarity >= 75 AND partners >= 3 THEN 'HIGH' WHEN similarity >= 50 THEN 'MEDIUM' ELSE 'LOW' END AS priority, CAST(row_number() OVER (ORDER BY partners DESC, similarity DESC, report_id) AS INT) AS place FROM {_PARTNERS}")
 def migration_priority(spark: SparkSession, d: str) -> DataFrame:
-    return R.ranked_priority(pairs(spark, d))
+    return R.ranked_priority(pairs(spark, d), members(spark, d))
 
 
-@query(f"SELECT report_id, count(*) AS partners FROM {_EACH} GROUP BY 1")
+@query(f"SELECT report_id, partners FROM {_PARTNERS}")
 def similar_degree(spark: SparkSession, d: str) -> DataFrame:
-    return R.partners(pairs(spark, d)).select("report_id", "partners")
+    return R.partners(pairs(spark, d), members(spark, d)).select("report_id", "partners")
 
 
 @query(f"SELECT DISTINCT report_id FROM {_EACH}")
 def file_list(spark: SparkSession, d: str) -> DataFrame:
     p = pairs(spark, d)
-    return p.select(F.col("r1").alias("report_id")).union(p.select("r2")).distinct()
+    met = p.select(F.col("r1").alias("class_id")).union(p.select("r2")).distinct()
+    return members(spark, d).join(met, "class_id", "left_semi").select("report_id")
 
 
 @query(f"SELECT report_id FROM {C} WHERE report_id NOT IN (SELECT report_id FROM {_EACH} WHERE overall >= 80)")
 def unmatched_reports(spark: SparkSession, d: str) -> DataFrame:
-    p = pairs(spark, d).where(F.col("overall") >= R.HIGH).select(F.explode(F.array("r1", "r2")).alias("report_id"))
-    return load(spark, d, "report_catalog").select("report_id").join(p, "report_id", "left_anti")
+    p = pairs(spark, d).where(F.col("overall") >= R.HIGH).select(F.explode(F.array("r1", "r2")).alias("class_id"))
+    return members(spark, d).join(p, "class_id", "left_anti").select("report_id")
 
 
-_REACH = f"WITH RECURSIVE p AS MATERIALIZED (SELECT r1, r2, overall FROM {PAIRS} WHERE overall >= 80), e AS MATERIALIZED (SELECT r1 AS x, r2 AS y FROM p UNION SELECT r2, r1 FROM p), r AS (SELECT x AS report_id, y AS o FROM e UNION SELECT r.report_id, e.y FROM r JOIN e ON r.o = e.x), m AS MATERIALIZED (SELECT report_id, min(o) AS component FROM r GROUP BY 1)"
+_REACH = f"""WITH RECURSIVE p AS MATERIALIZED (SELECT r1, r2, n1, n2, pairs, overall FROM {PAIRS} WHERE overall >= 80), e AS MATERIALIZED (SELECT r1 AS x, r2 AS y FROM p UNION SELECT r2, r1 FROM p), r AS (SELECT x AS class_id, y AS o FROM e UNION SELECT r.class_id, e.y FROM r JOIN e ON r.o = e.x),
+m AS MATERIALIZED (SELECT t.report_id, t.class_id, c.component FROM {MEMBERS} t JOIN (SELECT class_id, min(least(o, class_id)) AS component FROM r GROUP BY 1) c USING (class_id))"""
+_CLUSTERS = "SELECT s.component, s.size, t.similarity, CASE WHEN s.size >= 3 THEN 'HIGH' ELSE 'MEDIUM' END AS priority FROM (SELECT component, count(*) AS size FROM m GROUP BY 1) s JOIN (SELECT component, round(sum(overall * pairs) / sum(pairs) + 1e-9, 4) AS similarity FROM p JOIN m ON p.r1 = m.report_id GROUP BY 1) t USING (component)"
 
 
-@query(f"{_REACH} SELECT s.component, s.size, t.similarity, CASE WHEN s.size >= 3 THEN 'HIGH' ELSE 'MEDIUM' END AS priority FROM (SELECT component, count(*) AS size FROM m GROUP BY 1) s JOIN (SELECT component, round(avg(overall), 4) AS similarity FROM p JOIN m ON p.r1 = m.report_id GROUP BY 1) t USING (component)")
+@query(f"{_REACH} {_CLUSTERS}")
 def consolidation_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return R.cluster_table(pairs(spark, d))
+    return R.cluster_table(pairs(spark, d), members(spark, d))
 
 
-@query(f"{_REACH}, w AS (SELECT report_id, round(avg(overall), 4) AS similarity FROM (SELECT unnest([r1, r2]) AS report_id, overall FROM p) GROUP BY 1) SELECT component, report_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY similarity DESC, report_id) AS k FROM m JOIN w USING (report_id)) WHERE k = 1")
+@query(f"{_REACH}, w AS (SELECT class_id, round(sum(overall * k) / sum(k) + 1e-9, 4) AS similarity FROM (SELECT r1 AS class_id, n2 AS k, overall FROM p WHERE r1 < r2 UNION ALL SELECT r2, n1, overall FROM p WHERE r1 < r2 UNION ALL SELECT r1, n1 - 1, overall FROM p WHERE r1 = r2) GROUP BY 1) SELECT component, report_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY similarity DESC, report_id) AS k FROM m JOIN w USING (class_id)) WHERE k = 1")
 def cluster_representative(spark: SparkSession, d: str) -> DataFrame:
-    return R.representatives(pairs(spark, d))
+    return R.representatives(pairs(spark, d), members(spark, d))
 
 
-@query(f"{_REACH}, s AS (SELECT component, count(*) AS size FROM m GROUP BY 1) SELECT CAST(sum(size) * 8 AS BIGINT) AS single_hours, count(*) * 12 AS cluster_hours, CAST(sum(size) * 8 - count(*) * 12 AS BIGINT) AS saved_hours, CAST((sum(size) * 8 - count(*) * 12) * 75 AS BIGINT) AS saved_cost, round(count(*) * 12 / (sum(size) * 8), 6) AS ratio FROM s")
+@query(f"{_REACH}, s AS (SELECT component, count(*) AS size FROM m GROUP BY 1), t AS (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) AS files, count(*) AS clusters FROM s) SELECT files * 8 AS single_hours, clusters * 12 AS cluster_hours, greatest(0, files * 8 - clusters * 12) AS saved_hours, greatest(0, files * 8 - clusters * 12) * 75 AS saved_cost, CASE WHEN files > 0 THEN round((files - clusters) / files, 6) ELSE 0.0 END AS ratio FROM t")
 def savings_estimate(spark: SparkSession, d: str) -> DataFrame:
-    return R.savings(R.cluster_table(pairs(spark, d)))
+    return R.savings(R.cluster_table(pairs(spark, d), members(spark, d)))
 
 
-_CELLS = f"(SELECT r1, r2, round(overall, 1) AS v FROM {PAIRS} UNION ALL SELECT r2, r1, round(overall, 1) FROM {PAIRS} UNION ALL SELECT DISTINCT report_id, report_id, 100.0 FROM {_EACH})"
+_CELLS = f"(SELECT r1, r2, round(overall, 1) AS v FROM {PAIRS} WHERE r1 < r2 UNION ALL SELECT r2, r1, round(overall, 1) FROM {PAIRS} WHERE r1 < r2 UNION ALL SELECT DISTINCT r, r, 100.0 FROM (SELECT unnest([r1, r2]) AS r FROM {PAIRS} WHERE r1 < r2))"
 SQUARE = f"WITH c AS MATERIALIZED (SELECT r1, r2, v FROM {_CELLS}), n AS (SELECT DISTINCT r1 AS r FROM c) SELECT x.r AS report, string_agg(printf('%.1f', coalesce(v, 0.0)), ',' ORDER BY y.r) AS cells FROM n x CROSS JOIN n y LEFT JOIN c ON c.r1 = x.r AND c.r2 = y.r GROUP BY x.r"
 
 
@@ -157,7 +199,7 @@ def square(spark: SparkSession, d: str) -> DataFrame:
 
 @query(SQUARE)
 def pivot_similarity_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """The square matrix, a row a report."""
+    """The square matrix, a row a class of reports."""
     return square(spark, d)
 
 
@@ -167,26 +209,41 @@ def similarity_matrix_cells(spark: SparkSession, d: str) -> DataFrame:
     return R.matrix_cells(pairs(spark, d))
 
 
-QUERY_SIDE = f"""(SELECT least(x.report_id, y.report_id) AS r1, greatest(x.report_id, y.report_id) AS r2, max(round(s.final * 100, 6)) AS score FROM (SELECT a.sig AS q1, b.sig AS q2, final FROM {querypairs.SCORED} WHERE final >= 0.8 UNION ALL SELECT sig, sig, final FROM {querypairs.WITHIN} WHERE final >= 0.8) s
-JOIN (SELECT DISTINCT f.report_id, g.sig FROM {FEATURES} f JOIN {querypairs.SIGS} g USING (tables, columns, functions, joins, filters, aggregations)) x ON x.sig = s.q1
-JOIN (SELECT DISTINCT f.report_id, g.sig FROM {FEATURES} f JOIN {querypairs.SIGS} g USING (tables, columns, functions, joins, filters, aggregations)) y ON y.sig = s.q2 WHERE x.report_id <> y.report_id GROUP BY ALL)"""
+_OF = f"(SELECT c.report_id, c.n, g.sig, min(f.query_id) AS q FROM (SELECT report_id, n FROM {CLASSES}) c JOIN {FEATURES} f ON f.report_id = c.report_id JOIN {querypairs.SIGS} g USING (tables, columns, functions, joins, filters, aggregations) GROUP BY ALL)"
+_SIDED = f"(SELECT a.sig AS s1, b.sig AS s2, final FROM {querypairs.SCORED} WHERE final >= 0.8 UNION ALL SELECT b.sig, a.sig, final FROM {querypairs.SCORED} WHERE final >= 0.8 UNION ALL SELECT sig, sig, final FROM {querypairs.WITHIN} WHERE final >= 0.8)"
+BEST = f"""(SELECT r1, r2, q1, q2, final FROM (SELECT *, row_number() OVER (PARTITION BY r1, r2 ORDER BY final DESC, q1, q2) AS place FROM (SELECT x.report_id AS r1, y.report_id AS r2, x.q AS q1, y.q AS q2, round(s.final, 9) AS final
+FROM {_SIDED} s JOIN {_OF} x ON x.sig = s.s1 JOIN {_OF} y ON y.sig = s.s2 WHERE x.report_id < y.report_id OR (x.report_id = y.report_id AND x.n > 1))) WHERE place = 1)"""
+
 
+def best_queries(spark: SparkSession, d: str, least: float = 0.8) -> DataFrame:
+    """(r1, r2, q1, q2, final): of two classes of reports their best pair of queries, from least up; the smallest ids on a tie.
 
-def query_side(spark: SparkSession, d: str, least: float = 0.8) -> DataFrame:
-    """The second scoring: of two reports, their best pair of queries, from least up. A signature that both have is such a pair."""
-    f = featured(spark, d)
-    from reportmill.operators import pairs as QP
+    A class is its set of signatures among others, so reports with the same hot queries are one row here, and what is made is
+    the result itself times the few ways in which two reports reach it."""
+    def build() -> DataFrame:
+        f = featured(spark, d)
+        held = members(spark, d).where("report_id = class_id").select("report_id", F.col("copies").alias("n"))
+        of = f.select("query_id", "report_id").join(held, "report_id").join(QP.members(f), "query_id").groupBy("report_id", "n", "sig").agg(F.min("query_id").alias("q"))
+        sig = QP.signatures(f)
+        one = QP.scored(sig).unionByName(QP.within(sig)).where(F.col("final") >= least).select(F.col("a.sig").alias("s1"), F.col("b.sig").alias("s2"), F.round("final", 9).alias("final"))
+        met = one.union(one.where("s1 <> s2").select("s2", "s1", "final"))
+        j = met.join(of.toDF("r1", "n1", "s1", "q1"), "s1").join(of.toDF("r2", "n2", "s2", "q2"), "s2").where("r1 < r2 OR (r1 = r2 AND n1 > 1)")
+        best = j.groupBy("r1", "r2").agg(F.max(F.struct("final", (-F.col("q1")).alias("m1"), (-F.col("q2")).alias("m2"))).alias("b"))
+        return best.select("r1", "r2", (-F.col("b.m1")).alias("q1"), (-F.col("b.m2")).alias("q2"), F.col("b.final").alias("final"))
+    return once(spark, d, f"best queries {least}", build)
 
-    sig = QP.signatures(f)
-    key = F.to_json(F.struct(*QP.FEATURES))
-    of = f.select("report_id", key.alias("k")).distinct().join(sig.select("sig", key.alias("k")), "k").select("report_id", "sig")
-    s = QP.scored(sig).unionByName(QP.within(sig)).where(F.col("final") >= least).select(F.col("a.sig").alias("q1"), F.col("b.sig").alias("q2"), F.round(F.col("final") * 100, 6).alias("score"))
-    x, y = of.toDF("x", "q1"), of.toDF("y", "q2")
-    j = s.join(x, "q1").join(y, "q2").where("x <> y")
-    return j.groupBy(F.least("x", "y").alias("r1"), F.greatest("x", "y").alias("r2")).agg(F.max("score").alias("score"))
+
+@query(f"SELECT r1, r2, q1, q2, round(final, 6) AS final FROM {BEST}")
+def best_query_pair_per_report_pair(spark: SparkSession, d: str) -> DataFrame:
+    return best_queries(spark, d).withColumn("final", F.round("final", 6))
 
 
 _KEYED = f"(SELECT r1, r2, overall AS score FROM {PAIRS})"
+QUERY_SIDE = f"(SELECT r1, r2, round(final * 100, 6) AS score FROM {BEST})"
+
+
+def query_side(spark: SparkSession, d: str) -> DataFrame:
+    return best_queries(spark, d).select("r1", "r2", F.round(F.col("final") * 100, 6).alias("score"))
 
 
 @query(f"SELECT r1, r2, round(coalesce(a.score * 0.7 + b.score * 0.3, a.score, b.score) + 1e-9, 3) AS score, CASE WHEN a.score IS NULL THEN 'second' WHEN b.score IS NULL THEN 'first' ELSE 'both' END AS origin FROM {_KEYED} a FULL JOIN {QUERY_SIDE} b USING (r1, r2)")
@@ -207,13 +264,13 @@ def pair_with_queries(spark: SparkSession, d: str) -> DataFrame:
     return p.join(x, "r1", "left").join(y, "r2", "left").select("r1", "r2", "queries1", "queries2")
 
 
-_NAMED = f"(SELECT r1 * 100000 + r2 AS id, CASE WHEN (r1 + r2) % 2 = 0 THEN 'file_0_' ELSE '' END || 'r' || r1 AS f1, 'r' || CAST(floor(r2 / 2) AS BIGINT) AS f2, overall AS score FROM {PAIRS})"
+_NAMED = f"(SELECT r1 * 100000 + r2 AS id, CASE WHEN (r1 + r2) % 2 = 0 THEN 'file_0_' ELSE '' END || 'r' || r1 AS f1, 'r' || CAST(floor(r2 / 2) AS BIGINT) AS f2, overall AS score FROM {PAIRS} WHERE r1 < r2)"
 
 
 @query(rf"""SELECT k1, k2, score, id FROM (SELECT *, row_number() OVER (PARTITION BY k1, k2 ORDER BY clean DESC, score DESC, id) AS k FROM (SELECT least(c1, c2) AS k1, greatest(c1, c2) AS k2, c1 = f1 AND c2 = f2 AS clean, score, id FROM
 (SELECT *, regexp_replace(f1, '^file_\d+_', '') AS c1, regexp_replace(f2, '^file_\d+_', '') AS c2 FROM {_NAMED}))) WHERE k = 1""")
 def dedupe_pairs(spark: SparkSession, d: str) -> DataFrame:
-    p = pairs(spark, d)
+    p = pairs(spark, d).where("r1 < r2")
     f1 = F.concat(F.when((F.col("r1") + F.col("r2")) % 2 == 0, "file_0_").otherwise(""), F.lit("r"), "r1")
     return R.deduped(p.select((F.col("r1") * 100_000 + F.col("r2")).alias("id"), f1.alias("f1"), F.concat(F.lit("r"), F.floor(F.col("r2") / 2)).alias("f2"), F.col("overall").alias("score")))
 
@@ -239,9 +296,14 @@ def reuse_known_results(spark: SparkSession, d: str) -> DataFrame:
     return h.join(h.where("report_id % 3 = 0").select("h"), "h", "left_semi").select("report_id", "h")
 
 
-@query(f"SELECT count(*) AS reports, CAST(sum(datasets) AS BIGINT) AS datasets, CAST(sum(items) AS BIGINT) AS items, CASE WHEN avg(datasets) > 5 THEN 'High' WHEN avg(datasets) > 2 THEN 'Medium' ELSE 'Low' END AS level FROM (SELECT report_id, count(*) AS datasets FROM {Q} GROUP BY 1) JOIN (SELECT report_id, count(*) AS items FROM {I} GROUP BY 1) USING (report_id)")
+@query(f"SELECT (SELECT count(*) FROM {C}) AS reports, (SELECT count(*) FROM {_SOURCES}) AS sources, (SELECT count(*) FROM {Q}) AS datasets, (SELECT count(*) FROM {I}) AS items, CASE WHEN (SELECT count(*) FROM {Q}) * 3 + (SELECT count(*) FROM {I}) * 2 <= 20 THEN 'Low' WHEN (SELECT count(*) FROM {Q}) * 3 + (SELECT count(*) FROM {I}) * 2 <= 50 THEN 'Medium' ELSE 'High' END AS level")
 def catalog_summary(spark: SparkSession, d: str) -> DataFrame:
-    return report_inventory(spark, d).agg(F.count(F.lit(1)).alias("reports"), F.sum("datasets").alias("datasets"), F.sum("items").alias("items"), rules.cases([(F.avg("datasets") > 5, "High"), (F.avg("datasets") > 2, "Medium")], "Low").alias("level"))
+    """Totals of the catalogue; its level weighs a dataset 3 and an item 2."""
+    tables = {"reports": "report_catalog", "sources": "report_source", "datasets": "report_query", "items": "report_item"}
+    rows = [load(spark, d, t).agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.lit(k)) for k, t in tables.items()]
+    n = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]).agg(*(F.max(F.when(F.col("k") == k, F.col("n"))).alias(k) for k in tables))
+    weight = F.col("datasets") * 3 + F.col("items") * 2
+    return n.withColumn("level", rules.cases([(weight <= 20, "Low"), (weight <= 50, "Medium")], "High"))
 
 
 _INVENTORY = f"(SELECT q.report_id, q.datasets, i.items, CASE WHEN datasets <= 2 THEN 'Low' WHEN datasets <= 5 THEN 'Medium' ELSE 'High' END AS level FROM (SELECT report_id, count(*) AS datasets FROM {Q} GROUP BY 1) q JOIN (SELECT report_id, count(*) AS items FROM {I} GROUP BY 1) i USING (report_id))"
@@ -269,10 +331,22 @@ def common_datasets(spark: SparkSession, d: str) -> DataFrame:
     return p.where("report_id % 2 = 0").select("dataset_name").intersect(p.where("report_id % 2 = 1").select("dataset_name"))
 
 
-_SETS = f"(SELECT report_id, list_distinct(list(dataset_name)) AS names, list_distinct(list(dataset_name || '|' || sql_text)) AS texts, list_distinct(list(source_name)) AS sources, list_distinct(list(item_name)) AS items FROM {_D} GROUP BY 1)"
+_KEYS = f"(SELECT DISTINCT report_id, unnest(['d' || dataset_name, 'q' || dataset_name || '|' || sql_text, 's' || source_name, 'i' || item_name]) AS key FROM {_D})"
+_POINTS = "CAST(least(100, CASE WHEN len(list_filter(k, lambda x: x[1] = 'd')) > 0 THEN 40 + 30 * len(list_filter(k, lambda x: x[1] = 'q')) ELSE 0 END + CASE WHEN len(list_filter(k, lambda x: x[1] = 's')) > 0 THEN 20 ELSE 0 END + CASE WHEN len(list_filter(k, lambda x: x[1] = 'i')) > 0 THEN 10 ELSE 0 END) AS BIGINT)"
+_STRUCTURE = f"""k AS MATERIALIZED {_KEYS}, h AS MATERIALIZED (SELECT key FROM k GROUP BY 1 HAVING count(*) > 100), f AS MATERIALIZED (SELECT report_id, list_sort(list(key)) AS names FROM k JOIN h USING (key) GROUP BY 1), p AS MATERIALIZED (SELECT report_id, names, min(report_id) OVER (PARTITION BY names) AS profile_id FROM f)"""
 
 
-@query(f"""SELECT * FROM (SELECT a.report_id AS r1, b.report_id AS r2, CAST(least(100, CASE WHEN list_has_any(a.names, b.names) THEN 40 + 30 * len(list_intersect(a.texts, b.texts)) ELSE 0 END
-+ CASE WHEN list_has_any(a.sources, b.sources) THEN 20 ELSE 0 END + CASE WHEN list_has_any(a.items, b.items) THEN 10 ELSE 0 END) AS BIGINT) AS score FROM {_SETS} a JOIN {_SETS} b ON a.report_id < b.report_id) WHERE score > 0""")
+@query(f"""WITH {_STRUCTURE}, s AS MATERIALIZED (SELECT report_id, list(key) AS names FROM k GROUP BY 1), m AS (SELECT DISTINCT a.report_id AS r1, b.report_id AS r2 FROM k a JOIN k b USING (key) WHERE a.report_id < b.report_id AND key NOT IN (SELECT key FROM h)),
+near AS MATERIALIZED (SELECT r1, r2, {_POINTS} AS score FROM (SELECT r1, r2, list_intersect(x.names, y.names) AS k FROM m JOIN s x ON x.report_id = r1 JOIN s y ON y.report_id = r2)),
+g AS MATERIALIZED (SELECT profile_id, names, count(*) AS n FROM p GROUP BY ALL),
+w AS (SELECT r1, r2, {_POINTS} AS score, n FROM (SELECT a.profile_id AS r1, b.profile_id AS r2, list_intersect(a.names, b.names) AS k, CASE WHEN a.profile_id = b.profile_id THEN a.n * (a.n - 1) / 2 ELSE a.n * b.n END AS n FROM g a JOIN g b ON a.profile_id <= b.profile_id) WHERE len(k) > 0),
+c AS (SELECT least(x.profile_id, y.profile_id) AS r1, greatest(x.profile_id, y.profile_id) AS r2, count(*) AS n FROM near JOIN p x ON x.report_id = near.r1 JOIN p y ON y.report_id = near.r2 GROUP BY ALL)
+SELECT r1, r2, false AS profiles, score, 1::BIGINT AS pairs FROM near UNION ALL SELECT * FROM (SELECT w.r1, w.r2, true, w.score, CAST(w.n - coalesce(c.n, 0) AS BIGINT) AS pairs FROM w LEFT JOIN c USING (r1, r2)) WHERE pairs > 0""")
 def report_pair_structural(spark: SparkSession, d: str) -> DataFrame:
     return R.structural(load(spark, d, "report_dataset"))
+
+
+@query(f"WITH {_STRUCTURE} SELECT report_id, profile_id FROM p")
+def report_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """The profile of every report that has heavy names: with report_pair_structural, all links."""
+    return R.profile_members(load(spark, d, "report_dataset"))

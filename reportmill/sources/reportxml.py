@@ -9,15 +9,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportmill.functions import features
+from reportmill.functions import features, rules
 from reportmill.sources.corpus import load
 
 _TEXTBOX = "STRUCT<_Name: STRING, Value: STRING>"
 _GROUP = "Group: STRUCT<_Name: STRING, GroupExpressions: STRUCT<GroupExpression: ARRAY<STRING>>>"
+
+
+def _members(depth: int) -> str:
+    """Members of a hierarchy, which nest."""
+    below = f", TablixMembers: STRUCT<TablixMember: {_members(depth - 1)}>" if depth > 1 else ""
+    return f"ARRAY<STRUCT<{_GROUP}{below}>>"
+
+
+#: How deep groups of a table may be nested.
+DEPTH = 4
 _ITEMS = f"""STRUCT<
  Tablix: ARRAY<STRUCT<_Name: STRING, DataSetName: STRING,
   TablixBody: STRUCT<TablixRows: STRUCT<TablixRow: ARRAY<STRUCT<TablixCells: STRUCT<TablixCell: ARRAY<STRUCT<CellContents: STRUCT<Textbox: {_TEXTBOX}>>>>>>>>,
-  TablixRowHierarchy: STRUCT<TablixMembers: STRUCT<TablixMember: ARRAY<STRUCT<{_GROUP}>>>>>>,
+  TablixColumnHierarchy: STRUCT<TablixMembers: STRUCT<TablixMember: {_members(DEPTH)}>>,
+  TablixRowHierarchy: STRUCT<TablixMembers: STRUCT<TablixMember: {_members(DEPTH)}>>>>,
  Chart: ARRAY<STRUCT<_Name: STRING,
   ChartCategoryHierarchy: STRUCT<ChartMembers: STRUCT<ChartMember: ARRAY<STRUCT<{_GROUP}>>>>,
   ChartData: STRUCT<ChartSeriesCollection: STRUCT<ChartSeries: ARRAY<STRUCT<_Name: STRING, Type: STRING, ChartDataPoints: STRUCT<ChartDataPoint: STRUCT<ChartDataPointValues: STRUCT<Y: STRING>>>>>>>>>,
@@ -126,9 +137,29 @@ def table_columns(shredded: DataFrame) -> DataFrame:
     return t.select("report_id", "item_name", F.explode("row.TablixCells.TablixCell").alias("c")).select("report_id", "item_name", F.col("c.CellContents.Textbox._Name").alias("column_name"), F.col("c.CellContents.Textbox.Value").alias("expression"))
 
 
+def _groups(hierarchy: str) -> Column:
+    """The groups of a hierarchy, of all depths."""
+    level, found = F.col(f"{hierarchy}.TablixMembers.TablixMember"), []
+    for depth in range(DEPTH):
+        found.append(F.coalesce(F.transform(level, lambda m: m["Group"]), F.array()))
+        if depth < DEPTH - 1:
+            level = F.flatten(F.transform(level, lambda m: F.coalesce(m["TablixMembers"]["TablixMember"], F.array())))
+    return F.filter(F.concat(*found), lambda g: g.isNotNull())
+
+
 def table_groups(shredded: DataFrame) -> DataFrame:
-    t = _tables(shredded).select("report_id", F.col("t._Name").alias("item_name"), F.explode("t.TablixRowHierarchy.TablixMembers.TablixMember").alias("m"))
-    return t.where("m.Group IS NOT NULL").select("report_id", "item_name", F.col("m.Group._Name").alias("group_name"), F.concat_ws(",", "m.Group.GroupExpressions.GroupExpression").alias("expressions"))
+    """(report_id, item_name, kind, group_name, expressions): row and column groups of tables."""
+    sides = F.concat(*(F.transform(_groups(f"t.Tablix{side}Hierarchy"), lambda g: F.struct(F.lit(kind).alias("kind"), g.alias("g"))) for side, kind in (("Row", "row"), ("Column", "column"))))
+    t = _tables(shredded).select("report_id", F.col("t._Name").alias("item_name"), F.inline(sides))
+    return t.select("report_id", "item_name", "kind", F.col("g._Name").alias("group_name"), F.concat_ws(",", "g.GroupExpressions.GroupExpression").alias("expressions"))
+
+
+def layouts(shredded: DataFrame) -> DataFrame:
+    """(report_id, layout) by what a report shows."""
+    t = sound(shredded).select("report_id", _items().alias("i"))
+    across = F.size(F.filter("i.Tablix", lambda x: F.exists(F.coalesce(x["TablixColumnHierarchy"]["TablixMembers"]["TablixMember"], F.array()), lambda m: m["Group"].isNotNull() | F.exists(F.coalesce(m["TablixMembers"]["TablixMember"], F.array()), lambda n: n["Group"].isNotNull()))))
+    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    return t.select("report_id", rules.layout(size("i.Chart"), F.coalesce(across, F.lit(0)), size("i.Tablix")).alias("layout"))
 
 
 def chart_series(shredded: DataFrame) -> DataFrame:
@@ -159,9 +190,11 @@ def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
         '</Query><Fields><Field Name="A"><DataField>A</DataField><rd:TypeName>System.Int32</rd:TypeName></Field>', F.when(c("query_id") % 5 == 0, '<Field Name="B"><Value>=Fields!A.Value * 2</Value></Field>').otherwise(""), "</Fields>", value, "</DataSet>",
     ), "query_id").alias("q"))
     box = x('<Textbox Name="', c("item_name"), '"><Value>', _escaped("expression"), "</Value></Textbox>")
-    tablix = x('<Tablix Name="', c("item_name"), '"><TablixBody><TablixRows><TablixRow><TablixCells><TablixCell><CellContents>', box, "</CellContents></TablixCell></TablixCells></TablixRow></TablixRows></TablixBody><TablixRowHierarchy><TablixMembers><TablixMember><Group Name=\"g_", c("item_name"), '"><GroupExpressions><GroupExpression>=Fields!A.Value</GroupExpression></GroupExpressions></Group></TablixMember></TablixMembers></TablixRowHierarchy></Tablix>')
+    group = lambda kind, name: F.coalesce(x(f'<Group Name="{name}', c("item_name"), '"><GroupExpressions><GroupExpression>', c(kind), "</GroupExpression></GroupExpressions></Group>"), F.lit(""))
+    tablix = x('<Tablix Name="', c("item_name"), '"><TablixBody><TablixRows><TablixRow><TablixCells><TablixCell><CellContents>', box, "</CellContents></TablixCell></TablixCells></TablixRow></TablixRows></TablixBody><TablixColumnHierarchy><TablixMembers><TablixMember>", group("column", "c_"), "</TablixMember></TablixMembers></TablixColumnHierarchy><TablixRowHierarchy><TablixMembers><TablixMember>", group("row", "g_"), "<TablixMembers><TablixMember/></TablixMembers></TablixMember></TablixMembers></TablixRowHierarchy></Tablix>")
     chart = x('<Chart Name="', c("item_name"), '"><ChartCategoryHierarchy><ChartMembers><ChartMember><Group Name="c"><GroupExpressions><GroupExpression>=Fields!A.Value</GroupExpression></GroupExpressions></Group></ChartMember></ChartMembers></ChartCategoryHierarchy><ChartData><ChartSeriesCollection><ChartSeries Name="s">', F.when(F.length("item_name") % 2 == 0, "<Type>Line</Type>").otherwise(""), "<ChartDataPoints><ChartDataPoint><ChartDataPointValues><Y>", _escaped("expression"), "</Y></ChartDataPointValues></ChartDataPoint></ChartDataPoints></ChartSeries></ChartSeriesCollection></ChartData></Chart>")
-    i = load(spark, sf_dir, "report_item").groupBy("report_id").agg(glue(F.when(c("item_type") == "Table", tablix).when(c("item_type") == "Chart", chart).otherwise(box), "item_name").alias("i"))
+    named = load(spark, sf_dir, "report_group").groupBy("report_id", "item_name").agg(*(F.max(F.when(c("kind") == k, c("expression"))).alias(k) for k in ("row", "column")))
+    i = load(spark, sf_dir, "report_item").join(named, ["report_id", "item_name"], "left").groupBy("report_id").agg(glue(F.when(c("item_type") == "Table", tablix).when(c("item_type") == "Chart", chart).otherwise(box), "item_name").alias("i"))
     p = load(spark, sf_dir, "report_param").groupBy("report_id").agg(glue(x('<ReportParameter Name="', c("param_name"), '"><DataType>', c("data_type"), "</DataType>", F.when(c("data_type") == "String", "<AllowBlank>true</AllowBlank>").otherwise("<DefaultValue><Values><Value>1</Value><Value>2</Value></Values></DefaultValue>"), "</ReportParameter>"), "param_name").alias("p"))
     j = load(spark, sf_dir, "report_catalog").join(q, "report_id").join(i, "report_id").join(p, "report_id", "left")
     body = x("<Body><ReportItems>", c("i"), "</ReportItems></Body>")
