@@ -16,6 +16,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -30,7 +31,9 @@ SCALE = 1_000_000_000
 #: Terms that a report names, for each source.
 TERMS = 200
 #: Cells (a term in a source) that a task holds before it spills its stripes.
-CELLS = 400_000
+CELLS = 600_000
+#: Rows in a batch that is spilled.
+BATCH = 100_000
 #: The words of UTF-8 text: letters from A to Z and everything beyond ASCII.
 WORD = re.compile(rb"[A-Za-z\x80-\xff]+")
 _STRIPE = "lang string, term string, cells array<struct<source: string, n: bigint, documents: bigint>>"
@@ -54,16 +57,29 @@ class Stripes:
     def cells(self) -> int:
         return sum(map(len, self.n.values()))
 
-    def spill(self) -> pa.RecordBatch:
+    def spill(self) -> Iterator[pa.RecordBatch]:
         """The stripes as rows; each cell brings its source's occurrences and documents."""
-        rows: dict[tuple[str, bytes], list[dict]] = defaultdict(list)
-        for (lang, source), counts in self.n.items():
-            documents = self.documents[lang, source]
-            for term, n in counts.items():
-                rows[lang, term].append({"source": source, "n": n, "documents": documents[term]})
+        by_lang: dict[str, list[str]] = defaultdict(list)
+        for lang, source in self.n:
+            by_lang[lang].append(source)
+        for lang, sources in by_lang.items():
+            number: dict[bytes, int] = {}
+            rows, n, documents, sizes = [], [], [], []
+            for source in sources:
+                counts = self.n[lang, source]
+                rows += [number.setdefault(term, len(number)) for term in counts]
+                n += counts.values()
+                documents += map(self.documents[lang, source].__getitem__, counts)
+                sizes.append(len(counts))
+            row = np.array(rows, np.int64)
+            order = np.argsort(row, kind="stable")
+            cells = [pa.array(sources, pa.string()).take(pa.array(np.repeat(np.arange(len(sources)), sizes)[order])), *(pa.array(np.array(v, np.int64)[order]) for v in (n, documents))]
+            offsets = np.append(0, np.cumsum(np.bincount(row, minlength=len(number)))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(cells, ["source", "n", "documents"]))
+            terms = pa.array(list(number), pa.binary()).cast(pa.string())
+            whole = pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(number), np.int64))), terms, lists], ["lang", "term", "cells"])
+            yield from (whole.slice(at, BATCH) for at in range(0, len(number), BATCH))
         self.clear()
-        cell = pa.list_(pa.struct([("source", pa.string()), ("n", pa.int64()), ("documents", pa.int64())]))
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in rows], pa.string()), pa.array([k[1] for k in rows], pa.binary()).cast(pa.string()), pa.array(list(rows.values()), cell)], ["lang", "term", "cells"])
 
 
 def stripes(docs: DataFrame) -> DataFrame:
@@ -77,9 +93,9 @@ def stripes(docs: DataFrame) -> DataFrame:
             for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), raw(b.column(2))):
                 held.fold(lang, source, text)
             if held.cells() > CELLS:
-                yield held.spill()
+                yield from held.spill()
         if held.n:
-            yield held.spill()
+            yield from held.spill()
     spilled = docs.mapInArrow(run, _STRIPE).repartition("lang", "term")
     cell = spilled.select("lang", "term", F.inline("cells")).groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
     merged = cell.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "n")).alias("cells"), F.sum("documents").alias("documents"), F.sum("n").alias("n"))
