@@ -11,17 +11,18 @@ from pyspark.ml.feature import BucketedRandomProjectionLSH, HashingTF, MinHashLS
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from reportmill.operators.nearest import unit_vectors
 from reportmill.operators.shared import cut, store
 
-# Words, patterns and calls that the keyword vector looks for.
+# Keywords, words of tables and calls that the keyword vector looks for, and where in it they and the statistics stand.
 KEYWORDS = (
-    "select from where join inner left right outer group order by having union insert update delete create count sum avg max min distinct "
-    "case when then else end in exists between like"
-).split()
+    "select", "from", "where", "join", "inner", "left", "right", "outer", "group by", "order by", "having", "union", "insert", "update", "delete", "create", "alter", "drop", "distinct", "count", "sum", "avg", "max", "min",
+    "case", "when", "then", "else", "end", "in", "exists", "between", "like",
+)
 TABLE_WORDS = ("customers", "orders", "products", "sales", "employees", "items")
 CALLS = ("sum(", "count(", "avg(", "max(", "min(", "cast(", "convert(")
+SIZE, STATISTICS_AT, TABLES_AT, CALLS_AT = 128, 64, 70, 80
 
 
 def words(text: Column) -> Column:
@@ -78,29 +79,6 @@ def minhash_pairs(docs: DataFrame, id_col: str, text_col: str, least: float = 0.
     return p.select(F.col("datasetA.id").alias("id1"), F.col("datasetB.id").alias("id2"), score.alias("score")).where(F.col("score") >= least).withColumn("score", F.round("score", 6))
 
 
-def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, u): vectors of length one, in doubles; zero and null vectors are left out."""
-    v = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    return v.withColumn("n", norm).where("n > 0").select("id", F.transform("v", lambda x: x / F.col("n")).alias("u"))
-
-
-def cosine_pairs(vectors: DataFrame, id_col: str, vector_col: str, least: float = 0.3, block: int = 512) -> DataFrame:
-    """(id1, id2, score): all pairs at least, exactly: blocks against blocks, each a matrix product in a task of its own."""
-    def product(t: pa.Table) -> pa.Table:
-        g, ids, x = t.column("g").to_numpy(), t.column("id").to_numpy(), np.array(t.column("u").to_pylist())
-        left, right = np.flatnonzero(g == g.min()), np.flatnonzero(g == g.max())
-        s = x[left] @ x[right].T
-        a, b = np.nonzero(s >= least)
-        score = s[a, b]
-        a, b = ids[left[a]], ids[right[b]]
-        keep = a < b if g.min() == g.max() else np.ones(len(a), bool)
-        a, b = np.minimum(a, b)[keep], np.maximum(a, b)[keep]
-        return pa.table({"id1": a, "id2": b, "score": score[keep]})
-
-    return _blocks(vectors, id_col, vector_col, block).groupBy("i", "j").applyInArrow(product, "id1 long, id2 long, score double")
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
@@ -113,33 +91,6 @@ def top_k(vectors: DataFrame, id_col: str, vector_col: str, query: list[float],
     return s.orderBy(F.desc("score"), "id").limit(k)
 
 
-def _blocks(vectors: DataFrame, id_col: str, vector_col: str, block: int) -> DataFrame:
-    """(i, j, g, id, u): unit vectors for every pair of blocks i <= j that theirs, g, is part of."""
-    u = unit_vectors(vectors, id_col, vector_col)
-    n = max(1, -(-u.count() // block))
-    rows = u.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return rows.select(F.least("g", "o").alias("i"), F.greatest("g", "o").alias("j"), "g", "id", "u")
-
-
-def top_k_each(vectors: DataFrame, id_col: str, vector_col: str, k: int = 10, block: int = 512) -> DataFrame:
-    """The k nearest others of every vector, by cosine, then by id. Each pair of blocks hands on the k best a vector only."""
-    def best(t: pa.Table) -> pa.Table:
-        t = t.sort_by("id")
-        g, ids, x = t.column("g").to_numpy(), t.column("id").to_numpy(), np.array(t.column("u").to_pylist())
-        left, right = np.flatnonzero(g == g.min()), np.flatnonzero(g == g.max())
-        out = []
-        for rows, others in ((left, right),) if g.min() == g.max() else ((left, right), (right, left)):
-            s = x[rows] @ x[others].T
-            s[ids[rows][:, None] == ids[others]] = -np.inf
-            order = np.argsort(-np.round(s, 9), axis=1, kind="stable")[:, :k]
-            out += [(int(ids[rows[a]]), int(ids[others[b]]), float(s[a, b])) for a in range(len(rows)) for b in order[a] if s[a, b] > -np.inf]
-        return pa.table({"id": pa.array([o[0] for o in out], pa.int64()), "other": pa.array([o[1] for o in out], pa.int64()), "score": pa.array([o[2] for o in out], pa.float64())})
-
-    both = _blocks(vectors, id_col, vector_col, block).groupBy("i", "j").applyInArrow(best, "id long, other long, score double")
-    place = F.row_number().over(W.partitionBy("id").orderBy(F.desc(F.round("score", 9)), "other"))
-    return both.withColumn("place", place).where(F.col("place") <= k)
-
-
 def centroids(vectors: DataFrame, label_col: str, vector_col: str) -> DataFrame:
     """(label, centroid): mean of each component."""
     t = vectors.select(F.col(label_col).alias("label"), F.posexplode(vector_col).alias("p", "x"))
@@ -156,12 +107,15 @@ def lsh_pairs(vectors: DataFrame, id_col: str, vector_col: str, least: float = 0
 
 
 def keyword_vector(text: Column) -> Column:
-    """Keyword bits, five statistics of the text, table words and calls, brought to length one."""
+    """128 numbers, brought to length one: keyword bits, five statistics of the text, words of tables and calls; zeros between them."""
     low, size = F.lower(text), F.greatest(F.length(text), F.lit(1))
     bit = lambda w: low.contains(w).cast("double")
     count = lambda c: (F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))) / size
     stats = [F.least(F.lit(1.0), F.length(text) / 1000), F.least(F.lit(1.0), F.regexp_count(text, F.lit(r"[^ \t\n\r]+")) / 100), count("("), count(","), count("=")]
-    v = F.array(*map(bit, KEYWORDS), *stats, *map(bit, TABLE_WORDS), *map(bit, CALLS))
+    places = [F.lit(0.0)] * SIZE
+    for at, values in ((0, [*map(bit, KEYWORDS)]), (STATISTICS_AT, stats), (TABLES_AT, [*map(bit, TABLE_WORDS)]), (CALLS_AT, [*map(bit, CALLS)])):
+        places[at : at + len(values)] = values
+    v = F.array(*places)
     return F.transform(v, lambda x: F.coalesce(x / F.nullif(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y)), F.lit(0.0)), F.lit(0.0)))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reportmill.operators import nearest as N
 from reportmill.operators import similarity as S
 from reportmill.plans.registry import query, table
 from reportmill.plans.rules import Q
@@ -40,7 +41,7 @@ _PAIRS = f"(SELECT a.vec_id AS id1, b.vec_id AS id2, list_cosine_similarity(a.e,
 
 @query(f"SELECT id1, id2, round(score, 6) AS score FROM {_PAIRS} WHERE score >= 0.3")
 def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return S.cosine_pairs(table(spark, d, "embeddings"), "vec_id", "embedding").withColumn("score", F.round("score", 6))
+    return N.cosine_pairs(table(spark, d, "embeddings"), "vec_id", "embedding").withColumn("score", F.round("score", 6))
 
 
 @query(f"SELECT a.vec_id AS id, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM {_V} a, (SELECT e FROM {_V} ORDER BY vec_id LIMIT 1) b ORDER BY score DESC, id LIMIT 10")
@@ -52,7 +53,7 @@ def top_k_similar(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT id, other, round(score, 6) AS score, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, other) AS place FROM (SELECT id1 AS id, id2 AS other, score FROM {_PAIRS} UNION ALL SELECT id2, id1, score FROM {_PAIRS})) WHERE place <= 5")
 def top_k_per_item(spark: SparkSession, d: str) -> DataFrame:
-    return S.top_k_each(table(spark, d, "embeddings"), "vec_id", "embedding", 5).withColumn("score", F.round("score", 6))
+    return N.top_k_each(table(spark, d, "embeddings"), "vec_id", "embedding", 5).withColumn("score", F.round("score", 6))
 
 
 @query(f"""WITH c AS (SELECT label, list(m ORDER BY p) AS c FROM (SELECT label, p, avg(x) AS m FROM (SELECT label, unnest(e) AS x, generate_subscripts(e, 1) AS p FROM {_V}) GROUP BY ALL) GROUP BY label)
@@ -70,11 +71,15 @@ def lsh_cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sql_vector(t: str) -> str:
-    bit = lambda w: f"CAST(contains(lower({t}), '{w}') AS DOUBLE)"
+    """The 128 numbers before they are brought to length one; the words are written out, and zeros fill the gaps."""
+    bits = lambda words: f"list_transform({words}, lambda w: CAST(contains(lower({t}), w) AS DOUBLE))"
+    zeros = lambda n: f"list_transform(range({n}), lambda z: 0.0::DOUBLE)"
     size = f"greatest(length({t}), 1)"
     count = lambda c: f"(length({t}) - length(replace({t}, '{c}', ''))) / {size}"
-    stats = [f"least(1.0, length({t}) / 1000)", rf"least(1.0, len(regexp_extract_all({t}, '[^ \t\n\r]+')) / 100)", count("("), count(","), count("=")]
-    return "[" + ", ".join((*map(bit, S.KEYWORDS), *(f"CAST({x} AS DOUBLE)" for x in stats), *map(bit, S.TABLE_WORDS), *map(bit, S.CALLS))) + "]"
+    stats = ", ".join(f"CAST({x} AS DOUBLE)" for x in (f"least(1.0, length({t}) / 1000)", rf"least(1.0, len(regexp_extract_all({t}, '[^ \t\n\r]+')) / 100)", count("("), count(","), count("=")))
+    keywords = "['select', 'from', 'where', 'join', 'inner', 'left', 'right', 'outer', 'group by', 'order by', 'having', 'union', 'insert', 'update', 'delete', 'create', 'alter', 'drop', 'distinct', 'count', 'sum', 'avg', 'max', 'min', 'case', 'when', 'then', 'else', 'end', 'in', 'exists', 'between', 'like']"
+    tables, calls = "['customers', 'orders', 'products', 'sales', 'employees', 'items']", "['sum(', 'count(', 'avg(', 'max(', 'min(', 'cast(', 'convert(']"
+    return f"flatten([{bits(keywords)}, {zeros(31)}, [{stats}], [0.0::DOUBLE], {bits(tables)}, {zeros(4)}, {bits(calls)}, {zeros(41)}])"
 
 
 _DIGITS = "array_to_string(list_transform(v, lambda x: CAST(CAST(round(x / sqrt(list_sum(list_transform(v, lambda y: y * y))) * 10000 + 1e-7) AS BIGINT) AS VARCHAR)), ' ')"

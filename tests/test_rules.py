@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reportmill.functions import dialects, features, rules
-from reportmill.operators import graph, measures, pairs, reports, similarity, store
+from reportmill.operators import graph, measures, nearest, pairs, reports, similarity, store
 
 
 def one(spark, column, **values):
@@ -282,12 +282,46 @@ def test_size_budget_keeps_the_newest(spark):
     assert store.within_budget(df, "s", "t", "k", 1000.0).count() == 40
 
 
-def test_top_k_each(spark):
-    vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").limit(60)
-    rows = [(r.vec_id, r.embedding) for r in vectors.collect()]
-    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = {(r.id, r.place): r.other for r in similarity.top_k_each(df, "vec_id", "embedding", 3, block=16).collect()}
-    for i, v in rows:
-        best = sorted(((-round(cos(v, w), 9), j) for j, w in rows if j != i))[:3]
+def cosine(a, b):
+    return sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+
+
+@pytest.mark.parametrize("spread", [False, True])
+def test_neighbours_by_blocks(spark, spread):
+    """Exact neighbours, of the table's vectors and of groups of close ones that most blocks can leave out."""
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").orderBy("vec_id").limit(60).collect()]
+    if spread:
+        rows = [(i, [1.0 if j == i % 6 else 0.02 * ((i * 7 + j * 3) % 5) for j in range(6)]) for i in range(90)] + [(91, [1.0] + [0.0] * 5), (92, [1.0] + [0.0] * 5), (93, [0.0] * 6), (94, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    some = [(i, v) for i, v in rows if v and any(v)]
+    got = {(r.id, r.place): r.other for r in nearest.top_k_each(df, "vec_id", "embedding", 3, block=8).collect()}
+    assert len(got) == 3 * len(some)
+    vectors = {r.vec_id: r.embedding for r in df.collect()}
+    for i, _ in some:
+        best = sorted((-round(cosine(vectors[i], vectors[j]), 9), j) for j, _ in some if j != i)[:3]
         assert [got[i, k + 1] for k in range(3)] == [j for _, j in best]
+    for least in (0.3, 0.9):
+        pairs = {(r.id1, r.id2): r.score for r in nearest.cosine_pairs(df, "vec_id", "embedding", least, block=8).collect()}
+        want = {(i, j): cosine(vectors[i], vectors[j]) for i, _ in some for j, _ in some if i < j and cosine(vectors[i], vectors[j]) >= least}
+        assert pairs.keys() == want.keys() and all(abs(pairs[k] - want[k]) < 1e-9 for k in want)
+    if spread:
+        met = nearest.blocks_met(df, "vec_id", "embedding", 0.9, block=8).first()
+        assert met.met < 0.6 * met.pairs
+
+
+def test_neighbours_of_nothing(spark):
+    none = spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")
+    assert nearest.cosine_pairs(none, "vec_id", "embedding").collect() == [] and nearest.top_k_each(none, "vec_id", "embedding").collect() == []
+
+
+def test_keyword_vector(spark):
+    text = "SELECT a, sum(b) FROM Orders GROUP BY a"
+    v = spark.createDataFrame([(text,), ("",)], "t string").select(similarity.keyword_vector(F.col("t")).alias("v")).collect()
+    ones = {0, 1, 8, 20, 71, 80}
+    ones.add(27) if "else" in text.lower() else None
+    raw = [0.0] * 128
+    for i in ones:
+        raw[i] = 1.0
+    raw[64], raw[65], raw[66], raw[67] = len(text) / 1000, len(text.split()) / 100, 1 / len(text), 1 / len(text)
+    norm = math.sqrt(sum(x * x for x in raw))
+    assert len(v[0].v) == 128 and all(abs(x - y / norm) < 1e-9 for x, y in zip(v[0].v, raw)) and v[1].v == [0.0] * 128
