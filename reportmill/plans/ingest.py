@@ -13,6 +13,7 @@ from reportmill.operators.shared import checkpoint_dir
 from reportmill.plans import reportpairs
 from reportmill.plans.registry import query, table
 from reportmill.plans.rules import OUTPUT, C, I, P, Q
+from reportmill.sources import reportfiles
 from reportmill.sources import reportxml as X
 from reportmill.sources.corpus import oracle
 
@@ -108,7 +109,7 @@ def _folder(spark: SparkSession, kind: str) -> str:
 
 @query(f"SELECT report_id, 'report_id=' || report_id AS folder, true AS dated, true AS whole, CASE WHEN {SOUND} THEN schema_year END AS year FROM {C}")
 def scan_report_files(spark: SparkSession, d: str) -> DataFrame:
-    """Definitions are written as .rdl files, one folder each, and scanned back with path, time, length and content."""
+    """Definitions are written as .rdl files, one folder each, and scanned back by the data source with path, time, length and content."""
     folder = _folder(spark, "files")
     texts = X.derived(spark, d)
     X.write_files(texts, folder)
@@ -131,7 +132,8 @@ def sink_by_report(spark: SparkSession, d: str) -> DataFrame:
     from reportmill.sources.corpus import load
 
     rows = load(spark, d, "report_item").join(load(spark, d, "report_catalog").select("report_id", "report_name"), "report_id")
-    rows.repartition("report_name").write.partitionBy("report_name").parquet(folder)
+    reportfiles.register(spark)
+    rows.repartition("report_name").sortWithinPartitions("report_name").write.format("report_folders").option("by", "report_name").mode("append").save(folder)
     return spark.read.parquet(folder).select("report_name", "item_name", "item_type", "expression")
 
 
@@ -155,7 +157,8 @@ def sink_matrix_csv(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_id, user_id, event_type, value FROM events")
 def sink_store_metadata(spark: SparkSession, d: str) -> DataFrame:
     folder = _folder(spark, "meta")
-    table(spark, d, "events").select("event_id", "user_id", "event_type", "value").write.json(folder)
+    reportfiles.register(spark)
+    table(spark, d, "events").select("event_id", "user_id", "event_type", "value").write.format("report_folders").option("kind", "json").mode("append").save(folder)
     return spark.read.schema("event_id long, user_id long, event_type string, value double").json(folder)
 
 

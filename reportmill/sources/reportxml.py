@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reportmill.functions import features, rules
+from reportmill.sources import reportfiles
 from reportmill.sources.corpus import load
 
 _TEXTBOX = "STRUCT<_Name: STRING, Value: STRING>"
@@ -47,9 +48,9 @@ TYPES = {"System.Int32": "INT", "System.Int16": "SMALLINT", "System.Double": "DO
 
 
 def scan_files(spark: SparkSession, folder: str, glob: str = "*.rdl") -> DataFrame:
-    """(path, modificationTime, length, content) of the report files below folder."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", "modificationTime", "length", F.decode("content", "UTF-8").alias("content"))
+    """(path, modificationTime, length, content, error) of the report files below folder."""
+    reportfiles.register(spark)
+    return spark.read.format("report_files").option("glob", glob).load(folder)
 
 
 def write_files(reports: DataFrame, folder: str) -> None:
@@ -58,10 +59,10 @@ def write_files(reports: DataFrame, folder: str) -> None:
     lines.option("extension", "rdl").option("quote", "").option("sep", "\u0001").option("maxRecordsPerFile", 1).csv(folder)
 
 
-def stream_files(spark: SparkSession, folder: str, glob: str = "*.rdl", at_once: int = 400) -> DataFrame:
-    """The same as a stream of (path, modificationTime, content): files are rows once they arrive."""
-    files = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", True).option("maxFilesPerTrigger", at_once).load(folder)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modificationTime"), F.col("value").alias("content"))
+def stream_files(spark: SparkSession, folder: str, glob: str = "*.rdl") -> DataFrame:
+    """The same as a stream: files are rows once they arrive."""
+    reportfiles.register(spark)
+    return spark.readStream.format("report_files").option("glob", glob).load(folder)
 
 
 def shred(reports: DataFrame, content: str = "content") -> DataFrame:
