@@ -17,6 +17,7 @@ from __future__ import annotations
 import pickle
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -34,6 +35,8 @@ RATE = 0.3
 MIXED = 1.0
 BINS = 32
 BUCKETS = 160
+#: Nodes of pages whose features are in memory together, beside one page of any length.
+TOGETHER = 20_000
 
 # Fixed values of HTML: elements without content, of raw text, inline ones, and those that end an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -73,6 +76,7 @@ class Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", "", None)
         self.open: list[tuple[str, Node]] = [("#root", self.root)]
+        self.tags: Counter[str] = Counter()  # of the open elements, so that a very deep page is not searched for what it lacks
         self.skip: list[str] = []
         self.run: list[str] = []
         self.linked: list[str] = []
@@ -89,6 +93,10 @@ class Builder(HTMLParser):
 
     def close_to(self, depth: int) -> None:
         self.flush()
+        self.drop(depth)
+
+    def drop(self, depth: int) -> None:
+        self.tags.subtract(t for t, _ in self.open[depth:])
         del self.open[depth:]
 
     def leaves(self, tag: str) -> bool:
@@ -121,19 +129,20 @@ class Builder(HTMLParser):
         self.flush()
         if tag in VOID:
             return
-        if tag in ENDS_P:
+        if tag in ENDS_P and self.tags["p"]:
             for k in range(len(self.open) - 1, 0, -1):
                 if self.open[k][0] == "p":
-                    del self.open[k:]
+                    self.drop(k)
+                    break
+                if self.open[k][0] in SCOPE:
+                    break
+        if any(self.tags[t] for t in SIBLINGS.get(tag, ())):
+            for k in range(len(self.open) - 1, 0, -1):
+                if self.open[k][0] in SIBLINGS[tag]:
+                    self.drop(k)
                     break
                 if self.open[k][0] in SCOPE:
                     break
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k][0] in SIBLINGS.get(tag, ()):
-                del self.open[k:]
-                break
-            if self.open[k][0] in SCOPE:
-                break
         values = dict(attrs)
         words = " ".join(str(values.get(k) or "") for k in ("class", "id", "role", "itemprop", "aria-label")).lower()
         if "hidden" in values or "display:none" in str(values.get("style") or "").replace(" ", "").lower():
@@ -141,6 +150,7 @@ class Builder(HTMLParser):
         node = Node(tag, words, self.open[-1][1])
         self.open[-1][1].children.append(node)
         self.open.append((tag, node))
+        self.tags[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag in VOID:
@@ -155,13 +165,13 @@ class Builder(HTMLParser):
             if tag in self.skip and (tag == self.skip[-1] or self.skip[-1] not in RAW):
                 del self.skip[len(self.skip) - 1 - self.skip[::-1].index(tag) :]
                 return
-            if self.skip[-1] in RAW or not (tag == "a" and self.in_link or any(t == tag for t, _ in self.open[1:])):
+            if self.skip[-1] in RAW or not (tag == "a" and self.in_link or self.tags[tag]):
                 return
             self.skip = []
         if tag in INLINE:
             self.in_link = max(0, self.in_link - (tag == "a"))
             return
-        for k in range(len(self.open) - 1, 0, -1):
+        for k in range(len(self.open) - 1, 0, -1) if self.tags[tag] else ():
             if self.open[k][0] == tag:
                 self.close_to(k)
                 return
@@ -222,23 +232,26 @@ def features(every: list[Node]) -> np.ndarray:
     for x in every:
         before[x.index] = seen
         seen += len(x.text)
-        same = [c.tag for c in x.children]
         for k, c in enumerate(x.children):
-            place[c.index], count[c.index] = k / max(1, len(same) - 1), len(same)
+            place[c.index], count[c.index] = k / max(1, len(x.children) - 1), len(x.children)
     of = np.maximum(parent, 0)
-    alike = np.array([sum(c.tag == x.tag for c in x.parent.children) / len(x.parent.children) if x.parent else 1 for x in every])
+    alike = np.ones(n)
+    for x in every:
+        tags = Counter(c.tag for c in x.children)
+        for c in x.children:
+            alike[c.index] = tags[c.tag] / len(x.children)
     dense = np.column_stack([
         np.log1p(chars), links / np.maximum(chars, 1), marks / np.maximum(chars, 1), np.log1p(size), np.log1p(chars / size), np.log1p(chars / np.maximum(leaves, 1)),
         chars / total, chars / np.maximum(chars[of], 1), [x.depth for x in every], place, np.log1p(count), before / total, alike, np.log1p(chars[of]), links[of] / np.maximum(chars[of], 1), np.full(n, np.log1p(total)),
     ])
-    own, up = np.zeros((n, BUCKETS)), np.zeros((n, BUCKETS))
+    own, up = np.zeros((n, BUCKETS), np.uint8), np.zeros((n, BUCKETS), np.uint8)
     for x in every:
         i = x.index
         if x.parent:
             up[i] = np.maximum(up[parent[i]], own[parent[i]])
         for t in _tokens(x):
             own[i, zlib.crc32(t.encode()) % BUCKETS] = 1
-    return np.column_stack([dense, own, up]).astype(np.float32)
+    return np.column_stack([dense.astype(np.float32), own, up])
 
 
 def _edges(column: np.ndarray) -> np.ndarray:
@@ -283,7 +296,7 @@ class Boosted:
         return self
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        b = np.column_stack([np.searchsorted(e, c, "right") for e, c in zip(self.edges, x.T)])
+        b = np.column_stack([np.searchsorted(e, c, "right").astype(np.uint8) for e, c in zip(self.edges, x.T)])
         f, rows = np.zeros(len(x)), np.arange(len(x))
         for feature, at, value in self.trees:
             node = np.zeros(len(x), np.int64)
@@ -446,13 +459,22 @@ def _marked(every: list[Node], before: str) -> Node:
 
 
 def extract_texts(pages: list[str | None], model: Boosted) -> list[str]:
-    """The main text of each page; the trees run once over the nodes of all."""
-    trees = [nodes(parse(h)) if h else [] for h in pages]
-    ends = np.cumsum([0, *map(len, trees)])
-    if not ends[-1]:
-        return [""] * len(pages)
-    p = model.predict(np.concatenate([features(t) for t in trees if t]))
-    return ["\n".join(decode(t, p[a:b])) if t else "" for t, a, b in zip(trees, ends, ends[1:])]
+    """The main text of each page; the trees run over the nodes of some pages together."""
+    out, held = [], []
+
+    def run() -> None:
+        p = model.predict(np.concatenate([features(t) for t in held if t])) if any(held) else np.zeros(0)
+        at = 0
+        for t in held:
+            out.append("\n".join(decode(t, p[at : at + len(t)])) if t else "")
+            at += len(t)
+        held.clear()
+    for html in pages:
+        held.append(nodes(parse(html)) if html else [])
+        if sum(map(len, held)) > TOGETHER:
+            run()
+    run()
+    return out
 
 
 def fit(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> Boosted:
