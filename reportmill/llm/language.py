@@ -249,7 +249,7 @@ def _sample(docs: DataFrame, held_out: Column, id_col: str, text_col: str, lang_
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_spread(windows(t), most) for t in raw(b.column(1))], pa.list_(pa.binary()))], ["lang", "parts"])
 
     rows = known.join(F.broadcast(rates), F.col("lang") == F.col("_lang")).where(unit < F.col("_rate")).select("lang", "text")
-    return rows.limit(max(SHARING, len(counts)) * docs_each * 2).mapInArrow(sampled, "lang string, parts array<binary>").collect()
+    return rows.mapInArrow(sampled, "lang string, parts array<binary>").collect()
 
 
 def _model(rows: list[Row], steps: int) -> tuple[list[str], Weights] | None:
