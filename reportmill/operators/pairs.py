@@ -42,6 +42,20 @@ def compatibility(a: Column, b: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + one(x)) / (F.size(a) * F.size(b))
 
 
+def reach(domains: Column) -> Column:
+    """The domains of a list and those related to one of them: where a partner above the score of strangers can be."""
+    kin = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for p in rules.RELATED for x, y in (p, p[::-1])))
+    return F.array_distinct(F.concat(domains, F.transform(F.filter(kin, lambda p: F.array_contains(domains, p["x"])), lambda p: p["y"])))
+
+
+def scored_pairs(sigs: DataFrame, met: DataFrame, a: str, b: str, limit: float = LIMIT) -> DataFrame:
+    """Pairs of signatures given by their ids, with every dimension."""
+    x = sigs.withColumn("vector", structure_vector())
+    side = lambda c, name: x.select(F.col("sig").alias(c), F.struct("*").alias(name))
+    p = met.join(side(a, "a"), a).join(side(b, "b"), b)
+    return _dimensioned(p.withColumn("compat", compatibility(F.col("a.domains"), F.col("b.domains"))).where(F.col("compat") >= limit))
+
+
 def domain_pairs(sigs: DataFrame, limit: float = LIMIT, others: DataFrame | None = None) -> DataFrame:
     """(d1, d2, compat): pairs of distinct domain lists at or above limit; d2 from others, where they are given."""
     spread = lambda x: x.select("domains").distinct().select("domains", F.explode(F.array_distinct("domains")).alias("d"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from reportmill.operators.shared import summed
+
 
 def latest(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """The last row of each key, by order. A struct maximum, so rows are reduced before they are shuffled."""
@@ -33,17 +35,15 @@ def lookup(keys: DataFrame, store: DataFrame, key: str, at: str, now: Column, ho
 
 
 def within_budget(df: DataFrame, size: str, at: str, key: str, limit: float, share: float = 0.8) -> DataFrame:
-    """If all sizes exceed limit, the most recently read entries that fit into share of it; else all.
+    """If all sizes exceed limit, the most recently read entries that fit into share of it; else all. A null size counts as nothing.
 
-    Sizes are summed by day of last reading first; only days at the edge are looked at entry by entry.
+    The running sum goes by ranges of time, so a day on which most entries were read is several tasks.
     """
-    days = df.withColumn("_day", F.to_date(at))
-    sums = days.groupBy("_day").agg(F.sum(size).alias("_sum"))
-    newer = W.orderBy(F.desc("_day")).rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select(F.col("_day").alias("_d"), F.coalesce(F.sum("_sum").over(newer), F.lit(0.0)).alias("_newer"), F.sum("_sum").over(W.partitionBy()).alias("_all"))
-    inside = W.partitionBy("_day").orderBy(F.desc(at), key).rowsBetween(W.unboundedPreceding, 0)
-    run = days.join(sums, F.col("_day") == F.col("_d")).withColumn("_run", F.col("_newer") + F.sum(size).over(inside))
-    return run.where((F.col("_all") <= limit) | (F.col("_run") <= limit * share)).select(*df.columns)
+    total = df.agg(F.sum(size)).first()[0] or 0
+    if total <= limit:
+        return df
+    run = summed(df.withColumn("_size", F.coalesce(F.col(size), F.lit(0))), "_run", "_size", F.desc(at), F.col(key))
+    return run.where(F.col("_run") <= limit * share).select(*df.columns)
 
 
 def without_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:

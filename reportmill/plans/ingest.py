@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reportmill.functions import rules
 from reportmill.operators import reports as R
-from reportmill.operators.shared import checkpoint_dir
+from reportmill.operators.shared import folder as shared_folder
 from reportmill.plans import reportpairs
 from reportmill.plans.registry import query, table
 from reportmill.plans.rules import OUTPUT, C, I, P, Q
@@ -103,14 +101,10 @@ def dataset_with_source(spark: SparkSession, d: str) -> DataFrame:
     return left.join(right, ["report_id", "source"], "left").select("report_id", "name", "provider", rules.database_name(F.col("connect_string")).alias("database"))
 
 
-def _folder(spark: SparkSession, kind: str) -> str:
-    return f"{checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
-
-
 @query(f"SELECT report_id, 'report_id=' || report_id AS folder, true AS dated, true AS whole, CASE WHEN {SOUND} THEN schema_year END AS year FROM {C}")
 def scan_report_files(spark: SparkSession, d: str) -> DataFrame:
     """Definitions are written as .rdl files, one folder each, and scanned back by the data source with path, time, length and content."""
-    folder = _folder(spark, "files")
+    folder = shared_folder(spark, "files")
     texts = X.derived(spark, d)
     X.write_files(texts, folder)
     files = X.scan_files(spark, folder).withColumn("report_id", F.regexp_extract("path", r"report_id=(\d+)", 1).cast("long"))
@@ -120,7 +114,7 @@ def scan_report_files(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT r1, r2, pairs, overall FROM {reportpairs.PAIRS}")
 def sink_pairs_json(spark: SparkSession, d: str) -> DataFrame:
-    folder = _folder(spark, "json")
+    folder = shared_folder(spark, "json")
     pairs = reportpairs.pairs(spark, d)
     pairs.select("r1", "r2", "pairs", "overall", F.struct(*R.DIMENSIONS).alias("dimensions")).write.json(folder)
     return spark.read.schema("r1 long, r2 long, pairs long, overall double").json(folder)
@@ -128,7 +122,7 @@ def sink_pairs_json(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT report_name, item_name, item_type, expression FROM {I} JOIN {C} USING (report_id)")
 def sink_by_report(spark: SparkSession, d: str) -> DataFrame:
-    folder = _folder(spark, "reports")
+    folder = shared_folder(spark, "reports")
     from reportmill.sources.corpus import load
 
     rows = load(spark, d, "report_item").join(load(spark, d, "report_catalog").select("report_id", "report_name"), "report_id")
@@ -139,7 +133,7 @@ def sink_by_report(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT vec_id, label, 'given' AS provider, len(embedding) AS size, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM embeddings")
 def sink_embeddings(spark: SparkSession, d: str) -> DataFrame:
-    folder = _folder(spark, "vectors")
+    folder = shared_folder(spark, "vectors")
     table(spark, d, "embeddings").withColumn("provider", F.lit("given")).write.partitionBy("label").parquet(folder)
     back = spark.read.parquet(folder)
     return back.select("vec_id", "label", "provider", F.size("embedding").alias("size"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("total"))
@@ -148,7 +142,7 @@ def sink_embeddings(spark: SparkSession, d: str) -> DataFrame:
 @query(reportpairs.SQUARE)
 def sink_matrix_csv(spark: SparkSession, d: str) -> DataFrame:
     """The square matrix as comma-separated lines: a report, then its cells in order of the reports' ids."""
-    folder = _folder(spark, "csv")
+    folder = shared_folder(spark, "csv")
     reportpairs.square(spark, d).select(F.concat_ws(",", F.col("report").cast("string"), "cells").alias("line")).write.text(folder)
     line = spark.read.text(folder)
     return line.select(F.substring_index("value", ",", 1).cast("long").alias("report"), F.expr("substr(value, instr(value, ',') + 1)").alias("cells"))
@@ -156,7 +150,7 @@ def sink_matrix_csv(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, user_id, event_type, value FROM events")
 def sink_store_metadata(spark: SparkSession, d: str) -> DataFrame:
-    folder = _folder(spark, "meta")
+    folder = shared_folder(spark, "meta")
     reportfiles.register(spark)
     table(spark, d, "events").select("event_id", "user_id", "event_type", "value").write.format("report_folders").option("kind", "json").mode("append").save(folder)
     return spark.read.schema("event_id long, user_id long, event_type string, value double").json(folder)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reportmill.functions import dialects as D
 from reportmill.functions import features as X
 from reportmill.functions import rules as R
+from reportmill.operators.shared import store
 from reportmill.plans.registry import query
 from reportmill.plans.rules import STATEMENT, Q, quoted, sql_any, sql_cases, sql_table_domain
 from reportmill.sources.corpus import load, oracle
@@ -161,6 +162,23 @@ def feature_distinct_counts(spark: SparkSession, d: str) -> DataFrame:
     return every.agg(F.count_if(F.col("e.k") == "t").alias("tables"), F.count_if(F.col("e.k") == "c").alias("columns"), F.count_if(F.col("e.k") == "s").alias("signatures"))
 
 
+#: Bits of a sketch's size; its standard error is 1.04 / sqrt(2 ** bits).
+SKETCH = 12
+
+
+def sketches(featured: DataFrame, by: str) -> DataFrame:
+    """(by, kind, sketch): a mergeable sketch of the distinct tables, columns and signatures of every group."""
+    f = featured.select(by, F.explode(F.array(F.struct(F.lit("tables").alias("kind"), F.col("tables").alias("v")), F.struct(F.lit("columns").alias("kind"), F.col("columns").alias("v")), F.struct(F.lit("signatures").alias("kind"), F.array("semantic_hash").alias("v")))).alias("e"))
+    return f.select(by, "e.kind", F.explode("e.v").alias("v")).groupBy(by, "kind").agg(F.hll_sketch_agg("v", F.lit(SKETCH)).alias("sketch"))
+
+
+def united(kept: DataFrame) -> DataFrame:
+    """One row of estimates from the sketches of any groups."""
+    each = kept.groupBy("kind").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n"))
+    return each.agg(*(F.coalesce(F.max(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in ("tables", "columns", "signatures")))
+
+
 @query()
 def feature_distinct_approx(spark: SparkSession, d: str) -> DataFrame:
-    return featured(spark, d).agg(F.approx_count_distinct("semantic_hash").alias("signatures"), F.approx_count_distinct("canonical").alias("forms"))
+    """Sketches of every report are kept as a table, and united; new reports only add rows to it."""
+    return united(store(sketches(featured(spark, d), "report_id")))

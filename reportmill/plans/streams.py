@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reportmill.operators import pairs as QP
-from reportmill.operators.shared import checkpoint_dir
+from reportmill.operators.shared import folder, store
 from reportmill.plans.querylog import featured
 from reportmill.plans.querypairs import SCORED
 from reportmill.plans.registry import query, table
@@ -23,35 +21,39 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 
 def written(df: DataFrame, files: int = 4) -> str:
     """df as the arriving files of a stream."""
-    folder = f"{checkpoint_dir(df.sparkSession)}/arriving-{uuid.uuid4().hex}"
-    df.repartition(files).write.parquet(folder)
-    return folder
+    path = folder(df.sparkSession, "arriving")
+    df.repartition(files).write.parquet(path)
+    return path
 
 
 @query(f"SELECT report_id, schema_year AS year, (SELECT count(*) FROM {Q} q WHERE q.report_id = c.report_id) AS datasets, 1::BIGINT AS times FROM {C} c WHERE report_id % 50 <> 49")
 def stream_ingest_reports(spark: SparkSession, d: str) -> DataFrame:
     """Report files arrive, every tenth a second time under another name; each content is shredded once, and the sound ones stay."""
-    folder, texts = f"{checkpoint_dir(spark)}/arriving-{uuid.uuid4().hex}", X.derived(spark, d)
+    path, texts = folder(spark, "arriving"), X.derived(spark, d)
     again = texts.where("report_id % 10 = 0").withColumn("report_id", -1 - F.col("report_id"))
-    X.write_files(texts.unionByName(again), folder)
-    files = X.stream_files(spark, folder).withColumn("h", F.md5("content"))
+    X.write_files(texts.unionByName(again), path)
+    files = X.stream_files(spark, path).withColumn("h", F.md5("content"))
     once = X.sound(X.shred(jobs.distinct_content(files, "h", "modificationTime")))
     rows = jobs.run_to_table(once.select("year", F.col("r.DataSets.DataSet._Name").alias("names")))
     report = F.floor(F.substring(F.col("names")[0], 3, 20).cast("long") / 4)
     return rows.groupBy(report.alias("report_id"), "year").agg(F.max(F.size("names")).cast("long").alias("datasets"), F.count(F.lit(1)).alias("times"))
 
 
-@query(f"SELECT CASE WHEN a.sig % 2 = 0 THEN a.sig ELSE b.sig END AS new_sig, CASE WHEN a.sig % 2 = 0 THEN b.sig ELSE a.sig END AS old_sig, round(final, 6) AS final FROM {SCORED} WHERE a.sig % 2 <> b.sig % 2 AND final >= 0.5")
+@query(f"SELECT a.sig AS sig1, b.sig AS sig2, round(final, 6) AS final FROM {SCORED} WHERE final >= 0.5")
 def stream_match_new(spark: SparkSession, d: str) -> DataFrame:
-    """Signatures with an even id arrive and are scored against the stored ones, batch by batch."""
-    sigs = QP.signatures(featured(spark, d))
-    stored, folder = sigs.where("sig % 2 <> 0"), written(sigs.where("sig % 2 = 0"))
+    """Signatures arrive file by file; each is scored against all that arrived before it, which keyed state holds by domain."""
+    sigs = store(QP.signatures(featured(spark, d)))
+    arriving = written(sigs.select("sig", F.array_distinct("domains").alias("domains"), QP.reach(F.col("domains")).alias("reach")))
+    return matched(sigs, arriving)
 
-    def match(batch: DataFrame, n: int, path: str) -> None:
-        met = QP.scored(batch.select(*stored.columns), others=stored).where("final >= 0.5")
-        met.select(F.col("a.sig").alias("new_sig"), F.col("b.sig").alias("old_sig"), F.round("final", 6).alias("final")).write.mode("overwrite").parquet(path)
 
-    return jobs.run_to_table(jobs.file_stream(spark, folder, "*.parquet"), each=match)
+def matched(sigs: DataFrame, arriving: str, root: str | None = None) -> DataFrame:
+    """(sig1, sig2, final) of what has met so far; with the same root a run goes on where the last one was."""
+    spark = sigs.sparkSession
+    with jobs.keyed_state(spark):
+        met = jobs.run_to_table(jobs.meetings(jobs.file_stream(spark, arriving, "*.parquet", at_once=1)), root=root)
+    near = QP.scored_pairs(sigs, met.select(F.least("new_sig", "old_sig").alias("sig1"), F.greatest("new_sig", "old_sig").alias("sig2")), "sig1", "sig2")
+    return near.where("final >= 0.5").select("sig1", "sig2", F.round("final", 6).alias("final"))
 
 
 @query("""WITH e AS (SELECT *, event_id % 50 = 0 AS late FROM events), m AS (SELECT max(ts) FILTER (NOT late AND epoch_us(ts) <= (SELECT CAST(floor(avg(epoch_us(ts))) AS BIGINT) FROM events)) - INTERVAL 1 HOUR AS second, max(ts) - INTERVAL 1 HOUR AS last FROM e),
@@ -61,11 +63,11 @@ FROM w, m WHERE (NOT late OR start + INTERVAL 1 HOUR > second) AND start + INTER
 def stream_progress(spark: SparkSession, d: str) -> DataFrame:
     """Windows of an hour, every half hour. Every fiftieth event comes after all others; of these, Spark drops what is late by the
     watermark of the batch before the last, which the first half of the log has set."""
-    rows, folder = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), f"{checkpoint_dir(spark)}/arriving-{uuid.uuid4().hex}"
+    rows, path = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), folder(spark, "arriving")
     middle = rows.agg(F.timestamp_micros(F.floor(F.avg(F.unix_micros("ts"))).cast("long"))).first()[0]
     for part in ((F.col("event_id") % 50 != 0) & (F.col("ts") <= middle), (F.col("event_id") % 50 != 0) & (F.col("ts") > middle), F.col("event_id") % 50 == 0):
-        rows.where(part).coalesce(1).write.mode("append").parquet(folder)  # files arrive in this order
-    done = jobs.run_to_table(jobs.windowed(jobs.file_stream(spark, folder, "*.parquet", at_once=1), "ts", "user_id", "1 hour", "30 minutes", "1 hour"))
+        rows.where(part).coalesce(1).write.mode("append").parquet(path)  # files arrive in this order
+    done = jobs.run_to_table(jobs.windowed(jobs.file_stream(spark, path, "*.parquet", at_once=1), "ts", "user_id", "1 hour", "30 minutes", "1 hour"))
     return done.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "user_id", "done", "errors", "total")
 
 
@@ -81,6 +83,5 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT user_id, count(*) FILTER (event_type <> 'error') AS hits, count(*) FILTER (event_type = 'error') AS misses FROM events GROUP BY 1")
 def stream_store_stats(spark: SparkSession, d: str) -> DataFrame:
     """Running hits and misses by key: each batch writes the keys it changed."""
-    folder = written(table(spark, d, "events").select("user_id", "event_type"))
-    g = jobs.file_stream(spark, folder, "*.parquet", at_once=1).groupBy("user_id").agg(F.count_if(F.col("event_type") != "error").alias("hits"), F.count_if(F.col("event_type") == "error").alias("misses"))
+    g = jobs.file_stream(spark, written(table(spark, d, "events").select("user_id", "event_type")), "*.parquet", at_once=1).groupBy("user_id").agg(F.count_if(F.col("event_type") != "error").alias("hits"), F.count_if(F.col("event_type") == "error").alias("misses"))
     return jobs.run_to_table(g, "update", keys=["user_id"])

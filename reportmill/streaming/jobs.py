@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Sequence
+import contextlib
+import json
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from reportmill.operators.shared import checkpoint_dir
+from reportmill.operators.shared import folder
 
 
-def run_to_table(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int, str], None] | None = None, keys: Sequence[str] = ()) -> DataFrame:
+def run_to_table(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int, str], None] | None = None, keys: Sequence[str] = (), root: str | None = None) -> DataFrame:
     """Runs a stream over all that is available and returns the rows it wrote.
 
     In append mode batches are added to a parquet table, so state goes with the watermark and only new rows are written. In
     update mode a batch holds the rows of the keys it changed; of each key the row of the latest batch counts. Progress is
-    kept in the shared folder, so a restarted run goes on where it was; a batch that is written again replaces itself.
+    kept in the shared folder, so a run with the same root goes on where the last one was; a batch that is written again replaces itself.
     """
     spark = stream.sparkSession
-    root = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    root = root or folder(spark, "stream")
     w = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{root}/state")
     if each is not None or mode != "append":
         def write(df: DataFrame, n: int) -> None:
@@ -61,3 +63,58 @@ def sessions(stream: DataFrame, at: str, key: str, gap: str = "30 minutes", dela
     """Bursts of activity of each key, apart by at least gap."""
     g = stream.withWatermark(at, delay).groupBy(F.session_window(at, gap).alias("s"), key).agg(F.count(F.lit(1)).alias("n"))
     return g.select(key, F.col("s.start").alias("session_start"), "n")
+
+
+#: Parts of a domain's list, so that a domain which most arrivals have is the state of several tasks.
+SALTS = 8
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Catalogue(StatefulProcessor):
+    """The signatures of one part of a domain that have arrived, as (sig -> domains).
+
+    Rows are (d, salt, sig, domains, reach, kept): an arrival comes to every domain that it reaches, and is kept, in one part,
+    where it has the domain itself. It meets what has arrived before it: earlier batches, and in its own batch the smaller ids.
+    Two that could meet at several domains meet at the first of them only.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getMapState("known", "sig long", "domains string")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: ANN001, N803
+        domain = key[0]
+        held = {k[0]: set(json.loads(v[0])) for k, v in self.known.iterator()}
+        for r in sorted(rows, key=lambda r: r.sig):
+            if r.sig in held:
+                continue
+            reach = set(r.reach)
+            for sig, domains in held.items():
+                if min(reach & domains) == domain:
+                    yield Row(new_sig=r.sig, old_sig=sig)
+            if r.kept:
+                held[r.sig] = set(r.domains)
+                self.known.updateValue((r.sig,), (json.dumps(sorted(r.domains)),))
+
+    def close(self) -> None:
+        pass
+
+
+@contextlib.contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Inside, streams keep their state in RocksDB, which keyed state needs."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def meetings(arrivals: DataFrame) -> DataFrame:
+    """(new_sig, old_sig) of arriving signatures (sig, domains, reach) and of those that arrived before and have a domain that the
+    new one reaches. Each two meet once, whatever the batches and restarts; the state is a signature's id and domains."""
+    spread = arrivals.select("sig", "domains", "reach", F.explode("reach").alias("d")).withColumn("own", F.array_contains("domains", F.col("d")))
+    part = F.pmod(F.xxhash64("sig"), F.lit(SALTS)).cast("int")
+    spread = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("kept", F.col("own") & (F.col("salt") == part))
+    return spread.groupBy("d", "salt").transformWithState(statefulProcessor=Catalogue(), outputStructType="new_sig long, old_sig long", outputMode="append", timeMode="none")
