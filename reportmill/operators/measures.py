@@ -24,8 +24,9 @@ def share_rank(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Share of the grand total and dense rank: the place of a group's total among the distinct totals."""
     t = cut(df.groupBy(*by).agg(F.sum(value).alias("total")))
     places = numbered(t.select("total").distinct(), "place", F.desc("total")).withColumnRenamed("total", "ranked")
-    ranked = t.crossJoin(F.broadcast(t.agg(F.sum("total").alias("every")))).join(places, F.col("total").eqNullSafe(F.col("ranked")))
-    return ranked.select(*by, F.round("total", 4).alias("total"), F.round(F.col("total") * 100 / F.col("every"), 6).alias("share"), "place")
+    every = F.lit(t.agg(F.sum("total")).first()[0])
+    ranked = t.join(places, F.col("total").eqNullSafe(F.col("ranked")))
+    return ranked.select(*by, F.round("total", 4).alias("total"), F.round(F.col("total") * 100 / every, 6).alias("share"), "place")
 
 
 def by_month(df: DataFrame, date: str, value: str) -> DataFrame:

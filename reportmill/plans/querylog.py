@@ -14,12 +14,21 @@ from reportmill.plans.rules import STATEMENT, Q, quoted, sql_any, sql_cases, sql
 from reportmill.sources.corpus import load, oracle
 
 
-def _list(words) -> str:
-    return "[" + ", ".join(map(quoted, words)) + "]"
+# Patterns and word lists, as the SQL has them.
+_TABLE = r"'(?i)\b(?:FROM|JOIN|INTO)\s+([A-Za-z_][\w.]*)'"
+_JOIN = r"'\b(INNER|LEFT|RIGHT|FULL|CROSS)(?:\s+OUTER)?\s+JOIN\b'"
+_WHERE = r"'(?i)\bWHERE\s+(.*?)(?:\s+GROUP\s+BY\b|\s+ORDER\s+BY\b|\s+LIMIT\b|\s+HAVING\b|$)'"
+_OPERATOR = r"'(<=|>=|<>|!=|=|<|>|\bLIKE\b|\bIN\b|\bBETWEEN\b)'"
+_OPERATION = r"'\b(SELECT|INSERT|UPDATE|DELETE|CREATE|ALTER|DROP)\b'"
+_CALL = r"'\b(SUM|COUNT|AVG|MAX|MIN|DISTINCT|CAST|CONVERT|ISNULL|COALESCE|CASE|DATEADD|DATEDIFF|GETDATE|YEAR|MONTH|DAY|SUBSTRING|LEN|LTRIM|RTRIM|UPPER|LOWER|ROW_NUMBER|RANK|DENSE_RANK)\s*\('"
+_NO_COLUMNS = """['select', 'from', 'where', 'group', 'by', 'order', 'having', 'join', 'inner', 'left', 'right', 'full', 'outer', 'cross', 'on', 'as', 'and', 'or', 'not', 'in', 'like', 'between', 'is', 'null', 'case', 'when', 'then', 'else', 'end', 'union', 'all', 'distinct', 'top', 'limit', 'offset', 'asc', 'desc',
+'insert', 'into', 'update', 'delete', 'set', 'values', 'with', 'exists', 'extract', 'nvl', 'ifnull', 'over', 'partition', 'text', 'sum', 'count', 'avg', 'max', 'min', 'cast', 'convert', 'isnull', 'coalesce', 'dateadd', 'datediff', 'getdate', 'year', 'month', 'day', 'substring', 'len', 'ltrim', 'rtrim', 'upper', 'lower',
+'row_number', 'rank', 'dense_rank']"""
+_AGGREGATES = "['SUM', 'COUNT', 'AVG', 'MAX', 'MIN']"
 
 
 def _found(text: str, pattern: str) -> str:
-    return f"list_sort(list_distinct(regexp_extract_all({text}, {quoted(pattern)}, 1)))"
+    return f"list_sort(list_distinct(regexp_extract_all({text}, {pattern}, 1)))"
 
 
 def _text(column: str) -> str:
@@ -33,14 +42,14 @@ def sql_joined(column: str) -> str:
 #: The features as a chain of subqueries.
 CLEAN = rf"SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(sql_text, '--[^\n]*', ' ', 'g'), '(?s)/\*.*?\*/', ' ', 'g'), '[ \t\n\r]+', ' ', 'g'), ' ') AS clean FROM {Q}"
 BARE = rf"""SELECT *, regexp_replace(regexp_replace(clean, '[`"\[\]]', '', 'g'), '(?i)\bEXTRACT\s*\([^)]*\)', 'EXTRACT()', 'g') AS bare FROM ({CLEAN})"""
-LISTS = rf"""SELECT *, list_sort(list_distinct(list_transform(regexp_extract_all(bare, {quoted(X.TABLE)}, 1), lambda x: lower(x)))) AS tables, {_found('upper(bare)', X.CALL)} AS functions, {_found('upper(bare)', X.JOIN)} AS joins,
-regexp_extract(bare, {quoted(X.WHERE)}, 1) AS body, regexp_matches(upper(bare), '\bGROUP\s+BY\b') AS grouped, regexp_matches(upper(bare), '\bORDER\s+BY\b') AS sorted,
+LISTS = rf"""SELECT *, list_sort(list_distinct(list_transform(regexp_extract_all(bare, {_TABLE}, 1), lambda x: lower(x)))) AS tables, {_found('upper(bare)', _CALL)} AS functions, {_found('upper(bare)', _JOIN)} AS joins,
+regexp_extract(bare, {_WHERE}, 1) AS body, regexp_matches(upper(bare), '\bGROUP\s+BY\b') AS grouped, regexp_matches(upper(bare), '\bORDER\s+BY\b') AS sorted,
 list_concat(regexp_extract_all(clean, '(@\w+|\$\w+|\?)', 1), list_transform(regexp_extract_all(clean, '[^:\w]:([A-Za-z_]\w*)', 1), lambda x: ':' || x)) AS every_parameter,
 regexp_extract_all(lower(regexp_replace(regexp_replace(bare, '''[^'']*''', '', 'g'), '[@:$]+\w+', '', 'g')), '([a-z_][a-z0-9_.]*)', 1) AS names FROM ({BARE})"""
 _KIND = STATEMENT.replace("(q)", "(clean)").replace("(q,", "(clean,")
-MORE = rf"""SELECT *, {_found('upper(bare)', X.OPERATION)} AS operations, {_KIND} AS statement, list_filter(every_parameter, lambda x, i: list_position(every_parameter, x) = i) AS parameters, {_found('upper(body)', X.OPERATOR)} AS filters,
-list_sort(list_distinct(list_filter(list_transform(list_filter(names, lambda x: NOT list_contains(tables, x)), lambda x: regexp_replace(x, '^.*\.', '')), lambda x: length(x) > 1 AND NOT list_contains({_list(X.KEYWORDS)}, x)))) AS columns,
-list_concat(list_filter(functions, lambda x: list_contains({_list(X.AGGREGATES)}, x)), list_concat(CASE WHEN grouped THEN ['GROUP BY'] ELSE [] END, CASE WHEN regexp_matches(upper(bare), '\bHAVING\b') THEN ['HAVING'] ELSE [] END)) AS aggregations FROM ({LISTS})"""
+MORE = rf"""SELECT *, {_found('upper(bare)', _OPERATION)} AS operations, {_KIND} AS statement, list_filter(every_parameter, lambda x, i: list_position(every_parameter, x) = i) AS parameters, {_found('upper(body)', _OPERATOR)} AS filters,
+list_sort(list_distinct(list_filter(list_transform(list_filter(names, lambda x: NOT list_contains(tables, x)), lambda x: regexp_replace(x, '^.*\.', '')), lambda x: length(x) > 1 AND NOT list_contains({_NO_COLUMNS}, x)))) AS columns,
+list_concat(list_filter(functions, lambda x: list_contains({_AGGREGATES}, x)), list_concat(CASE WHEN grouped THEN ['GROUP BY'] ELSE [] END, CASE WHEN regexp_matches(upper(bare), '\bHAVING\b') THEN ['HAVING'] ELSE [] END)) AS aggregations FROM ({LISTS})"""
 _SALES = sql_any(f"({_text('tables')} || ' ' || {_text('columns')})", ("customer", "order", "sale", "product"))
 _BOTH = f"({_text('tables')} || ' ' || {_text('columns')})"
 _SUMMED = "list_has_any(aggregations, ['SUM', 'COUNT', 'AVG'])"
@@ -74,7 +83,7 @@ for _key, _columns in {
 }.items():
     _one(_key, _columns)
 
-BODIES = r"(SELECT query_id, CASE WHEN query_id % 4 = 0 THEN 'x BETWEEN 1 AND 5 AND ' || body ELSE body || ' AND y = 2' END AS b FROM (SELECT *, regexp_extract(bare, " + quoted(X.WHERE) + f", 1) AS body FROM ({BARE})) WHERE body <> '')"
+BODIES = r"(SELECT query_id, CASE WHEN query_id % 4 = 0 THEN 'x BETWEEN 1 AND 5 AND ' || body ELSE body || ' AND y = 2' END AS b FROM (SELECT *, regexp_extract(bare, " + _WHERE + f", 1) AS body FROM ({BARE})) WHERE body <> '')"
 
 
 @query(rf"""SELECT query_id, CAST(i - 1 AS INT) AS position, replace(p[i], '~AND~', 'AND') AS condition FROM (SELECT query_id, p, unnest(range(1, len(p) + 1)) AS i FROM
@@ -116,7 +125,11 @@ def dialect_detect(spark: SparkSession, d: str) -> DataFrame:
     return D.detected(load(spark, d, "report_query")).select("query_id", "dialect", "confidence")
 
 
-@query(f"SELECT query_id, {sql_cases([(sql_any('upper(sql_text)', w), quoted(k)) for k, w in D.QUICK], quoted('Standard SQL'))} AS dialect FROM {Q}")
+_QUICK = """CASE WHEN contains(u, 'DECLARE @') OR contains(u, 'SET @') OR contains(u, 'EXEC ') OR contains(u, 'EXECUTE ') OR contains(u, '@@') THEN 'T-SQL' WHEN contains(u, 'DECLARE') OR contains(u, 'BEGIN') OR contains(u, 'END;') OR contains(u, 'EXCEPTION') OR contains(u, 'CURSOR') THEN 'PL/SQL'
+WHEN contains(u, '$1') OR contains(u, '$2') OR contains(u, 'RETURNING') OR contains(u, '::') THEN 'PostgreSQL' WHEN contains(u, 'DUAL') OR contains(u, 'ROWNUM') OR contains(u, 'CONNECT BY') THEN 'Oracle' WHEN contains(u, 'LIMIT') OR contains(u, '`') OR contains(u, 'IFNULL') THEN 'MySQL' ELSE 'Standard SQL' END"""
+
+
+@query(f"SELECT query_id, {_QUICK} AS dialect FROM (SELECT query_id, upper(sql_text) AS u FROM {Q})")
 def dialect_detect_quick(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "report_query").select("query_id", D.quick(F.col("sql_text")).alias("dialect"))
 
@@ -129,14 +142,18 @@ def dialect_features(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "report_query").select("query_id", F.concat_ws(",", D.signs(F.col("sql_text"))).alias("signs"))
 
 
+#: One spelling for functions of several dialects, as the SQL has them.
+_SPELLED = (("ISNULL", "COALESCE"), ("NVL", "COALESCE"), ("IFNULL", "COALESCE"), ("GETDATE", "CURRENT_TIMESTAMP"), ("NOW", "CURRENT_TIMESTAMP"), ("DATEDIFF", "DATE_DIFF"), ("DATEADD", "DATE_ADD"), ("LEN", "LENGTH"))
+
+
 def _normal() -> str:
     out = r"""regexp_replace(regexp_replace(sql_text, '\[([^\]]+)\]', '"\1"', 'g'), '`([^`]+)`', '"\1"', 'g')"""
-    for a, b in D.FUNCTIONS:
+    for a, b in _SPELLED:
         out = rf"regexp_replace({out}, '(?i)\b{a}\s*\(', '{b}(', 'g')"
     return rf"regexp_replace({out}, '(?i)\bTOP\s+(\d+)\b', 'LIMIT \1', 'g')"
 
 
-_NOTES = ", ".join([r"CASE WHEN regexp_matches(sql_text, '\[[^\]]+\]') THEN 'brackets' END", "CASE WHEN regexp_matches(sql_text, '`[^`]+`') THEN 'backticks' END", *(rf"CASE WHEN regexp_matches(sql_text, '(?i)\b{a}\s*\(') THEN '{a} to {b}' END" for a, b in D.FUNCTIONS), r"CASE WHEN regexp_matches(sql_text, '(?i)\bTOP\s+\d+\b') THEN 'TOP to LIMIT' END"])
+_NOTES = ", ".join([r"CASE WHEN regexp_matches(sql_text, '\[[^\]]+\]') THEN 'brackets' END", "CASE WHEN regexp_matches(sql_text, '`[^`]+`') THEN 'backticks' END", *(rf"CASE WHEN regexp_matches(sql_text, '(?i)\b{a}\s*\(') THEN '{a} to {b}' END" for a, b in _SPELLED), r"CASE WHEN regexp_matches(sql_text, '(?i)\bTOP\s+\d+\b') THEN 'TOP to LIMIT' END"])
 
 
 @query(f"SELECT query_id, {_normal()} AS normal, array_to_string(list_filter([{_NOTES}], lambda x: x IS NOT NULL), ',') AS notes FROM {Q}")

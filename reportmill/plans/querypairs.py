@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportmill.functions import rules as R
 from reportmill.operators import pairs as P
 from reportmill.plans.querylog import FEATURES, featured
 from reportmill.plans.registry import query
@@ -18,7 +17,7 @@ def sql_jaccard(f: str) -> str:
     return f"(CASE WHEN {both} = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a.{f}, b.{f})) / {both} END)"
 
 
-_KIN = " OR ".join(f"(x = '{p}' AND y = '{q}') OR (x = '{q}' AND y = '{p}')" for p, q in R.RELATED)
+_KIN = "least(x, y) || ' ' || greatest(x, y) IN ('customer sales', 'product sales', 'finance sales', 'customer finance', 'inventory product', 'general sales', 'customer general', 'general product', 'finance general')"
 COMPAT = f"list_avg(flatten(list_transform(a.domains, lambda x: list_transform(b.domains, lambda y: CASE WHEN x = y THEN 1.0::DOUBLE WHEN {_KIN} THEN 0.6::DOUBLE ELSE 0.1::DOUBLE END))))"
 
 
