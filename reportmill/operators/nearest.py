@@ -55,8 +55,8 @@ class Blocks:
     """Vectors in blocks: rows are (g, id, u), ranges (g, low, high) with an entry for each pivot."""
 
     def __init__(self, vectors: DataFrame, id_col: str, vector_col: str, block: int) -> None:
-        u = store(unit_vectors(vectors, id_col, vector_col))
-        pivots, n = _pivots(u), max(1, -(-u.count() // block))
+        u = unit_vectors(vectors, id_col, vector_col)
+        pivots, n = _pivots(u), max(1, -(-vectors.count() // block))
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -68,11 +68,11 @@ class Blocks:
         dealt = store(placed.repartitionByRange(n, "p", "a", "id").withColumn("g", F.spark_partition_id()))
         ends = [f(F.col("angles")[k]) for f in (F.min, F.max) for k in range(len(pivots))]
         grouped = dealt.groupBy("g").agg(F.array(*ends).alias("ends")) if len(pivots) else dealt.groupBy("g").agg(F.array().cast("array<double>").alias("ends"))
-        self.rows, self.ranges, self.kind = dealt.select("g", "id", "u"), store(grouped), kind
+        self.rows, self.ranges, self.kind, self.n = dealt.select("g", "id", "u"), grouped, kind, n
 
     def near(self, reach: DataFrame) -> DataFrame:
         """(i, j) with i <= j: blocks of which one reaches the other, by (g, reach), the angle that each block looks for partners in."""
-        n = max(1, -(-self.ranges.count() // RANGES))
+        n = max(1, -(-self.n // RANGES))
         rows = self.ranges.join(reach, "g").withColumn("s", F.pmod(F.xxhash64("g"), F.lit(n)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
         rows = rows.select(F.least("s", "o").alias("x"), F.greatest("s", "o").alias("y"), "s", "g", "ends", "reach")
 

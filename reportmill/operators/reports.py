@@ -25,8 +25,8 @@ DIMENSIONS = ("source", "filters", "calculations", "parameters", "purpose", "out
 KEPT, HIGH, MEDIUM = 30, 80, 50
 #: Classes in a block; a task scores one pair of blocks.
 BLOCK = 500
-#: Reports from which on a name is heavy in structural().
-HEAVY = 100
+#: A name is heavy in structural() if more reports than this, and more than this share of all, have it.
+HEAVY, HEAVY_SHARE = 100, 0.05
 #: The widest square matrix.
 WIDTH = 20_000
 # Hours to migrate a file, to consolidate a cluster, and the price of an hour.
@@ -191,13 +191,13 @@ def structural(datasets: DataFrame, heavy: int | None = None) -> DataFrame:
     """(r1, r2, profiles, score, pairs) of reports with anything in common, from (report_id, dataset_name, sql_text, source_name, item_name).
 
     40 for a dataset name in common, 30 for each such dataset with the same text, 20 for a source and 10 for an item in
-    common, at most 100. Names meet in lists of their reports. A name that more than heavy reports have is taken out of the
-    lists: the heavy names of a report are its profile, named by the smallest report that has it, and reports that share
+    common, at most 100. Names meet in lists of their reports. A name that more than heavy reports have (else more than HEAVY
+    and HEAVY_SHARE of all, so that heavy names and their sets are few) is taken out of the lists: the heavy names of a report are its profile, named by the smallest report that has it, and reports that share
     heavy names only score as their profiles do. So a row is either a pair of reports that share a rarer name, or, with
     profiles = true, a pair of profiles (r1 = r2 for one with itself) that stands for `pairs` pairs of reports which no row
     of the first kind names. profile_members() has the profile of every report, so all links are there.
     """
-    keys, profiles = _keys(datasets, HEAVY if heavy is None else heavy)
+    keys, profiles = _keys(datasets, heavy)
     rare = keys.where("NOT heavy").select("report_id", "key")
     met = rare.toDF("r1", "key").join(rare.toDF("r2", "key"), "key").where("r1 < r2").select("r1", "r2").distinct()
     held = keys.groupBy("report_id").agg(F.collect_list("key").alias("keys"))
@@ -217,15 +217,17 @@ def structural(datasets: DataFrame, heavy: int | None = None) -> DataFrame:
 
 def profile_members(datasets: DataFrame, heavy: int | None = None) -> DataFrame:
     """(report_id, profile_id) of the reports that have heavy names; the others have no profile."""
-    return _keys(datasets, HEAVY if heavy is None else heavy)[1].select("report_id", "profile_id")
+    return _keys(datasets, heavy)[1].select("report_id", "profile_id")
 
 
-def _keys(datasets: DataFrame, heavy: int) -> tuple[DataFrame, DataFrame]:
+def _keys(datasets: DataFrame, heavy: int | None) -> tuple[DataFrame, DataFrame]:
     """(report_id, key, heavy) of all names, and (report_id, names, profile_id) of the reports with heavy ones. The first letter of a key says what it names."""
     key = lambda kind, c: F.when(c.isNotNull(), F.concat(F.lit(kind), c))
     query = F.when(F.col("sql_text").isNotNull(), F.to_json(F.struct("dataset_name", "sql_text")))
     every = F.array_compact(F.array(key("d", F.col("dataset_name")), key("q", query), key("s", F.col("source_name")), key("i", F.col("item_name"))))
     rows = store(datasets.select("report_id", F.explode(every).alias("key")).distinct())
+    if heavy is None:
+        heavy = max(HEAVY, int(rows.select("report_id").distinct().count() * HEAVY_SHARE))
     many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > heavy).select("key", F.lit(True).alias("heavy"))
     rows = store(rows.join(many, "key", "left").select("report_id", "key", F.coalesce("heavy", F.lit(False)).alias("heavy")))
     names = rows.where("heavy").groupBy("report_id").agg(F.array_sort(F.collect_list("key")).alias("names"))

@@ -333,7 +333,7 @@ def common_datasets(spark: SparkSession, d: str) -> DataFrame:
 
 _KEYS = f"(SELECT DISTINCT report_id, unnest(['d' || dataset_name, 'q' || dataset_name || '|' || sql_text, 's' || source_name, 'i' || item_name]) AS key FROM {_D})"
 _POINTS = "CAST(least(100, CASE WHEN len(list_filter(k, lambda x: x[1] = 'd')) > 0 THEN 40 + 30 * len(list_filter(k, lambda x: x[1] = 'q')) ELSE 0 END + CASE WHEN len(list_filter(k, lambda x: x[1] = 's')) > 0 THEN 20 ELSE 0 END + CASE WHEN len(list_filter(k, lambda x: x[1] = 'i')) > 0 THEN 10 ELSE 0 END) AS BIGINT)"
-_STRUCTURE = f"""k AS MATERIALIZED {_KEYS}, h AS MATERIALIZED (SELECT key FROM k GROUP BY 1 HAVING count(*) > 100), f AS MATERIALIZED (SELECT report_id, list_sort(list(key)) AS names FROM k JOIN h USING (key) GROUP BY 1), p AS MATERIALIZED (SELECT report_id, names, min(report_id) OVER (PARTITION BY names) AS profile_id FROM f)"""
+_STRUCTURE = f"""k AS MATERIALIZED {_KEYS}, h AS MATERIALIZED (SELECT key FROM k GROUP BY 1 HAVING count(*) > (SELECT greatest(100, CAST(floor(count(DISTINCT report_id) * 0.05) AS BIGINT)) FROM k)), f AS MATERIALIZED (SELECT report_id, list_sort(list(key)) AS names FROM k JOIN h USING (key) GROUP BY 1), p AS MATERIALIZED (SELECT report_id, names, min(report_id) OVER (PARTITION BY names) AS profile_id FROM f)"""
 
 
 @query(f"""WITH {_STRUCTURE}, s AS MATERIALIZED (SELECT report_id, list(key) AS names FROM k GROUP BY 1), m AS (SELECT DISTINCT a.report_id AS r1, b.report_id AS r2 FROM k a JOIN k b USING (key) WHERE a.report_id < b.report_id AND key NOT IN (SELECT key FROM h)),
