@@ -46,5 +46,7 @@ def test_the_rest_works_without_the_corpus_operators(tmp_path):
     copy = tmp_path / "repo"
     shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'report_product_sales' in q and not any(k.startswith('op') for k in q); assert 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q)"
-    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env=env)
+    subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", "tests/test_dialects.py"], cwd=copy, check=True, env=env, timeout=300)
     assert not any("reportmill.llm" in p.read_text() for p in (copy / "reportmill").rglob("*.py"))
