@@ -19,8 +19,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from reportmill.llm.common import raw
+from reportmill.operators.shared import store
 
 HIDDEN = 16
 WINDOW = 96
@@ -266,13 +268,6 @@ def fit(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
     return _model(_sample(docs, held_out, id_col, text_col, lang_col, docs_each), steps)
 
 
-def _least(model: tuple[list[str], Weights], rows: list[Row], share: float) -> float:
-    """What a text in a known language has: chance and a share of the rest, or as little as any sampled document."""
-    chance = 1 / len(model[0])
-    texts = [b"".join(map(bytes, r.parts)) for r in rows if r.parts]
-    return min(chance + share * (1 - chance), float(Reader(model[1]).pooled(texts).max(1).min())) - 1e-6
-
-
 def _lettered(texts: pa.Array) -> list[int]:
     """Rows whose text has a letter."""
     return [k for k, t in enumerate(texts.to_pylist()) if t and LETTER.search(t)]
@@ -307,12 +302,11 @@ def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
 
 
 def keep_known(docs: DataFrame, held_out: Column, share: float = 0.2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs whose text has a language: not `und`, and with a mean position probability no lower than labelled documents have."""
-    rows = _sample(docs, held_out, id_col, text_col, lang_col, DOCS)
-    model = _model(rows, STEPS)
-    least = _least(model, rows, share) if model else 0.0
+    """docs whose text has a language: not `und`, and with a mean position probability of chance and a share of the rest, or no
+    lower than every labelled document that is not held out has. All of these count, so the texts are read once and stored with their score."""
+    model = _model(_sample(docs, held_out, id_col, text_col, lang_col, DOCS), STEPS)
     packed = pickle.dumps(model)
-    at = docs.columns.index(text_col)
+    at, name = docs.columns.index(text_col), "_certain"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pickle.loads(packed)
@@ -320,7 +314,13 @@ def keep_known(docs: DataFrame, held_out: Column, share: float = 0.2, id_col: st
         for b in batches:
             rows = _lettered(b.column(at)) if reader else []
             if rows:
-                p = reader.pooled(raw(b.column(at).take(pa.array(rows))))
-                yield b.take(pa.array(np.array(rows)[p.max(1) >= least], pa.int64()))
+                kept = b.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(reader.pooled(raw(kept.column(at))).max(1))], [*kept.schema.names, name])
 
-    return docs.mapInArrow(run, docs.schema)
+    read = store(docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())])))
+    if model is None:
+        return read.drop(name)
+    chance = 1 / len(model[0])
+    labelled = read.where(~held_out & F.col(lang_col).isNotNull()).agg(F.min(name)).first()[0]
+    least = min(chance + share * (1 - chance), 1.0 if labelled is None else labelled)
+    return read.where(F.col(name) >= least - 1e-6).drop(name)
