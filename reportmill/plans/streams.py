@@ -67,7 +67,8 @@ def stream_progress(spark: SparkSession, d: str) -> DataFrame:
     middle = rows.agg(F.timestamp_micros(F.floor(F.avg(F.unix_micros("ts"))).cast("long"))).first()[0]
     for part in ((F.col("event_id") % 50 != 0) & (F.col("ts") <= middle), (F.col("event_id") % 50 != 0) & (F.col("ts") > middle), F.col("event_id") % 50 == 0):
         rows.where(part).coalesce(1).write.mode("append").parquet(path)  # files arrive in this order
-    done = jobs.run_to_table(jobs.windowed(jobs.file_stream(spark, path, "*.parquet", at_once=1), "ts", "user_id", "1 hour", "30 minutes", "1 hour"))
+    with jobs.keyed_state(spark):  # open windows lie on disk, not in the tasks' memory
+        done = jobs.run_to_table(jobs.windowed(jobs.file_stream(spark, path, "*.parquet", at_once=1), "ts", "user_id", "1 hour", "30 minutes", "1 hour"))
     return done.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "user_id", "done", "errors", "total")
 
 
