@@ -55,8 +55,8 @@ def scan_files(spark: SparkSession, folder: str, glob: str = "*.rdl") -> DataFra
 
 def write_files(reports: DataFrame, folder: str) -> None:
     """One .rdl file a row of (report_id, content), in a folder of its report."""
-    lines = reports.select("report_id", "content").repartition("report_id").write.partitionBy("report_id")
-    lines.option("extension", "rdl").option("quote", "").option("sep", "\u0001").option("maxRecordsPerFile", 1).option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(folder)
+    reportfiles.register(reports.sparkSession)
+    reports.select("report_id", "content").repartition("report_id").write.format("report_folders").option("by", "report_id").option("kind", "rdl").mode("append").save(folder)
 
 
 def stream_files(spark: SparkSession, folder: str, glob: str = "*.rdl") -> DataFrame:
