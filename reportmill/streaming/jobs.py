@@ -20,6 +20,11 @@ def run_to_table(stream: DataFrame, mode: str = "append", each: Callable[[DataFr
     update mode a batch holds the rows of the keys it changed; of each key the row of the latest batch counts. Progress is
     kept in the shared folder, so a run with the same root goes on where the last one was; a batch that is written again replaces itself.
     """
+    with few_stores(stream.sparkSession):
+        return _run_to_table(stream, mode, each, keys, root)
+
+
+def _run_to_table(stream: DataFrame, mode: str, each: Callable[[DataFrame, int, str], None] | None, keys: Sequence[str], root: str | None) -> DataFrame:
     spark = stream.sparkSession
     root = root or folder(spark, "stream")
     w = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{root}/state")
@@ -99,6 +104,22 @@ class Catalogue(StatefulProcessor):
         pass
 
 
+@contextlib.contextmanager
+def few_stores(spark: SparkSession) -> Iterator[None]:
+    """Inside, streams that begin have two state stores a core, or as many as shuffles have parts, if those are fewer.
+
+    Each batch opens and commits every store, empty ones too, and keyed state starts a worker for each; so more of them take
+    time without sharing the work any further. A stream that goes on keeps the stores it has.
+    """
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), max(SALTS, 2 * spark.sparkContext.defaultParallelism))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 @contextlib.contextmanager
 def keyed_state(spark: SparkSession) -> Iterator[None]:
     """Inside, streams keep their state in RocksDB, which keyed state needs."""
