@@ -15,7 +15,7 @@ def test_no_vector_is_left_out(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
     con = duckdb.connect()
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
-    for name, n in (("top_k_per_item", 98 * 5),):
+    for name, n in (("top_k_per_item", 98 * 5), ("cosine_pairs", None)):
         df = catalogue.queries()[name](spark, str(tmp_path))
         got, want = df.collect(), con.sql(catalogue.oracle_sql()[name])
         assert sorted(tuple(r[c] for c in want.columns) for r in got) == sorted(want.fetchall())
@@ -39,3 +39,6 @@ def test_single_precision_loses_no_neighbour(spark, monkeypatch, tile, crowd):
     want = {i: sorted((j for j in range(len(x)) if j != i), key=lambda j: (-s[i, j], ids[j]))[:4] for i in range(len(x))}
     assert {i: [int(order[j]) for j in b[a == i]] for i in range(len(x))} == want
     assert np.abs(score - s[a, order[b]]).max() < 1e-8
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x)]
+    got = {(r.id1, r.id2) for r in nearest.cosine_pairs(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", 0.999).collect()}
+    assert got == {(int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for i in range(len(x)) for j in range(i) if s[i, j] >= 0.999}
