@@ -19,7 +19,7 @@ def test_values_of_pairs(spark, monkeypatch, block):
     assert got and got == rows(R.scored(c, least=50, analyzed=False).select("r1", "r2", "source", "overall"))
 
 
-@pytest.mark.parametrize("name", ["report_pair_overall"])
+@pytest.mark.parametrize("name", ["report_pair_overall", "dim_data_source_plain"])
 def test_a_row_a_pair(spark, name):
     import duckdb
 
