@@ -93,6 +93,13 @@ def datasets(shredded: DataFrame) -> DataFrame:
     return _datasets(shredded).select("report_id", F.col("d._Name").alias("name"), q["DataSourceName"].alias("source"), q["CommandText"].alias("sql_text"), F.coalesce(q["CommandType"], F.lit("Text")).alias("command_type"))
 
 
+def datasets_with_sources(shredded: DataFrame) -> DataFrame:
+    """Datasets with the provider and connect string of their source, which is one of their own report: nothing is joined."""
+    t = sound(shredded).select("report_id", F.col("r.DataSources.DataSource").alias("sources"), F.explode("r.DataSets.DataSet").alias("d"))
+    t = t.select("report_id", F.col("d._Name").alias("name"), F.explode_outer(F.filter("sources", lambda s: s["_Name"] == F.col("d.Query.DataSourceName"))).alias("s"))
+    return t.select("report_id", "name", F.col("s.ConnectionProperties.DataProvider").alias("provider"), F.col("s.ConnectionProperties.ConnectString").alias("connect_string"))
+
+
 def query_parameters(shredded: DataFrame) -> DataFrame:
     t = _datasets(shredded).select("report_id", F.col("d._Name").alias("dataset"), F.explode("d.Query.QueryParameters.QueryParameter").alias("p"))
     return t.select("report_id", "dataset", F.col("p._Name").alias("name"), F.col("p.Value").alias("value"))
